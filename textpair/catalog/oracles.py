@@ -319,7 +319,7 @@ def prf(o: str, np: str = "np", nr: str = "nr") -> str:
 def _lcs_similarity() -> str:
     return f"""simsrc AS (SELECT row_ord, target_query, generated_output FROM results),
 {term_cosine('simsrc', 'row_ord', 'target_query', 'generated_output', 'sim')},
-similar AS (SELECT r.*, s.similarity AS semantic_similarity FROM results r JOIN sim s ON s.k = r.row_ord)"""
+simrows AS (SELECT r.*, s.similarity AS semantic_similarity FROM results r JOIN sim s ON s.k = r.row_ord)"""
 
 
 SIMILAR = _lcs_similarity()
@@ -387,9 +387,9 @@ round(quantile_cont("{c}", 0.975), 4) AS high FROM means""" for c in SCORES),
     "similarity_histogram": f"""WITH {VEC_PAIRS},
 {histogram("SELECT 'vectors' AS model, 'semantic_similarity' AS metric, cosine AS value FROM vecs", 25)} SELECT * FROM hist""",
     "similarity_vs_rouge": f"{RESULTS}, {SIMILAR} " + " UNION ALL ".join(
-        f"""SELECT '{c}' AS metric, round(corr(semantic_similarity, "{c}"), 6) AS corr FROM similar WHERE model = 'lead'""" for c in SCORES),
+        f"""SELECT '{c}' AS metric, round(corr(semantic_similarity, "{c}"), 6) AS corr FROM simrows WHERE model = 'lead'""" for c in SCORES),
     "similarity_vs_rouge_points": f"{RESULTS}, {SIMILAR} " + " UNION ALL ".join(
-        f"""SELECT semantic_similarity AS similarity, '{c}' AS metric, "{c}" AS value FROM similar WHERE model = 'lead'""" for c in SCORES),
+        f"""SELECT semantic_similarity AS similarity, '{c}' AS metric, "{c}" AS value FROM simrows WHERE model = 'lead'""" for c in SCORES),
     "model_gap": f"{RESULTS}, g AS (" + " UNION ALL ".join(
         f"""SELECT '{c}' AS metric, avg("{c}") FILTER (model = 'lead') AS a, avg("{c}") FILTER (model = 'mid') AS b FROM results""" for c in SCORES)
         + ") SELECT metric, round(a, 6) AS avg1, round(b, 6) AS avg2, round(a - b, 6) AS gap FROM g",
@@ -435,7 +435,7 @@ SELECT i.product_id, i.ids AS input_ids, i.n::integer AS n_attention, l.ids AS l
     "cosine_similarity": f"WITH {VEC_PAIRS} SELECT vec_id, cosine FROM vecs",
     "text_vectors": f"""WITH {PRODUCTS} SELECT product_id, token, count(*) AS tf
 FROM (SELECT product_id, unnest({tokens("coalesce(description, '')")}) AS token FROM products) GROUP BY ALL""",
-    "semantic_similarity": f"{RESULTS}, {SIMILAR} SELECT product_id, model, semantic_similarity FROM similar",
+    "semantic_similarity": f"{RESULTS}, {SIMILAR} SELECT product_id, model, semantic_similarity FROM simrows",
     "batch_generate": f"WITH {GEN} SELECT product_id, model_ord, model, generated_output FROM gen",
     "evaluate_models": f"""{RESULTS} SELECT product_id, coalesce(title, 'None') AS title, coalesce(description, 'None') AS description,
 input_text, target_query, model, generated_output, {SCORE_LIST} FROM results""",

@@ -116,7 +116,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     final = F.col("event_id") % 50 == 49
     is_train = F.col("event_type").isin("click", "view", "error")
     kinds = events.select(
-        F.col("event_id").alias("seq"), "ts",
+        F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
         F.floor(F.col("event_id") / 3).cast("bigint").alias("step"),
         "value", "user_id",
         F.when(final, "final").when(is_train, "train").otherwise("eval").alias("kind"),

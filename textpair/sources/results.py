@@ -17,6 +17,9 @@ from textpair.functions.rouge import SCORE_COLUMNS
 ROWS_PER_CSV_FILE = 200_000
 
 _CSV = {"header": "true", "quote": '"', "escape": '"'}
+# A missing value is written as nothing, an empty text as two quotes.  Reading
+# keeps the two apart only if the null marker is not the empty text itself.
+_CSV_READ = {**_CSV, "multiLine": "true", "nullValue": "\\N"}
 
 
 def result_schema(text_cols: Sequence[str]) -> T.StructType:
@@ -58,7 +61,7 @@ def read_results(
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path).select(*schema.names)
     if fmt == "csv":
-        return spark.read.schema(schema).options(**_CSV, multiLine="true").csv(path)
+        return spark.read.schema(schema).options(**_CSV_READ).csv(path)
     raise ValueError(f"unknown result format: {fmt}")
 
 
@@ -77,4 +80,4 @@ def write_case_slices(
 
 def read_slice(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Read one slice back."""
-    return spark.read.schema(schema).options(**_CSV, multiLine="true").csv(path)
+    return spark.read.schema(schema).options(**_CSV_READ).csv(path)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,7 +20,7 @@ _OUTPUT = T.StructType(
     + [T.StructField(c, T.DoubleType()) for c in _VALUES]
 )
 
-# How long an incomplete key waits for its other half.
+# How much newer the newest record has to be before an incomplete key is dropped.
 PENDING_DAYS = 7
 
 
@@ -34,14 +35,14 @@ def _advance(pending: dict[str, float], records: Iterator[dict]) -> list[dict[st
     return emitted
 
 
-def stream_metrics_merge(logs: DataFrame, pending_days: float = PENDING_DAYS) -> DataFrame:
+def stream_metrics_merge(logs: DataFrame, pending_days: int = PENDING_DAYS) -> DataFrame:
     """Merged rows of a log stream; a key is forgotten when it has emitted.
 
-    Records of one micro-batch are taken in ``seq`` order.  A key whose other
-    half does not arrive within ``pending_days`` is dropped, so state stays
-    bounded by the keys of that period.
+    Records of one micro-batch are taken in ``seq`` order.  Time is event time:
+    a key still incomplete when records ``pending_days`` newer have arrived is
+    dropped, and so is a record that arrives that late, so state stays bounded
+    by the keys of that period.
     """
-    wait_ms = int(pending_days * 24 * 3600 * 1000)
 
     def merge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -50,11 +51,15 @@ def stream_metrics_merge(logs: DataFrame, pending_days: float = PENDING_DAYS) ->
         pending: dict[str, float] = {}
         if state.exists:
             pending = {c: v for c, v in zip(_VALUES, state.get) if v is not None}
-        records = pd.concat(list(frames)).sort_values("seq")[_VALUES].to_dict("records")
-        emitted = _advance(pending, iter(records))
+        arrived: list[tuple] = []
+        for frame in frames:
+            arrived.extend(zip(*[frame[c].tolist() for c in ["seq", "_millis", *_VALUES]]))
+        arrived.sort(key=lambda record: record[0])
+        emitted = _advance(pending, (dict(zip(_VALUES, record[2:])) for record in arrived))
         if pending:
+            newest = max(record[1] for record in arrived)
             state.update(tuple(pending.get(c) for c in _VALUES))
-            state.setTimeoutDuration(wait_ms)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()
         if emitted:
@@ -63,9 +68,13 @@ def stream_metrics_merge(logs: DataFrame, pending_days: float = PENDING_DAYS) ->
             out.insert(0, "epoch", key[0])
             yield out
 
-    open_records = logs.where(logs["train_runtime"].isNull()).select("seq", *MERGED_COLUMNS)
+    open_records = (
+        logs.withWatermark("ts", f"{pending_days} days")
+        .where(F.col("train_runtime").isNull())
+        .select("ts", F.unix_millis("ts").alias("_millis"), "seq", *MERGED_COLUMNS)
+    )
     return open_records.groupBy("epoch", "step").applyInPandasWithState(
-        merge, _OUTPUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+        merge, _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
