@@ -21,7 +21,7 @@ from textpair.session import shared_dir, ship_package
 from textpair.sources import datasets, metric_logs
 from textpair.sources import results as result_files
 from textpair.streaming.evaluate import append_available, stream_evaluate
-from textpair.streaming.metrics import stream_final_metrics, stream_metrics_merge
+from textpair.streaming.metrics import append_merged, stream_final_metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -565,10 +565,10 @@ def _as_stream(spark, df: DataFrame, name: str) -> DataFrame:
 
 @query
 def stream_metrics_merge_query(spark, sf):
-    merged = stream_metrics_merge(_as_stream(spark, t.logs(spark, sf), "log-records"))
+    records = _as_stream(spark, t.logs(spark, sf), "log-records")
     out = shared_dir(spark, "merged")
-    append_available(merged, out, shared_dir(spark, "merged-state"))
-    return spark.read.parquet(out)
+    append_merged(records, out, shared_dir(spark, "merged-pending"), shared_dir(spark, "merged-checkpoint"))
+    return spark.read.parquet(out).select(*MERGED)
 
 
 @query

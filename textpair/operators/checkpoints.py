@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpair.operators.sampling import first_rows
-from textpair.sources.metric_logs import EVAL_KEYS, FINAL_COLUMNS, MERGED_COLUMNS, TRAIN_KEYS
+from textpair.sources.metric_logs import FINAL_COLUMNS, MERGED_COLUMNS, TRAIN_KEYS
 
 # Keys whose presence marks a side as seen, and defaults of the
 # checkpoint choice.
@@ -30,35 +30,34 @@ def final_metrics(logs: DataFrame) -> DataFrame:
     return logs.where(F.col("train_runtime").isNotNull()).select(*FINAL_COLUMNS)
 
 
-def metrics_merge(logs: DataFrame, key: Sequence[str] = ("epoch", "step")) -> DataFrame:
-    """Merge the records of each key until training and evaluation are both seen.
+KEY = ["epoch", "step"]
 
-    Records of a key, ordered by ``seq``, accumulate; a later value replaces an
-    earlier one.  When both sides are present a row is emitted and the key
-    starts afresh, so a key may emit several rows.
-
-    The state machine is expressed with windows.  A record with both sides
-    always emits.  Between such records only the *runs* of equal sides matter:
-    the first record of a run emits exactly when something is pending before
-    it.  After a run of two or more records something is always pending; after
-    a run of one, pending alternates.  So the parity of single-record runs since
-    the last long run (or the start) decides.
+
+def with_emissions(logs: DataFrame) -> DataFrame:
+    """Number the emissions of each key: adds ``_emits`` and ``_group``.
+
+    A group holds the records of a key after one emission up to and including
+    the next.  The state machine is expressed with windows.  A record with
+    both sides always emits.  Between such records only the *runs* of equal
+    sides matter: the first record of a run emits exactly when something is
+    pending before it.  After a run of two or more records something is always
+    pending; after a run of one, pending alternates.  So the parity of
+    single-record runs since the last long run (or the start) decides.
     """
-    key = list(key)
     train, evaluation = _any_present(TRAIN_MARKS), _any_present(EVAL_MARKS)
     side = (
         F.when(train & evaluation, "both").when(train, "train").when(evaluation, "eval")
     )
     records = logs.where(F.col("train_runtime").isNull()).select(
-        "seq", *MERGED_COLUMNS, side.alias("_side")
+        *[c for c in logs.columns if c == "ts"], "seq", *MERGED_COLUMNS, side.alias("_side")
     )
     earlier = (Window.unboundedPreceding, -1)
-    by_key = Window.partitionBy(*key).orderBy("seq")
+    by_key = Window.partitionBy(*KEY).orderBy("seq")
     both = (F.col("_side") == "both").eqNullSafe(True)
     segmented = records.withColumn(
         "_segment", F.coalesce(F.sum(both.cast("int")).over(by_key.rowsBetween(*earlier)), F.lit(0))
     )
-    segment = [*key, "_segment"]
+    segment = [*KEY, "_segment"]
     in_segment = Window.partitionBy(*segment).orderBy("seq")
     single = F.when(F.col("_side").isin("train", "eval"), F.col("_side"))
     previous = F.last(single, ignorenulls=True).over(in_segment.rowsBetween(*earlier))
@@ -76,17 +75,34 @@ def metrics_merge(logs: DataFrame, key: Sequence[str] = ("epoch", "step")) -> Da
     pending = (F.col("_run") - 1 - F.col("_anchor")) % 2 == 0
     emits = both | (F.col("_starts") & (F.col("_run") > 1) & pending)
     emitting = anchored.withColumn("_emits", F.coalesce(emits, F.lit(False)))
-    grouped = emitting.withColumn(
-        "_group", F.coalesce(F.sum(F.col("_emits").cast("int")).over(by_key.rowsBetween(*earlier)), F.lit(0))
-    )
-    values = [c for c in MERGED_COLUMNS if c not in key]
-    latest = [
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in values
-    ]
-    merged = grouped.groupBy(*key, "_group").agg(F.max("_emits").alias("_done"), *latest)
+    group = F.coalesce(F.sum(F.col("_emits").cast("int")).over(by_key.rowsBetween(*earlier)), F.lit(0))
+    return emitting.withColumn("_group", group).drop("_side", "_segment", "_starts", "_run", "_length", "_anchor")
+
+
+def merged_groups(flagged: DataFrame) -> DataFrame:
+    """One row per emission: the last known value of every column in its group."""
+    values = [c for c in MERGED_COLUMNS if c not in KEY]
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in values]
+    merged = flagged.groupBy(*KEY, "_group").agg(F.max("_emits").alias("_done"), *latest)
     return merged.where("_done").select(*MERGED_COLUMNS)
 
 
+def pending_records(flagged: DataFrame) -> DataFrame:
+    """Records still waiting for their other side."""
+    done = F.max("_emits").over(Window.partitionBy(*KEY, "_group"))
+    return flagged.withColumn("_done", done).where(~F.col("_done")).drop("_done", "_emits", "_group")
+
+
+def metrics_merge(logs: DataFrame) -> DataFrame:
+    """Merge the records of each (epoch, step) until both sides are seen.
+
+    Records of a key, ordered by ``seq``, accumulate; a later value replaces an
+    earlier one.  When training and evaluation values are both present a row is
+    emitted and the key starts afresh, so a key may emit several rows.
+    """
+    return merged_groups(with_emissions(logs))
+
+
 def _usable(merged: DataFrame, metric: str) -> DataFrame:
     return merged.where(F.col(metric).isNotNull() & ~F.isnan(metric))
 
@@ -114,8 +130,3 @@ def retained_checkpoints(
     order = [F.desc(metric) if greater_is_better else F.asc(metric), F.col("step")]
     per = [run] if run else []
     return first_rows(_usable(merged, metric), order, limit, per).select(*per, "step", "epoch", metric)
-
-
-__all__ = [
-    "EVAL_KEYS", "best_checkpoint", "final_metrics", "metrics_merge", "retained_checkpoints",
-]

@@ -1,36 +1,54 @@
-"""Metric logs as a stream: keyed merge with state, and final records."""
+"""Metric logs as a stream: the keyed merge, and final records.
+
+The merge comes in two forms with equal results.  ``stream_metrics_merge`` is
+a stateful operator from stream to stream.  ``append_merged`` runs a stream
+into a table and carries unfinished records from batch to batch in a small
+table of their own; its work is plain DataFrame operations, so a batch with
+very many keys is many times faster that way.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from textpair.operators.checkpoints import EVAL_MARKS, TRAIN_MARKS, final_metrics
+from textpair.operators.checkpoints import (
+    EVAL_MARKS, TRAIN_MARKS, final_metrics, merged_groups, pending_records, with_emissions,
+)
 from textpair.sources.metric_logs import EVAL_KEYS, MERGED_COLUMNS, TRAIN_KEYS
 
 _VALUES = [*TRAIN_KEYS, *EVAL_KEYS]
-_STATE = T.StructType([T.StructField(c, T.DoubleType()) for c in _VALUES])
+# The values travel as one array: state functions pay per column and key.
+_STATE = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType()))])
 _OUTPUT = T.StructType(
-    [T.StructField("epoch", T.DoubleType()), T.StructField("step", T.LongType())]
-    + [T.StructField(c, T.DoubleType()) for c in _VALUES]
+    [
+        T.StructField("epoch", T.DoubleType()),
+        T.StructField("step", T.LongType()),
+        T.StructField("values", T.ArrayType(T.DoubleType())),
+    ]
 )
+_TRAIN_AT = [_VALUES.index(c) for c in TRAIN_MARKS]
+_EVAL_AT = [_VALUES.index(c) for c in EVAL_MARKS]
 
 # How much newer the newest record has to be before an incomplete key is dropped.
 PENDING_DAYS = 7
 
 
-def _advance(pending: dict[str, float], records: Iterator[dict]) -> list[dict[str, float]]:
+def _advance(
+    pending: dict[int, float], records: Iterable[Sequence[float]]
+) -> list[list[float | None]]:
     """Fold records into ``pending`` (in place); returns the rows emitted."""
     emitted = []
     for record in records:
-        pending.update({c: v for c, v in record.items() if v is not None and v == v})
-        if any(c in pending for c in TRAIN_MARKS) and any(c in pending for c in EVAL_MARKS):
-            emitted.append(dict(pending))
+        pending.update({i: float(v) for i, v in enumerate(record) if v is not None and v == v})
+        if any(i in pending for i in _TRAIN_AT) and any(i in pending for i in _EVAL_AT):
+            emitted.append([pending.get(i) for i in range(len(_VALUES))])
             pending.clear()
     return emitted
 
@@ -48,34 +66,70 @@ def stream_metrics_merge(logs: DataFrame, pending_days: int = PENDING_DAYS) -> D
         if state.hasTimedOut:
             state.remove()
             return
-        pending: dict[str, float] = {}
+        pending: dict[int, float] = {}
         if state.exists:
-            pending = {c: v for c, v in zip(_VALUES, state.get) if v is not None}
+            (stored,) = state.get
+            pending = {i: v for i, v in enumerate(stored) if v is not None}
         arrived: list[tuple] = []
         for frame in frames:
-            arrived.extend(zip(*[frame[c].tolist() for c in ["seq", "_millis", *_VALUES]]))
+            arrived.extend(zip(frame["seq"].tolist(), frame["_millis"].tolist(), frame["_values"].tolist()))
         arrived.sort(key=lambda record: record[0])
-        emitted = _advance(pending, (dict(zip(_VALUES, record[2:])) for record in arrived))
+        emitted = _advance(pending, (values for _, _, values in arrived))
         if pending:
-            newest = max(record[1] for record in arrived)
-            state.update(tuple(pending.get(c) for c in _VALUES))
+            newest = max(millis for _, millis, _ in arrived)
+            state.update(([pending.get(i) for i in range(len(_VALUES))],))
             state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()
         if emitted:
-            out = pd.DataFrame(emitted, columns=_VALUES, dtype="float64")
-            out.insert(0, "step", key[1])
-            out.insert(0, "epoch", key[0])
-            yield out
+            yield pd.DataFrame({"epoch": key[0], "step": key[1], "values": emitted})
 
     open_records = (
         logs.withWatermark("ts", f"{pending_days} days")
         .where(F.col("train_runtime").isNull())
-        .select("ts", F.unix_millis("ts").alias("_millis"), "seq", *MERGED_COLUMNS)
+        .select("ts", F.unix_millis("ts").alias("_millis"), "seq", "epoch", "step", F.array(*_VALUES).alias("_values"))
     )
-    return open_records.groupBy("epoch", "step").applyInPandasWithState(
+    merged = open_records.groupBy("epoch", "step").applyInPandasWithState(
         merge, _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+    return merged.select("epoch", "step", *[F.col("values")[i].alias(c) for i, c in enumerate(_VALUES)])
+
+
+def append_merged(
+    logs: DataFrame, path: str, state: str, checkpoint: str, pending_days: int = PENDING_DAYS
+) -> StreamingQuery:
+    """Merge everything available now into Parquet below ``path``; waits for the end.
+
+    Batch ``n`` reads the unfinished records left by batch ``n - 1``, writes
+    its rows to ``path/batch=n`` and what is still unfinished to ``state/n``.
+    Both are overwritten when a batch is repeated, so rows appear exactly once.
+    Records more than ``pending_days`` older than the newest unfinished one
+    are no longer carried.
+    """
+    carried = T.StructType([f for f in logs.schema if f.name in {"ts", "seq", *MERGED_COLUMNS}])
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        records = batch.where(F.col("train_runtime").isNull()).select(*carried.names)
+        if number:
+            records = records.unionByName(spark.read.schema(carried).parquet(f"{state}/{number - 1}"))
+        flagged = with_emissions(records.withColumn("train_runtime", F.lit(None).cast("double"))).persist()
+        merged_groups(flagged).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        waiting = pending_records(flagged)
+        newest = waiting.agg(F.max("ts")).first()[0]
+        if newest is not None:
+            waiting = waiting.where(F.col("ts") >= F.lit(newest) - F.expr(f"interval {int(pending_days)} days"))
+        waiting.select(*carried.names).write.mode("overwrite").parquet(f"{state}/{number}")
+        flagged.unpersist()
+
+    query = (
+        logs.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query
 
 
 def stream_final_metrics(logs: DataFrame) -> DataFrame:
