@@ -83,10 +83,17 @@ def write_results(spark, sf):
     return result_files.read_results(spark, path, COLS, "parquet")
 
 
+def _stored_results(spark, sf):
+    """The result table as a user has it: written once, read by every report."""
+    path = shared_dir(spark, "results")
+    result_files.write_results(t.results(spark, sf), path)
+    return spark.read.parquet(path)
+
+
 @query
 def write_case_slices(spark, sf):
     path = shared_dir(spark, "slices")
-    rows = t.results(spark, sf).select(*RESULT_COLS)
+    rows = _stored_results(spark, sf)
     slices = {
         "zeros": compare.zero_score_rows(rows, "lead"),
         "better_mid": compare.outperformed_rows(rows, "mid", "lead"),
@@ -206,7 +213,7 @@ def similarity_filter(spark, sf):
 
 @query
 def language_alignment_filter(spark, sf):
-    rows = t.products(spark, sf).withColumn("similarity", vectors.text_cosine("description", "short_query"))
+    rows = vectors.with_text_cosine(t.products(spark, sf), "description", "short_query", "similarity")
     return curate.language_alignment_filter(rows, ALIGNMENT_THRESHOLD).select(
         "product_id", "lang", "short_query", "similarity"
     )
@@ -403,19 +410,19 @@ def combine_splits(spark, sf):
 
 @query
 def sentence_newlines(spark, sf):
-    return t.read_table(spark, sf, "conversations").select(
+    return t.read_texts(spark, sf, "conversations").select(
         "conv_id", "turn", text.sentence_newlines("text").alias("sentences")
     )
 
 
 @query
 def strip_text(spark, sf):
-    return t.read_table(spark, sf, "documents").select("doc_id", text.strip_text("text").alias("stripped"))
+    return t.read_texts(spark, sf, "documents").select("doc_id", text.strip_text("text").alias("stripped"))
 
 
 @query
 def word_count(spark, sf):
-    return t.read_table(spark, sf, "documents").select("doc_id", text.word_count("text").alias("n_words"))
+    return t.read_texts(spark, sf, "documents").select("doc_id", text.word_count("text").alias("n_words"))
 
 
 @query
@@ -483,7 +490,9 @@ def build_vocab(spark, sf):
 
 def _encoded(spark, sf):
     rows = t.products(spark, sf)
-    words = vocab.build_vocab(rows, [*COLS, "short_query"], VOCAB_SIZE)
+    path = shared_dir(spark, "vocab")
+    vocab.build_vocab(rows, [*COLS, "short_query"], VOCAB_SIZE).write.parquet(path)
+    words = spark.read.parquet(path)
     return prepare_dataset(rows, words), words
 
 
@@ -542,9 +551,7 @@ def evaluate_sample(spark, sf):
 
 @query
 def analyze_results_query(spark, sf):
-    path = shared_dir(spark, "results")
-    result_files.write_results(t.results(spark, sf), path)
-    rows = spark.read.parquet(path)
+    rows = _stored_results(spark, sf)
     reports = analyze_results(rows, (0, 1), compute_similarity=True)
     sizes = None
     for name, report in reports.items():

@@ -24,6 +24,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts: costly enough per row to be worth spreading."""
+    return spread(read_table(spark, sf_dir, name))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Redistribute a table stored in fewer files than there are cores.
 
@@ -35,7 +40,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One product per document: the head is the title, all the rest the description."""
-    docs = spread(read_table(spark, sf_dir, "documents"))
+    docs = read_texts(spark, sf_dir, "documents")
     head = F.regexp_extract("text", TITLE, 0)
     titled = docs.select(
         F.col("doc_id").alias("product_id"),
@@ -91,7 +96,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns paired with the whole text of the turn that follows."""
-    turns = read_table(spark, sf_dir, "conversations")
+    turns = read_texts(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     paired = turns.select(
         "conv_id", "turn", "role",

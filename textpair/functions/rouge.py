@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textpair.functions.once import with_column_once
 from textpair.functions.stem import stem_token
 from textpair.functions.text import _col
 
@@ -81,7 +82,7 @@ def rouge_n(pred: Column | str, ref: Column | str, n: int) -> Column:
     p = ngrams(rouge_tokens(pred), n)
     r = ngrams(rouge_tokens(ref), n)
     overlap = F.aggregate(
-        F.array_distinct(p),
+        F.array_intersect(p, r),
         F.lit(0),
         lambda acc, g: acc + F.least(_count_in(p, g), _count_in(r, g)),
     )
@@ -93,12 +94,12 @@ def rouge_n_exploded(
 ) -> DataFrame:
     """Clipped n-gram overlap for long texts: one row per ``key`` with ``out``.
 
-    ``key`` must identify a pair.  Both sides' n-grams go through the same
-    two aggregations, so there is no join; a pair's n-grams are counted
-    before they are shuffled.
+    ``key`` must identify a pair.  The pairs are distributed by key once, as
+    texts; both sides' n-grams then go through the same two aggregations, which
+    need no further shuffle and no join.
     """
     key = list(key)
-    pairs = df.select(
+    pairs = df.select(*key, pred, ref).repartition(*key).select(
         *key,
         ngrams(rouge_tokens(pred), n).alias("_p"),
         ngrams(rouge_tokens(ref), n).alias("_r"),
@@ -279,7 +280,7 @@ def _f_from_counts(c: Column) -> dict[str, Column]:
 
 def with_rouge_f(df: DataFrame, pred: Column | str, ref: Column | str, stem: bool = False) -> DataFrame:
     """Add the four F measures as fractions, scoring each row once."""
-    counted = df.withColumn("_counts", rouge_counts(pred, ref, stem))
+    counted = with_column_once(df, "_counts", rouge_counts(pred, ref, stem))
     return counted.withColumns(_f_from_counts(F.col("_counts"))).drop("_counts")
 
 
@@ -288,6 +289,6 @@ def with_rouge_scores(df: DataFrame, pred: Column | str, ref: Column | str, stem
 
     A missing or empty text scores 0; any other failure is raised.
     """
-    counted = df.withColumn("_counts", rouge_counts(pred, ref, stem))
+    counted = with_column_once(df, "_counts", rouge_counts(pred, ref, stem))
     scores = {name: percent(f) for name, f in _f_from_counts(F.col("_counts")).items()}
     return counted.withColumns(scores).drop("_counts")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textpair.functions.once import with_column_once
 from textpair.functions.rouge import rouge_lines
 from textpair.functions.text import _col
 
@@ -60,7 +61,16 @@ def text_cosine(a: Column | str, b: Column | str) -> Column:
     Both texts are in the row already, so nothing is shuffled; the integer
     products come back from Arrow and the division stays in Spark.
     """
-    t = _term_products_batch(rouge_lines(a), rouge_lines(b))
+    return _cosine(_term_products_batch(rouge_lines(a), rouge_lines(b)))
+
+
+def with_text_cosine(df: DataFrame, a: Column | str, b: Column | str, out: str) -> DataFrame:
+    """Add ``text_cosine`` as a column that filters may use freely."""
+    products = _term_products_batch(rouge_lines(a), rouge_lines(b))
+    return with_column_once(df, "_products", products).withColumn(out, _cosine(F.col("_products"))).drop("_products")
+
+
+def _cosine(t: Column) -> Column:
     norms = F.sqrt(t["norm_a"].cast("double")) * F.sqrt(t["norm_b"].cast("double"))
     cosine = F.when(norms > 0, t["dot"] / norms).otherwise(F.lit(0.0))
     return F.round(cosine, DECIMALS)

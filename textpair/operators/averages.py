@@ -154,11 +154,11 @@ def corpus_rouge_bootstrap(
         *[F.sum(F.when(~F.isnan(c), F.col(c))).alias(f"_s_{c}") for c in score_cols],
     )
     resampled = sums.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = draw(F.col("_b"), F.col("_unit")) / F.lit(float(2**32))
+    drawn = resampled.withColumn("_u", draw(F.col("_b"), F.col("_unit")) / F.lit(float(2**32)))
     weight = F.lit(0)
     for threshold in _poisson_thresholds():
-        weight = weight + F.when(u >= threshold, 1).otherwise(0)
-    weighted = resampled.withColumn("_w", weight)
+        weight = weight + F.when(F.col("_u") >= threshold, 1).otherwise(0)
+    weighted = drawn.withColumn("_w", weight)
     means = weighted.groupBy("_b").agg(
         *[
             F.try_divide(F.sum(F.col("_w") * F.col(f"_s_{c}")), F.sum(F.col("_w") * F.col(f"_n_{c}"))).alias(c)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textpair.functions.text import as_text, joined_for_evaluation, joined_for_training
-from textpair.functions.vectors import text_cosine
+from textpair.functions.vectors import with_text_cosine
 
 # Fixed value: a title-only row is kept when its similarity with the short
 # query is above this.
@@ -64,7 +64,7 @@ def with_title_similarity(
     df: DataFrame, title: str = "title", label: str = "short_query", out: str = "similarity"
 ) -> DataFrame:
     """Add the similarity of the title with the short query."""
-    return df.withColumn(out, text_cosine(title, label))
+    return with_text_cosine(df, title, label, out)
 
 
 def similarity_filter(

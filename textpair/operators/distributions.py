@@ -164,4 +164,8 @@ def similarity_vs_rouge(
         F.col("similarity").isNotNull() & F.col("value").isNotNull()
         & ~F.isnan("similarity") & ~F.isnan("value")
     )
-    return pairs, present.groupBy("metric").agg(F.corr("similarity", "value").alias("corr"))
+    # Written out, because the built-in correlation fails on a constant score
+    # under ANSI rules; here such a score has no correlation.
+    spread = F.stddev_pop("similarity") * F.stddev_pop("value")
+    corr = F.try_divide(F.covar_pop("similarity", "value"), spread)
+    return pairs, present.groupBy("metric").agg(corr.alias("corr"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -10,13 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textpair.functions.rouge import rouge_tokens
+from textpair.functions.rouge import rouge_lines
 from textpair.functions.text import as_text
-from textpair.functions.vectors import DECIMALS, text_cosine
+from textpair.functions.vectors import DECIMALS, with_text_cosine
 
 Embedder = Callable[[list[str]], np.ndarray]
 
 
+@F.pandas_udf(T.MapType(T.StringType(), T.LongType()))
+def _term_counts(texts: pd.Series) -> pd.Series:
+    return pd.Series([dict(Counter(text.split())) for text in texts], dtype="object")
+
+
 def _embed_once(embed: Embedder, texts: list[str]) -> dict[str, np.ndarray]:
     """Vectors of the distinct texts of one batch."""
     distinct = list(dict.fromkeys(texts))
@@ -33,11 +39,10 @@ def text_vectors(
 
     With an ``embedder`` (a function from texts to a matrix): ``(key, vector)``,
     computed in batches, each distinct text of a batch once.  Without: sparse
-    term frequencies ``(key, token, tf)``, counted before they are shuffled.
+    term frequencies ``(key, token, tf)``, counted where the text is.
     """
     if embedder is None:
-        tokens = df.select(key, F.explode(rouge_tokens(column)).alias("token"))
-        return tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+        return df.select(key, F.explode(_term_counts(rouge_lines(column))).alias("token", "tf"))
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
@@ -64,7 +69,7 @@ def semantic_similarity(
     """
     rows = results if model is None else results.where(F.col("model") == model)
     if embedder is None:
-        return rows.withColumn(out, text_cosine(as_text(target), as_text(output)))
+        return with_text_cosine(rows, as_text(target), as_text(output), out)
 
     @F.pandas_udf(T.DoubleType())
     def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
