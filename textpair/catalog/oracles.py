@@ -72,8 +72,12 @@ products AS (
 TRAIN_INPUT = strip(f"concat_ws('{BLANK}', nullif(title, ''), nullif(description, ''))")
 EVAL_INPUT = f"concat_ws('{BLANK}', coalesce(title, 'None'), coalesce(description, 'None'))"
 
-GEN = f"""{PRODUCTS},
-worded AS (SELECT *, {EVAL_INPUT} AS input_text, {words(EVAL_INPUT)} AS w FROM products),
+
+
+def generated(source: str, text: str) -> str:
+    """CTE ``gen``: every row of ``source`` with the output of each generator."""
+    return f"""
+worded AS (SELECT *, {text} AS input_text, {words(text)} AS w FROM {source}),
 gen AS (
   SELECT * EXCLUDE (w), 0 AS model_ord, 'org/lead' AS model_path, 'lead' AS model,
     {join_list("w[1:2 + len(w) % 6]")} AS generated_output FROM worded
@@ -83,6 +87,9 @@ gen AS (
   SELECT * EXCLUDE (w), 2, 'org/tail', 'tail', {join_list("w[greatest(len(w) - 3, 1):len(w)]")} FROM worded)"""
 
 
+GEN = f"{PRODUCTS}, {generated('products', EVAL_INPUT)}"
+
+
 def lcs_table(name: str, lines: str) -> str:
     """Rows of the subsequence table for every (id, ri, ci) of ``lines``."""
     return f"""
@@ -151,7 +158,7 @@ def pct(f: str) -> str:
     return f"round_even({f} * 100, 2)"
 
 
-RESULTS = f"""WITH RECURSIVE {GEN},
+SCORED_GEN = f"""
 targeted AS (
   SELECT product_id, title, description, input_text, {sentences('short_query')} AS target_query, model, model_ord,
     generated_output, product_id * 3 + model_ord AS row_ord FROM gen),
@@ -160,6 +167,9 @@ respairs AS (SELECT {sentences('generated_output')} AS pred, target_query AS ref
 results AS (
   SELECT g.*, {pct('s.f1')} AS rouge1, {pct('s.f2')} AS rouge2, {pct('s.fl')} AS "rougeL", {pct('s.fs')} AS "rougeLsum"
   FROM targeted g JOIN s_f s ON s.pred = {sentences('g.generated_output')} AND s.ref = g.target_query)"""
+RESULTS = f"WITH RECURSIVE {GEN}, {SCORED_GEN}"
+SAMPLE = "SELECT * FROM products ORDER BY md5(concat_ws(':', 42, product_id)), product_id LIMIT 500"
+SAMPLED_RESULTS = f"WITH RECURSIVE {PRODUCTS}, sampled AS ({SAMPLE}), {generated('sampled', 'title')}, {SCORED_GEN}"
 
 DIALOG = """
 dialog AS (
@@ -439,6 +449,31 @@ FROM (SELECT product_id, unnest({tokens("coalesce(description, '')")}) AS token
     "batch_generate": f"WITH {GEN} SELECT product_id, model_ord, model, generated_output FROM gen",
     "evaluate_models": f"""{RESULTS} SELECT product_id, coalesce(title, 'None') AS title, coalesce(description, 'None') AS description,
 input_text, target_query, model, generated_output, {SCORE_LIST} FROM results""",
+    "evaluate_sample": f"{SAMPLED_RESULTS} SELECT model, {AVGS} FROM results GROUP BY model",
+    "analyze_results": f"""{RESULTS}, {BY_SIZE},
+spread AS (SELECT model, count(*) FILTER (hi > lo) AS curves FROM (
+  SELECT model, metric, min(value) AS lo, max(value) AS hi FROM ({long_scores(PAIR)}) GROUP BY ALL) GROUP BY model),
+outperformed AS (SELECT 1 FROM results a JOIN results b ON a.target_query = b.target_query
+  WHERE a.model = 'mid' AND b.model = 'lead' AND {OUTPERFORMED}),
+counted AS (
+  SELECT 'models' AS report, count(DISTINCT model) AS n FROM results
+  UNION ALL SELECT 'averages', count(DISTINCT model) FROM results
+  UNION ALL SELECT 'histogram', 2 * 4 * 20
+  UNION ALL SELECT 'similarity_histogram', 25
+  UNION ALL SELECT 'gap', 4
+  UNION ALL SELECT 'similarity_correlation', 4
+  UNION ALL SELECT 'lengths', 1
+  UNION ALL SELECT 'density', sum(curves) * 200 FROM spread
+  UNION ALL SELECT 'histogram_overlay', sum(curves) * 200 FROM spread
+  UNION ALL SELECT 'outperformed', count(*) FROM outperformed
+  UNION ALL SELECT 'zeros', count(*) FROM results WHERE model = 'lead' AND {ZERO}
+  UNION ALL SELECT 'best', count(*) FROM results WHERE model = 'lead' AND "rougeL" >= 50
+  UNION ALL SELECT 'worst', count(*) FROM results WHERE model = 'lead' AND "rougeL" <= 0
+  UNION ALL SELECT 'by_size', count(*) FROM sized
+  UNION ALL SELECT 'by_size_diff', count(*) FROM sized
+  UNION ALL SELECT 'similarity', count(*) FROM results WHERE model = 'lead'
+  UNION ALL SELECT 'similarity_vs_rouge', 4 * count(*) FROM results WHERE model = 'lead')
+SELECT report, n::bigint AS n FROM counted""",
     "stream_metrics_merge": f"WITH {MERGED} SELECT {MERGED_COLUMNS} FROM merged",
     "stream_final_metrics": f"WITH {LOGS} SELECT {FINAL_COLUMNS} FROM logs WHERE kind = 'final'",
     "stream_evaluate": f"{RESULTS} SELECT product_id, model, generated_output, {SCORE_LIST} FROM results",

@@ -30,12 +30,12 @@ def read_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a table stored in fewer files than there are cores.
+    """Redistribute a table whose scan has fewer tasks than there are cores.
 
-    A no-op for tables of many files, where the scan is parallel already.
+    A no-op for large tables, where the scan is parallel already.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,7 +153,11 @@ def corpus_rouge_bootstrap(
         *[F.count(F.when(~F.isnan(c), F.col(c))).alias(f"_n_{c}") for c in score_cols],
         *[F.sum(F.when(~F.isnan(c), F.col(c))).alias(f"_s_{c}") for c in score_cols],
     )
-    resampled = sums.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    # Few rows that become many: keep them on as many tasks as there are cores,
+    # where adaptive execution would put them on one.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    spread = sums.repartition(cores, "_unit")
+    resampled = spread.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     drawn = resampled.withColumn("_u", draw(F.col("_b"), F.col("_unit")) / F.lit(float(2**32)))
     weight = F.lit(0)
     for threshold in _poisson_thresholds():
@@ -167,7 +171,7 @@ def corpus_rouge_bootstrap(
     )
     long = means.unpivot(["_b"], score_cols, "metric", "_mean")
     points = F.percentile("_mean", F.array(*[F.lit(p) for p in PERCENTILES.values()]))
-    spread = long.groupBy("metric").agg(points.alias("_points"))
-    return spread.select(
+    summary = long.groupBy("metric").agg(points.alias("_points"))
+    return summary.select(
         "metric", *[F.round(F.col("_points")[i], 4).alias(name) for i, name in enumerate(PERCENTILES)]
     )

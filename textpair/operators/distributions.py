@@ -117,7 +117,9 @@ def density(
     shaped = usable.withColumn("_h", F.sqrt(variance) * F.pow("_n", F.lit(-0.2)))
     lo = F.col("_min") - F.col("_h") * reach
     hi = F.col("_max") + F.col("_h") * reach
-    on_grid = shaped.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn(
+    # The window leaves a metric's values on one task; their grids need not stay there.
+    cores = long.sparkSession.sparkContext.defaultParallelism
+    on_grid = shaped.repartition(cores).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn(
         "_x", lo + (hi - lo) * F.col("_i") / (grid - 1)
     )
     z = (F.col("_x") - v) / F.col("_h")

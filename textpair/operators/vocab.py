@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +61,8 @@ def _id_lookup(mapping: dict[str, int], spark):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def lookup(texts: pd.Series) -> pd.Series:
         ids = shared.value
-        return pd.Series([[ids.get(t, UNK) for t in text.split(" ")] if text else [] for text in texts], dtype="object")
+        found = [np.array([ids.get(t, UNK) for t in text.split()], dtype="int32") for text in texts]
+        return pd.Series(found, dtype="object")
 
     return lookup
 
