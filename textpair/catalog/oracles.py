@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+from textpair.catalog.stem_sql import stems
 from textpair.functions.text import SENTENCE_END, SPACE, WHITESPACE, WORD
 
 MODELS = ["lead", "mid", "tail"]
@@ -319,6 +320,31 @@ dpairs AS (SELECT pred, ref FROM dialog),
 {scored('dpairs', summary=False)}"""
 
 
+def stemmed_text(column: str, name: str) -> str:
+    """CTE ``{name}(conv_id, turn, text)``: the lines of ``column`` as stems."""
+    return f"""
+{name} AS (
+  SELECT conv_id, turn, string_agg(coalesce(line, ''), chr(10) ORDER BY li) AS text FROM (
+    SELECT l.conv_id, l.turn, l.li, string_agg(s.stem, ' ' ORDER BY t.ti) AS line FROM (
+      SELECT conv_id, turn, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS li
+      FROM (SELECT conv_id, turn, {sentences(column)} AS x FROM dialog)) l
+    LEFT JOIN (SELECT conv_id, turn, li, unnest(toks) AS token, generate_subscripts(toks, 1) AS ti FROM (
+      SELECT conv_id, turn, li, {tokens('line')} AS toks FROM (
+        SELECT conv_id, turn, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS li
+        FROM (SELECT conv_id, turn, {sentences(column)} AS x FROM dialog)))) t USING (conv_id, turn, li)
+    LEFT JOIN stems s USING (token) GROUP BY ALL)
+  GROUP BY conv_id, turn)"""
+
+
+DIALOG_TOKENS = f"""
+dtok AS (SELECT DISTINCT token FROM (SELECT unnest({tokens("concat_ws(' ', pred, ref)")}) AS token FROM dialog))"""
+CORPUS = ", ".join(f'round_even(avg(s.{f}) * 100, 4) AS "{c}"' for f, c in zip(("f1", "f2", "fl", "fs"), SCORES))
+DIALOG_STEMMED = f"""WITH RECURSIVE {DIALOG}, {DIALOG_TOKENS}, {stems('dtok')},
+{stemmed_text('pred', 'spred')}, {stemmed_text('ref', 'sref')},
+spairs AS (SELECT p.text AS pred, r.text AS ref FROM spred p JOIN sref r USING (conv_id, turn)),
+{scored('spairs')}"""
+
+
 def prf(o: str, np: str = "np", nr: str = "nr") -> str:
     return (
         f"round({precision(o, np)}, 6) AS p, round({precision(o, nr)}, 6) AS r, "
@@ -386,7 +412,9 @@ FROM (SELECT len({words('generated_output')}) AS n FROM gen WHERE model = 'lead'
     "select_model_pair": f"""WITH {GEN} SELECT model, count(*) AS n FROM gen WHERE model IN (
 SELECT model FROM (SELECT model, row_number() OVER (ORDER BY min(product_id * 3 + model_ord)) - 1 AS i FROM gen GROUP BY model) WHERE i IN (0, 2))
 GROUP BY model""",
-    "corpus_rouge": f"""{DIALOG_SCORED} SELECT {', '.join(f'round_even(avg(s.{f}) * 100, 4) AS "{c}"' for f, c in zip(('f1', 'f2', 'fl', 'fs'), SCORES))}
+    "stem_vocabulary": f"WITH {DIALOG}, {DIALOG_TOKENS}, {stems('dtok')} SELECT token, stem FROM stems",
+    "corpus_rouge_stemmed": f"{DIALOG_STEMMED} SELECT {CORPUS} FROM spairs d JOIN s_f s ON s.pred = d.pred AND s.ref = d.ref",
+    "corpus_rouge": f"""{DIALOG_SCORED} SELECT {CORPUS}
 FROM dpairs d JOIN s_f s ON s.pred = d.pred AND s.ref = d.ref""",
     "corpus_rouge_bootstrap": f"{RESULTS}, {BOOTSTRAP} " + " UNION ALL ".join(
         f"""SELECT '{c}' AS metric, round(quantile_cont("{c}", 0.025), 4) AS low, round(quantile_cont("{c}", 0.5), 4) AS mid,
