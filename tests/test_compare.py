@@ -143,3 +143,43 @@ def test_side_by_side(spark):
     rows = [row("t", "a", "x", 1.0), row("t", "b", "y", 1.0), row("t", "c", "z", 1.0)]
     df = results(spark, rows).withColumn("product_id", F.lit(1))
     assert [tuple(r) for r in compare.side_by_side_outputs(df, "a", "b").collect()] == [(1, "t", "x", "y")]
+
+
+def test_hot_target_is_split_over_tasks(spark):
+    """One target holds a third of the rows: its join partition must be split."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        # As on a cluster, the counted rows come from many tasks.
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "24",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        i = F.col("id")
+        target = F.when(i % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.floor(i / 2)))
+        score = F.when(i % 50 == 0, 60.0).otherwise(40.0)
+        rows = spark.range(6000).select(
+            target.alias("target_query"),
+            F.when(F.floor(i / 3) % 2 == 0, "a").otherwise("b").alias("model"),
+            F.concat(F.lit("output "), i).alias("generated_output"),
+            *[score.alias(c) for c in compare.SCORE_COLUMNS],
+        )
+        got = compare.outperformed_rows(rows, "a", "b")
+        hot = rows.where("target_query = 'hot'").groupBy("model", "rouge1").count().collect()
+        counts = {(r["model"], r["rouge1"]): r["count"] for r in hot}
+        expected_hot = counts[("a", 60.0)] * counts[("b", 40.0)]
+        assert len([r for r in got.collect() if r["target_query"] == "hot"]) == expected_hot
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true)" in plan
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
