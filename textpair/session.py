@@ -44,13 +44,17 @@ def get_session(app_name: str = "textpair", master: str | None = None, **conf: s
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder path every executor can reach.
+    """A fresh folder path every executor can reach, below ``spark.checkpoint.dir``.
 
-    On a cluster this is below ``spark.checkpoint.dir``.  Only where that is
-    unset, as in local tests, a temporary local folder is used.
+    Only a session whose driver and tasks are one process (``local[n]``), as in
+    tests, may leave that setting out and gets a temporary folder.  Anywhere
+    else each machine would write to a disk of its own, so that raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
