@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textpair.llm import language_id, minhash, mixing, packing, quality, spotsigs, url_rules
+from textpair.llm import (
+    hamming_search, language_id, license_scan, minhash, mixing, packing, quality, spotsigs, url_rules, warc,
+)
 from textpair.llm.common import read_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +21,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(read_table(spark, sf_dir, "documents")))
+
+
 @query
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(read_table(spark, sf_dir, "documents"))
@@ -34,11 +42,23 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read_table(spark, sf_dir, "pages"))
 
 
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(read_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return hamming_search.nearest(vectors, F.col("vec_id") % hamming_search.QUERY_EVERY == 0)
+
+
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
@@ -78,3 +98,32 @@ SELECT page_id, host, path, rule,
   coalesce(verdict, CASE WHEN list_rule IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, list_rule
 FROM split LEFT JOIN hit USING (page_id) LEFT JOIN list_hit USING (page_id)
 """
+
+LLM_ORACLES["op5_warc"] = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS hex FROM pages
+), based AS (
+  SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    ((CAST('0x' || substr(hex, 1 + (i // 4) * 5, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS INTEGER), 1)), '') AS payload_digest,
+    min(page_id) OVER (PARTITION BY hex) AS first_id
+  FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first_id = page_id THEN NULL ELSE first_id END AS refers_to
+FROM based
+"""
+
+LLM_ORACLES["op7_hamming_search"] = """
+WITH codes AS (
+  SELECT vec_id, list_transform(embedding, lambda v: CAST(v > 0 AS INTEGER)) AS bits FROM embeddings WHERE embedding IS NOT NULL
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.bits, c.bits), lambda p: CAST(p[1] <> p[2] AS INTEGER))) AS INTEGER) AS distance
+  FROM codes q JOIN codes c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), placed AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance
+  FROM pairs
+)
+SELECT * FROM placed WHERE rank <= 10
+"""
