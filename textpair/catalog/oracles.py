@@ -265,8 +265,15 @@ dens AS (
 
 
 PAIR = "(SELECT * FROM results WHERE model IN ('lead', 'mid'))"
-AVGS = ", ".join(f'round(avg("{c}"), 6) AS "{c}_avg"' for c in SCORES)
-BY_SIZE = f"""sized AS (SELECT len({words('generated_output')})::integer AS size, {', '.join(f'avg("{c}") AS "{c}_avg"' for c in SCORES)}
+
+
+def mean(c: str, where: str = "") -> str:
+    """Mean of scores with two decimals: hundredths added up exactly, divided once."""
+    return f'CAST(sum(CAST(round("{c}" * 100) AS BIGINT)) {where} AS DOUBLE) / (1e2 * count("{c}") {where})'
+
+
+AVGS = ", ".join(f'{mean(c)} AS "{c}_avg"' for c in SCORES)
+BY_SIZE = f"""sized AS (SELECT len({words('generated_output')})::integer AS size, {', '.join(f'{mean(c)} AS "{c}_avg"' for c in SCORES)}
   FROM results WHERE model = 'lead' GROUP BY ALL)"""
 SCORE_LIST = ", ".join(f'"{c}"' for c in SCORES)
 OUTPERFORMED = " AND ".join(f'a."{c}" > b."{c}"' for c in SCORES)
@@ -403,9 +410,9 @@ FROM results a JOIN results b ON a.product_id = b.product_id WHERE a.model = 'mi
 FROM results a JOIN results b ON a.product_id = b.product_id AND a.model = 'lead' AND b.model = 'mid'""",
     "align_predictions": f"WITH {GEN} SELECT product_id, model, input_text, short_query AS target_query, generated_output FROM gen",
     "avg_scores_by_model": f"{RESULTS} SELECT model, {AVGS} FROM results GROUP BY model",
-    "avg_scores_by_size": f"""{RESULTS}, {BY_SIZE} SELECT size, {', '.join(f'round("{c}_avg", 6) AS "{c}_avg"' for c in SCORES)} FROM sized""",
-    "size_score_diff": f"""{RESULTS}, {BY_SIZE} SELECT size, {', '.join(f'round("{c}_avg", 6) AS "{c}_avg"' for c in SCORES)},
-{', '.join(f'round(coalesce("{c}_avg" - lag("{c}_avg") OVER (ORDER BY size), 0.0), 6) AS "{c}_diff"' for c in SCORES)} FROM sized""",
+    "avg_scores_by_size": f"""{RESULTS}, {BY_SIZE} SELECT size, {', '.join(f'"{c}_avg"' for c in SCORES)} FROM sized""",
+    "size_score_diff": f"""{RESULTS}, {BY_SIZE} SELECT size, {', '.join(f'"{c}_avg"' for c in SCORES)},
+{', '.join(f'coalesce("{c}_avg" - lag("{c}_avg") OVER (ORDER BY size), 0.0) AS "{c}_diff"' for c in SCORES)} FROM sized""",
     "output_length_range": f"""WITH {GEN} SELECT max(n)::integer AS max_words, min(n)::integer AS min_words
 FROM (SELECT len({words('generated_output')}) AS n FROM gen WHERE model = 'lead')""",
     "models_in_order": f"WITH {GEN} SELECT model, min(product_id * 3 + model_ord) AS ord FROM gen GROUP BY model",
@@ -429,8 +436,8 @@ round(quantile_cont("{c}", 0.975), 4) AS high FROM means""" for c in SCORES),
     "similarity_vs_rouge_points": f"{RESULTS}, {SIMILAR} " + " UNION ALL ".join(
         f"""SELECT semantic_similarity AS similarity, '{c}' AS metric, "{c}" AS value FROM simrows WHERE model = 'lead'""" for c in SCORES),
     "model_gap": f"{RESULTS}, g AS (" + " UNION ALL ".join(
-        f"""SELECT '{c}' AS metric, avg("{c}") FILTER (model = 'lead') AS a, avg("{c}") FILTER (model = 'mid') AS b FROM results""" for c in SCORES)
-        + ") SELECT metric, round(a, 6) AS avg1, round(b, 6) AS avg2, round(a - b, 6) AS gap FROM g",
+        f"""SELECT '{c}' AS metric, {mean(c, "FILTER (model = 'lead')")} AS a, {mean(c, "FILTER (model = 'mid')")} AS b FROM results""" for c in SCORES)
+        + ") SELECT metric, a AS avg1, b AS avg2, a - b AS gap FROM g",
     "metrics_merge": f"WITH {MERGED} SELECT {MERGED_COLUMNS} FROM merged",
     "best_checkpoint": f"""WITH {MERGED} SELECT step, epoch, "eval_rougeL" FROM merged WHERE "eval_rougeL" IS NOT NULL ORDER BY "eval_rougeL" DESC, step LIMIT 1""",
     "retained_checkpoints": f"""WITH {MERGED} SELECT step, epoch, "eval_rougeL" FROM merged WHERE "eval_rougeL" IS NOT NULL ORDER BY "eval_rougeL" DESC, step LIMIT 3""",

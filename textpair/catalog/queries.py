@@ -257,23 +257,21 @@ def align_predictions(spark, sf):
 # aggregations
 
 
-AVERAGES = [f"{c}_avg" for c in SCORES]
 
 
 @query
 def avg_scores_by_model(spark, sf):
-    return rounded(averages.avg_scores_by_model(t.results(spark, sf)), *AVERAGES)
+    return averages.avg_scores_by_model(t.results(spark, sf))
 
 
 @query
 def avg_scores_by_size(spark, sf):
-    return rounded(averages.avg_scores_by_size(t.results(spark, sf), "lead"), *AVERAGES)
+    return averages.avg_scores_by_size(t.results(spark, sf), "lead")
 
 
 @query
 def size_score_diff(spark, sf):
-    rows = averages.size_score_diff(averages.avg_scores_by_size(t.results(spark, sf), "lead"))
-    return rounded(rows, *AVERAGES, *[f"{c}_diff" for c in SCORES])
+    return averages.size_score_diff(averages.avg_scores_by_size(t.results(spark, sf), "lead"))
 
 
 @query
@@ -289,7 +287,7 @@ def models_in_order(spark, sf):
 @query
 def select_model_pair(spark, sf):
     rows = t.results(spark, sf)
-    first, second = averages.select_model_pair(averages.models_in_order(rows), (0, 2))
+    first, second = averages.select_model_pair(averages.models_in_order(rows), (-1, 0))
     return compare.model_pair_filter(rows, [first, second]).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -352,7 +350,7 @@ def similarity_vs_rouge_points(spark, sf):
 
 @query
 def model_gap(spark, sf):
-    return rounded(averages.model_gap(t.results(spark, sf), *PAIR), "avg1", "avg2", "gap")
+    return averages.model_gap(t.results(spark, sf), *PAIR)
 
 
 MERGED = metric_logs.MERGED_COLUMNS
@@ -546,7 +544,7 @@ def evaluate_models_query(spark, sf):
 @query
 def evaluate_sample(spark, sf):
     rows = evaluate_models(t.products(spark, sf), GENERATORS, ["title"], sample=500)
-    return rounded(averages.avg_scores_by_model(rows), *AVERAGES)
+    return averages.avg_scores_by_model(rows)
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpair.functions.rouge import SCORE_COLUMNS, with_rouge_f
@@ -18,9 +18,18 @@ PERCENTILES = {"low": 0.025, "mid": 0.5, "high": 0.975}
 BOOTSTRAP_GROUPS = 1024
 
 
-def _mean(c: str):
-    """Mean over the values present; NaN counts as missing."""
-    return F.avg(F.when(~F.isnan(c), F.col(c)))
+def _mean(c: str, where: Column | None = None) -> Column:
+    """Mean over the values present; NaN counts as missing.
+
+    Scores have two decimals: their hundredths are added up exactly and divided
+    once, so the mean is the same in any order of rows.  Where any value is not
+    a whole number of hundredths the plain mean is taken.
+    """
+    present = ~F.isnan(c) if where is None else where & ~F.isnan(c)
+    value = F.when(present, F.col(c))
+    hundredths = F.round(value * 100).cast("bigint")
+    exact = F.try_divide(F.sum(hundredths).cast("double"), F.count(hundredths) * F.lit(100.0))
+    return F.when(F.every(value.eqNullSafe(hundredths / F.lit(100.0))), exact).otherwise(F.avg(value))
 
 
 def avg_scores_by_model(df: DataFrame, score_cols: Sequence[str] = tuple(SCORE_COLUMNS)) -> DataFrame:
@@ -72,16 +81,13 @@ def models_in_order(df: DataFrame, order: str = "row_ord") -> DataFrame:
 def select_model_pair(models: DataFrame, compare_models: Sequence[int] = (0, 1)) -> tuple[str, str]:
     """The two models to compare.
 
-    Two models: both.  More: those at the configured positions.  Only as many
-    names as the positions need come to the driver.
+    Two models: both.  More: those at the configured positions of the list of
+    all names, counted from its end where negative.
     """
-    first, second = compare_models
-    needed = max(first, second, 2) + 1
-    names = [row["model"] for row in models.orderBy("ord").limit(needed).collect()]
+    names = [row["model"] for row in models.orderBy("ord").collect()]
     if len(names) < 2:
         raise ValueError("at least two models are needed")
-    if len(names) == 2:
-        return names[0], names[1]
+    first, second = compare_models if len(names) > 2 else (0, 1)
     return names[first], names[second]
 
 
@@ -92,7 +98,7 @@ def model_gap(df: DataFrame, first: str, second: str) -> DataFrame:
         .groupBy()
         .agg(
             *[
-                F.avg(F.when((F.col("model") == m) & ~F.isnan(c), F.col(c))).alias(f"{c}_{i}")
+                _mean(c, F.col("model") == m).alias(f"{c}_{i}")
                 for c in SCORE_COLUMNS
                 for i, m in ((1, first), (2, second))
             ]
