@@ -290,6 +290,22 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
     return done.select(*[F.col(a).alias(c) for c, a in zip(keep, columns, strict=True)], "lang_pred", "score")
 
 
+def accept_batches(model: LanguageModel, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            named, scores = scorer.predict(batch.column("text").to_pylist())
+            keep = [n != UNDETERMINED and s >= least for n, s in zip(named, scores, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """The documents in a language with at least the score ``least``, all columns unchanged."""
+    return docs.mapInArrow(accept_batches(model, least), docs.schema)
+
+
 def held_out(doc_id, parts: int, part: int):
     """Whether crc32 of the id as text leaves the remainder ``part``."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

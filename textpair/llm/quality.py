@@ -275,14 +275,18 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> QualityMode
     return QualityModel(vocabulary, vectors, center, spread, layers, temperature)
 
 
+def scores_of(texts: list[str | None], numbers: TokenNumbers, model: QualityModel) -> np.ndarray:
+    rows = [pooled(t, numbers, model.vectors) for t in texts]
+    features = np.array(rows, np.float64).reshape(len(rows), len(model.center))
+    values = logits((features - model.center) / model.spread, model.layers) / model.temperature
+    return 1 / (1 + np.exp(-np.clip(values, -40, 40)))
+
+
 def score_batches(model: QualityModel, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = TokenNumbers(model.vocabulary)
         for batch in batches:
-            rows = [pooled(t, numbers, model.vectors) for t in batch.column("text").to_pylist()]
-            features = np.array(rows, np.float64).reshape(len(rows), len(model.center))
-            values = logits((features - model.center) / model.spread, model.layers) / model.temperature
-            scores = 1 / (1 + np.exp(-np.clip(values, -40, 40)))
+            scores = scores_of(batch.column("text").to_pylist(), numbers, model)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in columns), pa.array(scores, pa.float64())], names=[*columns, "score"]
             )
@@ -302,6 +306,20 @@ def score(docs: DataFrame, model: QualityModel | None, keep: list[str]) -> DataF
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
+def accept_batches(model: QualityModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = TokenNumbers(model.vocabulary)
+        for batch in batches:
+            yield batch.filter(pa.array(scores_of(batch.column("text").to_pylist(), numbers, model) >= THRESHOLD))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: QualityModel | None) -> DataFrame:
+    """The documents with a score of at least ``THRESHOLD``, all columns unchanged."""
+    return docs if model is None else docs.mapInArrow(accept_batches(model), docs.schema)
+
+
 def assess(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """``doc_id, held_out, score, predicted``; learns from labels of rows that are not held out."""
     out = held_out(F.col("doc_id"), 5, 0)
