@@ -145,6 +145,26 @@ def test_side_by_side(spark):
     assert [tuple(r) for r in compare.side_by_side_outputs(df, "a", "b").collect()] == [(1, "t", "x", "y")]
 
 
+def test_two_outputs_of_one_model_raise(spark):
+    df = results(spark, [row("t", "a", "x", 1.0), row("t", "a", "y", 1.0)]).withColumn("product_id", F.lit(1))
+    with pytest.raises(Exception, match="more than one output"):
+        compare.side_by_side_outputs(df, "a", "b").collect()
+
+
+def test_scores_outside_percentages_raise(spark):
+    df = results(spark, [row("t", "a", "x", 900.0), row("t", "b", "y", 1.0)])
+    with pytest.raises(Exception, match="percentage"):
+        compare.outperformed_rows(df, "a", "b").collect()
+
+
+def test_copies_of_one_row_come_from_several_tasks(spark):
+    df = results(spark, [row("t", "a", "x", 60.0)] * 300 + [row("t", "b", "y", 40.0)] * 300)
+    assert [r["n"] for r in compare.outperformed_rows(df, "a", "b", counted=True).collect()] == [90_000]
+    got = compare.outperformed_rows(df, "a", "b").withColumn("task", F.spark_partition_id())
+    tasks = {r["task"]: r["count"] for r in got.groupBy("task").count().collect()}
+    assert sum(tasks.values()) == 90_000 and len(tasks) > 2
+
+
 def test_hot_target_is_split_over_tasks(spark):
     """One target holds a third of the rows: its join partition must be split."""
     small = {

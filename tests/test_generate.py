@@ -57,3 +57,23 @@ def test_align(spark):
     assert generate.align_predictions(left, right).first()["generated_output"] == "out"
     with pytest.raises(Exception, match="more than one prediction"):
         generate.align_predictions(left, right.union(right)).collect()
+    with pytest.raises(Exception, match="has no prediction"):
+        generate.align_predictions(left.union(spark.createDataFrame([(2, "m", "x")], left.schema)), right).collect()
+    with pytest.raises(Exception, match="has no input"):
+        generate.align_predictions(left, right.union(spark.createDataFrame([(2, "m", "x")], right.schema))).collect()
+    empty = spark.createDataFrame([(1, "m", None)], right.schema)
+    assert generate.align_predictions(left, empty).first()["generated_output"] is None
+
+
+def test_load_runs_once_per_worker(spark):
+    class Counted:
+        def load(self):
+            import os
+            import uuid
+
+            token = f"{os.getpid()}:{uuid.uuid4().hex}"
+            return lambda texts: [token for _ in texts]
+
+    rows = inputs(spark, 40).repartition(20)
+    tokens = {r["generated_output"] for r in generate.batch_generate(rows, {"counted/model": Counted()}).collect()}
+    assert len(tokens) == len({t.split(":")[0] for t in tokens})

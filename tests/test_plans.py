@@ -43,7 +43,7 @@ def test_stream_equals_batch(spark, sf_dir):
 def test_analysis_reports(spark, sf_dir):
     results = tables.results(spark, sf_dir).cache()
     path = shared_dir(spark, "saved")
-    reports = analyze_results(results, (0, 1), compute_similarity=True, save_path=path, save=["outperformed", "zeros"])
+    reports = analyze_results(results, (0, 1), "row_ord", compute_similarity=True, save_path=path, save=["outperformed", "zeros"])
     assert reports["models"].count() == 3 and reports["averages"].count() == 3
     assert reports["histogram"].select("model").distinct().count() == 2
     assert reports["zeros"].where("model <> 'lead'").count() == 0
@@ -51,5 +51,5 @@ def test_analysis_reports(spark, sf_dir):
     assert better.columns == ["target_query", "generated_output_mid", "generated_output_lead"]
     assert reports["by_size_diff"].count() == reports["by_size"].count()
     with pytest.raises(ValueError):
-        analyze_results(results, save=["best"])
+        analyze_results(results, order="row_ord", save=["best"])
     results.unpersist()

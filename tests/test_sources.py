@@ -15,16 +15,36 @@ NASTY = [
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
 def test_round_trip(spark, fmt):
     rows = [(t, t, t, "m", t, 1.5, None, 0.0, 100.0) for t in NASTY]
-    df = spark.createDataFrame(rows, results.result_schema(["title"]))
+    df = spark.createDataFrame(rows, results.result_schema(["title"], keys=()))
     path = shared_dir(spark, f"round-trip-{fmt}")
     results.write_results(df, path, fmt)
     results.write_results(df, path, fmt)
-    back = results.read_results(spark, path, ["title"], fmt)
+    back = results.read_results(spark, path, ["title"], fmt, keys=())
     assert back.schema == df.schema
     twice = df.unionByName(df)
     assert back.exceptAll(twice).count() == 0 and twice.exceptAll(back).count() == 0
 
 
+def test_columns_are_found_by_name(spark):
+    schema = results.result_schema(["title"])
+    df = spark.createDataFrame([(7, 1, "t", "in", "target", "m", "out", 1.0, 2.0, 3.0, 4.0)], schema)
+    path = shared_dir(spark, "reordered")
+    results.write_results(df.withColumn("extra", F.lit("x")).select("extra", *reversed(schema.names)), path, "csv")
+    assert [tuple(r) for r in results.read_results(spark, path, ["title"]).collect()] == [tuple(df.first())]
+    with pytest.raises(ValueError, match="description"):
+        results.read_results(spark, path, ["title", "description"])
+
+
+def test_headers_that_differ_raise(spark):
+    schema = results.result_schema(["title"])
+    df = spark.createDataFrame([(7, 1, "t", "in", "target", "m", "out", 1.0, 2.0, 3.0, 4.0)], schema)
+    path = shared_dir(spark, "mixed-headers")
+    results.write_results(df, path, "csv")
+    results.write_results(df.select(*reversed(schema.names)), path, "csv")
+    with pytest.raises(Exception, match="(?i)header"):
+        results.read_results(spark, path, ["title"]).collect()
+
+
 def test_unknown_format(spark):
     with pytest.raises(ValueError):
         results.write_results(spark.range(1), "/nowhere", "xml")

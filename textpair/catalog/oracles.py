@@ -485,6 +485,11 @@ FROM (SELECT product_id, unnest({tokens("coalesce(description, '')")}) AS token
     "evaluate_models": f"""{RESULTS} SELECT product_id, coalesce(title, 'None') AS title, coalesce(description, 'None') AS description,
 input_text, target_query, model, generated_output, {SCORE_LIST} FROM results""",
     "evaluate_sample": f"{SAMPLED_RESULTS} SELECT model, {AVGS} FROM results GROUP BY model",
+    "evaluate_save_analyze": f"{RESULTS} " + " UNION ALL ".join(
+        [f"""SELECT 'averages' AS report, model AS name, '{c}_avg' AS metric, {mean(c)} AS value FROM results GROUP BY model""" for c in SCORES]
+        + [f"""SELECT 'gap', 'lead-mid', '{c}', {mean(c, "FILTER (model = 'lead')")} - {mean(c, "FILTER (model = 'mid')")} FROM results""" for c in SCORES]
+        + ["""SELECT 'best', product_id::varchar, generated_output, "rougeL" FROM results WHERE model = 'lead' AND "rougeL" >= 50"""]
+    ),
     "analyze_results": f"""{RESULTS}, {BY_SIZE},
 spread AS (SELECT model, count(*) FILTER (hi > lo) AS curves FROM (
   SELECT model, metric, min(value) AS lo, max(value) AS hi FROM ({long_scores(PAIR)}) GROUP BY ALL) GROUP BY model),

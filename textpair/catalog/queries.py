@@ -73,14 +73,14 @@ RESULT_COLS = [*COLS, "input_text", "target_query", "model", "generated_output",
 def read_results(spark, sf):
     path = shared_dir(spark, "results-csv")
     result_files.write_results(t.results(spark, sf).select(*RESULT_COLS), path, "csv")
-    return result_files.read_results(spark, path, COLS, "csv")
+    return result_files.read_results(spark, path, COLS, "csv", keys=())
 
 
 @query
 def write_results(spark, sf):
     path = shared_dir(spark, "results-parquet")
     result_files.write_results(t.results(spark, sf).select(*RESULT_COLS), path)
-    return result_files.read_results(spark, path, COLS, "parquet")
+    return result_files.read_results(spark, path, COLS, "parquet", keys=())
 
 
 def _stored_results(spark, sf):
@@ -550,7 +550,7 @@ def evaluate_sample(spark, sf):
 @query
 def analyze_results_query(spark, sf):
     rows = _stored_results(spark, sf)
-    reports = analyze_results(rows, (0, 1), compute_similarity=True)
+    reports = analyze_results(rows, (0, 1), "row_ord", compute_similarity=True)
     sizes = None
     for name, report in reports.items():
         one = report.agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("n"))
@@ -558,6 +558,22 @@ def analyze_results_query(spark, sf):
     return sizes
 
 
+@query
+def evaluate_save_analyze(spark, sf):
+    path = shared_dir(spark, "evaluated")
+    result_files.write_results(evaluate_models(t.products(spark, sf), GENERATORS), path, "csv")
+    reports = analyze_results(result_files.read_results(spark, path, COLS))
+    averages_long = reports["averages"].unpivot(["model"], [f"{c}_avg" for c in SCORES], "metric", "value").select(
+        F.lit("averages").alias("report"), F.col("model").alias("name"), "metric", "value"
+    )
+    gaps = reports["gap"].select(F.lit("gap").alias("report"), F.lit("lead-mid").alias("name"), "metric", F.col("gap").alias("value"))
+    best = reports["best"].select(
+        F.lit("best").alias("report"), F.col("product_id").cast("string").alias("name"),
+        F.col("generated_output").alias("metric"), F.col("rougeL").alias("value"),
+    )
+    return averages_long.unionByName(gaps).unionByName(best)
+
+
 # --------------------------------------------------------------------------
 # streams, each run to the end of its input
 

@@ -21,6 +21,12 @@ def _number(c: str) -> Column:
     return F.when(~F.isnan(c), F.col(c))
 
 
+def _percentage(c: str) -> Column:
+    """The number, which must lie in 0 to 100."""
+    outside = (_number(c) < 0) | (_number(c) > 100)
+    return F.when(outside, F.raise_error(F.lit(f"{c} must be a percentage"))).otherwise(_number(c))
+
+
 def model_pair_filter(df: DataFrame, models: Sequence[str]) -> DataFrame:
     """Rows of the two compared models."""
     if len(models) != 2:
@@ -54,11 +60,18 @@ def scores_long(
 
 
 def repeat_rows(df: DataFrame, times: str) -> DataFrame:
-    """Each row ``times`` times, in chunks so that no array grows with the count."""
+    """Each row ``times`` times.
+
+    A row becomes one row per ``REPEAT_CHUNK`` copies; these are dealt to all
+    tasks before they are multiplied, so a row with very many copies does not
+    come from one task.
+    """
     n = F.col(times)
     chunks = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / REPEAT_CHUNK).cast("int"))))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.repartition(tasks, *df.columns, "_chunk")
     left = F.least(F.lit(REPEAT_CHUNK), n - F.col("_chunk") * REPEAT_CHUNK).cast("int")
-    return chunks.withColumn("_copy", F.explode(F.sequence(F.lit(1), left))).drop("_chunk", "_copy", times)
+    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1), left))).drop("_chunk", "_copy", times)
 
 
 def outperformed_rows(
@@ -67,16 +80,18 @@ def outperformed_rows(
     second: str,
     null_safe: bool = True,
     on: Sequence[str] = ("target_query",),
+    counted: bool = False,
 ) -> DataFrame:
     """Pairs with equal target where ``first`` beats ``second`` on all four scores.
 
     Equal targets multiply, as in any many-to-many join, and the result keeps
-    every pair.  What keeps that affordable:
+    every pair; with ``counted`` equal pairs are one row and ``n`` is their
+    number, which is the form to read at scale.  What keeps that affordable:
 
     * equal rows are counted before the join, so a group of copies is one row
       on each side and is multiplied back afterwards;
-    * scores are percentages, so a row with a zero score cannot win and a row
-      with a full score cannot lose; both leave before the shuffle.  Targets
+    * scores are percentages (others raise), so a row with a zero score cannot
+      win and a row with a full score cannot lose; both leave before the shuffle.  Targets
       without any token, often the largest group, score zero and vanish here;
     * a target that stays hot is split by the adaptive skew join.
     """
@@ -92,8 +107,8 @@ def outperformed_rows(
 
     can_win, can_lose = F.lit(True), F.lit(True)
     for c in SCORE_COLUMNS:
-        can_win = can_win & (_number(c) > 0)
-        can_lose = can_lose & (_number(c) < 100)
+        can_win = can_win & (_percentage(c) > 0)
+        can_lose = can_lose & (_percentage(c) < 100)
     a, b = side(first, "a", can_win), side(second, "b", can_lose)
 
     match, wins = F.lit(True), F.lit(True)
@@ -106,20 +121,26 @@ def outperformed_rows(
         *[F.col(f"a_{k}").alias(k) for k in keys],
         F.col("a_output").alias(f"generated_output_{first}"),
         F.col("b_output").alias(f"generated_output_{second}"),
-        (F.col("a_n") * F.col("b_n")).alias("_times"),
+        (F.col("a_n") * F.col("b_n")).alias("n" if counted else "_times"),
     )
-    return repeat_rows(pairs, "_times")
+    return pairs if counted else repeat_rows(pairs, "_times")
 
 
 def side_by_side_outputs(
     df: DataFrame, first: str, second: str, key: str = "product_id"
 ) -> DataFrame:
-    """Target next to both models' outputs, one row per key."""
+    """Target next to both models' outputs, one row per key.
+
+    Two outputs of one model for a key are an error.
+    """
+    one = F.when(F.count(F.lit(1)) <= 1, F.max("generated_output")).otherwise(
+        F.raise_error(F.lit("more than one output of a model for a key"))
+    )
     wide = (
         model_pair_filter(df, [first, second])
         .groupBy(key, "target_query")
         .pivot("model", [first, second])
-        .agg(F.max("generated_output"))
+        .agg(one)
     )
     return wide.select(
         key, "target_query", F.col(first).alias("output_1"), F.col(second).alias("output_2")

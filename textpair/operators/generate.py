@@ -13,6 +13,8 @@ Generator = Callable[[list[str]], list[str]]
 
 # Fixed value: rows handed to a generator at once.
 BATCH_SIZE = 64
+# Models this Python worker has loaded, by path.
+LOADED: dict[str, Generator] = {}
 
 
 def short_name(path: str) -> str:
@@ -38,6 +40,18 @@ def row_by_model(df: DataFrame, models: Sequence[str]) -> DataFrame:
     return df.select("*", F.inline(choices))
 
 
+def _loaded(path: str, model):
+    """The generator itself; one with ``load`` is loaded once per worker process."""
+    if not hasattr(model, "load"):
+        return model
+    # ``shared`` is the imported module: functions sent by value have globals of their own.
+    import textpair.operators.generate as shared
+
+    if path not in shared.LOADED:
+        shared.LOADED[path] = model.load()
+    return shared.LOADED[path]
+
+
 def _run(generate: Generator, texts: list[str], size: int) -> list[str]:
     out: list[str] = []
     for start in range(0, len(texts), size):
@@ -59,15 +73,15 @@ def batch_generate(
     """One row per (row, model) with the model's output.
 
     ``models`` maps a model path to a function from a list of texts to a list
-    of texts.  A value with a ``load`` method is loaded once per task instead,
-    so weights are never pickled.  Each text crosses to Python once for all
+    of texts.  A value with a ``load`` method is loaded once per Python worker
+    instead, and kept there by its path, so weights are never pickled.  Each text crosses to Python once for all
     models, and no other column does.
     """
     items = list(models.items())
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def outputs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        generators = [m.load() if hasattr(m, "load") else m for _, m in items]
+        generators = [_loaded(path, m) for path, m in items]
         for series in batches:
             texts = series.tolist()
             columns = [_run(g, texts, batch_size) for g in generators]
@@ -89,12 +103,25 @@ def align_predictions(
     key: Sequence[str] = ("product_id", "model"),
     column: str = "generated_output",
 ) -> DataFrame:
-    """Attach each input's prediction; two predictions for one key are an error."""
+    """Attach each input's prediction.
+
+    An input without a prediction, a prediction without an input and two
+    predictions for one key are errors.
+    """
     key = list(key)
+    given = inputs.withColumn("_input", F.lit(True))
     one = predictions.groupBy(*key).agg(
         F.count(F.lit(1)).alias("_n"), F.max(column).alias("_prediction")
     )
-    checked = F.when(F.col("_n") == 1, F.col("_prediction")).otherwise(
-        F.raise_error(F.lit("more than one prediction for a key"))
+    joined = given.join(one, key, "full")
+    checked = (
+        F.when(F.col("_input").isNull(), F.raise_error(F.lit("a prediction has no input")))
+        .when(F.col("_n").isNull(), F.raise_error(F.lit("an input has no prediction")))
+        .when(F.col("_n") > 1, F.raise_error(F.lit("more than one prediction for a key")))
+        .otherwise(F.col("_prediction"))
     )
-    return inputs.join(one.select(*key, checked.alias(column)), key)
+    kept = [c for c in inputs.columns if c != column]
+    # The check must survive a reader that drops the column.
+    return joined.withColumn(column, checked).where(
+        F.col(column).isNotNull() | F.col("_n").isNotNull()
+    ).select(*kept, column)

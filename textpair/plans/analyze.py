@@ -14,7 +14,7 @@ from textpair.sources.results import write_case_slices
 def analyze_results(
     results: DataFrame,
     compare_models: Sequence[int] = (0, 1),
-    order: str = "row_ord",
+    order: str = "model_ord",
     compute_similarity: bool = False,
     embedder: Embedder | None = None,
     save_path: str | None = None,
@@ -23,7 +23,9 @@ def analyze_results(
     """Every report of a comparison, keyed by name.
 
     ``results`` should be a stored table: each report then reads only its own
-    columns, which is cheaper than caching the texts.  ``save`` names slices
+    columns, which is cheaper than caching the texts.  ``order`` is the column by
+    which models are ordered; ``evaluate_models`` and ``read_results`` give
+    ``model_ord``.  ``save`` names slices
     to write below ``save_path``: ``zeros``, ``outperformed``, ``best``,
     ``worst``.
     """

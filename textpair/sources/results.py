@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textpair.functions.rouge import SCORE_COLUMNS
@@ -21,11 +22,16 @@ _CSV = {"header": "true", "quote": '"', "escape": '"'}
 # keeps the two apart only if the null marker is not the empty text itself.
 _CSV_READ = {**_CSV, "multiLine": "true", "nullValue": "\\N"}
 
+# Columns that lead a result table where they are known: the example's key and
+# the place of the model among those evaluated, by which reports order models.
+KEY_TYPES = {"product_id": T.LongType(), "model_ord": T.IntegerType(), "row_ord": T.LongType()}
 
-def result_schema(text_cols: Sequence[str]) -> T.StructType:
-    """Schema of a result table with the given input columns."""
+
+def result_schema(text_cols: Sequence[str], keys: Sequence[str] = ("product_id", "model_ord")) -> T.StructType:
+    """Schema of a result table with the given key and input columns."""
     texts = [*text_cols, "input_text", "target_query", "model", "generated_output"]
-    fields = [T.StructField(c, T.StringType()) for c in texts]
+    fields = [T.StructField(c, KEY_TYPES.get(c, T.StringType())) for c in keys]
+    fields += [T.StructField(c, T.StringType()) for c in texts]
     fields += [T.StructField(c, T.DoubleType()) for c in SCORE_COLUMNS]
     return T.StructType(fields)
 
@@ -54,17 +60,36 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "a
 
 
 def read_results(
-    spark: SparkSession, path: str, text_cols: Sequence[str], fmt: str = "csv"
+    spark: SparkSession,
+    path: str,
+    text_cols: Sequence[str],
+    fmt: str = "csv",
+    keys: Sequence[str] = ("product_id", "model_ord"),
 ) -> DataFrame:
-    """Read a result table with an explicit schema."""
-    schema = result_schema(text_cols)
+    """Read a result table by column names.
+
+    Further columns of the files are left out; a column that is not there, or
+    CSV files whose headers differ, are an error.
+    """
+    schema = result_schema(text_cols, keys)
     if fmt == "parquet":
-        return spark.read.schema(schema).parquet(path).select(*schema.names)
+        return _chosen(spark.read.parquet(path), schema)
     if fmt == "csv":
-        return spark.read.schema(schema).options(**_CSV_READ).csv(path)
+        # The header gives names and order; every cell is read as text first.
+        named = spark.read.options(**_CSV_READ, enforceSchema="false").csv(path)
+        full = T.StructType([T.StructField(c, T.StringType()) for c in named.columns])
+        cells = spark.read.schema(full).options(**_CSV_READ, enforceSchema="false").csv(path)
+        return _chosen(cells, schema)
     raise ValueError(f"unknown result format: {fmt}")
 
 
+def _chosen(df: DataFrame, schema: T.StructType) -> DataFrame:
+    missing = [c for c in schema.names if c not in df.columns]
+    if missing:
+        raise ValueError(f"the result table has no column {', '.join(missing)}")
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+
+
 def write_case_slices(
     slices: Mapping[str, DataFrame], path: str, names: Iterable[str] | None = None
 ) -> list[str]:
