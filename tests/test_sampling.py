@@ -21,13 +21,24 @@ def test_no_sample_keeps_everything(spark):
 
 
 def test_crowded_prefixes_still_give_n_rows(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "PREFIX_DIGITS", 1)
+    monkeypatch.setattr(sampling, "STEP_DIGITS", 1)
     df = spark.range(3000).withColumnRenamed("id", "product_id")
     order = sorted(range(3000), key=lambda i: (hashlib.md5(f"7:{i}".encode()).hexdigest(), i))
     got = {r["product_id"] for r in sampling.seeded_sample(df, 1000, 7).collect()}
     assert got == set(order[:1000])
 
 
+def test_equal_keys_at_the_boundary_give_n_rows(spark):
+    df = spark.range(100).select(F.lit(1).alias("product_id"), F.col("id").alias("row"))
+    assert sampling.seeded_sample(df, 30).count() == 30
+
+
+def test_sample_has_no_window_or_shuffle(spark):
+    df = spark.range(2000).withColumnRenamed("id", "product_id")
+    plan = sampling.seeded_sample(df, 500)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+
+
 def test_dev_head_takes_each_split(spark):
     df = spark.range(1000).select(
         F.col("id").alias("product_id"), F.when(F.col("id") % 10 == 0, "test").otherwise("train").alias("split")

@@ -308,14 +308,17 @@ def _thresholds() -> list[float]:
     return out
 
 
+# One draw per row and resample: a universal hash modulo 2**31 - 1.
 WEIGHT = " + ".join(f"(u >= {x!r})::integer" for x in _thresholds())
 BOOTSTRAP = f"""
 units AS (
-  SELECT ('0x' || substr(md5(concat_ws(':', 42, row_ord)), 1, 8))::bigint % 1024 AS unit, count(*) AS n,
-    {', '.join(f'sum("{c}") AS "s_{c}"' for c in SCORES)} FROM results GROUP BY ALL),
-draws AS (SELECT *, ('0x' || substr(md5(concat_ws(':', 42, b, unit)), 1, 8))::bigint / 4294967296.0::double AS u
-  FROM units CROSS JOIN range(0, 1000) g(b)),
-means AS (SELECT b, {', '.join(f'sum(w * "s_{c}") / sum(w * n) AS "{c}"' for c in SCORES)}
+  SELECT ('0x' || substr(md5(concat_ws(':', 42, row_ord)), 1, 8))::bigint % 2147483647 AS unit,
+    {', '.join(f'"{c}"' for c in SCORES)} FROM results),
+functions AS (
+  SELECT b, 1 + ('0x' || substr(md5(concat_ws(':', 42, b)), 1, 8))::bigint % 2147483646 AS factor,
+    ('0x' || substr(md5(concat_ws(':', 42, b)), 9, 8))::bigint % 2147483647 AS term FROM range(0, 1000) g(b)),
+draws AS (SELECT *, ((unit * factor + term) % 2147483647) / 2147483647.0::double AS u FROM units CROSS JOIN functions),
+means AS (SELECT b, {', '.join(f'sum(w * "{c}") / sum(w) AS "{c}"' for c in SCORES)}
   FROM (SELECT *, {WEIGHT} AS w FROM draws) GROUP BY b)"""
 
 DIALOG_SENTENCES = f"SELECT {sentences('pred')} AS pred, {sentences('ref')} AS ref FROM dialog"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +17,8 @@ from textpair.functions.text import word_count
 # Resamples and reported percentiles of the bootstrap.
 RESAMPLES = 1000
 PERCENTILES = {"low": 0.025, "mid": 0.5, "high": 0.975}
-# Rows are first added up in this many groups; see ``corpus_rouge_bootstrap``.
-BOOTSTRAP_GROUPS = 1024
+# Draws are numbers below this prime.
+PRIME = 2**31 - 1
 
 
 def _mean(c: str, where: Column | None = None) -> Column:
@@ -124,56 +127,73 @@ def corpus_rouge(df: DataFrame, pred: str = "pred", ref: str = "ref", stem: bool
     return scored.agg(*[F.bround(F.avg(c) * 100, 4).alias(c) for c in SCORE_COLUMNS])
 
 
-def _poisson_thresholds(last: int = 12) -> list[float]:
-    """Cumulative probabilities of a Poisson(1) count of 0, 1, ..., ``last``."""
-    total, out = 0.0, []
-    for k in range(last + 1):
+def _poisson_thresholds() -> list[float]:
+    """Cumulative probabilities of a Poisson(1) count of 0, 1, ..., as far as a draw can tell them from 1."""
+    total, out, k = 0.0, [], 0
+    while 1 - total >= 0.5 / PRIME:
         total += math.exp(-1.0) / math.factorial(k)
         out.append(total)
+        k += 1
     return out
 
 
+def _resample_batches(resamples: int, seed: int):
+    """Partial sums of every resample: one row per task and resample."""
+    words = [hashlib.md5(f"{seed}:{b}".encode()).hexdigest() for b in range(resamples)]
+    factors = np.array([1 + int(w[:8], 16) % (PRIME - 1) for w in words], np.int64)
+    terms = np.array([int(w[8:16], 16) % PRIME for w in words], np.int64)
+    thresholds = np.array(_poisson_thresholds())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = counts = None
+        for batch in batches:
+            units = batch.column("_unit").to_numpy()
+            scores = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, batch.num_columns)], 1)
+            scores = scores.astype(np.float64)
+            valid = ~np.isnan(scores)
+            scores = np.where(valid, scores, 0.0)
+            if sums is None:
+                sums, counts = np.zeros((resamples, scores.shape[1])), np.zeros((resamples, scores.shape[1]))
+            for start in range(0, len(units), 1000):
+                draws = (units[start : start + 1000, None] * factors + terms) % PRIME / PRIME
+                weights = np.searchsorted(thresholds, draws, side="right").astype(np.float64).T
+                sums += weights @ scores[start : start + 1000]
+                counts += weights @ valid[start : start + 1000]
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(resamples), pa.int32()), pa.array(list(sums), pa.list_(pa.float64())),
+                    pa.array(list(counts), pa.list_(pa.float64())),
+                ],
+                names=["_b", "_sums", "_counts"],
+            )
+
+    return run
+
+
 def corpus_rouge_bootstrap(
     df: DataFrame,
     key: str,
     score_cols: Sequence[str] = tuple(SCORE_COLUMNS),
     resamples: int = RESAMPLES,
     seed: int = 42,
-    groups: int = BOOTSTRAP_GROUPS,
 ) -> DataFrame:
     """Percentiles of the resampled mean per metric: ``(metric, low, mid, high)``.
 
-    A Poisson bootstrap: every resample gives each unit an independent
-    Poisson(1) weight, drawn from a hash of seed, resample and unit.  Units
-    are hash groups of rows rather than rows, which leaves the spread of the
-    mean unchanged in expectation and makes the resampling cost
-    ``groups * resamples``, whatever the number of rows.
+    A Poisson bootstrap: every resample gives each row a Poisson(1) weight,
+    drawn from a universal hash of the row's key, one function per resample, so
+    the result does not depend on partitioning.  A task adds up all resamples
+    of its rows; only ``resamples`` rows per task are shuffled.
     """
     score_cols = list(score_cols)
-
-    def draw(*parts):
-        digest = F.md5(F.concat_ws(":", F.lit(seed), *parts).cast("binary"))
-        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-
-    sums = df.groupBy((draw(F.col(key)) % groups).alias("_unit")).agg(
-        *[F.count(F.when(~F.isnan(c), F.col(c))).alias(f"_n_{c}") for c in score_cols],
-        *[F.sum(F.when(~F.isnan(c), F.col(c))).alias(f"_s_{c}") for c in score_cols],
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary"))
+    unit = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % PRIME
+    values = [F.when(~F.isnan(c), F.col(c)).cast("double").alias(f"_v{i}") for i, c in enumerate(score_cols)]
+    partial = df.select(unit.alias("_unit"), *values).mapInArrow(
+        _resample_batches(resamples, seed), "_b int, _sums array<double>, _counts array<double>"
     )
-    # Few rows that become many: keep them on as many tasks as there are cores,
-    # where adaptive execution would put them on one.
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    spread = sums.repartition(cores, "_unit")
-    resampled = spread.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    drawn = resampled.withColumn("_u", draw(F.col("_b"), F.col("_unit")) / F.lit(float(2**32)))
-    weight = F.lit(0)
-    for threshold in _poisson_thresholds():
-        weight = weight + F.when(F.col("_u") >= threshold, 1).otherwise(0)
-    weighted = drawn.withColumn("_w", weight)
-    means = weighted.groupBy("_b").agg(
-        *[
-            F.try_divide(F.sum(F.col("_w") * F.col(f"_s_{c}")), F.sum(F.col("_w") * F.col(f"_n_{c}"))).alias(c)
-            for c in score_cols
-        ]
+    means = partial.groupBy("_b").agg(
+        *[F.try_divide(F.sum(F.col("_sums")[i]), F.sum(F.col("_counts")[i])).alias(c) for i, c in enumerate(score_cols)]
     )
     long = means.unpivot(["_b"], score_cols, "metric", "_mean")
     points = F.percentile("_mean", F.array(*[F.lit(p) for p in PERCENTILES.values()]))

@@ -7,32 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# How many tasks share the first step of a two-step top-n.
-FAN_IN = 64
-# Hash prefixes used to locate the sample boundary: four hex digits.
-PREFIX_DIGITS = 4
+# Digits of the hash by which rows are counted in one step of ``seeded_sample``.
+STEP_DIGITS = 4
+HASH_DIGITS = 32
 
 
 def first_rows(
     df: DataFrame, order: Sequence[Column], n: int, per: Sequence[str] = ()
 ) -> DataFrame:
-    """First ``n`` rows by ``order``, optionally per group, in two steps.
+    """First ``n`` rows by ``order``, optionally per group.
 
-    Each input task keeps its own first ``n``; a number of tasks then reduce
-    those before one task per group sees the rest.  A group holding most of
-    the table therefore never passes through one task whole.
+    Without groups every task keeps its own first ``n`` and those are merged.
+    With groups the same is done in two steps: first per group and input
+    partition, so a group holding most of the table never passes through one
+    task whole.
     """
     per = list(per)
+    if not per:
+        return df.orderBy(*order).limit(n)
     spread = Window.partitionBy(*per, "_part").orderBy(*order)
     final = Window.partitionBy(*per).orderBy(*order)
     kept = (
-        df.withColumn("_part", F.spark_partition_id() % FAN_IN)
+        df.withColumn("_part", F.spark_partition_id())
         .withColumn("_rn", F.row_number().over(spread))
         .where(F.col("_rn") <= n)
         .drop("_part", "_rn")
     )
-    if not per:
-        return kept.orderBy(*order).limit(n)
     return kept.withColumn("_rn", F.row_number().over(final)).where(F.col("_rn") <= n).drop("_rn")
 
 
@@ -47,26 +47,30 @@ def seeded_sample(
     """``n`` rows chosen by a seeded hash of the key; no ``n`` means all rows.
 
     The choice depends on seed and key only, not on partitioning.  The rows
-    are those with the ``n`` smallest hashes.  A count of hash prefixes, at
-    most 16**4 rows whatever the table's size, tells which prefixes lie fully
-    inside the sample and how many rows the boundary prefix still gives; only
-    the sample itself is shuffled, so ``n`` may be large.
+    are those with the ``n`` smallest hashes.  The n-th smallest is found on
+    the keys alone: rows are counted by the first digits of their hash, then
+    inside the boundary bucket by the next digits, until no bucket is cut or
+    the hash has no more digits; the driver sees at most 16**4 counts per step.
+    The sample is then one filter on the table, without a shuffle.  Of rows
+    that share the boundary hash (equal keys) as many as are missing are taken.
     """
     if not n:
         return df
-    hashed = df.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary")))
-    prefixed = hashed.withColumn("_prefix", F.substring("_hash", 1, PREFIX_DIGITS))
-    counts = prefixed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    quota = (
-        counts.withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
-        .where(F.col("_before") < n)
-        .select("_prefix", (F.lit(n) - F.col("_before")).alias("_quota"))
-    )
-    in_prefix = Window.partitionBy("_prefix").orderBy("_hash", key)
-    return (
-        prefixed.join(F.broadcast(quota), "_prefix")
-        .withColumn("_rn", F.row_number().over(in_prefix))
-        .where(F.col("_rn") <= F.col("_quota"))
-        .select(*df.columns)
-    )
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary"))
+    hashes = df.select(digest.alias("_hash"))
+    prefix, missing = "", n
+    while len(prefix) < HASH_DIGITS:
+        size = len(prefix) + STEP_DIGITS
+        inside = hashes.where(F.col("_hash").startswith(prefix)) if prefix else hashes
+        counts = inside.groupBy(F.substring("_hash", 1, size).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+        for row in counts.orderBy("_p").collect():
+            if row["_n"] >= missing:
+                prefix, whole = row["_p"], row["_n"] == missing
+                break
+            missing -= row["_n"]
+        else:
+            return df
+        if whole:
+            return df.where(F.substring(digest, 1, size) <= prefix)
+    below = df.where(digest < prefix)
+    return below.unionByName(df.where(digest == prefix).limit(missing))

@@ -1,19 +1,17 @@
 """A word vocabulary built from the corpus, and token ids.
 
-The vocabulary has a fixed maximum size.  Up to ``LOCAL_VOCAB`` entries it is
-sent to the Python workers and rows are encoded where they are; a larger one
-is joined instead.  Both ways give the same ids.
+Encoding and decoding are joins with the vocabulary, whatever its size: rows
+get a number, their tokens are looked up, and the ids are gathered per number,
+so repeated keys stay separate rows.  The few words that make up most of a
+corpus are dealt over ``SALTS`` copies of the vocabulary.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textpair.functions.rouge import rouge_tokens
 from textpair.operators.sampling import first_rows
@@ -27,7 +25,8 @@ MAX_INPUT = 512
 MAX_LABEL = 30
 IGNORED = -100
 
-LOCAL_VOCAB = 250_000
+# Copies of the vocabulary that share the rows of a frequent token.
+SALTS = 8
 
 
 def build_vocab(df: DataFrame, cols: Sequence[str], size: int = VOCAB_SIZE) -> DataFrame:
@@ -47,33 +46,32 @@ def build_vocab(df: DataFrame, cols: Sequence[str], size: int = VOCAB_SIZE) -> D
     return special.unionByName(ranked)
 
 
-def _local_vocab(vocab: DataFrame, limit: int) -> dict[str, int] | None:
-    """The vocabulary as a dict, or None when it is larger than ``limit``."""
-    rows = vocab.select("token", "id").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return {row["token"]: row["id"] for row in rows}
+def _looked_up(rows: DataFrame, items: Column, vocab: DataFrame, on: str, value: Column) -> DataFrame:
+    """The first column of ``rows`` and ``_items``: ``value`` of every item's vocabulary entry, in order.
 
+    ``items`` is an array of structs with ``list``, ``pos`` and the column
+    ``on``.  Rows without items stay, with an empty array.
+    """
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    single = numbered.select(
+        "_row", F.struct(rows.columns[0]).alias("_kept"), F.explode_outer(items).alias("_item"),
+    ).withColumn("_salt", (F.col("_row") % SALTS).cast("int")).withColumn(on, F.col(f"_item.{on}"))
+    copies = vocab.select("token", "id").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = single.join(copies, [on, "_salt"], "left")
+    entry = F.when(F.col("_item").isNotNull(), F.struct("_item.list", "_item.pos", value.alias("value")))
+    gathered = found.groupBy("_row").agg(
+        F.first("_kept").alias("_kept"), F.array_sort(F.collect_list(entry)).alias("_items")
+    )
+    return gathered.select("_kept.*", "_items")
 
-def _id_lookup(mapping: dict[str, int], spark):
-    shared = spark.sparkContext.broadcast(mapping)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def lookup(texts: pd.Series) -> pd.Series:
-        ids = shared.value
-        found = [np.array([ids.get(t, UNK) for t in text.split()], dtype="int32") for text in texts]
-        return pd.Series(found, dtype="object")
 
-    return lookup
+def _items(tokens: Column, number: int, name: str) -> Column:
+    whole = F.coalesce(tokens, F.array().cast("array<string>" if name == "token" else "array<int>"))
+    return F.transform(whole, lambda t, i: F.struct(F.lit(number).alias("list"), i.alias("pos"), t.alias(name)))
 
 
-def _joined_ids(df: DataFrame, vocab: DataFrame, key: str, tokens: Column, out: str) -> DataFrame:
-    """``(key, out)`` by joining exploded tokens; keys without tokens included."""
-    positions = df.select(key, F.posexplode_outer(tokens).alias("_pos", "token"))
-    found = positions.join(vocab, "token", "left")
-    item = F.when(F.col("token").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(UNK)).alias("id")))
-    gathered = found.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    return gathered.select(key, F.transform("_items", lambda x: x["id"]).alias(out))
+def _values(number: int) -> Column:
+    return F.transform(F.filter("_items", lambda x: x["list"] == number), lambda x: x["value"])
 
 
 def encode_tokens(
@@ -84,32 +82,21 @@ def encode_tokens(
     key: str = "product_id",
     max_input: int = MAX_INPUT,
     max_label: int = MAX_LABEL,
-    local_vocab: int = LOCAL_VOCAB,
 ) -> DataFrame:
-    """``(key, input_ids, attention_mask, labels)``.
+    """``(key, input_ids, attention_mask, labels)``, one row per row of ``df``.
 
     Inputs and labels are cut so that, with the closing token, they have at
     most ``max_input`` and ``max_label`` ids.  Only the tokens that survive
-    the cut leave the JVM.
+    the cut are looked up.
     """
     cut_input = F.slice(rouge_tokens(input_col), 1, max_input - 1)
     cut_label = F.slice(rouge_tokens(label_col), 1, max_label - 1)
-    mapping = _local_vocab(vocab, local_vocab)
-    if mapping is not None:
-        lookup = _id_lookup(mapping, df.sparkSession)
-        ids = df.select(
-            key,
-            lookup(F.array_join(cut_input, " ")).alias("_input"),
-            lookup(F.array_join(cut_label, " ")).alias("_label"),
-        )
-    else:
-        ids = _joined_ids(df, vocab, key, cut_input, "_input").join(
-            _joined_ids(df, vocab, key, cut_label, "_label"), key
-        )
-    closed = ids.select(
+    rows = df.select(key, F.concat(_items(cut_input, 0, "token"), _items(cut_label, 1, "token")).alias("_tokens"))
+    found = _looked_up(rows, F.col("_tokens"), vocab, "token", F.coalesce("id", F.lit(UNK)))
+    closed = found.select(
         key,
-        F.array_append("_input", F.lit(EOS)).alias("input_ids"),
-        F.array_append("_label", F.lit(EOS)).alias("labels"),
+        F.array_append(_values(0), F.lit(EOS)).alias("input_ids"),
+        F.array_append(_values(1), F.lit(EOS)).alias("labels"),
     )
     return closed.select(
         key, "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"), "labels"
@@ -117,28 +104,12 @@ def encode_tokens(
 
 
 def decode_tokens(
-    df: DataFrame,
-    vocab: DataFrame,
-    ids_col: str = "labels",
-    key: str = "product_id",
-    out: str = "text",
-    local_vocab: int = LOCAL_VOCAB,
+    df: DataFrame, vocab: DataFrame, ids_col: str = "labels", key: str = "product_id", out: str = "text"
 ) -> DataFrame:
-    """``(key, out)``: ids back to text, special and ignored ids left out."""
+    """``(key, out)``: ids back to text, special and ignored ids left out; no ids give an empty text."""
     cleaned = F.transform(ids_col, lambda i: F.when(i == IGNORED, PAD).otherwise(i))
     kept = F.filter(cleaned, lambda i: ~i.isin(*SPECIAL.values()))
-    mapping = _local_vocab(vocab, local_vocab)
-    if mapping is not None:
-        shared = df.sparkSession.sparkContext.broadcast({i: t for t, i in mapping.items()})
-
-        @F.pandas_udf(T.StringType())
-        def words(ids: pd.Series) -> pd.Series:
-            tokens = shared.value
-            return pd.Series([" ".join(tokens[i] for i in row if i in tokens) for row in ids], dtype="object")
-
-        return df.select(key, words(kept).alias(out))
-    positions = df.select(key, F.posexplode_outer(kept).alias("_pos", "id"))
-    found = positions.join(vocab, "id", "left")
-    item = F.when(F.col("token").isNotNull(), F.struct("_pos", "token"))
-    gathered = found.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    return gathered.select(key, F.array_join(F.transform("_items", lambda x: x["token"]), " ").alias(out))
+    rows = df.select(key, _items(kept, 0, "id").alias("_ids"))
+    found = _looked_up(rows, F.col("_ids"), vocab, "id", F.col("token"))
+    words = F.filter(_values(0), lambda t: t.isNotNull())
+    return found.select(key, F.array_join(words, " ").alias(out))
