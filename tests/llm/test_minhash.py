@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from textpair.llm import minhash
@@ -78,3 +79,29 @@ def test_components_of_long_paths_and_stars(spark):
     want = {i: 0 for i in range(61)} | {100 + i: 100 for i in range(50)} | {70: 70, 71: 70}
     assert {r.node: r.root for r in roots.collect()} == want
     assert roots.count() == len(want)
+
+
+def test_blocks_of_large_clusters(spark, monkeypatch):
+    """Clusters of several blocks give the same components."""
+    monkeypatch.setattr(minhash, "BLOCK_CLASSES", 16)
+    rows = corpus()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
+def test_both_ways_of_intersecting_agree():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 300, 150).astype(np.uint64)) for _ in range(30)]
+    pairs = np.argwhere(np.triu(np.ones((30, 30), bool), 1))
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in pairs]
+    assert minhash.intersections(sets, pairs).tolist() == want
+    assert minhash.intersections(sets, pairs[:50]).tolist() == want[:50]
+
+
+def test_deduplicated_keeps_one_of_each(spark):
+    long = " ".join(f"x{i}" for i in range(200))
+    rows = [(4, long, "a"), (2, long + " y", "b"), (9, "other words", "c"), (9, "other words", "c"), (None, "no id", "d"), (7, None, "e"), (8, None, "e"), (None, long, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = minhash.deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted([tuple(r) for r in got.collect()], key=str) == sorted([rows[1], rows[2], rows[4], rows[5], rows[6]], key=str)

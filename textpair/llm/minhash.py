@@ -5,16 +5,15 @@
    hash minima (16 bits of each are kept) and one key per band of minima.
 2. Documents with equal sets form one class; everything after that works on
    classes, so copies cost nothing.
-3. Classes that share a band key are candidates.  In every bucket the other
-   members are compared with the smallest one only, so a bucket of any size
-   gives as many pairs as members.
-4. A pair passes if enough minima agree and then if the full sets, rebuilt from
-   the texts of candidates, have the wanted similarity.
+3. Classes that share a band key are candidates.  Every member of a bucket is
+   tied to its smallest member, and these ties are closed to clusters: a bucket
+   of any size gives as many ties as members, never its pairs.
+4. Clusters are cut into blocks of bounded size and every two blocks of a
+   cluster meet in one task.  There a pair passes if enough minima agree and
+   then if the full sets, rebuilt from the texts of candidates, have the wanted
+   similarity; what leaves the task is a forest of the links, so pairs are
+   neither shuffled nor written.
 5. Links are closed to components by alternating large-star and small-star.
-6. Buckets whose members are not yet in one component are gone through once
-   more: members of different components, of lengths that allow the similarity,
-   are compared.  Pairs inside a component need no comparison, so no link that
-   would join two components is left out.
 
 With 32 bands of 6 minima two sets of similarity 0.85 share no band with
 probability 3e-7, and miss the bound on agreeing minima with 1e-6.
@@ -47,6 +46,11 @@ ROWS = 6
 LEAST_AGREEING = int(BANDS * ROWS * (PERCENT / 100 - 4.75 * (PERCENT / 100 * (1 - PERCENT / 100) / (BANDS * ROWS)) ** 0.5))
 REMEMBERED_WORDS = 400_000
 BLOCK = 512
+# A block of a cluster has about so many classes and shingles at most.
+BLOCK_CLASSES = 1024
+BLOCK_SHINGLES = 1_000_000
+# Columns of a product of 0/1 matrices at a time.
+PRODUCT_COLUMNS = 4096
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 MULTIPLIERS = _random.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,7 +59,7 @@ PLACES = _random.integers(1, 2**63, max(SHINGLE, ROWS), dtype=np.uint64) * np.ui
 BAND_SALTS = _random.integers(0, 2**63, BANDS, dtype=np.uint64)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>, minima binary"
+SKETCH = "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, minima binary"
 
 
 class WordHashes(dict):
@@ -128,10 +132,10 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 kept.append(None)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()),
+                batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()),
                 pa.array(bands, pa.list_(pa.int64())), pa.array(kept, pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "node", "bands", "minima"],
+            names=["doc_id", "text_hash", "n_shingles", "node", "bands", "minima"],
         )
 
 
@@ -144,48 +148,113 @@ def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def agreeing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of which enough minima agree."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        left, right = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-            for c in ("minima_a", "minima_b")
-        )
-        enough = pa.array((left == right).sum(axis=1) >= LEAST_AGREEING)
-        yield batch.select(["a", "b"]).filter(enough)
-
-
-def similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets are similar enough."""
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-            left, right = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(left) + len(right) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def likely_pairs(least: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Pairs of rows of which enough minima agree; between different blocks, if there are two."""
+    agreeing = np.zeros((len(least), len(least)), np.uint8)
+    for column in least.T:
+        agreeing += column[:, None] == column[None, :]
+    mask = np.triu(agreeing >= LEAST_AGREEING, 1)
+    if blocks[0] != blocks[-1]:
+        mask &= blocks[:, None] != blocks[None, :]
+    return np.argwhere(mask)
+
+
+def intersections(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Exact sizes of the pairs' intersections.
+
+    A few pairs are intersected one by one.  Many pairs of the same sets are
+    counted together, as a product of 0/1 matrices over the shingles that at
+    least two of the sets have.
+    """
+    if len(pairs) <= 4 * len(sets):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in pairs], np.int64)
+    every = np.concatenate(sets)
+    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, number, count = np.unique(every, return_inverse=True, return_counts=True)
+    shared = count[number] > 1
+    owners, number = owners[shared], np.unique(number[shared], return_inverse=True)[1]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(number.max(initial=-1)) + 1, PRODUCT_COLUMNS):
+        inside = (number >= start) & (number < start + PRODUCT_COLUMNS)
+        part = np.zeros((len(sets), PRODUCT_COLUMNS), np.float32)
+        part[owners[inside], number[inside] - start] = 1
+        total += part @ part.T
+    return total[pairs[:, 0], pairs[:, 1]].astype(np.int64)
+
+
+def forest(links, size: int) -> list[tuple[int, int]]:
+    """Links that join what those before them have left apart."""
+    parent = list(range(size))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    kept = []
+    for a, b in links:
+        x, y = root(a), root(b)
+        if x != y:
+            parent[x] = y
+            kept.append((a, b))
+    return kept
+
+
+def linked_blocks(table: pa.Table) -> pa.Table:
+    """A forest of the links between the members of two blocks (or within one)."""
+    nodes = table.column("node").to_pylist()
+    order = sorted(range(len(nodes)), key=lambda i: (table.column("block")[i].as_py(), nodes[i]))
+    table, nodes = table.take(order), [nodes[i] for i in order]
+    least = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint16).reshape(len(nodes), -1)
+    pairs = likely_pairs(least, table.column("block").to_numpy())
+    kept: list[tuple[int, int]] = []
+    if len(pairs):
+        used, places = np.unique(pairs, return_inverse=True)
+        raw = table.column("shingles")
+        sets = [np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in used]
+        pairs = places.reshape(pairs.shape)
+        both = intersections(sets, pairs)
+        sizes = np.array([len(s) for s in sets])
+        union = sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - both
+        links = pairs[100 * both >= PERCENT * union]
+        kept = [(int(used[a]), int(used[b])) for a, b in forest(links.tolist(), len(used))]
+    return pa.table({
+        "u": pa.array([nodes[a] for a, _ in kept], pa.binary()), "v": pa.array([nodes[b] for _, b in kept], pa.binary()),
+    })
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, node, bands, minima`` per document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch_batches, SKETCH)
-
-
-def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that pass the minima and then the full sets."""
-    def side(table: DataFrame, column: str, name: str, as_name: str) -> DataFrame:
-        return table.select(F.col("node").alias(name), F.col(column).alias(as_name))
-
-    signed = pairs.join(side(classes, "minima", "a", "minima_a"), "a").join(side(classes, "minima", "b", "minima_b"), "b")
-    likely = stored(signed.mapInArrow(agreeing_batches, "a binary, b binary"), "likely-pairs")
-    full = likely.join(side(sets, "shingles", "a", "set_a"), "a").join(side(sets, "shingles", "b", "set_b"), "b")
-    return stored(full.mapInArrow(similar_batches, "a binary, b binary"), "links")
+    """``doc_id, text_hash, n_shingles, node, bands, minima`` per document."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(sketch_batches, SKETCH)
+
+
+def candidate_clusters(classes: DataFrame) -> DataFrame:
+    """``node, cluster`` for classes that share a band key with another one."""
+    banded = classes.select(F.explode("bands").alias("band"), "node")
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    ties = banded.join(hubs.select("band", "hub"), "band").where("node != hub")
+    roots = connected_components(ties.select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    return roots.select("node", F.col("root").alias("cluster"))
+
+
+def block_pairs(placed: DataFrame) -> DataFrame:
+    """``node, cluster, i, j, block``: every two blocks of a cluster, each with itself too.
+
+    ``placed`` has ``node, cluster, n``.  Blocks are drawn by hash.
+    """
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = placed.groupBy("cluster").agg(blocks.alias("blocks"))
+    dealt = placed.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meetings = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return meetings.select(
+        "node", "cluster", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block"
+    )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per document."""
+    """``doc_id, n_shingles, component_id, kept, text_hash`` per document."""
     ship_package(docs.sparkSession)
     sketch = stored(sketches(docs), "sketches")
     # A class is known by its set; copies without an id do not name it.
@@ -197,46 +266,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "classes",
     )
     named = classes.where("representative IS NOT NULL")
-    banded = named.select(F.explode("bands").alias("band"), "node", "n")
-    buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    members = stored(banded.join(buckets.select("band", "hub"), "band"), "buckets")
+    clusters = stored(candidate_clusters(named), "clusters")
+    candidates = clusters.join(named.select("node", "representative", "n", "minima"), "node")
 
-    candidates = members.select("node").distinct().join(named.select("node", "representative"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         candidates.select(F.col("representative").alias("doc_id")).distinct(), "doc_id", "left_semi"
     )
-    sets = stored(
-        texts.mapInArrow(set_batches, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")),
+    sets = texts.mapInArrow(set_batches, "node binary, shingles binary")
+    members = stored(
+        candidates.join(sets, "node").groupBy("node").agg(
+            *[F.first(c).alias(c) for c in ("cluster", "n", "minima", "shingles")]
+        ),
         "candidate-sets",
     )
-
-    stars = stored(members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = verified(stars, named, sets)
-    roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    placed = members.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
-    open_bands = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    left_open = stored(placed.join(open_bands.select("band"), "band"), "open-buckets")
-    a, b = left_open.alias("a"), left_open.alias("b")
-    fits = (
-        (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-        & (100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n"))
-    )
-    rest = (
-        a.join(b, F.col("a.band") == F.col("b.band")).where(fits)
-        .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = verified(rest, named, sets)
-    if not more.isEmpty():
-        edges = links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        roots = connected_components(edges)
+    meetings = block_pairs(members.select("node", "cluster", "n")).join(members.select("node", "minima", "shingles"), "node")
+    links = meetings.groupBy("cluster", "i", "j").applyInArrow(linked_blocks, "u binary, v binary")
+    roots = connected_components(links)
 
     rooted = classes.select("node", "representative").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("representative").alias("component_id"))
     placed_classes = rooted.join(smallest, "root").select("node", "component_id")
-    joined = sketch.select("doc_id", "n_shingles", "node").join(placed_classes, "node", "left")
+    joined = sketch.select("doc_id", "text_hash", "n_shingles", "node").join(placed_classes, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "text_hash",
     )
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One document of each component, all columns unchanged; repeated rows stay once."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")
+    id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
+    rows = docs.select(row, id_key, F.xxhash64("text").alias("_text_hash"))
+    kept = near_duplicates(docs).where("kept").select(id_key, F.col("text_hash").alias("_text_hash")).distinct()
+    chosen = rows.join(kept, ["_id", "_text_hash"], "left_semi").dropDuplicates(["_id", "_text_hash"])
+    return chosen.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
