@@ -9,7 +9,7 @@ from textpair.operators import checkpoints
 from textpair.session import shared_dir
 from textpair.sources.metric_logs import EVAL_KEYS, LOG_SCHEMA, MERGED_COLUMNS, TRAIN_KEYS
 from textpair.streaming.evaluate import append_available
-from textpair.streaming.metrics import append_merged, stream_final_metrics, stream_metrics_merge
+from textpair.streaming.metrics import stream_final_metrics, stream_metrics_merge
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -30,11 +30,11 @@ def merged_by_hand(records):
     for r in sorted(records, key=lambda r: r["seq"]):
         if r["train_runtime"] is not None:
             continue
-        key = (r["epoch"], r["step"])
+        key = (r["run"], r["epoch"], r["step"])
         entry = pending.setdefault(key, {})
         entry.update({c: r[c] for c in [*TRAIN_KEYS, *EVAL_KEYS] if r[c] is not None})
         if any(c in entry for c in TRAIN_KEYS) and ("eval_loss" in entry or "eval_rouge1" in entry):
-            out.append(tuple([*key, *[entry.get(c) for c in MERGED_COLUMNS[2:]]]))
+            out.append(tuple([*key, *[entry.get(c) for c in MERGED_COLUMNS[3:]]]))
             del pending[key]
     return Counter(out)
 
@@ -57,7 +57,7 @@ def random_records(seed, n=600, steps=12):
             values["eval_runtime"] = float(seq)
         if kind == "final":
             values["train_runtime"] = float(seq)
-        out.append(record(seq, step, **values))
+        out.append(record(seq, step, run=rnd.choice(["a", "b", None]), **values))
     return out
 
 
@@ -75,8 +75,6 @@ def test_train_train_eval_and_train_eval_train(spark):
     df = frame(spark, first + second)
     got = {(r["step"], r["loss"], r["eval_loss"]) for r in checkpoints.metrics_merge(df).collect()}
     assert got == {(1, 2.0, 3.0), (2, 1.0, 2.0)}
-    waiting = checkpoints.pending_records(checkpoints.with_emissions(df)).collect()
-    assert [(r["step"], r["loss"]) for r in waiting] == [(2, 9.0)]
 
 
 def arriving(spark, records, name, batches):
@@ -88,25 +86,46 @@ def arriving(spark, records, name, batches):
     return spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_both_streams_equal_the_batch_merge(spark):
+def streamed(spark, records, batches, **options):
+    out = shared_dir(spark, "merged")
+    append_available(stream_metrics_merge(arriving(spark, records, "logs", batches), **options), out, shared_dir(spark, "cp"))
+    return spark.read.parquet(out)
+
+
+def test_stream_equals_the_batch_merge(spark):
     records = random_records(9, 90, 4)
-    expected = merged_by_hand(records)
-    out = shared_dir(spark, "stateful")
-    append_available(stream_metrics_merge(arriving(spark, records, "logs", 3)), out, shared_dir(spark, "cp"))
-    assert rows(spark.read.parquet(out)) == expected
-    out = shared_dir(spark, "carried")
-    append_merged(arriving(spark, records, "logs", 3), out, shared_dir(spark, "pending"), shared_dir(spark, "cp"))
-    assert rows(spark.read.parquet(out)) == expected
+    assert rows(streamed(spark, records, 3)) == merged_by_hand(records)
+
+
+def days_apart(days):
+    late, other = record(2, 1, eval_loss=1.0), record(1, 2, loss=5.0)
+    late["ts"] = START + datetime.timedelta(days=days)
+    other["ts"] = START + datetime.timedelta(days=days - 1)
+    return [record(0, 1, loss=1.0), other, late]
+
+
+def test_a_pair_30_days_apart_is_merged(spark):
+    assert [(r["step"], r["loss"], r["eval_loss"]) for r in streamed(spark, days_apart(30), 3).collect()] == [(1, 1.0, 1.0)]
+
+
+def test_old_records_are_forgotten_on_demand(spark):
+    assert streamed(spark, days_apart(30), 3, pending_days=7).count() == 0
+
+
+def test_nan_is_a_value_in_batch_and_stream(spark):
+    records = [record(0, 1, loss=float("nan")), record(1, 1, eval_loss=0.5), record(2, 2, grad_norm=1.0), record(3, 2, eval_loss=float("nan"))]
+    def shown(df):
+        return sorted((r["step"], str(r["loss"]), str(r["grad_norm"]), str(r["eval_loss"])) for r in df.collect())
+
+    want = [(1, "nan", "None", "0.5"), (2, "None", "1.0", "nan")]
+    assert shown(checkpoints.metrics_merge(frame(spark, records))) == shown(streamed(spark, records, 2)) == want
 
 
-def test_carried_stream_forgets_old_records(spark):
-    late = record(2, 1, eval_loss=1.0)
-    late["ts"] = START + datetime.timedelta(days=30)
-    other = record(1, 2, loss=5.0)
-    other["ts"] = START + datetime.timedelta(days=29)
-    out = shared_dir(spark, "evicted")
-    append_merged(arriving(spark, [record(0, 1, loss=1.0), other, late], "logs", 3), out, shared_dir(spark, "p"), shared_dir(spark, "c"))
-    assert spark.read.parquet(out).count() == 0
+def test_runs_stay_apart(spark):
+    records = [record(0, 1, run="a", loss=1.0), record(1, 1, run="b", eval_loss=2.0)]
+    assert checkpoints.metrics_merge(frame(spark, records)).count() == 0
+    without = frame(spark, [record(0, 1, loss=1.0), record(1, 1, eval_loss=2.0)]).drop("run")
+    assert checkpoints.metrics_merge(without).first()["run"] is None
 
 
 def test_final_stream(spark):
@@ -126,3 +145,5 @@ def test_best_and_retained(spark):
     runs = df.withColumn("run", F.lit("a")).unionByName(df.withColumn("run", F.lit("b")))
     kept = checkpoints.retained_checkpoints(runs, 2, run="run").collect()
     assert sorted((r["run"], r["step"]) for r in kept) == [("a", 200), ("a", 300), ("b", 200), ("b", 300)]
+    best = checkpoints.best_checkpoint(runs, run="run").collect()
+    assert sorted((r["run"], r["step"]) for r in best) == [("a", 200), ("b", 200)]

@@ -83,3 +83,14 @@ def test_metric_logs_append(spark, sf_dir):
     assert merged.columns == ["timestamp", *metric_logs.MERGED_COLUMNS]
     assert final.columns == ["timestamp", *metric_logs.FINAL_COLUMNS]
     assert final.count() == 2 * checkpoints.final_metrics(records).count()
+
+
+def test_metric_logs_as_csv(spark, sf_dir):
+    path = shared_dir(spark, "csv-logs")
+    records = tables.logs(spark, sf_dir)
+    merged = checkpoints.metrics_merge(records)
+    metric_logs.write_metric_logs(merged, checkpoints.final_metrics(records), path, fmt="csv")
+    back = spark.read.option("header", "true").csv(f"{path}/evaluation_metrics")
+    assert back.columns == ["timestamp", *metric_logs.MERGED_COLUMNS] and back.count() == merged.count()
+    with pytest.raises(ValueError):
+        metric_logs.write_metric_logs(merged, merged, path, fmt="xml")

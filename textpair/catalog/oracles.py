@@ -197,24 +197,24 @@ _KNOWN = {
 }
 LOGS = f"""
 kinds AS (
-  SELECT event_id AS seq, event_id // 3 AS step, value, user_id,
+  SELECT event_id AS seq, 'run' || (event_id // 3 % 2) AS run, event_id // 6 AS step, value, user_id,
     CASE WHEN event_id % 50 = 49 THEN 'final' WHEN event_type IN ('click', 'view', 'error') THEN 'train' ELSE 'eval' END AS kind
   FROM events),
 logs AS (
-  SELECT seq, step, step / 100 AS epoch, kind, value, {', '.join(f'{_KNOWN.get(c, "NULL::double")} AS "{c}"' for c in VALUE_COLUMNS)}
+  SELECT seq, run, step, step / 100 AS epoch, kind, value, {', '.join(f'{_KNOWN.get(c, "NULL::double")} AS "{c}"' for c in VALUE_COLUMNS)}
   FROM kinds)"""
 # At most three records share a key here, so a key emits at most once: at the
 # first record that completes it.
 MERGED = f"""{LOGS},
 firsts AS (
-  SELECT epoch, step, min(seq) FILTER (kind = 'train') AS ft, min(seq) FILTER (kind = 'eval') AS fe
+  SELECT run, epoch, step, min(seq) FILTER (kind = 'train') AS ft, min(seq) FILTER (kind = 'eval') AS fe
   FROM logs WHERE kind <> 'final' GROUP BY ALL),
 merged AS (
-  SELECT l.epoch, l.step, {', '.join(f'max_by("{c}", seq) FILTER ("{c}" IS NOT NULL) AS "{c}"' for c in VALUE_COLUMNS)}
-  FROM logs l JOIN firsts f ON l.epoch = f.epoch AND l.step = f.step
-  WHERE kind <> 'final' AND ft IS NOT NULL AND fe IS NOT NULL AND seq <= greatest(ft, fe) GROUP BY l.epoch, l.step)"""
-MERGED_COLUMNS = ", ".join(["epoch", "step", *[f'"{c}"' for c in VALUE_COLUMNS]])
-FINAL_COLUMNS = """value AS train_runtime, NULL::double AS train_samples_per_second,
+  SELECT l.run, l.epoch, l.step, {', '.join(f'max_by("{c}", seq) FILTER ("{c}" IS NOT NULL) AS "{c}"' for c in VALUE_COLUMNS)}
+  FROM logs l JOIN firsts f ON l.run = f.run AND l.epoch = f.epoch AND l.step = f.step
+  WHERE kind <> 'final' AND ft IS NOT NULL AND fe IS NOT NULL AND seq <= greatest(ft, fe) GROUP BY l.run, l.epoch, l.step)"""
+MERGED_COLUMNS = ", ".join(["run", "epoch", "step", *[f'"{c}"' for c in VALUE_COLUMNS]])
+FINAL_COLUMNS = """run, value AS train_runtime, NULL::double AS train_samples_per_second,
   NULL::double AS train_steps_per_second, NULL::double AS train_loss, epoch, step"""
 
 
@@ -382,8 +382,8 @@ UNION ALL SELECT 'better_mid', count(*), count(DISTINCT target_query) FROM o
 UNION ALL SELECT 'best', count(*), count(DISTINCT target_query) FROM results WHERE model = 'lead' AND "rougeL" >= 50
 UNION ALL SELECT 'worst', count(*), count(DISTINCT target_query) FROM results WHERE model = 'lead' AND "rougeL" <= 0""",
     "write_metric_logs": f"""WITH {MERGED}
-SELECT 'merged' AS log, true AS stamped, epoch, step, loss, "eval_rougeL", NULL::double AS train_runtime FROM merged
-UNION ALL SELECT 'final', true, epoch, step, NULL, NULL, value FROM logs WHERE kind = 'final'""",
+SELECT 'merged' AS log, true AS stamped, run, epoch, step, loss, "eval_rougeL", NULL::double AS train_runtime FROM merged
+UNION ALL SELECT 'final', true, run, epoch, step, NULL, NULL, value FROM logs WHERE kind = 'final'""",
     "split_profile": f"""WITH {PRODUCTS} SELECT split, count(*) AS n_rows, 6 AS n_columns,
 greatest(1, count(*) // 32) AS steps_per_epoch FROM products GROUP BY split""",
     "concat_input_train": f"WITH {PRODUCTS} SELECT product_id, {TRAIN_INPUT} AS input_text FROM products",
@@ -442,8 +442,10 @@ round(quantile_cont("{c}", 0.975), 4) AS high FROM means""" for c in SCORES),
         f"""SELECT '{c}' AS metric, {mean(c, "FILTER (model = 'lead')")} AS a, {mean(c, "FILTER (model = 'mid')")} AS b FROM results""" for c in SCORES)
         + ") SELECT metric, a AS avg1, b AS avg2, a - b AS gap FROM g",
     "metrics_merge": f"WITH {MERGED} SELECT {MERGED_COLUMNS} FROM merged",
-    "best_checkpoint": f"""WITH {MERGED} SELECT step, epoch, "eval_rougeL" FROM merged WHERE "eval_rougeL" IS NOT NULL ORDER BY "eval_rougeL" DESC, step LIMIT 1""",
-    "retained_checkpoints": f"""WITH {MERGED} SELECT step, epoch, "eval_rougeL" FROM merged WHERE "eval_rougeL" IS NOT NULL ORDER BY "eval_rougeL" DESC, step LIMIT 3""",
+    "best_checkpoint": f"""WITH {MERGED} SELECT run, step, epoch, "eval_rougeL" FROM merged WHERE "eval_rougeL" IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY run ORDER BY "eval_rougeL" DESC, step) <= 1""",
+    "retained_checkpoints": f"""WITH {MERGED} SELECT run, step, epoch, "eval_rougeL" FROM merged WHERE "eval_rougeL" IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY run ORDER BY "eval_rougeL" DESC, step) <= 3""",
     "seeded_sample": f"WITH {PRODUCTS} SELECT product_id, title, short_query FROM products ORDER BY md5(concat_ws(':', 42, product_id)), product_id LIMIT 500",
     "dev_head": f"""WITH {PRODUCTS} SELECT product_id, split, title FROM products
 QUALIFY row_number() OVER (PARTITION BY split ORDER BY product_id) <= 100""",

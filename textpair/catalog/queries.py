@@ -17,11 +17,11 @@ from textpair.operators import (
 from textpair.plans.analyze import analyze_results
 from textpair.plans.evaluate import evaluate_models
 from textpair.plans.prepare import prepare_dataset
-from textpair.session import shared_dir, ship_package
+from textpair.session import configure, shared_dir, ship_package
 from textpair.sources import datasets, metric_logs
 from textpair.sources import results as result_files
 from textpair.streaming.evaluate import append_available, stream_evaluate
-from textpair.streaming.metrics import append_merged, stream_final_metrics
+from textpair.streaming.metrics import stream_final_metrics, stream_metrics_merge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,10 +120,10 @@ def write_metric_logs(spark, sf):
     )
     stamped = F.col("timestamp").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$").alias("stamped")
     merged = spark.read.parquet(f"{path}/evaluation_metrics").select(
-        F.lit("merged").alias("log"), stamped, "epoch", "step", "loss", "eval_rougeL", F.lit(None).cast("double").alias("train_runtime")
+        F.lit("merged").alias("log"), stamped, "run", "epoch", "step", "loss", "eval_rougeL", F.lit(None).cast("double").alias("train_runtime")
     )
     final = spark.read.parquet(f"{path}/final_metrics").select(
-        F.lit("final").alias("log"), stamped, "epoch", "step", F.lit(None).cast("double").alias("loss"),
+        F.lit("final").alias("log"), stamped, "run", "epoch", "step", F.lit(None).cast("double").alias("loss"),
         F.lit(None).cast("double").alias("eval_rougeL"), "train_runtime",
     )
     return merged.unionByName(final)
@@ -363,12 +363,12 @@ def metrics_merge(spark, sf):
 
 @query
 def best_checkpoint(spark, sf):
-    return checkpoints.best_checkpoint(checkpoints.metrics_merge(t.logs(spark, sf)))
+    return checkpoints.best_checkpoint(checkpoints.metrics_merge(t.logs(spark, sf)), run="run")
 
 
 @query
 def retained_checkpoints(spark, sf):
-    return checkpoints.retained_checkpoints(checkpoints.metrics_merge(t.logs(spark, sf)))
+    return checkpoints.retained_checkpoints(checkpoints.metrics_merge(t.logs(spark, sf)), run="run")
 
 
 # --------------------------------------------------------------------------
@@ -586,9 +586,10 @@ def _as_stream(spark, df: DataFrame, name: str) -> DataFrame:
 
 @query
 def stream_metrics_merge_query(spark, sf):
-    records = _as_stream(spark, t.logs(spark, sf), "log-records")
+    configure(spark)
+    merged = stream_metrics_merge(_as_stream(spark, t.logs(spark, sf), "log-records"))
     out = shared_dir(spark, "merged")
-    append_merged(records, out, shared_dir(spark, "merged-pending"), shared_dir(spark, "merged-checkpoint"))
+    append_available(merged, out, shared_dir(spark, "merged-state"))
     return spark.read.parquet(out).select(*MERGED)
 
 

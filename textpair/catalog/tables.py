@@ -116,13 +116,14 @@ def vec_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse training-log records, one per event."""
+    """Sparse training-log records of two runs with equal steps, one per event."""
     events = read_table(spark, sf_dir, "events")
     final = F.col("event_id") % 50 == 49
     is_train = F.col("event_type").isin("click", "view", "error")
     kinds = events.select(
         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
-        F.floor(F.col("event_id") / 3).cast("bigint").alias("step"),
+        F.concat(F.lit("run"), F.floor(F.col("event_id") / 3) % 2).alias("run"),
+        F.floor(F.col("event_id") / 6).cast("bigint").alias("step"),
         "value", "user_id",
         F.when(final, "final").when(is_train, "train").otherwise("eval").alias("kind"),
     )
@@ -137,6 +138,6 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     missing = F.lit(None).cast("double")
     return kinds.select(
-        "seq", "ts", (F.col("step") / 100).alias("epoch"), "step",
+        "seq", "ts", "run", (F.col("step") / 100).alias("epoch"), "step",
         *[known.get(c, missing).alias(c) for c in [*TRAIN_KEYS, *EVAL_KEYS, *FINAL_KEYS]],
     )

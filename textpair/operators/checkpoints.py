@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpair.operators.sampling import first_rows
-from textpair.sources.metric_logs import FINAL_COLUMNS, MERGED_COLUMNS, TRAIN_KEYS
+from textpair.sources.metric_logs import FINAL_COLUMNS, MERGED_COLUMNS, TRAIN_KEYS, with_run
 
 # Keys whose presence marks a side as seen, and defaults of the
 # checkpoint choice.
@@ -27,10 +27,10 @@ def _any_present(cols: Sequence[str]) -> Column:
 
 def final_metrics(logs: DataFrame) -> DataFrame:
     """Records that end a run; they never enter the merge.  Works on streams too."""
-    return logs.where(F.col("train_runtime").isNotNull()).select(*FINAL_COLUMNS)
+    return with_run(logs).where(F.col("train_runtime").isNotNull()).select(*FINAL_COLUMNS)
 
 
-KEY = ["epoch", "step"]
+KEY = ["run", "epoch", "step"]
 
 
 def with_emissions(logs: DataFrame) -> DataFrame:
@@ -48,9 +48,7 @@ def with_emissions(logs: DataFrame) -> DataFrame:
     side = (
         F.when(train & evaluation, "both").when(train, "train").when(evaluation, "eval")
     )
-    records = logs.where(F.col("train_runtime").isNull()).select(
-        *[c for c in logs.columns if c == "ts"], "seq", *MERGED_COLUMNS, side.alias("_side")
-    )
+    records = with_run(logs).where(F.col("train_runtime").isNull()).select("seq", *MERGED_COLUMNS, side.alias("_side"))
     earlier = (Window.unboundedPreceding, -1)
     by_key = Window.partitionBy(*KEY).orderBy("seq")
     both = (F.col("_side") == "both").eqNullSafe(True)
@@ -87,18 +85,13 @@ def merged_groups(flagged: DataFrame) -> DataFrame:
     return merged.where("_done").select(*MERGED_COLUMNS)
 
 
-def pending_records(flagged: DataFrame) -> DataFrame:
-    """Records still waiting for their other side."""
-    done = F.max("_emits").over(Window.partitionBy(*KEY, "_group"))
-    return flagged.withColumn("_done", done).where(~F.col("_done")).drop("_done", "_emits", "_group")
-
-
 def metrics_merge(logs: DataFrame) -> DataFrame:
-    """Merge the records of each (epoch, step) until both sides are seen.
+    """Merge the records of each (run, epoch, step) until both sides are seen.
 
     Records of a key, ordered by ``seq``, accumulate; a later value replaces an
     earlier one.  When training and evaluation values are both present a row is
-    emitted and the key starts afresh, so a key may emit several rows.
+    emitted and the key starts afresh, so a key may emit several rows.  NaN is a
+    value like any other: a diverged loss is logged as such.
     """
     return merged_groups(with_emissions(logs))
 
@@ -108,15 +101,19 @@ def _usable(merged: DataFrame, metric: str) -> DataFrame:
 
 
 def best_checkpoint(
-    merged: DataFrame, metric: str = BEST_METRIC, greater_is_better: bool = True
+    merged: DataFrame, metric: str = BEST_METRIC, greater_is_better: bool = True, run: str | None = None
 ) -> DataFrame:
-    """``(step, epoch, metric)`` of the best checkpoint; a tie takes the smallest step."""
+    """``(step, epoch, metric)`` of the best checkpoint, per run when a run column is named.
+
+    A tie takes the smallest step.
+    """
     row = F.struct("step", "epoch", metric)
     if greater_is_better:
         best = F.max_by(row, F.struct(F.col(metric), -F.col("step")))
     else:
         best = F.min_by(row, F.struct(F.col(metric), F.col("step")))
-    return _usable(merged, metric).agg(best.alias("b")).where("b is not null").select("b.*")
+    per = [run] if run else []
+    return _usable(merged, metric).groupBy(*per).agg(best.alias("b")).where("b is not null").select(*per, "b.*")
 
 
 def retained_checkpoints(

@@ -15,12 +15,13 @@ EVAL_KEYS = [
 FINAL_KEYS = [
     "train_runtime", "train_samples_per_second", "train_steps_per_second", "train_loss",
 ]
-MERGED_COLUMNS = ["epoch", "step", *TRAIN_KEYS, *EVAL_KEYS]
-FINAL_COLUMNS = [*FINAL_KEYS, "epoch", "step"]
+MERGED_COLUMNS = ["run", "epoch", "step", *TRAIN_KEYS, *EVAL_KEYS]
+FINAL_COLUMNS = ["run", *FINAL_KEYS, "epoch", "step"]
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 LOG_SCHEMA = T.StructType(
     [T.StructField("seq", T.LongType()), T.StructField("ts", T.TimestampType()),
+     T.StructField("run", T.StringType()),
      T.StructField("epoch", T.DoubleType()), T.StructField("step", T.LongType())]
     + [T.StructField(c, T.DoubleType()) for c in [*TRAIN_KEYS, *EVAL_KEYS, *FINAL_KEYS]]
 )
@@ -31,8 +32,17 @@ def write_time() -> Column:
     return F.date_format(F.current_timestamp(), TIMESTAMP_FORMAT).alias("timestamp")
 
 
-def write_metric_logs(merged: DataFrame, final: DataFrame, path: str, mode: str = "append") -> None:
-    """Append both logs below ``path``; each carries its own full schema."""
-    base = path.rstrip("/")
-    merged.select(write_time(), *MERGED_COLUMNS).write.mode(mode).parquet(f"{base}/evaluation_metrics")
-    final.select(write_time(), *FINAL_COLUMNS).write.mode(mode).parquet(f"{base}/final_metrics")
+def with_run(logs: DataFrame) -> DataFrame:
+    """Logs of one run may leave its name out: it is null then."""
+    return logs if "run" in logs.columns else logs.withColumn("run", F.lit(None).cast("string"))
+
+
+def write_metric_logs(
+    merged: DataFrame, final: DataFrame, path: str, mode: str = "append", fmt: str = "parquet"
+) -> None:
+    """Append both logs below ``path`` as Parquet or CSV; each carries its own full schema."""
+    if fmt not in ("parquet", "csv"):
+        raise ValueError(f"unknown log format: {fmt}")
+    for log, columns, name in ((merged, MERGED_COLUMNS, "evaluation_metrics"), (final, FINAL_COLUMNS, "final_metrics")):
+        writer = log.select(write_time(), *columns).write.mode(mode).option("header", "true")
+        writer.format(fmt).save(f"{path.rstrip('/')}/{name}")

@@ -1,135 +1,113 @@
 """Metric logs as a stream: the keyed merge, and final records.
 
-The merge comes in two forms with equal results.  ``stream_metrics_merge`` is
-a stateful operator from stream to stream.  ``append_merged`` runs a stream
-into a table and carries unfinished records from batch to batch in a small
-table of their own; its work is plain DataFrame operations, so a batch with
-very many keys is many times faster that way.
+The state of a key is what it still waits with.  For many keys use the RocksDB
+state store (``textpair.session.RUNTIME_CONF`` sets it): a batch then costs what
+arrives in it, not what is pending.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from textpair.operators.checkpoints import (
-    EVAL_MARKS, TRAIN_MARKS, final_metrics, merged_groups, pending_records, with_emissions,
-)
-from textpair.sources.metric_logs import EVAL_KEYS, MERGED_COLUMNS, TRAIN_KEYS
+from textpair.operators.checkpoints import EVAL_MARKS, KEY, TRAIN_MARKS, final_metrics
+from textpair.sources.metric_logs import EVAL_KEYS, TRAIN_KEYS, with_run
 
 _VALUES = [*TRAIN_KEYS, *EVAL_KEYS]
-# The values travel as one array: state functions pay per column and key.
-_STATE = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType()))])
+# The values travel as one array, because state functions pay per column and
+# key, next to a bit mask of those present, because arrays in Python do not
+# tell a missing value from NaN.
+_RECORD = [T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("mask", T.LongType())]
+_STATE = T.StructType([*_RECORD, T.StructField("until", T.LongType())])
 _OUTPUT = T.StructType(
     [
-        T.StructField("epoch", T.DoubleType()),
-        T.StructField("step", T.LongType()),
-        T.StructField("values", T.ArrayType(T.DoubleType())),
+        T.StructField("run", T.StringType()), T.StructField("epoch", T.DoubleType()),
+        T.StructField("step", T.LongType()), *_RECORD,
     ]
 )
-_TRAIN_AT = [_VALUES.index(c) for c in TRAIN_MARKS]
-_EVAL_AT = [_VALUES.index(c) for c in EVAL_MARKS]
+_TRAIN_BITS = sum(1 << _VALUES.index(c) for c in TRAIN_MARKS)
+_EVAL_BITS = sum(1 << _VALUES.index(c) for c in EVAL_MARKS)
+_NAN = float("nan")
+
 
-# How much newer the newest record has to be before an incomplete key is dropped.
-PENDING_DAYS = 7
+def _mask() -> Column:
+    bits = F.lit(0).cast("long")
+    for i, c in enumerate(_VALUES):
+        bits = bits + F.when(F.col(c).isNotNull(), 1 << i).otherwise(0)
+    return bits
 
 
-def _advance(
-    pending: dict[int, float], records: Iterable[Sequence[float]]
-) -> list[list[float | None]]:
-    """Fold records into ``pending`` (in place); returns the rows emitted."""
-    emitted = []
-    for record in records:
-        pending.update({i: float(v) for i, v in enumerate(record) if v is not None and v == v})
-        if any(i in pending for i in _TRAIN_AT) and any(i in pending for i in _EVAL_AT):
-            emitted.append([pending.get(i) for i in range(len(_VALUES))])
-            pending.clear()
-    return emitted
+def _value(i: int) -> Column:
+    present = F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+    return F.when(present, F.coalesce(F.col("values")[i], F.lit(_NAN)))
 
 
-def stream_metrics_merge(logs: DataFrame, pending_days: int = PENDING_DAYS) -> DataFrame:
+def stream_metrics_merge(logs: DataFrame, pending_days: int | None = None) -> DataFrame:
     """Merged rows of a log stream; a key is forgotten when it has emitted.
 
-    Records of one micro-batch are taken in ``seq`` order.  Time is event time:
-    a key still incomplete when records ``pending_days`` newer have arrived is
-    dropped, and so is a record that arrives that late, so state stays bounded
-    by the keys of that period.
+    Records of one micro-batch are taken in ``seq`` order.  Incomplete keys are
+    kept for ever, as in the batch merge, unless ``pending_days`` is given:
+    then, in event time, a key still incomplete when records so much newer have
+    arrived is dropped, and so is a record that arrives that late, and state is
+    bounded by the keys of that period.
     """
+    timed = pending_days is not None
 
     def merge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        pending: dict[int, float] = {}
+        values, mask = [_NAN] * len(_VALUES), 0
         if state.exists:
-            (stored,) = state.get
-            pending = {i: v for i, v in enumerate(stored) if v is not None}
+            stored, mask, until = state.get
+            values = [_NAN if v is None else v for v in stored]
+            if timed and until <= state.getCurrentWatermarkMs():
+                # Overdue, but called for its new records instead.
+                values, mask = [_NAN] * len(_VALUES), 0
         arrived: list[tuple] = []
         for frame in frames:
-            arrived.extend(zip(frame["seq"].tolist(), frame["_millis"].tolist(), frame["_values"].tolist()))
+            arrived.extend(zip(*(frame[c].tolist() for c in ("seq", "_millis", "_values", "_mask"))))
         arrived.sort(key=lambda record: record[0])
-        emitted = _advance(pending, (values for _, _, values in arrived))
-        if pending:
-            newest = max(millis for _, millis, _ in arrived)
-            state.update(([pending.get(i) for i in range(len(_VALUES))],))
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
+        emitted: list[tuple] = []
+        for _, _, given, present in arrived:
+            for i in range(len(_VALUES)):
+                if present >> i & 1:
+                    values[i] = _NAN if given[i] is None else float(given[i])
+            mask |= present
+            if mask & _TRAIN_BITS and mask & _EVAL_BITS:
+                emitted.append((values, mask))
+                values, mask = [_NAN] * len(_VALUES), 0
+        if mask:
+            until = max(millis for _, millis, _, _ in arrived) + 1
+            if timed:
+                until = max(until, state.getCurrentWatermarkMs() + 1)
+            state.update((values, mask, until))
+            if timed:
+                state.setTimeoutTimestamp(until)
         elif state.exists:
             state.remove()
         if emitted:
-            yield pd.DataFrame({"epoch": key[0], "step": key[1], "values": emitted})
+            rows = [(*key, *row) for row in emitted]
+            yield pd.DataFrame(rows, columns=_OUTPUT.names)
 
+    marked = logs.withWatermark("ts", f"{pending_days} days") if timed else logs
     open_records = (
-        logs.withWatermark("ts", f"{pending_days} days")
+        with_run(marked)
         .where(F.col("train_runtime").isNull())
-        .select("ts", F.unix_millis("ts").alias("_millis"), "seq", "epoch", "step", F.array(*_VALUES).alias("_values"))
+        .select(
+            "ts", F.unix_millis("ts").alias("_millis"), "seq", *KEY, F.array(*_VALUES).alias("_values"), _mask().alias("_mask")
+        )
     )
-    merged = open_records.groupBy("epoch", "step").applyInPandasWithState(
-        merge, _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
-    return merged.select("epoch", "step", *[F.col("values")[i].alias(c) for i, c in enumerate(_VALUES)])
-
-
-def append_merged(
-    logs: DataFrame, path: str, state: str, checkpoint: str, pending_days: int = PENDING_DAYS
-) -> StreamingQuery:
-    """Merge everything available now into Parquet below ``path``; waits for the end.
-
-    Batch ``n`` reads the unfinished records left by batch ``n - 1``, writes
-    its rows to ``path/batch=n`` and what is still unfinished to ``state/n``.
-    Both are overwritten when a batch is repeated, so rows appear exactly once.
-    Records more than ``pending_days`` older than the newest unfinished one
-    are no longer carried.
-    """
-    carried = T.StructType([f for f in logs.schema if f.name in {"ts", "seq", *MERGED_COLUMNS}])
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        records = batch.where(F.col("train_runtime").isNull()).select(*carried.names)
-        if number:
-            records = records.unionByName(spark.read.schema(carried).parquet(f"{state}/{number - 1}"))
-        flagged = with_emissions(records.withColumn("train_runtime", F.lit(None).cast("double"))).persist()
-        merged_groups(flagged).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        waiting = pending_records(flagged)
-        newest = waiting.agg(F.max("ts")).first()[0]
-        if newest is not None:
-            waiting = waiting.where(F.col("ts") >= F.lit(newest) - F.expr(f"interval {int(pending_days)} days"))
-        waiting.select(*carried.names).write.mode("overwrite").parquet(f"{state}/{number}")
-        flagged.unpersist()
-
-    query = (
-        logs.writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    merged = open_records.groupBy(*KEY).applyInPandasWithState(
+        merge, _OUTPUT, _STATE, "append",
+        GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout,
     )
-    query.awaitTermination()
-    return query
+    return merged.select(*KEY, *[_value(i).alias(c) for i, c in enumerate(_VALUES)])
 
 
 def stream_final_metrics(logs: DataFrame) -> DataFrame:
