@@ -139,3 +139,13 @@ def test_other_filters_run_before_scoring(spark, sf_dir):
     scored = rouge.with_rouge_scores(docs, "text", "source").where("lang = 'en' and rougeL > 0")
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
+
+
+def test_rouge_n_row_local_is_not_quadratic(spark):
+    """Long equal texts: the row-local plan agrees with the exploded one and with counting."""
+    text = " ".join(f"w{i % 700}" for i in range(6000))
+    df = spark.createDataFrame([(1, text, text + " extra"), (2, "", "a"), (3, "a b a", "a a c")], "k int, a string, b string")
+    for n in (1, 2, 3):
+        local = {r["k"]: r["s"] for r in df.select("k", rouge.rouge_n("a", "b", n).alias("s")).collect()}
+        exploded = {r["k"]: r["score"] for r in rouge.rouge_n_exploded(df, ["k"], "a", "b", n).collect()}
+        assert local == exploded

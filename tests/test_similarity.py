@@ -28,9 +28,25 @@ def test_embedder(spark):
     rows = [("m", "ab", "aabb"), ("m", "a", "b"), ("m", "ab", "ab"), ("n", "a", "a"), ("m", "c", "a")]
     df = spark.createDataFrame(rows, "model string, target_query string, generated_output string").coalesce(1)
     got = similarity.semantic_similarity(df, "m", letters).collect()
-    assert [r["semantic_similarity"] for r in got] == [1.0, 0.0, 1.0, 0.0]
+    assert {(r["target_query"], r["generated_output"]): r["semantic_similarity"] for r in got} == {
+        ("ab", "aabb"): 1.0, ("a", "b"): 0.0, ("ab", "ab"): 1.0, ("c", "a"): 0.0
+    }
     dense = similarity.text_vectors(df.withColumn("product_id", F.lit(1)), "target_query", embedder=letters)
-    assert [r["vector"] for r in dense.collect()] == [[1, 1], [1, 0], [1, 1], [1, 0], [0, 0]]
+    assert sorted(r["vector"] for r in dense.collect()) == [[0, 0], [1, 0], [1, 0], [1, 1], [1, 1]]
+
+
+def test_each_distinct_text_is_embedded_once_in_batches(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(texts):
+        assert len(texts) <= 7
+        calls.add(len(texts))
+        return np.ones((len(texts), 2))
+
+    rows = [(i, f"t{i % 30}" if i % 3 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "product_id int, t string").repartition(6)
+    assert similarity.text_vectors(df, "t", embedder=count, batch_size=7).count() == 300
+    assert calls.value <= 31
 
 
 def test_model_filter_runs_before_embedding(spark):

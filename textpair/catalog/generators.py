@@ -1,4 +1,4 @@
-"""Three deterministic text generators, the Python twins of ``tables.generations``."""
+"""Three deterministic text generators, the Python twins of ``tables.generations``, and an embedder."""
 
 from __future__ import annotations
 
@@ -21,3 +21,12 @@ def tail(texts: list[str]) -> list[str]:
 
 
 GENERATORS = {"org/lead": lead, "org/mid": mid, "org/tail": tail}
+
+
+class VowelCounts:
+    """A deterministic embedder: counts of vowels and spaces."""
+
+    name = "vowel-counts"
+
+    def load(self):
+        return lambda texts: [[text.count(letter) for letter in "aeiou "] for text in texts]

@@ -9,7 +9,13 @@ from __future__ import annotations
 import math
 
 from textpair.catalog.stem_sql import stems
-from textpair.functions.text import SENTENCE_END, SPACE, WHITESPACE, WORD
+
+# White space as the reference language knows it, and where a
+# sentence ends; written out here so that a slip in the library shows.
+WHITESPACE = '\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000'
+SPACE = '[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]'
+WORD = '[^\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+'
+SENTENCE_END = '([.!?])[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+'
 
 MODELS = ["lead", "mid", "tail"]
 SCORES = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
@@ -231,6 +237,12 @@ def term_cosine(source: str, key: str, a: str, b: str, name: str) -> str:
   FROM {source} p LEFT JOIN {name}_na x ON x.k = p.{key} LEFT JOIN {name}_nb y ON y.k = p.{key} LEFT JOIN {name}_dot d ON d.k = p.{key})"""
 
 
+def content(*columns: str) -> str:
+    """Checksum of text columns over all rows."""
+    texts = ", ".join(f"coalesce({c}, '-')" for c in columns)
+    return f"CAST(sum(('0x' || substr(md5(concat_ws('|', {texts})), 1, 8))::bigint) AS bigint)"
+
+
 def long_scores(where: str, cols=SCORES) -> str:
     return " UNION ALL ".join(
         f"""SELECT model, '{c}' AS metric, "{c}" AS value FROM {where}""" for c in cols
@@ -375,12 +387,15 @@ ORACLES: dict[str, str] = {
     "read_results": f"{RESULTS} SELECT {RESULT_COLUMNS} FROM results",
     "write_results": f"{RESULTS} SELECT {RESULT_COLUMNS} FROM results",
     "write_case_slices": f"""{RESULTS},
-o AS (SELECT a.target_query FROM results a JOIN results b ON a.target_query = b.target_query
+o AS (SELECT a.target_query, a.generated_output AS a_output, b.generated_output AS b_output FROM results a JOIN results b ON a.target_query = b.target_query
   WHERE a.model = 'mid' AND b.model = 'lead' AND {OUTPERFORMED})
-SELECT 'zeros' AS slice, count(*) AS n, count(DISTINCT target_query) AS targets FROM results WHERE model = 'lead' AND {ZERO}
-UNION ALL SELECT 'better_mid', count(*), count(DISTINCT target_query) FROM o
-UNION ALL SELECT 'best', count(*), count(DISTINCT target_query) FROM results WHERE model = 'lead' AND "rougeL" >= 50
-UNION ALL SELECT 'worst', count(*), count(DISTINCT target_query) FROM results WHERE model = 'lead' AND "rougeL" <= 0""",
+SELECT 'zeros' AS slice, count(*) AS n, count(DISTINCT target_query) AS targets, {content("target_query", "generated_output")} AS content
+  FROM results WHERE model = 'lead' AND {ZERO}
+UNION ALL SELECT 'better_mid', count(*), count(DISTINCT target_query), {content("target_query", "a_output", "b_output")} FROM o
+UNION ALL SELECT 'best', count(*), count(DISTINCT target_query), {content("target_query", "generated_output")}
+  FROM results WHERE model = 'lead' AND "rougeL" >= 50
+UNION ALL SELECT 'worst', count(*), count(DISTINCT target_query), {content("target_query", "generated_output")}
+  FROM results WHERE model = 'lead' AND "rougeL" <= 0""",
     "write_metric_logs": f"""WITH {MERGED}
 SELECT 'merged' AS log, true AS stamped, run, epoch, step, loss, "eval_rougeL", NULL::double AS train_runtime FROM merged
 UNION ALL SELECT 'final', true, run, epoch, step, NULL, NULL, value FROM logs WHERE kind = 'final'""",
@@ -485,6 +500,15 @@ SELECT i.product_id, i.ids AS input_ids, i.n::integer AS n_attention, l.ids AS l
     "cosine_similarity": f"WITH {VEC_PAIRS} SELECT vec_id, cosine FROM vecs",
     "text_vectors": f"""WITH {PRODUCTS} SELECT product_id, token, count(*) AS tf
 FROM (SELECT product_id, unnest({tokens("coalesce(description, '')")}) AS token FROM products) GROUP BY ALL""",
+    "text_vectors_embedder": f"""WITH {PRODUCTS} SELECT product_id, concat_ws(' ', {', '.join(
+        f"length(x) - length(replace(x, '{c}', ''))" for c in 'aeiou ')}) AS vector
+FROM (SELECT product_id, coalesce(description, '') AS x FROM products)""",
+    "semantic_similarity_embedder": f"""{RESULTS},
+vowels AS (SELECT product_id, model, {', '.join(f"(length({x}) - length(replace({x}, '{c}', '')))::double AS {n}{i}"
+        for n, x in (("a", "coalesce(target_query, 'None')"), ("b", "coalesce(generated_output, 'None')")) for i, c in enumerate('aeiou '))} FROM results),
+sums AS (SELECT product_id, model, {' + '.join(f'a{i} * b{i}' for i in range(6))} AS dot,
+  sqrt({' + '.join(f'a{i} * a{i}' for i in range(6))}) * sqrt({' + '.join(f'b{i} * b{i}' for i in range(6))}) AS norms FROM vowels)
+SELECT product_id, model, CASE WHEN norms > 0 THEN round(dot / norms, 6) ELSE 0.0::double END AS semantic_similarity FROM sums""",
     "semantic_similarity": f"{RESULTS}, {SIMILAR} SELECT product_id, model, semantic_similarity FROM simrows",
     "batch_generate": f"WITH {GEN} SELECT product_id, model_ord, model, generated_output FROM gen",
     "evaluate_models": f"""{RESULTS} SELECT product_id, coalesce(title, 'None') AS title, coalesce(description, 'None') AS description,
@@ -498,27 +522,27 @@ input_text, target_query, model, generated_output, {SCORE_LIST} FROM results""",
     "analyze_results": f"""{RESULTS}, {BY_SIZE},
 spread AS (SELECT model, count(*) FILTER (hi > lo) AS curves FROM (
   SELECT model, metric, min(value) AS lo, max(value) AS hi FROM ({long_scores(PAIR)}) GROUP BY ALL) GROUP BY model),
-outperformed AS (SELECT 1 FROM results a JOIN results b ON a.target_query = b.target_query
+outperformed AS (SELECT a.target_query, a.generated_output AS a_output, b.generated_output AS b_output FROM results a JOIN results b ON a.target_query = b.target_query
   WHERE a.model = 'mid' AND b.model = 'lead' AND {OUTPERFORMED}),
 counted AS (
-  SELECT 'models' AS report, count(DISTINCT model) AS n FROM results
-  UNION ALL SELECT 'averages', count(DISTINCT model) FROM results
-  UNION ALL SELECT 'histogram', 2 * 4 * 20
-  UNION ALL SELECT 'similarity_histogram', 25
-  UNION ALL SELECT 'gap', 4
-  UNION ALL SELECT 'similarity_correlation', 4
-  UNION ALL SELECT 'lengths', 1
-  UNION ALL SELECT 'density', sum(curves) * 200 FROM spread
-  UNION ALL SELECT 'histogram_overlay', sum(curves) * 200 FROM spread
-  UNION ALL SELECT 'outperformed', count(*) FROM outperformed
-  UNION ALL SELECT 'zeros', count(*) FROM results WHERE model = 'lead' AND {ZERO}
-  UNION ALL SELECT 'best', count(*) FROM results WHERE model = 'lead' AND "rougeL" >= 50
-  UNION ALL SELECT 'worst', count(*) FROM results WHERE model = 'lead' AND "rougeL" <= 0
-  UNION ALL SELECT 'by_size', count(*) FROM sized
-  UNION ALL SELECT 'by_size_diff', count(*) FROM sized
-  UNION ALL SELECT 'similarity', count(*) FROM results WHERE model = 'lead'
-  UNION ALL SELECT 'similarity_vs_rouge', 4 * count(*) FROM results WHERE model = 'lead')
-SELECT report, n::bigint AS n FROM counted""",
+  SELECT 'models' AS report, count(DISTINCT model) AS n, NULL::bigint AS content FROM results
+  UNION ALL SELECT 'averages', count(DISTINCT model), NULL FROM results
+  UNION ALL SELECT 'histogram', 2 * 4 * 20, NULL
+  UNION ALL SELECT 'similarity_histogram', 25, NULL
+  UNION ALL SELECT 'gap', 4, NULL
+  UNION ALL SELECT 'similarity_correlation', 4, NULL
+  UNION ALL SELECT 'lengths', 1, NULL
+  UNION ALL SELECT 'density', sum(curves) * 200, NULL FROM spread
+  UNION ALL SELECT 'histogram_overlay', sum(curves) * 200, NULL FROM spread
+  UNION ALL SELECT 'outperformed', count(*), {content("target_query", "a_output", "b_output")} FROM outperformed
+  UNION ALL SELECT 'zeros', count(*), {content("target_query", "generated_output")} FROM results WHERE model = 'lead' AND {ZERO}
+  UNION ALL SELECT 'best', count(*), {content("target_query", "generated_output")} FROM results WHERE model = 'lead' AND "rougeL" >= 50
+  UNION ALL SELECT 'worst', count(*), {content("target_query", "generated_output")} FROM results WHERE model = 'lead' AND "rougeL" <= 0
+  UNION ALL SELECT 'by_size', count(*), NULL FROM sized
+  UNION ALL SELECT 'by_size_diff', count(*), NULL FROM sized
+  UNION ALL SELECT 'similarity', count(*), NULL FROM results WHERE model = 'lead'
+  UNION ALL SELECT 'similarity_vs_rouge', 4 * count(*), NULL FROM results WHERE model = 'lead')
+SELECT report, n::bigint AS n, content FROM counted""",
     "stream_metrics_merge": f"WITH {MERGED} SELECT {MERGED_COLUMNS} FROM merged",
     "stream_final_metrics": f"WITH {LOGS} SELECT {FINAL_COLUMNS} FROM logs WHERE kind = 'final'",
     "stream_evaluate": f"{RESULTS} SELECT product_id, model, generated_output, {SCORE_LIST} FROM results",

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpair.catalog import tables as t
-from textpair.catalog.generators import GENERATORS
+from textpair.catalog.generators import GENERATORS, VowelCounts
 from textpair.functions import rouge, text, vectors
 from textpair.functions.stem import stem_vocabulary
 from textpair.operators import (
@@ -55,6 +55,12 @@ def ids_text(c: str):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
 
 
+def content(columns) -> Column:
+    """A checksum of the text columns of a report's rows, in any order of rows."""
+    texts = [F.coalesce(c, F.lit("-")) for c in columns if c == "target_query" or c.startswith("generated_output")]
+    return F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", *texts).cast("binary")), 1, 8), 16, 10).cast("bigint"))
+
+
 # --------------------------------------------------------------------------
 # sources and sinks
 
@@ -105,7 +111,7 @@ def write_case_slices(spark, sf):
     for name, folder in zip(slices, folders):
         one = result_files.read_slice(spark, folder, slices[name].schema).agg(
             F.lit(name).alias("slice"), F.count(F.lit(1)).alias("n"),
-            F.count_distinct("target_query").alias("targets"),
+            F.count_distinct("target_query").alias("targets"), content(slices[name].columns).alias("content"),
         )
         back = one if back is None else back.unionByName(one)
     return back
@@ -524,6 +530,18 @@ def semantic_similarity(spark, sf):
     return similarity.semantic_similarity(t.results(spark, sf)).select("product_id", "model", "semantic_similarity")
 
 
+@query
+def text_vectors_embedder(spark, sf):
+    found = similarity.text_vectors(t.products(spark, sf), "description", embedder=VowelCounts())
+    return found.select("product_id", ids_text(F.col("vector").cast("array<int>")).alias("vector"))
+
+
+@query
+def semantic_similarity_embedder(spark, sf):
+    rows = similarity.semantic_similarity(t.results(spark, sf), embedder=VowelCounts())
+    return rows.select("product_id", "model", "semantic_similarity")
+
+
 # --------------------------------------------------------------------------
 # generation and whole programs
 
@@ -553,7 +571,8 @@ def analyze_results_query(spark, sf):
     reports = analyze_results(rows, (0, 1), "row_ord", compute_similarity=True)
     sizes = None
     for name, report in reports.items():
-        one = report.agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("n"))
+        checked = content(report.columns) if name in ("outperformed", "zeros", "best", "worst") else F.lit(None).cast("bigint")
+        one = report.agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("n"), checked.alias("content"))
         sizes = one if sizes is None else sizes.unionByName(one)
     return sizes
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +18,12 @@ def with_column_once(df: DataFrame, name: str, column: Column) -> DataFrame:
     """
     made = df.withColumn("_made", column)
     return made.withColumn(name, F.explode(F.array("_made"))).drop("_made")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression used inside a lambda would be computed for every element; a
+    lambda variable is a computed value.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

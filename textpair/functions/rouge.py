@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textpair.functions.once import with_column_once
+from textpair.functions.once import bound, with_column_once
 from textpair.functions.stem import stem_token
 from textpair.functions.text import _col
 
@@ -65,28 +65,47 @@ def ngrams(tokens: Column, n: int) -> Column:
     """All n-grams of a token array, each joined by a space."""
     if n == 1:
         return tokens
-    size = F.size(tokens)
-    grams = F.transform(
-        F.sequence(F.lit(1), size - (n - 1)),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "),
+
+    def grams(words: Column) -> Column:
+        size = F.size(words)
+        joined = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(size >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    return bound(tokens, grams)
+
+
+def clipped_overlap(p: Column, r: Column) -> Column:
+    """Size of the multiset intersection of two string arrays.
+
+    Both sides' entries are sorted together and counted in one pass, run by run.
+    """
+    def tagged(items: Column, side: int) -> Column:
+        return F.transform(items, lambda g: F.struct(g.alias("gram"), F.lit(side).alias("side")))
+
+    empty = F.struct(
+        F.lit("").alias("gram"), F.lit(0).alias("p"), F.lit(0).alias("r"), F.lit(0).alias("total")
     )
-    return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
 
+    def step(run: Column, item: Column) -> Column:
+        same = run["gram"] == item["gram"]
+        on_left, on_right = (F.when(item["side"] == side, 1).otherwise(0) for side in (0, 1))
+        return F.struct(
+            item["gram"].alias("gram"),
+            (F.when(same, run["p"]).otherwise(0) + on_left).alias("p"),
+            (F.when(same, run["r"]).otherwise(0) + on_right).alias("r"),
+            (run["total"] + F.when(same, 0).otherwise(F.least(run["p"], run["r"]))).alias("total"),
+        )
 
-def _count_in(grams: Column, gram: Column) -> Column:
-    return F.size(F.filter(grams, lambda g: g == gram))
+    both = F.array_sort(F.concat(tagged(p, 0), tagged(r, 1)))
+    return F.aggregate(both, empty, step, lambda run: run["total"] + F.least(run["p"], run["r"]))
 
 
 def rouge_n(pred: Column | str, ref: Column | str, n: int) -> Column:
-    """Clipped n-gram overlap, ``struct<p, r, f>``; row-local plan."""
-    p = ngrams(rouge_tokens(pred), n)
-    r = ngrams(rouge_tokens(ref), n)
-    overlap = F.aggregate(
-        F.array_intersect(p, r),
-        F.lit(0),
-        lambda acc, g: acc + F.least(_count_in(p, g), _count_in(r, g)),
+    """Clipped n-gram overlap, ``struct<p, r, f>``; row-local plan, sorted once per pair."""
+    grams = F.struct(ngrams(rouge_tokens(pred), n).alias("p"), ngrams(rouge_tokens(ref), n).alias("r"))
+    return bound(
+        grams, lambda g: overlap_scores(clipped_overlap(g["p"], g["r"]), F.size(g["p"]), F.size(g["r"]))
     )
-    return overlap_scores(overlap, F.size(p), F.size(r))
 
 
 def rouge_n_exploded(

@@ -70,13 +70,18 @@ def truncate_tokens(tokens: Column | str, max_len: int) -> tuple[Column, Column]
 
 def joined_for_training(cols: Sequence[str]) -> Column:
     """Non-empty parts joined by a blank line, outer white space removed."""
-    parts = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in cols]
+    parts = [F.nullif(_text_form(F.col(c)), F.lit("")) for c in cols]
     return strip_text(F.concat_ws(BLANK_LINE, *parts))
 
 
+def _text_form(c: Column) -> Column:
+    """Any value as text; truth values are ``True`` and ``False``."""
+    return F.when(F.typeof(c) == "boolean", F.initcap(c.cast("string"))).otherwise(c.cast("string"))
+
+
 def as_text(c: Column | str) -> Column:
     """Text form of any value; a missing value becomes the text ``None``."""
-    return F.coalesce(_col(c).cast("string"), F.lit(MISSING))
+    return F.coalesce(_text_form(_col(c)), F.lit(MISSING))
 
 
 def joined_for_evaluation(cols: Sequence[str]) -> Column:

@@ -1,7 +1,7 @@
 """Histograms, densities and correlations of scores.
 
-Scores have two decimals and similarities six, so a metric has a bounded
-number of distinct values.  Every distribution first counts rows per distinct
+Scores have two decimals and similarities six, so these metrics have a bounded
+number of distinct values; round others first if so wished.  Every distribution first counts rows per distinct
 value, with partial counts before the shuffle, and works on those counts; after
 that step the cost no longer depends on the number of rows.
 """
@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpair.functions.rouge import SCORE_COLUMNS
-from textpair.functions.vectors import DECIMALS
 from textpair.operators.compare import model_pair_filter, scores_long
 
 # Bins of the score and similarity histograms, points of a
@@ -30,9 +29,8 @@ _GROUP = ["model", "metric"]
 
 def value_counts(long: DataFrame) -> DataFrame:
     """Rows per (model, metric, value); missing values and NaN are left out."""
-    value = F.round("value", DECIMALS)
     present = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    return present.groupBy(*_GROUP, value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return present.groupBy(*_GROUP, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def histogram(long: DataFrame, bins: int) -> DataFrame:

@@ -40,7 +40,7 @@ def row_by_model(df: DataFrame, models: Sequence[str]) -> DataFrame:
     return df.select("*", F.inline(choices))
 
 
-def _loaded(path: str, model):
+def loaded(path: str, model):
     """The generator itself; one with ``load`` is loaded once per worker process."""
     if not hasattr(model, "load"):
         return model
@@ -81,7 +81,7 @@ def batch_generate(
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def outputs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        generators = [_loaded(path, m) for path, m in items]
+        generators = [loaded(path, m) for path, m in items]
         for series in batches:
             texts = series.tolist()
             columns = [_run(g, texts, batch_size) for g in generators]

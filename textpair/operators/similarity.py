@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,44 +13,55 @@ from pyspark.sql import types as T
 
 from textpair.functions.rouge import rouge_lines
 from textpair.functions.text import as_text
-from textpair.functions.vectors import DECIMALS, with_text_cosine
+from textpair.functions.vectors import DECIMALS, cosine_similarity, with_text_cosine
+from textpair.operators.generate import loaded
 
 Embedder = Callable[[list[str]], np.ndarray]
 
+# Texts handed to an embedder at once.
+EMBED_BATCH = 256
+
 
 @F.pandas_udf(T.MapType(T.StringType(), T.LongType()))
 def _term_counts(texts: pd.Series) -> pd.Series:
     return pd.Series([dict(Counter(text.split())) for text in texts], dtype="object")
 
 
-def _embed_once(embed: Embedder, texts: list[str]) -> dict[str, np.ndarray]:
-    """Vectors of the distinct texts of one batch."""
-    distinct = list(dict.fromkeys(texts))
-    vectors = np.asarray(embed(distinct), dtype="float64")
-    if len(vectors) != len(distinct):
-        raise ValueError(f"embedder returned {len(vectors)} vectors for {len(distinct)} texts")
-    return dict(zip(distinct, vectors))
+def _vectors(texts: DataFrame, embedder, batch_size: int) -> DataFrame:
+    """``(_text, vector)``: each distinct text of the table embedded once, ``batch_size`` at a time.
+
+    An embedder with ``load`` is loaded once per Python worker.
+    """
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = loaded(f"embedder:{getattr(embedder, 'name', type(embedder).__qualname__)}", embedder)
+        for series in batches:
+            values, rows = series.tolist(), []
+            for start in range(0, len(values), batch_size):
+                part = values[start : start + batch_size]
+                made = np.asarray(run(part), dtype="float32")
+                if len(made) != len(part):
+                    raise ValueError(f"embedder returned {len(made)} vectors for {len(part)} texts")
+                rows.extend(made)
+            yield pd.Series(rows, dtype="object")
+
+    return texts.distinct().select("_text", embed.asNondeterministic()("_text").alias("vector"))
 
 
 def text_vectors(
-    df: DataFrame, column: str, key: str = "product_id", embedder: Embedder | None = None
+    df: DataFrame, column: str, key: str = "product_id", embedder: Embedder | None = None, batch_size: int = EMBED_BATCH
 ) -> DataFrame:
     """Vectors of a text column.
 
-    With an ``embedder`` (a function from texts to a matrix): ``(key, vector)``,
-    computed in batches, each distinct text of a batch once.  Without: sparse
-    term frequencies ``(key, token, tf)``, counted where the text is.
+    With an ``embedder`` (a function from texts to a matrix, or an object whose
+    ``load`` returns one): ``(key, vector)``, each distinct text of the table
+    embedded once.  Without: sparse term frequencies ``(key, token, tf)``,
+    counted where the text is.
     """
     if embedder is None:
         return df.select(key, F.explode(_term_counts(rouge_lines(column))).alias("token", "tf"))
-
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(texts: pd.Series) -> pd.Series:
-        values = texts.fillna("").tolist()
-        vectors = _embed_once(embedder, values) if values else {}
-        return pd.Series([vectors[t].astype("float32") for t in values], dtype="object")
-
-    return df.select(key, embed.asNondeterministic()(column).alias("vector"))
+    texts = df.select(key, F.coalesce(F.col(column), F.lit("")).alias("_text"))
+    return texts.join(_vectors(texts.select("_text"), embedder, batch_size), "_text").select(key, "vector")
 
 
 def semantic_similarity(
@@ -60,28 +71,22 @@ def semantic_similarity(
     target: str = "target_query",
     output: str = "generated_output",
     out: str = "semantic_similarity",
+    batch_size: int = EMBED_BATCH,
 ) -> DataFrame:
     """Add the cosine of target and output, after keeping one model if named.
 
-    Both texts are in the row, so nothing is joined: a batch embeds its
-    distinct texts once, and a text that fills a third of the table costs one
-    embedding per batch.
+    With an ``embedder`` each distinct text of the table is embedded once and
+    joined to its rows; a text that fills a third of the table is a hot key that
+    the adaptive skew join splits.
     """
     rows = results if model is None else results.where(F.col("model") == model)
     if embedder is None:
         return with_text_cosine(rows, as_text(target), as_text(output), out)
-
-    @F.pandas_udf(T.DoubleType())
-    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-        left, right = a.tolist(), b.tolist()
-        if not left:
-            return pd.Series([], dtype="float64")
-        vectors = _embed_once(embedder, left + right)
-        x = np.stack([vectors[t] for t in left])
-        y = np.stack([vectors[t] for t in right])
-        norms = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
-        dots = np.einsum("ij,ij->i", x, y)
-        return pd.Series(np.where(norms > 0, dots / np.where(norms > 0, norms, 1.0), 0.0))
-
-    similarity = cosine.asNondeterministic()(as_text(target), as_text(output))
-    return rows.withColumn(out, F.round(similarity, DECIMALS))
+    keyed = rows.withColumns({"_target": as_text(target), "_output": as_text(output)})
+    texts = keyed.select(F.explode(F.array("_target", "_output")).alias("_text"))
+    vectors = _vectors(texts, embedder, batch_size)
+    paired = keyed.join(vectors.select(F.col("_text").alias("_target"), F.col("vector").alias("_a")), "_target").join(
+        vectors.select(F.col("_text").alias("_output"), F.col("vector").alias("_b")), "_output"
+    )
+    similarity = F.coalesce(cosine_similarity("_a", "_b"), F.lit(0.0))
+    return paired.withColumn(out, F.round(similarity, DECIMALS)).select(*rows.columns, out)
