@@ -1,6 +1,6 @@
 """Metric logs as a stream: the keyed merge, and final records.
 
-The state of a key is what it still waits with.  For many keys use the RocksDB
+The state is the records that still wait for their other side.  For many keys use the RocksDB
 state store (``textpair.session.RUNTIME_CONF`` sets it): a batch then costs what
 arrives in it, not what is pending.
 """
@@ -19,20 +19,21 @@ from textpair.operators.checkpoints import EVAL_MARKS, KEY, TRAIN_MARKS, final_m
 from textpair.sources.metric_logs import EVAL_KEYS, TRAIN_KEYS, with_run
 
 _VALUES = [*TRAIN_KEYS, *EVAL_KEYS]
-# The values travel as one array, because state functions pay per column and
-# key, next to a bit mask of those present, because arrays in Python do not
-# tell a missing value from NaN.
-_RECORD = [T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("mask", T.LongType())]
-_STATE = T.StructType([*_RECORD, T.StructField("until", T.LongType())])
-_OUTPUT = T.StructType(
-    [
-        T.StructField("run", T.StringType()), T.StructField("epoch", T.DoubleType()),
-        T.StructField("step", T.LongType()), *_RECORD,
-    ]
-)
+# A record's values travel as one array, because state functions pay per column,
+# next to a bit mask of those present, because arrays in Python do not tell a
+# missing value from NaN.  Its epoch and step travel as one text.
+_RECORD = [
+    T.StructField("key", T.StringType()), T.StructField("values", T.ArrayType(T.DoubleType())),
+    T.StructField("mask", T.LongType()),
+]
+_STATE = T.StructType([T.StructField("pending", T.ArrayType(T.StructType([*_RECORD, T.StructField("until", T.LongType())])))])
+_OUTPUT = T.StructType([T.StructField("run", T.StringType()), *_RECORD])
 _TRAIN_BITS = sum(1 << _VALUES.index(c) for c in TRAIN_MARKS)
 _EVAL_BITS = sum(1 << _VALUES.index(c) for c in EVAL_MARKS)
 _NAN = float("nan")
+# Consecutive steps of a run that share one state: calling a state function
+# costs far more than folding a record.
+STEPS_PER_STATE = 64
 
 
 def _mask() -> Column:
@@ -58,56 +59,58 @@ def stream_metrics_merge(logs: DataFrame, pending_days: int | None = None) -> Da
     """
     timed = pending_days is not None
 
-    def merge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        values, mask = [_NAN] * len(_VALUES), 0
+    def merge(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs() if timed else 0
+        pending: dict[str, tuple[list[float], int, int]] = {}
         if state.exists:
-            stored, mask, until = state.get
-            values = [_NAN if v is None else v for v in stored]
-            if timed and until <= state.getCurrentWatermarkMs():
-                # Overdue, but called for its new records instead.
-                values, mask = [_NAN] * len(_VALUES), 0
+            for key, values, mask, until in state.get[0]:
+                if not timed or until > watermark:
+                    pending[key] = ([_NAN if v is None else v for v in values], mask, until)
         arrived: list[tuple] = []
-        for frame in frames:
-            arrived.extend(zip(*(frame[c].tolist() for c in ("seq", "_millis", "_values", "_mask"))))
-        arrived.sort(key=lambda record: record[0])
+        if not state.hasTimedOut:
+            for frame in frames:
+                arrived.extend(zip(*(frame[c].tolist() for c in ("seq", "_millis", "_key", "_values", "_mask"))))
+            arrived.sort(key=lambda record: record[0])
         emitted: list[tuple] = []
-        for _, _, given, present in arrived:
+        for _, millis, key, given, present in arrived:
+            values, mask, until = pending.get(key) or ([_NAN] * len(_VALUES), 0, 0)
             for i in range(len(_VALUES)):
                 if present >> i & 1:
                     values[i] = _NAN if given[i] is None else float(given[i])
             mask |= present
             if mask & _TRAIN_BITS and mask & _EVAL_BITS:
-                emitted.append((values, mask))
-                values, mask = [_NAN] * len(_VALUES), 0
-        if mask:
-            until = max(millis for _, millis, _, _ in arrived) + 1
-            if timed:
-                until = max(until, state.getCurrentWatermarkMs() + 1)
-            state.update((values, mask, until))
+                emitted.append((group[0], key, values, mask))
+                pending.pop(key, None)
+            elif mask:
+                pending[key] = (values, mask, max(until, millis + 1, watermark + 1))
+        if pending:
+            state.update(([(key, *rest) for key, rest in pending.items()],))
             if timed:
-                state.setTimeoutTimestamp(until)
+                state.setTimeoutTimestamp(min(until for _, _, until in pending.values()))
         elif state.exists:
             state.remove()
         if emitted:
-            rows = [(*key, *row) for row in emitted]
-            yield pd.DataFrame(rows, columns=_OUTPUT.names)
+            yield pd.DataFrame(emitted, columns=_OUTPUT.names)
 
     marked = logs.withWatermark("ts", f"{pending_days} days") if timed else logs
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in KEY if c != "run"]
     open_records = (
         with_run(marked)
         .where(F.col("train_runtime").isNull())
         .select(
-            "ts", F.unix_millis("ts").alias("_millis"), "seq", *KEY, F.array(*_VALUES).alias("_values"), _mask().alias("_mask")
+            "ts", F.unix_millis("ts").alias("_millis"), "seq", "run", F.floor(F.col("step") / STEPS_PER_STATE).alias("_steps"),
+            F.concat_ws("|", *key).alias("_key"), F.array(*_VALUES).alias("_values"), _mask().alias("_mask"),
         )
     )
-    merged = open_records.groupBy(*KEY).applyInPandasWithState(
+    merged = open_records.groupBy("run", "_steps").applyInPandasWithState(
         merge, _OUTPUT, _STATE, "append",
         GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout,
     )
-    return merged.select(*KEY, *[_value(i).alias(c) for i, c in enumerate(_VALUES)])
+    epoch, step = (F.nullif(F.split("key", "[|]")[i], F.lit("")) for i in range(2))
+    return merged.select(
+        "run", epoch.cast("double").alias("epoch"), step.cast("bigint").alias("step"),
+        *[_value(i).alias(c) for i, c in enumerate(_VALUES)],
+    )
 
 
 def stream_final_metrics(logs: DataFrame) -> DataFrame:
