@@ -66,7 +66,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    found = minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query
@@ -127,3 +128,26 @@ WITH codes AS (
 )
 SELECT * FROM placed WHERE rank <= 10
 """
+
+LLM_ORACLES["op9_minhash"] = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda w: w <> '') AS ws
+  FROM documents
+), shingled AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle
+  FROM worded
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS hits
+  FROM shingled x JOIN shingled y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * hits >= 85 * (x.n + y.n - hits)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT DISTINCT a AS doc_id, a AS other FROM edges UNION SELECT reached.doc_id, edges.b FROM reached JOIN edges ON edges.a = reached.other
+), components AS (SELECT doc_id, min(other) AS root FROM reached GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN components USING (doc_id)
+"""
