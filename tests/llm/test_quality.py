@@ -21,7 +21,8 @@ def rows(n=400):
 
 def test_held_out_accuracy_and_edge_cases(spark):
     docs, labels = rows()
-    edge = [(900, None), (901, ""), (902, "plain lan del " * 40_000), (None, "lan del mior"), (3, "lan del"), (3, "lan del")]
+    clean = [t for (_, t), (_, good) in zip(docs, labels, strict=True) if good]
+    edge = [(900, None), (901, ""), (902, " ".join(clean * 10)), (None, "lan del mior"), (3, "lan del"), (3, "lan del")]
     table = spark.createDataFrame(docs + edge, "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS label").repartition(4)
     marked = spark.createDataFrame([*labels, (900, None), (901, 0), (901, 1), (None, 1)], "doc_id long, quality int")
     got = q.assess(table, marked).collect()

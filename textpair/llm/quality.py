@@ -45,6 +45,8 @@ REACH = 2
 HIDDEN = 32
 EPOCHS = 60
 THRESHOLD = 0.3
+# Standard deviations beyond which a feature no longer counts.
+FARTHEST = 4.0
 REMEMBERED_TOKENS = 300_000
 BLOCK_CHARS = 200_000
 
@@ -191,6 +193,12 @@ def logits(features: np.ndarray, layers: list[np.ndarray]) -> np.ndarray:
     return np.maximum(features @ w1 + b1, 0) @ w2 + b2[0]
 
 
+def scaled(features: np.ndarray, center: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Standardised features.  They are bounded, so a text far longer or shorter than any
+    learned from is judged like the longest or shortest of those."""
+    return np.clip((features - center) / spread, -FARTHEST, FARTHEST)
+
+
 def fit_network(features: np.ndarray, labels: np.ndarray, seed: int = 0) -> list[np.ndarray]:
     """Two layers by Adam on the log loss, in batches."""
     random = np.random.default_rng(seed)
@@ -269,16 +277,16 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> QualityMode
     if kept.all():
         kept[:] = False
     center, spread = features[~kept].mean(axis=0), features[~kept].std(axis=0) + 1e-3
-    scaled = (features - center) / spread
-    layers = fit_network(scaled[~kept], y[~kept])
-    temperature = fit_temperature(logits(scaled[kept], layers), y[kept])
+    inputs = scaled(features, center, spread)
+    layers = fit_network(inputs[~kept], y[~kept])
+    temperature = fit_temperature(logits(inputs[kept], layers), y[kept])
     return QualityModel(vocabulary, vectors, center, spread, layers, temperature)
 
 
 def scores_of(texts: list[str | None], numbers: TokenNumbers, model: QualityModel) -> np.ndarray:
     rows = [pooled(t, numbers, model.vectors) for t in texts]
     features = np.array(rows, np.float64).reshape(len(rows), len(model.center))
-    values = logits((features - model.center) / model.spread, model.layers) / model.temperature
+    values = logits(scaled(features, model.center, model.spread), model.layers) / model.temperature
     return 1 / (1 + np.exp(-np.clip(values, -40, 40)))
 
 
