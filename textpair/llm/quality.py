@@ -39,6 +39,8 @@ from textpair.session import ship_package
 
 SAMPLE = 12_000
 VOCABULARY = 20_000
+# Rarer tokens of the sample count as their shape there too, as they do in other texts.
+LEAST_COUNT = 20
 DIMENSIONS = 64
 NONZERO = 8
 REACH = 2
@@ -259,7 +261,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> QualityMode
         return None
     texts = sample.select("text")
     counted = texts.mapInArrow(count_batches, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    frequent = counted.where("n > 1").orderBy(F.desc("n"), "token").limit(VOCABULARY)
+    frequent = counted.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "token").limit(VOCABULARY)
     vocabulary = [*SHAPES, *(r["token"] for r in frequent.collect())]
 
     sums = texts.mapInArrow(context_batches(vocabulary), "token int, vector array<float>")
