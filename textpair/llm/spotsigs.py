@@ -124,10 +124,11 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     next document.  Texts are shuffled once, by key; the next document's start
     and signatures are shuffled to where they are needed.
     """
-    # Null ids meet through a key that is never null.
+    # Null ids meet through a key that is never null.  Both joins below read the
+    # same three columns, so the texts are shuffled for the first and reused.
     keyed = docs.select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"), F.xxhash64("text").alias("_text_hash"),
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
     order = neighbours(docs).select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"), "_text_hash",
@@ -146,7 +147,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), "_start")
     both = keyed.join(starts, ["_key", "_text_hash"]).select(
-        "doc_id", n.cast("bigint").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"),
+        F.nullif("_key", F.lit("")).cast("bigint").alias("doc_id"), n.cast("bigint").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"),
         F.struct(
             signatures(F.col("text")).alias("own"), signatures(edited).alias("edited"),
             F.col("_next_signs").alias("next"),
