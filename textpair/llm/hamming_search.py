@@ -3,6 +3,7 @@
 A code is cut into four segments of 16 bits.  Two codes at distance d agree
 within floor(d / 4) bits in some segment, so looking up all values within
 radius r of the query's segments finds everything up to a certain distance.
+Joins are sort-merge joins: a broadcast per step would pile up on the driver.
 The radius grows step by step, one segment at a time; after radius r in the
 first j segments and r - 1 in the others, all codes up to distance 4r + j - 1
 are known.  A query stops when its k-th verified distance is within that.
@@ -21,6 +22,7 @@ gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpair.llm.common import stored
+from textpair.session import shared_dir
 
 BITS = 64
 SEGMENTS = 4
@@ -35,6 +38,7 @@ WIDTH = BITS // SEGMENTS
 K = 10
 QUERY_EVERY = 20
 BLOCKS = 256
+FOUND = "query long, distance int, first_id long, code long, n int"
 
 
 def sign_code(vector: Column) -> Column:
@@ -54,9 +58,10 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def flips(radius: int) -> list[int]:
-    """All values of a segment with so many bits."""
-    return [sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius)]
+def flips(radius: int) -> Column:
+    """All values of a segment with so many bits, as one constant array."""
+    values = (sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius))
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -85,40 +90,56 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         "distinct-codes",
     )
     total = codes.count()
-    asked = rows.where("asks").select(F.col("code").alias("query")).distinct()
-    active = stored(asked, "queries")
-    best = spark.createDataFrame([], "query long, distance int, first_id long, code long, n int")
-    finished: list[DataFrame] = []
+    active = stored(rows.where("asks").select(F.col("code").alias("query")).distinct(), "queries")
+    best = spark.createDataFrame([], FOUND)
     target = codes.select("code", "first_id", F.size("ids").alias("n"))
-
+    finished = shared_dir(spark, "neighbours")
+
+    for radius, numbers, scan in steps(total):
+        if scan:
+            covered, found, best = BITS, all_codes(active, target), best.limit(0)
+        else:
+            covered = SEGMENTS * radius + numbers[-1]
+            found = looked_up(active, target, radius, numbers[0])
+            for number in numbers[1:]:
+                found = found.unionByName(looked_up(active, target, radius, number))
+        best = stored(ranked(best.unionByName(found), k), "best")
+        ids = F.sum(F.when(F.col("distance") <= covered, F.col("n")).otherwise(0))
+        done = stored(best.groupBy("query").agg(ids.alias("ids")).where(F.col("ids") >= (0 if scan else k + 1)).select("query"), "done")
+        best.join(done.hint("merge"), "query", "left_semi").write.mode("append").parquet(finished)
+        active = stored(active.join(done.hint("merge"), "query", "left_anti"), "queries")
+        best = best.join(done.hint("merge"), "query", "left_anti")
+        if active.isEmpty():
+            break
+    else:
+        # Every distance is covered: these queries have fewer than k others.
+        best.write.mode("append").parquet(finished)
+    return expanded(rows, codes, spark.read.schema(FOUND).parquet(finished), k)
+
+
+def steps(total: int) -> Iterator[tuple[int, list[int], bool]]:
+    """Radius, segments looked up in one go, and whether to look at all codes instead.
+
+    Radii of few values are looked up in all segments at once.
+    """
     for radius in range(WIDTH + 1):
-        scan = comb(WIDTH, radius) > total
-        for number in range(1 if scan else SEGMENTS):
-            if scan:
-                covered, found = BITS, all_codes(active, target)
-                best = best.limit(0)
-            else:
-                covered, found = SEGMENTS * radius + number, looked_up(active, target, radius, number)
-            best = stored(ranked(best.unionByName(found), k), "best")
-            ids = F.sum(F.when(F.col("distance") <= covered, F.col("n")).otherwise(0))
-            complete = best.groupBy("query").agg(ids.alias("ids")).where(F.col("ids") >= (0 if scan else k + 1))
-            done = stored(complete.select("query"), "done")
-            finished.append(best.join(done, "query"))
-            active = stored(active.join(done, "query", "left_anti"), "queries")
-            best = best.join(done, "query", "left_anti")
-            if scan or active.isEmpty():
-                return expanded(rows, codes, finished, k)
-    return expanded(rows, codes, [*finished, best], k)
+        if comb(WIDTH, radius) > total:
+            yield radius, [], True
+            return
+        if radius <= 1:
+            yield radius, list(range(SEGMENTS)), False
+        else:
+            yield from ((radius, [number], False) for number in range(SEGMENTS))
 
 
 def looked_up(active: DataFrame, target: DataFrame, radius: int, number: int) -> DataFrame:
     """New pairs whose segment ``number`` differs in ``radius`` bits."""
-    masks = F.explode(F.array(*[F.lit(m).cast("long") for m in flips(radius)])).alias("_mask")
+    masks = F.explode(flips(radius)).alias("_mask")
     probes = active.select("query", masks).select(
         "query", segment(F.col("query"), number).bitwiseXOR(F.col("_mask")).alias("_value")
     )
     index = target.withColumn("_value", segment(F.col("code"), number))
-    pairs = probes.join(index, "_value")
+    pairs = probes.join(index.hint("merge"), "_value")
     # Steps before this one had radius in the segments below, radius - 1 in those above.
     for other in range(SEGMENTS):
         if other != number:
@@ -136,17 +157,14 @@ def all_codes(active: DataFrame, target: DataFrame) -> DataFrame:
     return pairs.select("query", distance(F.col("query"), F.col("code")).alias("distance"), "first_id", "code", "n")
 
 
-def expanded(rows: DataFrame, codes: DataFrame, finished: list[DataFrame], k: int) -> DataFrame:
+def expanded(rows: DataFrame, codes: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """From pairs of codes to neighbours of rows."""
-    found = finished[0]
-    for part in finished[1:]:
-        found = found.unionByName(part)
-    ids = found.select("query", "distance", "code").join(codes.select("code", "ids"), "code")
+    ids = found.select("query", "distance", "code").join(codes.select("code", "ids").hint("merge"), "code")
     near = ids.select("query", "distance", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy("distance", "vec_id")
     near = near.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k + 1)
     lists = near.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("distance", "vec_id"))).alias("_near"))
     asking = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("code").alias("query"))
     others = F.slice(F.filter("_near", lambda n: n["vec_id"] != F.col("query_id")), 1, k)
-    listed = asking.join(lists, "query").select("query_id", F.posexplode(others).alias("rank", "_one"))
+    listed = asking.join(lists.hint("merge"), "query").select("query_id", F.posexplode(others).alias("rank", "_one"))
     return listed.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("_one.vec_id").alias("vec_id"), F.col("_one.distance").alias("distance"))
