@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from textpair.llm import minhash
 from textpair.llm.components import connected_components
 
@@ -105,3 +106,56 @@ def test_deduplicated_keeps_one_of_each(spark):
     got = minhash.deduplicated(docs)
     assert got.columns == docs.columns
     assert sorted([tuple(r) for r in got.collect()], key=str) == sorted([rows[1], rows[2], rows[4], rows[5], rows[6]], key=str)
+
+
+def between(rng, shared, own):
+    """Two texts with ``shared`` equal and ``own`` different shingles each."""
+    common = [f"c{rng.randrange(10**9)}" for _ in range(shared + 4)]
+    return [" ".join([*common, *[f"t{rng.randrange(10**9)}" for _ in range(own)]]) for _ in range(2)]
+
+
+def test_pipeline_stage_links_from_eighty_percent(spark):
+    """Pairs of 0.80 and a little more are linked by the stage, those below are not; op9's own bound stays."""
+    rng = random.Random(11)
+    pairs = [(80, 10), (81, 10), (84, 10), (164, 20), (168, 20), (79, 10), (158, 20), (60, 10)] * 8
+    rows = list(enumerate(t for shared, own in pairs for t in between(rng, shared, own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    linked = [100 * shared >= 80 * (shared + 2 * own) for shared, own in pairs]
+    assert kept == {2 * i for i in range(len(pairs))} | {2 * i + 1 for i, near in enumerate(linked) if not near}
+    assert all(r.kept for r in minhash.near_duplicates(docs).collect())
+
+
+def test_stage_equals_brute_force_at_eighty_percent(spark):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = minhash.near_duplicates(docs, corpus_pipeline.NEAR_DUPLICATE_PERCENT).collect()
+    want = brute_at(rows, 80)
+    assert sorted((r.doc_id, r.component_id) for r in got) == want
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    assert kept == {component for _, component in want}
+
+
+def brute_at(rows, percent):
+    """Component per row by comparing all pairs of full sets at any percentage."""
+    sets = []
+    for _, text in rows:
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set())
+    component = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and component[i] != component[j] and 100 * len(a & b) >= percent * len(a | b):
+                old, new = component[i], component[j]
+                component = [new if c == old else c for c in component]
+    least = {}
+    for (doc_id, _), c in zip(rows, component, strict=True):
+        least[c] = min(doc_id, least.get(c, doc_id))
+    return sorted((doc_id, least[c]) for (doc_id, _), c in zip(rows, component, strict=True))
+
+
+def test_bands_follow_from_the_percentage():
+    assert minhash.bands_for(85) == minhash.Bands(85, 32, 6, 139)
+    for percent in (50, 70, 80, 90, 95):
+        bands = minhash.bands_for(percent)
+        assert bands.minima <= minhash.MINIMA and (1 - (percent / 100) ** bands.rows) ** bands.count <= 1e-6

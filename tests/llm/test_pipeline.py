@@ -71,3 +71,17 @@ def test_the_rest_works_without_these_folders(tmp_path):
             shutil.copy(source, tmp_path / name)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'rouge_1' in q and 'pipeline' not in q and not any(n.startswith('op') and n[2].isdigit() for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_stages_from_near_dedup_on(spark, sf_dir):
+    """Near-dedup keeps one document of each component at the pipeline's own percentage; what follows takes those."""
+    docs = read_table(spark, sf_dir, "documents")
+    single = stored(corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir), "test-near")
+    components = minhash.near_duplicates(docs, 80)
+    assert single.columns == docs.columns
+    assert {r.doc_id for r in single.collect()} == {r.component_id for r in components.collect()}
+    assert single.count() == single.select("doc_id").distinct().count()
+    mixed = stored(corpus_pipeline.mixing_stage(spark, single, sf_dir), "test-mixed")
+    size = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    words = [df.agg(F.sum(size)).first()[0] for df in (single, mixed)]
+    assert mixed.columns == docs.columns and abs(words[1] - 1.5 * words[0]) <= 20

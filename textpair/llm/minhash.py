@@ -1,7 +1,7 @@
 """Near-duplicates by MinHash.
 
 1. One pass over the texts makes a sketch per document: the number of distinct
-   word shingles, a 128-bit key of the whole set, ``BANDS * ROWS`` universal
+   word shingles, a 128-bit key of the whole set, up to ``MINIMA`` universal
    hash minima (16 bits of each are kept) and one key per band of minima.
 2. Documents with equal sets form one class; everything after that works on
    classes, so copies cost nothing.
@@ -15,8 +15,10 @@
    neither shuffled nor written.
 5. Links are closed to components by alternating large-star and small-star.
 
-With 32 bands of 6 minima two sets of similarity 0.85 share no band with
-probability 3e-7, and miss the bound on agreeing minima with 1e-6.
+The wanted similarity is a parameter; bands and the bound on agreeing minima
+follow from it.  For 0.85 there are 32 bands of 6 minima, for 0.80 there are 38
+of 5: two sets of just that similarity share no band with probability 3e-7, and
+miss the bound with 1e-6.
 
 Edge cases: a null or empty text, or one of white space, has no shingles and is
 linked with nothing; fewer than five words are one shingle; a row without an id
@@ -27,6 +29,7 @@ belongs to the component of equal texts if those have an id, else to none
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +43,9 @@ from textpair.session import ship_package
 
 SHINGLE = 5
 PERCENT = 85
-BANDS = 32
-ROWS = 6
-# Agreeing minima that a pair of similarity PERCENT reaches but for 1e-6.
-LEAST_AGREEING = int(BANDS * ROWS * (PERCENT / 100 - 4.75 * (PERCENT / 100 * (1 - PERCENT / 100) / (BANDS * ROWS)) ** 0.5))
+MINIMA = 192
+# A pair of just the wanted similarity shares no band with this probability at most.
+MISSED = 1e-6
 REMEMBERED_WORDS = 400_000
 BLOCK = 512
 # A block of a cluster has about so many classes and shingles at most.
@@ -53,15 +55,40 @@ BLOCK_SHINGLES = 1_000_000
 PRODUCT_COLUMNS = 4096
 
 _random = np.random.Generator(np.random.PCG64(20240229))
-MULTIPLIERS = _random.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-PLACES = _random.integers(1, 2**63, max(SHINGLE, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BAND_SALTS = _random.integers(0, 2**63, BANDS, dtype=np.uint64)
+MULTIPLIERS = _random.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OFFSETS = _random.integers(0, 2**63, MINIMA, dtype=np.uint64)
+PLACES = _random.integers(1, 2**63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BAND_SALTS = _random.integers(0, 2**63, MINIMA, dtype=np.uint64)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 SKETCH = "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, minima binary"
 
 
+@dataclass(frozen=True)
+class Bands:
+    """How minima are banded to find the pairs of ``percent`` similarity or more."""
+
+    percent: int
+    count: int
+    rows: int
+    least_agreeing: int  # minima that a pair of just that similarity reaches but for 1e-6
+
+    @property
+    def minima(self) -> int:
+        return self.count * self.rows
+
+
+def bands_for(percent: int) -> Bands:
+    """The longest bands that miss a pair of ``percent`` similarity with ``MISSED`` at most."""
+    share = percent / 100
+    for rows in range(len(PLACES), 0, -1):
+        count = MINIMA // rows
+        if (1 - share**rows) ** count <= MISSED:
+            n = count * rows
+            return Bands(percent, count, rows, int(n * (share - 4.75 * (share * (1 - share) / n) ** 0.5)))
+    raise ValueError(f"{MINIMA} minima do not find pairs of {percent} percent similarity")
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
@@ -100,43 +127,46 @@ def set_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The smallest value of each universal hash over a set; memory is bounded by blocks."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+def minima(shingles: np.ndarray, count: int) -> np.ndarray:
+    """The smallest value of each of ``count`` universal hashes over a set; memory is bounded by blocks."""
+    least = np.full(count, 2**64 - 1, np.uint64)
     for start in range(0, len(shingles), BLOCK):
-        values = np.multiply.outer(MULTIPLIERS, shingles[start : start + BLOCK])
-        values += OFFSETS[:, None]
+        values = np.multiply.outer(MULTIPLIERS[:count], shingles[start : start + BLOCK])
+        values += OFFSETS[:count, None]
         np.minimum(least, values.min(axis=1), out=least)
     return least >> np.uint64(32)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.reshape(BANDS, ROWS)
-    return mixed((rows * PLACES[:ROWS]).sum(axis=1, dtype=np.uint64) + BAND_SALTS).view(np.int64)
-
-
-def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts, nodes, bands, kept = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            shingles = shingle_set(text)
-            counts.append(len(shingles))
-            if len(shingles):
-                least = minima(shingles)
-                nodes.append(set_key(shingles))
-                bands.append(band_keys(least))
-                kept.append(least.astype(np.uint16).tobytes())
-            else:
-                nodes.append(None)
-                bands.append(None)
-                kept.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()),
-                pa.array(bands, pa.list_(pa.int64())), pa.array(kept, pa.binary()),
-            ],
-            names=["doc_id", "text_hash", "n_shingles", "node", "bands", "minima"],
-        )
+def band_keys(least: np.ndarray, bands: Bands) -> np.ndarray:
+    rows = least.reshape(bands.count, bands.rows)
+    return mixed((rows * PLACES[: bands.rows]).sum(axis=1, dtype=np.uint64) + BAND_SALTS[: bands.count]).view(np.int64)
+
+
+def sketch_batches(banding: Bands):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, nodes, bands, kept = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                shingles = shingle_set(text)
+                counts.append(len(shingles))
+                if len(shingles):
+                    least = minima(shingles, banding.minima)
+                    nodes.append(set_key(shingles))
+                    bands.append(band_keys(least, banding))
+                    kept.append(least.astype(np.uint16).tobytes())
+                else:
+                    nodes.append(None)
+                    bands.append(None)
+                    kept.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()),
+                    pa.array(bands, pa.list_(pa.int64())), pa.array(kept, pa.binary()),
+                ],
+                names=["doc_id", "text_hash", "n_shingles", "node", "bands", "minima"],
+            )
+
+    return run
 
 
 def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,12 +178,12 @@ def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def likely_pairs(least: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+def likely_pairs(least: np.ndarray, blocks: np.ndarray, least_agreeing: int) -> np.ndarray:
     """Pairs of rows of which enough minima agree; between different blocks, if there are two."""
     agreeing = np.zeros((len(least), len(least)), np.uint8)
     for column in least.T:
         agreeing += column[:, None] == column[None, :]
-    mask = np.triu(agreeing >= LEAST_AGREEING, 1)
+    mask = np.triu(agreeing >= least_agreeing, 1)
     if blocks[0] != blocks[-1]:
         mask &= blocks[:, None] != blocks[None, :]
     return np.argwhere(mask)
@@ -201,33 +231,36 @@ def forest(links, size: int) -> list[tuple[int, int]]:
     return kept
 
 
-def linked_blocks(table: pa.Table) -> pa.Table:
-    """A forest of the links between the members of two blocks (or within one)."""
-    nodes = table.column("node").to_pylist()
-    order = sorted(range(len(nodes)), key=lambda i: (table.column("block")[i].as_py(), nodes[i]))
-    table, nodes = table.take(order), [nodes[i] for i in order]
-    least = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint16).reshape(len(nodes), -1)
-    pairs = likely_pairs(least, table.column("block").to_numpy())
-    kept: list[tuple[int, int]] = []
-    if len(pairs):
-        used, places = np.unique(pairs, return_inverse=True)
-        raw = table.column("shingles")
-        sets = [np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in used]
-        pairs = places.reshape(pairs.shape)
-        both = intersections(sets, pairs)
-        sizes = np.array([len(s) for s in sets])
-        union = sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - both
-        links = pairs[100 * both >= PERCENT * union]
-        kept = [(int(used[a]), int(used[b])) for a, b in forest(links.tolist(), len(used))]
-    return pa.table({
-        "u": pa.array([nodes[a] for a, _ in kept], pa.binary()), "v": pa.array([nodes[b] for _, b in kept], pa.binary()),
-    })
-
-
-def sketches(docs: DataFrame) -> DataFrame:
+def linked_blocks(banding: Bands):
+    def run(table: pa.Table) -> pa.Table:
+        """A forest of the links between the members of two blocks (or within one)."""
+        nodes = table.column("node").to_pylist()
+        order = sorted(range(len(nodes)), key=lambda i: (table.column("block")[i].as_py(), nodes[i]))
+        table, nodes = table.take(order), [nodes[i] for i in order]
+        least = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint16).reshape(len(nodes), -1)
+        pairs = likely_pairs(least, table.column("block").to_numpy(), banding.least_agreeing)
+        kept: list[tuple[int, int]] = []
+        if len(pairs):
+            used, places = np.unique(pairs, return_inverse=True)
+            raw = table.column("shingles")
+            sets = [np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in used]
+            pairs = places.reshape(pairs.shape)
+            both = intersections(sets, pairs)
+            sizes = np.array([len(s) for s in sets])
+            union = sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - both
+            links = pairs[100 * both >= banding.percent * union]
+            kept = [(int(used[a]), int(used[b])) for a, b in forest(links.tolist(), len(used))]
+        return pa.table({
+            "u": pa.array([nodes[a] for a, _ in kept], pa.binary()), "v": pa.array([nodes[b] for _, b in kept], pa.binary()),
+        })
+
+    return run
+
+
+def sketches(docs: DataFrame, banding: Bands) -> DataFrame:
     """``doc_id, text_hash, n_shingles, node, bands, minima`` per document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(sketch_batches, SKETCH)
+    return rows.mapInArrow(sketch_batches(banding), SKETCH)
 
 
 def candidate_clusters(classes: DataFrame) -> DataFrame:
@@ -253,10 +286,14 @@ def block_pairs(placed: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, text_hash`` per document."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept, text_hash`` per document.
+
+    Documents are linked whose sets have a similarity of ``percent`` or more.
+    """
     ship_package(docs.sparkSession)
-    sketch = stored(sketches(docs), "sketches")
+    banding = bands_for(percent)
+    sketch = stored(sketches(docs, banding), "sketches")
     # A class is known by its set; copies without an id do not name it.
     classes = stored(
         sketch.where("node IS NOT NULL").groupBy("node").agg(
@@ -280,7 +317,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "candidate-sets",
     )
     meetings = block_pairs(members.select("node", "cluster", "n")).join(members.select("node", "minima", "shingles"), "node")
-    links = meetings.groupBy("cluster", "i", "j").applyInArrow(linked_blocks, "u binary, v binary")
+    links = meetings.groupBy("cluster", "i", "j").applyInArrow(linked_blocks(banding), "u binary, v binary")
     roots = connected_components(links)
 
     rooted = classes.select("node", "representative").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -294,11 +331,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, all columns unchanged; repeated rows stay once."""
     row = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")
     id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
     rows = docs.select(row, id_key, F.xxhash64("text").alias("_text_hash"))
-    kept = near_duplicates(docs).where("kept").select(id_key, F.col("text_hash").alias("_text_hash")).distinct()
+    kept = near_duplicates(docs, percent).where("kept").select(id_key, F.col("text_hash").alias("_text_hash")).distinct()
     chosen = rows.join(kept, ["_id", "_text_hash"], "left_semi").dropDuplicates(["_id", "_text_hash"])
     return chosen.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
