@@ -1,4 +1,6 @@
+import random
 import shutil
+import string
 import subprocess
 import sys
 from pathlib import Path
@@ -85,3 +87,25 @@ def test_stages_from_near_dedup_on(spark, sf_dir):
     size = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
     words = [df.agg(F.sum(size)).first()[0] for df in (single, mixed)]
     assert mixed.columns == docs.columns and abs(words[1] - 1.5 * words[0]) <= 20
+
+
+FOREIGN = [
+    "Lapset leikkivät ulkona kun heidän vanhempansa juovat kahvia sisällä ja puhuvat eilisestä säästä naapurin kanssa",
+    "Dzieci bawią się na dworze podczas gdy ich rodzice piją kawę i rozmawiają o wczorajszej pogodzie z sąsiadem",
+    "De kinderen spelen buiten terwijl hun ouders binnen koffie drinken en over het weer van gisteren praten met de buurman",
+    "Дети играют на улице пока их родители пьют кофе и говорят о вчерашней погоде с соседом",
+    "孩子们在外面玩耍他们的父母在里面喝咖啡谈论昨天的天气",
+]
+
+
+def test_language_stage_rejects_what_is_in_no_learned_language(spark, sf_dir):
+    """Unlabelled foreign texts and random letters go; clean documents stay."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    clean = {r.doc_id for r in read_table(spark, sf_dir, "labels").where("quality = 1").collect()}
+    rng = random.Random(4)
+    letters = [" ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randrange(2, 10))) for _ in range(n)) for n in (3, 20, 200)]
+    bad = [(10**6 + i, text, None) for i, text in enumerate([*FOREIGN, *letters])]
+    mixed = docs.union(spark.createDataFrame(bad, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, mixed, sf_dir).collect()}
+    assert not kept & {r[0] for r in bad}
+    assert clean <= kept and len(kept) >= 0.99 * docs.count()

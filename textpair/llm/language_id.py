@@ -15,6 +15,13 @@ language.
 Prediction reads whole texts.  The result of a word is remembered, up to a
 bound, by the Python worker that has computed it.
 
+The score is the share of the best language among the learned ones, so it is
+near 1 for any text of some words, in whatever language.  Whether a text is in
+its best language at all is told by its fit: the log-probability per letter
+(word starts count as letters).  ``lowest_fits`` measures the fits of the
+learned documents; ``accepted`` drops what lies far below them.  A text that
+is labelled with a wrong language and learned from counts as text of it.
+
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, as
 are all texts where nothing could be learned; a letter outside the vocabulary
 has the same small probability in every language; equal log-probabilities take
@@ -50,6 +57,11 @@ REMEMBERED_WORDS = 250_000
 CHARS_AT_ONCE = 1_000_000
 WORDS_AT_ONCE = 2_048
 RESCALE = 8
+# A text is not in a language if its fit is below the median of the learned documents by more than so many times the
+# distance from there to their lowest hundredth, and by more than LEAST_MARGIN.
+LOW_END = 0.01
+MARGIN = 4
+LEAST_MARGIN = 1.0
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -171,8 +183,8 @@ class Scorer:
             self.known[at : at + len(group)] = log_probabilities(group, self.model.table, self.model.path)
             self.places.update(zip(group, range(at, at + len(group)), strict=True))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        named, scores = [], []
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
+        named, scores, fits = [], [], []
         group: list[list[str]] = []
         chars = 0
         for text in [*texts, None]:
@@ -181,19 +193,22 @@ class Scorer:
             if chars >= CHARS_AT_ONCE or len(named) + len(group) > len(texts):
                 self.learn({w for words in group for w in words})
                 for words in group:
-                    name, score = self.of_words(words)
+                    name, score, fit = self.of_words(words)
                     named.append(name)
                     scores.append(score)
+                    fits.append(fit)
                 group, chars = [], 0
-        return named[: len(texts)], scores[: len(texts)]
+        return named[: len(texts)], scores[: len(texts)], fits[: len(texts)]
 
-    def of_words(self, words: list[str]) -> tuple[str, float]:
+    def of_words(self, words: list[str]) -> tuple[str, float, float | None]:
+        """The best language, its share among the learned ones and the text's fit to it."""
         if not words or not self.model.languages:
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, None
         at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
         total = self.known[at].sum(axis=0)
         best = int(total.argmax())
-        return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
+        letters = sum(map(len, words)) + len(words)
+        return self.model.languages[best], float(1 / np.exp(total - total[best]).sum()), float(total[best]) / letters
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,13 +257,16 @@ def sample_by_language(docs: DataFrame, most: int) -> DataFrame:
     return docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < F.element_at(limits, F.col("lang")))
 
 
+def learning_sample(docs: DataFrame, most: int) -> DataFrame:
+    return sample_by_language(docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text"), most)
+
+
 def learn(docs: DataFrame, most: int = SAMPLE_PER_LANGUAGE, path: str | None = None) -> LanguageModel:
     """Piece probabilities from the documents' ``text`` and non-null ``lang``."""
     ship_package(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
-    sample = sample_by_language(docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text"), most)
     words = stored(
-        sample.select("lang", "text").mapInArrow(count_batches, "lang string, word string, n long")
+        learning_sample(docs, most).select("lang", "text").mapInArrow(count_batches, "lang string, word string, n long")
         .groupBy("lang", "word").agg(F.sum("n").alias("n")),
         "language-words",
     )
@@ -272,7 +290,7 @@ def predict_batches(model: LanguageModel, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            named, scores = scorer.predict(batch.column("text").to_pylist())
+            named, scores, _ = scorer.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in columns), pa.array(named, pa.string()), pa.array(scores, pa.float64())],
                 names=[*columns, "lang_pred", "score"],
@@ -290,20 +308,41 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
     return done.select(*[F.col(a).alias(c) for c, a in zip(keep, columns, strict=True)], "lang_pred", "score")
 
 
-def accept_batches(model: LanguageModel, least: float):
+def fit_batches(model: LanguageModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            named, _, fits = scorer.predict(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang").cast(pa.string()), pa.array(named, pa.string()), pa.array(fits, pa.float64())],
+                names=["lang", "lang_pred", "fit"],
+            )
+
+    return run
+
+
+def lowest_fits(docs: DataFrame, model: LanguageModel, most: int = SAMPLE_PER_LANGUAGE) -> dict[str, float]:
+    """The fit a text needs to be in a language, from the learned documents that are found to be in it."""
+    sample = learning_sample(docs, most).select("lang", "text")
+    fits = sample.mapInArrow(fit_batches(model), "lang string, lang_pred string, fit double").where("lang = lang_pred")
+    ends = fits.groupBy("lang").agg(F.percentile_approx("fit", [LOW_END, 0.5]).alias("ends")).collect()
+    return {r["lang"]: r["ends"][1] - max(MARGIN * (r["ends"][1] - r["ends"][0]), LEAST_MARGIN) for r in ends}
+
+
+def accept_batches(model: LanguageModel, least: float, lowest: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            named, scores = scorer.predict(batch.column("text").to_pylist())
-            keep = [n != UNDETERMINED and s >= least for n, s in zip(named, scores, strict=True)]
+            found = zip(*scorer.predict(batch.column("text").to_pylist()), strict=True)
+            keep = [n != UNDETERMINED and s >= least and fit >= lowest.get(n, -np.inf) for n, s, fit in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def accepted(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
-    """The documents in a language with at least the score ``least``, all columns unchanged."""
-    return docs.mapInArrow(accept_batches(model, least), docs.schema)
+def accepted(docs: DataFrame, model: LanguageModel, least: float, lowest: dict[str, float]) -> DataFrame:
+    """The documents in a language with at least the score ``least`` and the language's lowest fit, all columns unchanged."""
+    return docs.mapInArrow(accept_batches(model, least, lowest), docs.schema)
 
 
 def held_out(doc_id, parts: int, part: int):
