@@ -5,7 +5,9 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from textpair.llm import packing
+from textpair.llm.catalog import LLM_QUERIES
 
 TEXTS = [
     "", None, " ", "Hello  world", "a b\nc d", "one\n two", "tabs\t\there ", " lead", "l'été déjà vu — ok", "x" * 5000, "naïve " * 3000,
@@ -85,3 +87,27 @@ def test_closed_form_is_exact_beyond_64_bits():
     windows, starts, lengths, offsets = packing.cut_document(at, 5000, low, own, everything, 1024)
     assert lengths.sum() == 5000 and starts[0] == 0 and (starts[1:] == np.cumsum(lengths)[:-1]).all()
     assert (offsets >= 0).all() and (offsets + lengths <= 1024).all()
+
+
+SPECIALS = [
+    "<|endoftext|> is text", "<|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>  b\n<|endoftext|><|endoftext|>c", "<|endoftext<|endoftext|>|>",
+    "<|ENDOFTEXT|> <|endoftext |>", "é<|endoftext|>é  x", None, "none here",
+]
+
+
+def contract_ids(text):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def test_query_and_stage_give_special_strings_their_id(spark, tmp_path):
+    """Ids as the tokenizers library gives them with add_special_tokens=False."""
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(SPECIALS)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert contract_ids(SPECIALS[0]) == [50256, 318, 2420, 0]
+    for pieces in (LLM_QUERIES["op6_packing"](spark, str(tmp_path)), corpus_pipeline.packing_stage(spark, docs, str(tmp_path))):
+        found = {p.doc_id: p for p in pieces.collect()}
+        for i, text in enumerate(SPECIALS):
+            own = contract_ids(text)
+            assert (found[i].start, found[i].length, found[i].doc_tokens) == (0, len(own), len(own))
+            assert found[i].ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes())

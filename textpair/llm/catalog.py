@@ -50,7 +50,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"))
+    return packing.pack(read_table(spark, sf_dir, "documents"), special_tokens=True)
 
 
 @query

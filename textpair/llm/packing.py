@@ -21,6 +21,10 @@ One pass tokenises and writes the ids, 2 bytes each, with each document's
 place among its source's tokens of that partition; sums per partition and
 source give the places in the queues.  A second pass over the stored ids cuts.
 
+With ``special_tokens`` the string ``<|endoftext|>`` in a text is its own id, as
+the ``tokenizers`` reader of ``byte_bpe_50k.json`` gives it; else it is ordinary
+text.  The op6 query and the pipeline stage set it.
+
 Edge cases: a null or empty text is its end token alone; a null source is a
 source; repeated rows are packed each; an empty table gives no pieces.
 """
@@ -48,6 +52,8 @@ LENGTH = 1024
 END_TOKEN = 0
 # The ranks of the vocabulary in byte_bpe_50k.json, as tiktoken reads them.
 RANKS = "byte_bpe_50k.tiktoken"
+# The one added token of byte_bpe_50k.json: texts are cut at it and each part is encoded on its own.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 REMEMBERED_CHUNKS = 300_000
 TWO_SPACES = regex.compile(r"\s\s")
 
@@ -97,7 +103,15 @@ def token_ids(text: str, chunks: Chunks) -> bytes:
     return b"".join([chunks[first], *[chunks[" " + word] for word in rest]])
 
 
-def tokenise_batches(path: str):
+def special_ids(text: str, chunks: Chunks) -> bytes:
+    """Like ``token_ids``, with ``SPECIAL`` as its own id."""
+    own = np.array([SPECIAL_ID], "<u2").tobytes()
+    return own.join([token_ids(part, chunks) for part in text.split(SPECIAL)])
+
+
+def tokenise_batches(path: str, special_tokens: bool = False):
+    encode = special_ids if special_tokens else token_ids
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = chunk_ids(path)
         part = TaskContext.get().partitionId()
@@ -105,7 +119,7 @@ def tokenise_batches(path: str):
         end = np.array([END_TOKEN], "<u2").tobytes()
         for batch in batches:
             keys = batch.column("queue_key").to_pylist()
-            ids = [token_ids(text or "", chunks) + end for text in batch.column("text").to_pylist()]
+            ids = [encode(text or "", chunks) + end for text in batch.column("text").to_pylist()]
             before, counts = [], []
             for key, own in zip(keys, ids, strict=True):
                 before.append(sent.get(key, 0))
@@ -123,10 +137,10 @@ def tokenise_batches(path: str):
     return run
 
 
-def tokenised(docs: DataFrame, path: str) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, special_tokens: bool = False) -> DataFrame:
     """Ids of every document and its place in its partition's part of its source."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs["source"]).alias("queue_key"), "text")
-    return rows.mapInArrow(tokenise_batches(path), TOKENS)
+    return rows.mapInArrow(tokenise_batches(path, special_tokens), TOKENS)
 
 
 def queues(totals: DataFrame, length: int) -> tuple[list[tuple[str | None, int]], int]:
@@ -215,14 +229,16 @@ def piece_batch(out: list[list], last: int, shortest: int, length: int) -> pa.Re
     )
 
 
-def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
+def pack(
+    docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, special_tokens: bool = False
+) -> DataFrame:
     """The pieces of all documents: where each lies in its document and in its window.
 
     ``padded_length`` is ``length``, in the last window the next power of two.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    tokens = stored(tokenised(docs, tokenizer or public_tokenizers.path(RANKS)), "tokens")
+    tokens = stored(tokenised(docs, tokenizer or public_tokenizers.path(RANKS), special_tokens), "tokens")
     totals = stored(tokens.groupBy("part", "queue_key").agg(F.sum("tokens").alias("tokens")), "token-totals")
     sizes, everything = queues(totals, length)
     if not everything:
