@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpair.llm import (
-    hamming_search, language_id, license_scan, minhash, mixing, packing, quality, spotsigs, url_rules, warc,
+    hamming_search, language_id, license_scan, minhash, mixing, packing, quality, secret_scan, spotsigs, url_rules, warc,
 )
 from textpair.llm.common import read_table
 
@@ -75,6 +75,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(read_table(spark, sf_dir, "documents")))
+
+
 LLM_ORACLES["op4_url_rules"] = """
 WITH parts AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
