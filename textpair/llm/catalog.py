@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpair.llm import (
-    hamming_search, language_id, license_scan, minhash, mixing, packing, quality, secret_scan, spotsigs, url_rules, warc,
+    conversation_repair, hamming_search, language_id, license_scan, minhash, mixing, packing, quality, secret_scan, spotsigs, url_rules, warc,
 )
 from textpair.llm.common import read_table
 
@@ -75,6 +75,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digest(read_table(spark, sf_dir, "conversations"))
+
+
 @query
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read_table(spark, sf_dir, "documents")))
@@ -156,3 +161,79 @@ WITH RECURSIVE worded AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN components USING (doc_id)
 """
+
+LLM_ORACLES["op11_conversation_repair"] = """
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations
+), hashed AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS damage
+  FROM keyed
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+    CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN damage = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE damage <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place FROM hurt
+), faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ \\t-\\r]') THEN 'b'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'd'
+    WHEN regexp_extract(text, '([^ \\t-\\r])[ \\t-\\r]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY place) || substr(role, 1, 1) AS pair
+  FROM placed
+), told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(place) AS n
+  FROM faulty GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS place, {'cost': 0, 'audit': ''} AS q0, CAST(NULL AS STRUCT(cost INTEGER, audit VARCHAR)) AS q1,
+    {'cost': 2, 'audit': 'I'} AS q2, {'cost': 4, 'audit': 'II'} AS q3
+  FROM told
+  UNION ALL
+  SELECT conv_id, place, q0, q1, q2, list_min([q3, {'cost': q2.cost + 2, 'audit': q2.audit || 'I'}]) AS q3
+  FROM (
+    SELECT conv_id, place, q0, q1, q3, list_min([q2, {'cost': q0.cost + 2, 'audit': q0.audit || 'I'},
+      CASE WHEN q1 IS NOT NULL THEN {'cost': q1.cost + 2, 'audit': q1.audit || 'I'} END, {'cost': q3.cost + 2, 'audit': q3.audit || 'I'}]) AS q2
+    FROM (
+      SELECT f.conv_id, f.place, {'cost': q0.cost + 3, 'audit': q0.audit || 'D'} AS q0,
+        list_min([CASE WHEN q1 IS NOT NULL THEN {'cost': q1.cost + 3, 'audit': q1.audit || 'D'} END,
+          CASE WHEN keep AND i = 's' THEN {'cost': q0.cost + x, 'audit': q0.audit || 'K'} END]) AS q1,
+        list_min([{'cost': q2.cost + 3, 'audit': q2.audit || 'D'},
+          CASE WHEN keep THEN {'cost': q0.cost + x + 2, 'audit': q0.audit || 'R'} END,
+          CASE WHEN keep AND q1 IS NOT NULL THEN {'cost': q1.cost + x + 2, 'audit': q1.audit || 'R'} END,
+          CASE WHEN keep THEN {'cost': q3.cost + x + 2, 'audit': q3.audit || 'R'} END,
+          CASE WHEN keep AND i = 'u' THEN {'cost': q0.cost + x, 'audit': q0.audit || 'K'} END,
+          CASE WHEN keep AND i = 'u' AND q1 IS NOT NULL THEN {'cost': q1.cost + x, 'audit': q1.audit || 'K'} END,
+          CASE WHEN keep AND i = 'u' THEN {'cost': q3.cost + x, 'audit': q3.audit || 'K'} END]) AS q2,
+        list_min([{'cost': q3.cost + 3, 'audit': q3.audit || 'D'},
+          CASE WHEN keep THEN {'cost': q2.cost + x + 2, 'audit': q2.audit || 'R'} END,
+          CASE WHEN keep AND i = 'a' THEN {'cost': q2.cost + x, 'audit': q2.audit || 'K'} END]) AS q3
+      FROM walk JOIN (
+        SELECT conv_id, place, substr(role, 1, 1) AS i, fault NOT IN ('b', 'd') AS keep, CAST(fault = 't' AS INTEGER) AS x FROM faulty
+      ) f ON f.conv_id = walk.conv_id AND f.place = walk.place + 1
+    )
+  )
+), solved AS (
+  SELECT conv_id, list_min([q0, q3]) AS best FROM walk JOIN told USING (conv_id) WHERE place = n
+), letters AS (
+  SELECT conv_id, i AS pos, substr(best.audit, i, 1) AS letter,
+    i - length(replace(substr(best.audit, 1, i), 'I', '')) AS inserts, length(replace(substr(best.audit, 1, i), 'D', '')) AS kept
+  FROM (SELECT conv_id, best, unnest(range(1, length(best.audit) + 1)) AS i FROM solved)
+), turns AS (
+  SELECT letters.conv_id, pos, letter, kept - max(CASE WHEN kept = 1 AND letter = 'K' AND starts_with(role, 's') THEN 1 ELSE 0 END) OVER (PARTITION BY letters.conv_id) AS nth,
+    role, text
+  FROM letters LEFT JOIN faulty ON letter <> 'I' AND faulty.conv_id = letters.conv_id AND faulty.place = pos - inserts
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+    CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS body
+  FROM turns WHERE letter <> 'D' GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(CAST(best.cost AS BIGINT), 0) AS cost, coalesce(best.audit, '') AS audit,
+  sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told USING (conv_id) LEFT JOIN solved USING (conv_id) LEFT JOIN repaired USING (conv_id)
+"""
