@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpair.llm import (
-    conversation_repair, hamming_search, language_id, license_scan, minhash, mixing, packing, quality, secret_scan, spotsigs, url_rules, warc,
+    collocations, conversation_repair, hamming_search, language_id, license_scan, minhash, mixing, packing, quality, secret_scan, spotsigs, url_rules, warc,
 )
 from textpair.llm.common import read_table
 
@@ -80,6 +80,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digest(read_table(spark, sf_dir, "conversations"))
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read_table(spark, sf_dir, "documents")))
@@ -237,3 +242,35 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
   sha256(coalesce(body, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told USING (conv_id) LEFT JOIN solved USING (conv_id) LEFT JOIN repaired USING (conv_id)
 """
+
+LLM_ORACLES["op12_collocations"] = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n-\\r]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda w: w <> '') AS ws FROM pieces
+), grams AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM worded
+), phrases AS (
+  SELECT lang, phrase, k, count(*) AS f
+  FROM (SELECT lang, k, CASE WHEN i + k - 1 <= len(ws) THEN array_to_string(ws[i:i + k - 1], ' ') END AS phrase FROM grams, range(1, 5) t(k))
+  WHERE phrase IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+), totals AS (SELECT lang, sum(len(ws)) AS n FROM worded GROUP BY lang
+), cuts AS (
+  SELECT lang, phrase, k, f AS a, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS ws FROM phrases WHERE k >= 2
+), scored AS (
+  SELECT c.lang, c.phrase, c.k, a, cut, x.f AS l, y.f AS r, (2000000 * CAST(a AS HUGEINT)) // (CAST(x.f AS HUGEINT) + y.f) AS score
+  FROM cuts c JOIN phrases x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ')
+    JOIN phrases y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ')
+), weakest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM scored
+), inner_phrases AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(f) AS longer
+  FROM (SELECT lang, f, k, string_split(phrase, ' ') AS ws, m, unnest(range(1, k - m + 2)) AS i FROM phrases, range(2, 4) t(m) WHERE k > m) GROUP BY ALL
+), ranked AS (
+  SELECT w.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM weakest w LEFT JOIN inner_phrases USING (lang, phrase) WHERE place = 1 AND (longer IS NULL OR 100 * longer < 80 * a)
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
