@@ -64,8 +64,8 @@ def test_tables_of_marks_only_save_work(spark):
     rng = random.Random(2)
     rows = [(i, t, "en") for i, t in enumerate(texts(rng, 150))]
     want = brute(rows, 10, 2000)
-    for word_bits, pair_bits in ((3, 3), (5, 8), (15, 16)):
-        assert found(spark.createDataFrame(rows, SCHEMA), least=10, word_bits=word_bits, pair_bits=pair_bits) == want
+    for bits in ((3, 3, 3), (5, 8, 6), (15, 16, 17)):
+        assert found(spark.createDataFrame(rows, SCHEMA), least=10, bits=bits) == want
 
 
 def test_marks_and_slices(spark, monkeypatch):
@@ -80,6 +80,12 @@ def test_marks_and_slices(spark, monkeypatch):
     assert sum(w == b"x" * 200 for w in whole) == 1
 
 
+def test_word_hash_is_spark_s(spark):
+    words = [("en", "a"), ("de", "größer als 32 Bytes, und noch viel länger"), ("", "日本")]
+    got = [r[0] for r in spark.createDataFrame(words, "lang string, word string").selectExpr("xxhash64(lang, word)").collect()]
+    assert [g % 2**64 for g in got] == [co.word_hash(lang, w.encode()) for lang, w in words]
+
+
 def test_scores_of_very_large_counts(spark):
     a, l, r = 3 * 10**15, 4 * 10**18, 5 * 10**18
     phrases = spark.createDataFrame([("en", "x y", 2, a), ("en", "x", 1, l), ("en", "y", 1, r)], "lang string, phrase string, k int, f long")

@@ -6,11 +6,11 @@ all shorter phrases are sums over windows with the same first words, which one
 ROLLUP gives: no phrase length is exploded on its own.
 
 Windows are cut where a longer phrase cannot be frequent: a phrase occurs at
-most as often as its words and its pairs of neighbours.  Two passes before the
-windows find the words and pairs that reach the least count.  What they hand
-on is a bit per hash value, a table of fixed size: another word of the same
-hash value lets a window be longer than it must be, never shorter, so counts
-that reach the least count are exact, whatever the table's size.
+most as often as its words, pairs and triples of neighbours.  Passes before the
+windows find the words, then the pairs, then the triples that reach the least
+count.  What they hand on is a bit per hash value, a table of fixed size: another
+word of the same hash value lets a window be longer than it must be, never
+shorter, so counts that reach the least count are exact, whatever the table's size.
 
 Each task counts its own words, pairs and windows batch by batch before the
 shuffle, so a very frequent word is one row per task.  Texts are read in bytes and
@@ -44,9 +44,10 @@ INSIDE = 80
 TOP = 2000
 NO_LANGUAGE = "und"
 
-# Bits of the tables that mark frequent words and pairs: 2 MB and 16 MB, whatever the corpus.
-WORD_BITS = 24
-PAIR_BITS = 27
+# Bits of the tables that mark frequent words, pairs and triples: 2, 16 and 16 MB, whatever the corpus.
+BITS = (24, 27, 27)
+# Bits of the hash under which pairs and triples are counted.
+RUN_BITS = 40
 # A task hands counts on when it holds so many words, pairs or windows.
 HELD = 1 << 20
 SLICE = 1 << 22
@@ -87,7 +88,8 @@ def tokens(text: str) -> Iterator[list[bytes]]:
 
 
 def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word, seed=xxhash.xxh32_intdigest(lang.encode()))
+    """What Spark's ``xxhash64(lang, word)`` gives, unsigned."""
+    return xxhash.xxh64_intdigest(word, seed=xxhash.xxh64_intdigest(lang.encode(), seed=42))
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
@@ -97,7 +99,7 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
                 yield lang.as_py(), value
 
 
-WORD_COUNTS = "lang string, word string, hash long, n long"
+WORD_COUNTS = "lang string, word string, n long"
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,13 +108,12 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> Iterator[pa.RecordBatch]:
         for lang, words in counts.items():
             words.pop(BREAK, None)
-            hashes = np.fromiter((word_hash(lang, w) for w in words), np.uint64, len(words)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([lang] * len(words)), pa.array([w.decode() for w in words], pa.string()), pa.array(hashes),
+                    pa.array([lang] * len(words), pa.string()), pa.array([w.decode() for w in words], pa.string()),
                     pa.array(list(words.values()), pa.int64()),
                 ],
-                names=["lang", "word", "hash", "n"],
+                names=["lang", "word", "n"],
             )
         counts.clear()
 
@@ -157,12 +158,15 @@ class Numbers:
             parts.append(np.fromiter(map(known.__getitem__, part), np.int32, len(part)))
         return np.concatenate([*parts, np.zeros(1, np.int32)])
 
-    def pair_hashes(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    def run_hashes(self, ids: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+        """A hash of the run of so many words at each start."""
         if len(self.table) != len(self.hashes):
             self.table = np.array(self.hashes, np.uint64)
-        h = self.table[left] * np.uint64(0x9E3779B97F4A7C15) ^ self.table[right]
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
+        h = self.table[ids[starts]]
+        for k in range(1, length):
+            h = h * np.uint64(0x9E3779B97F4A7C15) ^ self.table[ids[starts + k]]
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(32))) & np.uint64((1 << RUN_BITS) - 1)
 
 
 def is_marked(bits: np.ndarray, hashes):
@@ -191,15 +195,32 @@ def batched(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[tu
         yield numbers[lang], np.concatenate(parts)
 
 
-PAIR_COUNTS = "hash long, n long"
+RUN_COUNTS = "hash long, n long"
 
 
-def count_pairs(words: Broadcast):
+def possible_runs(numbers: Numbers, ids: np.ndarray, tables: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For 2 words, then 3 and so on: whether each place begins a run that can be frequent.
+
+    Both runs of one word less must be; where there is a table for the length, the run must be marked too.
+    """
+    shorter = ids > 0
+    for length in range(2, len(tables) + 3):
+        both = np.zeros(len(ids), bool)
+        both[:-1] = shorter[:-1] & shorter[1:]
+        if length - 2 < len(tables):
+            starts = np.flatnonzero(both)
+            both[starts] = is_marked(tables[length - 2], numbers.run_hashes(ids, starts, length))
+        yield both
+        shorter = both
+
+
+def count_runs(words: Broadcast, tables: list[Broadcast]):
+    """Counts of the runs one word longer than those of the last table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [t.value for t in tables]
         for numbers, ids in batched(batches, words.value):
-            left, right = ids[:-1], ids[1:]
-            both = (left > 0) & (right > 0)
-            hashes, n = np.unique(numbers.pair_hashes(left[both], right[both]), return_counts=True)
+            starts = np.flatnonzero(list(possible_runs(numbers, ids, known))[-1])
+            hashes, n = np.unique(numbers.run_hashes(ids, starts, len(known) + 2), return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"]
             )
@@ -210,23 +231,19 @@ def count_pairs(words: Broadcast):
 WINDOWS = "lang string, " + ", ".join(f"{w} string" for w in WORDS) + ", n long"
 
 
-def count_windows(words: Broadcast, pairs: Broadcast):
-    """Each word's window as far as all its pairs are frequent; a word that is not frequent has an empty window."""
+def count_windows(words: Broadcast, tables: list[Broadcast]):
+    """Each frequent word's window, as far as it can be frequent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, joined = words.value, pairs.value
-        for numbers, ids in batched(batches, frequent):
-            follows = np.zeros(len(ids) + LONGEST, bool)
-            both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-            follows[both[is_marked(joined, numbers.pair_hashes(ids[both], ids[both + 1]))]] = True
-            # Breaks are no words: a word that is not frequent is told from them by its own count.
-            singles = np.bincount(ids[~follows[: len(ids)]], minlength=len(numbers.words))
+        known = [t.value for t in tables]
+        for numbers, ids in batched(batches, words.value):
+            reaches = list(possible_runs(numbers, ids, known))
+            singles = np.bincount(ids[~reaches[0]], minlength=len(numbers.words))
             yield from window_batch(numbers, [np.arange(1, len(singles))], singles[1:])
-            starts = np.flatnonzero(follows[: len(ids)])
+            starts = np.flatnonzero(reaches[0])
             padded = np.concatenate([ids, np.zeros(LONGEST, np.int32)])
-            columns, goes_on = [padded[starts]], np.ones(len(starts), bool)
-            for k in range(1, LONGEST):
-                goes_on = goes_on & follows[starts + k - 1]
-                columns.append(np.where(goes_on, padded[starts + k], 0))
+            columns = [padded[starts]]
+            for k, reach in enumerate(reaches, 1):
+                columns.append(np.where(reach[starts], padded[starts + k], 0))
             windows, n = distinct(columns)
             yield from window_batch(numbers, windows, n)
 
@@ -269,22 +286,21 @@ def marks(hashes: DataFrame, bits: int) -> np.ndarray:
     return table
 
 
-def phrase_counts(
-    docs: DataFrame, least: int = LEAST, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS
-) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = LEAST, bits: tuple[int, int, int] = BITS) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, k, f`` of phrases of 1 to 4 words with f >= least, and ``lang, n`` of all words."""
     spark = docs.sparkSession
     ship_package(spark)
     texts = docs.select(F.coalesce(F.col("lang"), F.lit(NO_LANGUAGE)).alias("lang"), "text")
-    words = stored(
-        texts.mapInArrow(count_words, WORD_COUNTS).groupBy("lang", "word", "hash").agg(F.sum("n").alias("n")), "words"
-    )
+    words = stored(texts.mapInArrow(count_words, WORD_COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    word_marks = spark.sparkContext.broadcast(marks(words.where(F.col("n") >= least), word_bits))
-    pairs = texts.mapInArrow(count_pairs(word_marks), PAIR_COUNTS).groupBy("hash").agg(F.sum("n").alias("n"))
-    pair_marks = spark.sparkContext.broadcast(marks(pairs.where(F.col("n") >= least).select("hash"), pair_bits))
+    frequent = words.where(F.col("n") >= least).select(F.xxhash64("lang", "word").alias("hash"))
+    word_marks = spark.sparkContext.broadcast(marks(frequent, bits[0]))
+    tables: list[Broadcast] = []
+    for size in bits[1:]:
+        runs = texts.mapInArrow(count_runs(word_marks, tables), RUN_COUNTS).groupBy("hash").agg(F.sum("n").alias("n"))
+        tables = [*tables, spark.sparkContext.broadcast(marks(runs.where(F.col("n") >= least).select("hash"), size))]
     windows = stored(
-        texts.mapInArrow(count_windows(word_marks, pair_marks), WINDOWS).groupBy("lang", *WORDS).agg(F.sum("n").alias("n")),
+        texts.mapInArrow(count_windows(word_marks, tables), WINDOWS).groupBy("lang", *WORDS).agg(F.sum("n").alias("n")),
         "windows",
     )
     rolled = windows.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("_level"))
@@ -332,10 +348,10 @@ def inner_phrases(phrases: DataFrame) -> DataFrame:
 
 
 def collocations(
-    docs: DataFrame, least: int = LEAST, top: int = TOP, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS
+    docs: DataFrame, least: int = LEAST, top: int = TOP, bits: tuple[int, int, int] = BITS
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's first phrases."""
-    phrases, totals = phrase_counts(docs, least, word_bits, pair_bits)
+    phrases, totals = phrase_counts(docs, least, bits)
     covered = F.col("longer").cast("decimal(20,0)") * 100 >= F.col("a").cast("decimal(20,0)") * INSIDE
     kept = weakest_cuts(phrases).join(inner_phrases(phrases), ["lang", "phrase"], "left").where(
         F.col("longer").isNull() | ~covered
