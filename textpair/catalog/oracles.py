@@ -312,6 +312,55 @@ def encoded(name: str, expr: str, limit: int) -> str:
     FROM {name}_t t LEFT JOIN vocab v ON v.token = t.token GROUP BY t.product_id) x ON x.product_id = p.product_id)"""
 
 
+# Fixed value: the published rule that cuts texts into pieces, less its look-ahead.
+PIECE = "''s|''t|''re|''ve|''m|''ll|''d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+"
+
+
+def subword_ctes(sources: dict[str, str]) -> str:
+    """``piece_ids`` (piece, ids) of every distinct piece, and a table ``<name>_p`` (product_id, pos, piece) per text.
+
+    A piece of white space leaves its last character to what follows; a mark is set there first, as these regular
+    expressions cannot look ahead.  Pairs of lowest rank merge one at a time.
+    """
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return "ranks AS (SELECT 1)"
+    mark = "chr(57344)"
+    texts = ", ".join(
+        f"""{name}_s AS (SELECT product_id, generate_subscripts(parts, 1) AS part, unnest(parts) AS body FROM (
+  SELECT product_id, string_split(regexp_replace(coalesce({expr}, ''), '(\\s+)(\\s)(\\S)', '\\1' || {mark} || '\\2\\3', 'g'), {mark}) AS parts FROM products)),
+{name}_p AS (SELECT product_id, (row_number() OVER (PARTITION BY product_id ORDER BY part, i))::integer AS pos, piece FROM (
+  SELECT product_id, part, generate_subscripts(found, 1) AS i, unnest(found) AS piece FROM (
+    SELECT product_id, part, regexp_extract_all(body, '{PIECE}') AS found FROM {name}_s)))"""
+        for name, expr in sources.items()
+    )
+    every = " UNION ALL ".join(f"SELECT piece FROM {name}_p" for name in sources)
+    return f"""{texts},
+ranks AS (SELECT hex(from_base64(column0)) AS token, column1::integer AS id
+  FROM read_csv('{public_tokenizers.path("byte_bpe_50k.tiktoken")}', delim = ' ', header = false, quote = '', escape = '', columns = {{'column0': 'VARCHAR', 'column1': 'VARCHAR'}})),
+distinct_pieces AS (SELECT DISTINCT piece FROM ({every})),
+merges AS (
+  SELECT piece, list_transform(range(0, octet_length(encode(piece))), lambda i: substr(hex(encode(piece)), i * 2 + 1, 2)) AS parts FROM distinct_pieces
+  UNION ALL
+  SELECT piece, list_concat(list_concat(parts[1:i - 1], [parts[i] || parts[i + 1]]), parts[i + 2:]) AS parts FROM (
+    SELECT piece, parts, arg_min(i, id * 1000000::bigint + i) AS i
+    FROM (SELECT piece, parts, unnest(range(1, len(parts))) AS i FROM merges) JOIN ranks ON token = parts[i] || parts[i + 1]
+    GROUP BY piece, parts)
+),
+last_merges AS (SELECT piece, arg_min(parts, len(parts)) AS parts FROM merges GROUP BY piece),
+piece_ids AS (
+  SELECT piece, list(id ORDER BY k) AS ids
+  FROM (SELECT piece, generate_subscripts(parts, 1) AS k, unnest(parts) AS token FROM last_merges) JOIN ranks USING (token) GROUP BY piece)"""
+
+
+def subwords_of(name: str, limit: int | None = None) -> str:
+    """The ids of each text as a list, cut."""
+    cut = "" if limit is None else f"[1:{limit}]"
+    return f"""(SELECT products.product_id, coalesce(ids, []){cut} AS ids FROM products LEFT JOIN (
+  SELECT product_id, flatten(list(ids ORDER BY pos)) AS ids FROM {name}_p JOIN piece_ids USING (piece) GROUP BY product_id) x USING (product_id))"""
+
+
 def _thresholds() -> list[float]:
     total, out = 0.0, []
     for k in range(13):
@@ -497,6 +546,13 @@ FROM (SELECT product_id, {words(TRAIN_INPUT)} AS w FROM products)""",
     "encode_tokens": f"""WITH {PRODUCTS}, {VOCAB}, {encoded('ei', TRAIN_INPUT, 512)}, {encoded('el', 'short_query', 30)}
 SELECT i.product_id, i.ids AS input_ids, i.n::integer AS n_attention, l.ids AS labels FROM ei i JOIN el l USING (product_id)""",
     "decode_tokens": f"WITH {PRODUCTS}, {VOCAB}, {encoded('el', 'short_query', 30)} SELECT product_id, txt AS text FROM el",
+    "subword_vocab": f"""WITH RECURSIVE {PRODUCTS}, {subword_ctes({'sd': 'description'})}
+SELECT id, token, n FROM (SELECT id, count(*) AS n FROM (SELECT unnest(ids) AS id FROM {subwords_of('sd')}) GROUP BY id) JOIN ranks USING (id)""",
+    "encode_subwords": f"""WITH RECURSIVE {PRODUCTS}, {subword_ctes({'si': TRAIN_INPUT, 'sl': 'short_query'})}
+SELECT product_id, array_to_string(list_append(i.ids, 50256), ' ') AS input_ids, (len(i.ids) + 1)::integer AS n_attention,
+  array_to_string(list_append(l.ids, 50256), ' ') AS labels
+FROM {subwords_of('si', 511)} i JOIN {subwords_of('sl', 29)} l USING (product_id)""",
+    "decode_subwords": f"WITH {PRODUCTS} SELECT product_id, coalesce(description, '') AS text FROM products",
     "cosine_similarity": f"WITH {VEC_PAIRS} SELECT vec_id, cosine FROM vecs",
     "text_vectors": f"""WITH {PRODUCTS} SELECT product_id, token, count(*) AS tf
 FROM (SELECT product_id, unnest({tokens("coalesce(description, '')")}) AS token FROM products) GROUP BY ALL""",

@@ -12,7 +12,7 @@ from textpair.catalog.generators import GENERATORS, VowelCounts
 from textpair.functions import rouge, text, vectors
 from textpair.functions.stem import stem_vocabulary
 from textpair.operators import (
-    averages, checkpoints, compare, curate, distributions, generate, sampling, similarity, vocab,
+    averages, checkpoints, compare, curate, distributions, generate, sampling, similarity, subwords, vocab,
 )
 from textpair.plans.analyze import analyze_results
 from textpair.plans.evaluate import evaluate_models
@@ -30,6 +30,7 @@ QUERIES: dict[str, Query] = {}
 COLS = t.TEXT_COLS
 SCORES = rouge.SCORE_COLUMNS
 VOCAB_SIZE = 4_000
+SUBWORD_FILE = "byte_bpe_50k.tiktoken"
 TITLE_THRESHOLD = 0.7
 ALIGNMENT_THRESHOLD = 0.1
 PAIR = ["lead", "mid"]
@@ -515,6 +516,40 @@ def decode_tokens(spark, sf):
     return vocab.decode_tokens(encoded, words, "labels")
 
 
+def _subwords(spark):
+    import public_tokenizers
+
+    return public_tokenizers.path(SUBWORD_FILE)
+
+
+@query
+def subword_vocab(spark, sf):
+    """The vocabulary's tokens that occur in the table, with their counts."""
+    words = subwords.Subwords(spark, _subwords(spark))
+    ids = t.products(spark, sf).select(F.explode(subwords.subword_ids("description", words)).alias("id"))
+    counts = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return subwords.subword_vocab(spark, _subwords(spark)).join(counts, "id").select("id", "token", "n")
+
+
+@query
+def encode_subwords(spark, sf):
+    words = subwords.Subwords(spark, _subwords(spark))
+    rows = curate.concat_input_train(t.products(spark, sf), COLS)
+    encoded = subwords.encode_subwords(rows, words)
+    return encoded.select(
+        "product_id", ids_text("input_ids").alias("input_ids"),
+        F.size("attention_mask").alias("n_attention"), ids_text("labels").alias("labels"),
+    )
+
+
+@query
+def decode_subwords(spark, sf):
+    """Whole descriptions to ids and back."""
+    words = subwords.Subwords(spark, _subwords(spark))
+    ids = t.products(spark, sf).select("product_id", subwords.subword_ids("description", words).alias("ids"))
+    return subwords.decode_subwords(ids, words, "ids")
+
+
 @query
 def cosine_similarity(spark, sf):
     return t.vec_pairs(spark, sf).select("vec_id", F.round(vectors.cosine_similarity("a", "b"), 6).alias("cosine"))

@@ -1,17 +1,22 @@
 """A word vocabulary built from the corpus, and token ids.
 
-Encoding and decoding are joins with the vocabulary, whatever its size: rows
-get a number, their tokens are looked up, and the ids are gathered per number,
-so repeated keys stay separate rows.  The few words that make up most of a
-corpus are dealt over ``SALTS`` copies of the vocabulary.
+A vocabulary of a checked size goes to every task, which looks its tokens up in
+place: rows are neither taken apart nor shuffled.  One that is larger is
+joined: rows get a number, their tokens are looked up, and the ids are gathered
+per number, so repeated keys stay separate rows.  The few words that make up
+most of a corpus are then dealt over ``SALTS`` copies of the vocabulary.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textpair.functions.rouge import rouge_tokens
 from textpair.operators.sampling import first_rows
@@ -27,6 +32,9 @@ IGNORED = -100
 
 # Copies of the vocabulary that share the rows of a frequent token.
 SALTS = 8
+# Entries and bytes of the largest vocabulary that every task gets whole.
+MOST_TOKENS = 500_000
+MOST_BYTES = 32 << 20
 
 
 def build_vocab(df: DataFrame, cols: Sequence[str], size: int = VOCAB_SIZE) -> DataFrame:
@@ -46,6 +54,49 @@ def build_vocab(df: DataFrame, cols: Sequence[str], size: int = VOCAB_SIZE) -> D
     return special.unionByName(ranked)
 
 
+def _small(vocab: DataFrame) -> tuple[pa.Array, pa.Array] | None:
+    """Tokens and ids of a vocabulary within the limits, else nothing: its size is counted first."""
+    size = vocab.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes")).first()
+    if size["n"] > MOST_TOKENS or size["bytes"] > MOST_BYTES:
+        return None
+    rows = vocab.select("token", "id").collect()
+    return pa.array([r["token"] for r in rows], pa.string()), pa.array([r["id"] for r in rows], pa.int32())
+
+
+def _regrouped(batch: pa.Array, values: pa.Array, keep: np.ndarray | None = None) -> pa.Array:
+    """Flat values in the lists that ``batch`` has, those not kept left out; a null list becomes empty."""
+    sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy()
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    if keep is not None:
+        ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+        values = values.filter(pa.array(keep))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+
+
+def _ids_of(entries, unknown: int):
+    """A column function: arrays of tokens to arrays of ids."""
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens, numbers = entries.value
+        for batch in batches:
+            found = numbers.take(pc.index_in(batch.flatten(), value_set=tokens))
+            yield _regrouped(batch, pc.fill_null(found, unknown))
+
+    return ids
+
+
+def _text_of(entries):
+    """A column function: arrays of ids to their tokens, joined by spaces; unknown ids are left out."""
+    @F.arrow_udf(T.StringType())
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens, numbers = entries.value
+        for batch in batches:
+            found = tokens.take(pc.index_in(batch.flatten(), value_set=numbers))
+            yield pc.binary_join(_regrouped(batch, found, pc.is_valid(found).to_numpy(zero_copy_only=False)), " ")
+
+    return text
+
+
 def _looked_up(rows: DataFrame, items: Column, vocab: DataFrame, on: str, value: Column) -> DataFrame:
     """The first column of ``rows`` and ``_items``: ``value`` of every item's vocabulary entry, in order.
 
@@ -91,6 +142,17 @@ def encode_tokens(
     """
     cut_input = F.slice(rouge_tokens(input_col), 1, max_input - 1)
     cut_label = F.slice(rouge_tokens(label_col), 1, max_label - 1)
+    small = _small(vocab)
+    if small is not None:
+        ids = _ids_of(df.sparkSession.sparkContext.broadcast(small), UNK)
+        closed = df.select(
+            key,
+            F.array_append(ids(cut_input), F.lit(EOS)).alias("input_ids"),
+            F.array_append(ids(cut_label), F.lit(EOS)).alias("labels"),
+        )
+        return closed.select(
+            key, "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"), "labels"
+        )
     rows = df.select(key, F.concat(_items(cut_input, 0, "token"), _items(cut_label, 1, "token")).alias("_tokens"))
     found = _looked_up(rows, F.col("_tokens"), vocab, "token", F.coalesce("id", F.lit(UNK)))
     closed = found.select(
@@ -109,6 +171,9 @@ def decode_tokens(
     """``(key, out)``: ids back to text, special and ignored ids left out; no ids give an empty text."""
     cleaned = F.transform(ids_col, lambda i: F.when(i == IGNORED, PAD).otherwise(i))
     kept = F.filter(cleaned, lambda i: ~i.isin(*SPECIAL.values()))
+    small = _small(vocab)
+    if small is not None:
+        return df.select(key, _text_of(df.sparkSession.sparkContext.broadcast(small))(kept).alias(out))
     rows = df.select(key, _items(kept, 0, "id").alias("_ids"))
     found = _looked_up(rows, F.col("_ids"), vocab, "id", F.col("token"))
     words = F.filter(_values(0), lambda t: t.isNotNull())
