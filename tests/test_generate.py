@@ -77,3 +77,48 @@ def test_load_runs_once_per_worker(spark):
     rows = inputs(spark, 40).repartition(20)
     tokens = {r["generated_output"] for r in generate.batch_generate(rows, {"counted/model": Counted()}).collect()}
     assert len(tokens) == len({t.split(":")[0] for t in tokens})
+
+
+def suffixes():
+    """A class whose objects load to a function that adds a number, and that refuse to share a worker."""
+    class Suffix:
+        def __init__(self, n):
+            self.n = n
+
+        def load(self):
+            from textpair.operators import generate as shared
+
+            def run(texts):
+                assert len(shared.LOADED) == 1
+                return [f"{t}:{n}" for t in texts]
+
+            n = self.n
+            return run
+
+    return Suffix
+
+
+def outputs(df, models):
+    return {(r["model"], r["generated_output"].rsplit(":", 1)[1]) for r in generate.batch_generate(df, models).collect()}
+
+
+def test_objects_of_one_class_under_one_path_are_told_apart(spark):
+    df, Suffix = inputs(spark, 6).coalesce(1), suffixes()
+    assert outputs(df, {"org/x": Suffix(1)}) == {("x", "1")}
+    changed = Suffix(2)
+    assert outputs(df, {"org/x": changed}) == {("x", "2")}
+    changed.n = 3
+    assert outputs(df, {"org/x": changed}) == {("x", "3")}
+
+
+def test_one_loaded_model_per_worker(spark):
+    """Many workers, several loaded models and a plain one: each worker holds one at a time."""
+    df, Suffix = inputs(spark, 200).repartition(8), suffixes()
+    models = {"a": Suffix(1), "p": lambda texts: [f"{t}:0" for t in texts], "b": Suffix(2), "c": Suffix(3)}
+    got = generate.batch_generate(df, models).collect()
+    assert {(r["model_ord"], r["model"], r["generated_output"].rsplit(":", 1)[1]) for r in got} == {
+        (0, "a", "1"), (1, "p", "0"), (2, "b", "2"), (3, "c", "3")
+    }
+    assert len(got) == 800 and len({(r["product_id"], r["model"]) for r in got}) == 800
+    with pytest.raises(ValueError):
+        generate.batch_generate(df, {})

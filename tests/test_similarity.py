@@ -68,3 +68,17 @@ def test_histogram_and_correlation(spark):
     assert pairs.count() == 404
     got = {r["metric"]: r["corr"] for r in correlation.collect()}
     assert got["rouge1"] == pytest.approx(1.0) and got["rouge2"] == pytest.approx(-1.0)
+
+
+def test_two_embedders_of_one_class(spark):
+    class Constant:
+        def __init__(self, value):
+            self.value = value
+
+        def load(self):
+            return lambda texts: np.full((len(texts), 1), self.value)
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "product_id int, t string").coalesce(1)
+    for value in (1.0, 2.0):
+        got = similarity.text_vectors(df, "t", embedder=Constant(value)).collect()
+        assert {tuple(r["vector"]) for r in got} == {(value,)}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +16,7 @@ Generator = Callable[[list[str]], list[str]]
 
 # Fixed value: rows handed to a generator at once.
 BATCH_SIZE = 64
-# Models this Python worker has loaded, by path.
+# The model this Python worker has loaded, by its token: one at most.
 LOADED: dict[str, Generator] = {}
 
 
@@ -40,16 +43,26 @@ def row_by_model(df: DataFrame, models: Sequence[str]) -> DataFrame:
     return df.select("*", F.inline(choices))
 
 
-def loaded(path: str, model):
-    """The generator itself; one with ``load`` is loaded once per worker process."""
+def token_of(model) -> str:
+    """What tells a model from all others: a hash of what is sent to the tasks.
+
+    Two objects of one class, one object before and after a change, or two
+    objects under one path have different tokens.
+    """
+    return hashlib.sha256(cloudpickle.dumps(model)).hexdigest()
+
+
+def loaded(token: str, model):
+    """The generator itself; one with ``load`` is loaded once per worker process, which then forgets any other."""
     if not hasattr(model, "load"):
         return model
     # ``shared`` is the imported module: functions sent by value have globals of their own.
     import textpair.operators.generate as shared
 
-    if path not in shared.LOADED:
-        shared.LOADED[path] = model.load()
-    return shared.LOADED[path]
+    if token not in shared.LOADED:
+        shared.LOADED.clear()
+        shared.LOADED[token] = model.load()
+    return shared.LOADED[token]
 
 
 def _run(generate: Generator, texts: list[str], size: int) -> list[str]:
@@ -73,15 +86,27 @@ def batch_generate(
     """One row per (row, model) with the model's output.
 
     ``models`` maps a model path to a function from a list of texts to a list
-    of texts.  A value with a ``load`` method is loaded once per Python worker
-    instead, and kept there by its path, so weights are never pickled.  Each text crosses to Python once for all
-    models, and no other column does.
+    of texts; each text crosses to Python once for all of these, and no other
+    column does.  A value with a ``load`` method is loaded in the Python workers
+    instead, so weights are never pickled.  Such models take turns: each has
+    tasks of its own, and a worker holds one loaded model at most.
     """
     items = list(models.items())
+    plain = [i for i, (_, m) in enumerate(items) if not hasattr(m, "load")]
+    groups = [*([plain] if plain else []), *([i] for i, (_, m) in enumerate(items) if hasattr(m, "load"))]
+    if not groups:
+        raise ValueError("no models")
+    parts = [_generated(df, [(i, *items[i]) for i in group], batch_size, input_col, out) for group in groups]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _generated(df: DataFrame, items: list[tuple[int, str, Generator]], batch_size: int, input_col: str, out: str) -> DataFrame:
+    """The outputs of some models, with the number each has among all models."""
+    tokens = [token_of(m) if hasattr(m, "load") else "" for _, _, m in items]
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def outputs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        generators = [loaded(path, m) for path, m in items]
+        generators = [loaded(token, m) for token, (_, _, m) in zip(tokens, items, strict=True)]
         for series in batches:
             texts = series.tolist()
             columns = [_run(g, texts, batch_size) for g in generators]
@@ -89,11 +114,14 @@ def batch_generate(
 
     # Generation is the costly step: never let a plan rewrite run it twice.
     generated = df.withColumn("_outputs", outputs.asNondeterministic()(input_col))
-    paths = F.array(*[F.lit(path) for path, _ in items])
-    names = F.array(*[F.lit(short_name(path)) for path, _ in items])
-    exploded = generated.select("*", F.posexplode("_outputs").alias("model_ord", out)).drop("_outputs")
-    return exploded.withColumns(
-        {"model_path": paths[F.col("model_ord")], "model": names[F.col("model_ord")]}
+    numbers = F.array(*[F.lit(i) for i, _, _ in items])
+    paths = F.array(*[F.lit(path) for _, path, _ in items])
+    names = F.array(*[F.lit(short_name(path)) for _, path, _ in items])
+    place = F.col("_place")
+    exploded = generated.select("*", F.posexplode("_outputs").alias("_place", out)).drop("_outputs")
+    kept = [c for c in exploded.columns if c not in ("_place", out, "model_ord", "model_path", "model")]
+    return exploded.select(
+        *kept, numbers[place].alias("model_ord"), out, paths[place].alias("model_path"), names[place].alias("model")
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from textpair.functions.rouge import rouge_lines
 from textpair.functions.text import as_text
 from textpair.functions.vectors import DECIMALS, cosine_similarity, with_text_cosine
-from textpair.operators.generate import loaded
+from textpair.operators.generate import loaded, token_of
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -30,11 +30,13 @@ def _term_counts(texts: pd.Series) -> pd.Series:
 def _vectors(texts: DataFrame, embedder, batch_size: int) -> DataFrame:
     """``(_text, vector)``: each distinct text of the table embedded once, ``batch_size`` at a time.
 
-    An embedder with ``load`` is loaded once per Python worker.
+    An embedder with ``load`` is loaded once per Python worker; another one takes its place there.
     """
+    token = token_of(embedder) if hasattr(embedder, "load") else ""
+
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        run = loaded(f"embedder:{getattr(embedder, 'name', type(embedder).__qualname__)}", embedder)
+        run = loaded(token, embedder)
         for series in batches:
             values, rows = series.tolist(), []
             for start in range(0, len(values), batch_size):
