@@ -18,6 +18,7 @@ WORD = '[^\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+
 SENTENCE_END = '([.!?])[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+'
 
 MODELS = ["lead", "mid", "tail"]
+LISTED = "'a', 'la', 'le'"
 SCORES = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
 BLANK = "\n\n"
 
@@ -312,6 +313,61 @@ def encoded(name: str, expr: str, limit: int) -> str:
     FROM {name}_t t LEFT JOIN vocab v ON v.token = t.token GROUP BY t.product_id) x ON x.product_id = p.product_id)"""
 
 
+def core_word(x: str) -> str:
+    return f"lower(regexp_replace(regexp_replace({x}, '^[^\\p{{L}}\\p{{N}}]+', ''), '[^\\p{{L}}\\p{{N}}.]+$', ''))"
+
+
+def base_word(x: str) -> str:
+    return f"regexp_replace({x}, '[.]+$', '')"
+
+
+def period_word(x: str) -> str:
+    return f"regexp_matches({x}, '[^.][.]$')"
+
+
+def abbreviated(x: str, listed: str) -> str:
+    """Whether a word stands for an abbreviation or initial with its period."""
+    core = core_word(x)
+    return f"({period_word(core)} AND ({base_word(core)} IN ({listed}) OR regexp_matches({base_word(core)}, '^\\p{{L}}$')))"
+
+
+def learned_sentences(abbreviations: str) -> str:
+    """CTEs ``ab_all`` (word, n_period, n_plain, score) and ``st_all`` (word, n, n_start, score) over conversations."""
+    return f"""
+turn_words AS (SELECT conv_id, turn, {words("coalesce(text, '')")} AS w FROM conversations),
+ab_words AS (SELECT {core_word('x')} AS x FROM (SELECT unnest(w) AS x FROM turn_words)),
+ab_counts AS (SELECT {base_word('x')} AS word, count(*) FILTER ({period_word('x')}) AS n_period, count(*) FILTER (NOT {period_word('x')}) AS n_plain FROM ab_words GROUP BY ALL),
+ab_total AS (SELECT sum(n_period)::double AS np, sum(n_period + n_plain)::double AS n FROM ab_counts),
+ab_all AS (SELECT word, n_period, n_plain,
+    2 * (n_period * ln(0.99 / (np / n)) + n_plain * ln(0.01 / (1 - np / n))) * exp(-letters) * (dots + 1) * pow(letters, -n_plain) AS score
+  FROM (SELECT *, length(word) - length(replace(word, '.', '')) AS dots, length(replace(word, '.', '')) AS letters FROM ab_counts), ab_total
+  WHERE n_period > 0 AND regexp_matches(word, '^[\\p{{L}}.-]*\\p{{L}}[\\p{{L}}.-]*$')),
+st_pairs AS (SELECT unnest(w) AS x, unnest(list_prepend(NULL, w[1:len(w) - 1])) AS before FROM turn_words WHERE len(w) > 0),
+st_words AS (SELECT {base_word(core_word('x'))} AS word, coalesce(regexp_matches(before, '[.!?]$') AND NOT {abbreviated('before', abbreviations)}, false) AS starts FROM st_pairs),
+st_counts AS (SELECT word, count(*) AS n, count(*) FILTER (starts) AS k FROM st_words WHERE word <> '' GROUP BY word),
+st_total AS (SELECT sum(n)::double AS t, sum(k)::double AS a FROM st_counts),
+st_cells AS (SELECT word, n, k, unnest([[k, a, n], [a - k, a, t - n], [n - k, t - a, n], [t - a - n + k, t - a, t - n]]) AS c, t
+  FROM st_counts, st_total WHERE k > 0 AND regexp_matches(word, '^\\p{{L}}') AND k * t > a * n),
+st_all AS (SELECT word, n, k AS n_start, 2 * sum(CASE WHEN c[1] > 0 THEN c[1] * ln(c[1] * t / (c[2] * c[3])) ELSE 0 END) AS score FROM st_cells GROUP BY word, n, k)"""
+
+
+def learned_lines() -> str:
+    """Sentences by what ``ab_all`` and ``st_all`` list."""
+    mark, last, following = "chr(57344)", "p.last", "p.following"
+    starts = f"regexp_matches({following}, '^[^\\p{{L}}\\p{{N}}]*\\p{{Lu}}') AND {base_word(core_word(following))} IN (SELECT word FROM st_all WHERE score >= 30)"
+    ordinal = f"{period_word(core_word(last))} AND regexp_matches({base_word(core_word(last))}, '^\\p{{N}}+$') AND regexp_matches({following}, '^[^\\p{{L}}\\p{{N}}]*\\p{{Ll}}')"
+    unsure = abbreviated(last, "SELECT word FROM ab_all WHERE score >= 0.3")
+    return f"""
+pieces AS (SELECT conv_id, turn, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM (
+  SELECT conv_id, turn, string_split(regexp_replace({strip('text')}, '([.!?])({SPACE})', '\\1' || {mark} || '\\2', 'g'), {mark}) AS ps FROM conversations)),
+p AS (SELECT *, list_last(string_split_regex(lag(piece) OVER (PARTITION BY conv_id, turn ORDER BY i), '{SPACE}+')) AS last,
+  regexp_extract(piece, '^{SPACE}+({WORD})', 1) AS following FROM pieces),
+cut AS (SELECT conv_id, turn, i, CASE WHEN i = 1 THEN piece
+  WHEN regexp_matches(last, '[!?]$') OR CASE WHEN {unsure} THEN {starts} ELSE NOT ({ordinal}) END
+  THEN chr(10) || regexp_replace(piece, '^{SPACE}+', '') ELSE piece END AS line FROM p)
+SELECT conv_id, turn, string_agg(line, '' ORDER BY i) AS sentences FROM cut GROUP BY conv_id, turn"""
+
+
 # Fixed value: the published rule that cuts texts into pieces, less its look-ahead.
 PIECE = "''s|''t|''re|''ve|''m|''ll|''d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+"
 
@@ -522,6 +578,9 @@ UNION ALL SELECT product_id, 'T', {strip('title')}, short_query FROM products JO
     "sentence_newlines": f"SELECT conv_id, turn, {sentences('text')} AS sentences FROM conversations",
     "strip_text": f"SELECT doc_id, {strip('text')} AS stripped FROM documents",
     "word_count": f"SELECT doc_id, len({words('text')})::integer AS n_words FROM documents",
+    "sentence_abbreviations": f"WITH {learned_sentences(LISTED)} SELECT word, n_period, n_plain, round(score, 4) AS score FROM ab_all WHERE score >= 0.3",
+    "sentence_starters": f"WITH {learned_sentences(LISTED)} SELECT word, n, n_start, round(score, 4) AS score FROM st_all WHERE score >= 30",
+    "sentence_newlines_learned": f"WITH {learned_sentences('SELECT word FROM ab_all WHERE score >= 0.3')}, {learned_lines()}",
     "rouge_tokens": f"""WITH {PRODUCTS} SELECT product_id, {join_list('t')} AS tokens, len(t)::integer AS n_tokens
 FROM (SELECT product_id, {tokens("coalesce(description, '')")} AS t FROM products)""",
     "rouge_1": f"{DIALOG_PLAIN} SELECT d.conv_id, d.turn, {prf('o1')} FROM dialog d JOIN s_f s ON s.pred = d.pred AND s.ref = d.ref",

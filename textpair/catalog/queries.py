@@ -12,7 +12,7 @@ from textpair.catalog.generators import GENERATORS, VowelCounts
 from textpair.functions import rouge, text, vectors
 from textpair.functions.stem import stem_vocabulary
 from textpair.operators import (
-    averages, checkpoints, compare, curate, distributions, generate, sampling, similarity, subwords, vocab,
+    averages, checkpoints, compare, curate, distributions, generate, sampling, sentences, similarity, subwords, vocab,
 )
 from textpair.plans.analyze import analyze_results
 from textpair.plans.evaluate import evaluate_models
@@ -32,6 +32,7 @@ SCORES = rouge.SCORE_COLUMNS
 VOCAB_SIZE = 4_000
 SUBWORD_FILE = "byte_bpe_50k.tiktoken"
 TITLE_THRESHOLD = 0.7
+ABBREVIATIONS = ["a", "la", "le"]
 ALIGNMENT_THRESHOLD = 0.1
 PAIR = ["lead", "mid"]
 
@@ -438,6 +439,25 @@ def rouge_tokens(spark, sf):
     )
 
 
+@query
+def sentence_abbreviations(spark, sf):
+    scores = sentences.abbreviation_scores(t.read_table(spark, sf, "conversations"), "text")
+    return rounded(scores.where(F.col("score") >= sentences.ABBREVIATION_SCORE), "score", digits=4)
+
+
+@query
+def sentence_starters(spark, sf):
+    scores = sentences.starter_scores(t.read_table(spark, sf, "conversations"), "text", ABBREVIATIONS)
+    return rounded(scores.where(F.col("score") >= sentences.STARTER_SCORE), "score", digits=4)
+
+
+@query
+def sentence_newlines_learned(spark, sf):
+    turns = t.read_table(spark, sf, "conversations")
+    ends = sentences.learn_sentence_ends(turns, "text")
+    return turns.select("conv_id", "turn", sentences.learned_sentence_newlines("text", ends).alias("sentences"))
+
+
 @query
 def stem_vocabulary_query(spark, sf):
     tokens = t.dialog(spark, sf).select(F.explode(rouge.rouge_tokens(F.concat_ws(" ", "pred", "ref"))).alias("token"))
