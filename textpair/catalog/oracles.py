@@ -615,6 +615,18 @@ FROM {subwords_of('si', 511)} i JOIN {subwords_of('sl', 29)} l USING (product_id
     "cosine_similarity": f"WITH {VEC_PAIRS} SELECT vec_id, cosine FROM vecs",
     "text_vectors": f"""WITH {PRODUCTS} SELECT product_id, token, count(*) AS tf
 FROM (SELECT product_id, unnest({tokens("coalesce(description, '')")}) AS token FROM products) GROUP BY ALL""",
+    "word_information": f"""WITH {PRODUCTS},
+texts AS (SELECT unnest([{tokens("coalesce(title, '')")}, {tokens("coalesce(description, '')")}]) AS w FROM products),
+top AS (SELECT token, (row_number() OVER (ORDER BY n DESC, token) - 1)::integer AS id
+  FROM (SELECT token, count(*) AS n FROM (SELECT unnest(w) AS token FROM texts) GROUP BY token) QUALIFY id < 2000),
+apart AS (SELECT unnest(w[1:len(w) - d]) AS x, unnest(w[d + 1:]) AS y, 60 // d AS w FROM texts, range(1, 6) g(d) WHERE len(w) > d),
+near AS (SELECT least(p.id, q.id) AS a, greatest(p.id, q.id) AS b, sum(w)::bigint AS w
+  FROM apart JOIN top p ON p.token = x JOIN top q ON q.token = y GROUP BY ALL),
+both_ways AS (SELECT a, b, w FROM near UNION ALL SELECT b, a, w FROM near WHERE a <> b),
+sums AS (SELECT a, sum(w)::double AS s FROM both_ways GROUP BY a),
+total AS (SELECT sum(s) AS t FROM sums)
+SELECT m.a, m.b, round(ln(w::double * t / (x.s * y.s)), 6) AS v FROM both_ways m JOIN sums x ON x.a = m.a JOIN sums y ON y.a = m.b, total
+WHERE ln(w::double * t / (x.s * y.s)) > 0""",
     "text_vectors_embedder": f"""WITH {PRODUCTS} SELECT product_id, concat_ws(' ', {', '.join(
         f"length(x) - length(replace(x, '{c}', ''))" for c in 'aeiou ')}) AS vector
 FROM (SELECT product_id, coalesce(description, '') AS x FROM products)""",

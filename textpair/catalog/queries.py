@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from textpair.catalog.generators import GENERATORS, VowelCounts
 from textpair.functions import rouge, text, vectors
 from textpair.functions.stem import stem_vocabulary
 from textpair.operators import (
-    averages, checkpoints, compare, curate, distributions, generate, sampling, sentences, similarity, subwords, vocab,
+    averages, checkpoints, compare, curate, distributions, embedding, generate, sampling, sentences, similarity, subwords, vocab,
 )
 from textpair.plans.analyze import analyze_results
 from textpair.plans.evaluate import evaluate_models
@@ -30,6 +31,7 @@ QUERIES: dict[str, Query] = {}
 COLS = t.TEXT_COLS
 SCORES = rouge.SCORE_COLUMNS
 VOCAB_SIZE = 4_000
+EMBEDDED_WORDS, EMBEDDED_DIMENSIONS = 2_000, 64
 SUBWORD_FILE = "byte_bpe_50k.tiktoken"
 TITLE_THRESHOLD = 0.7
 ABBREVIATIONS = ["a", "la", "le"]
@@ -597,6 +599,31 @@ def semantic_similarity_embedder(spark, sf):
     return rows.select("product_id", "model", "semantic_similarity")
 
 
+@query
+def word_information(spark, sf):
+    """Weighted neighbours of the most frequent words, and their pointwise mutual information where it is positive."""
+    rows = t.products(spark, sf)
+    words = [r["token"] for r in embedding.word_counts(rows, COLS, EMBEDDED_WORDS).collect()]
+    numbers = pa.array(range(len(words)), pa.int32())
+    entries = spark.sparkContext.broadcast((pa.array(words, pa.string()), numbers))
+    matrix = embedding.information(embedding.cooccurrences(rows, COLS, entries))
+    return rounded(matrix, "v")
+
+
+@query
+def text_vectors_learned(spark, sf):
+    rows = t.products(spark, sf)
+    embedder = embedding.learn_embedder(rows, COLS, EMBEDDED_WORDS, EMBEDDED_DIMENSIONS)
+    return similarity.text_vectors(rows, "description", embedder=embedder)
+
+
+@query
+def semantic_similarity_learned(spark, sf):
+    embedder = embedding.learn_embedder(t.products(spark, sf), COLS, EMBEDDED_WORDS, EMBEDDED_DIMENSIONS)
+    rows = similarity.semantic_similarity(t.results(spark, sf), embedder=embedder)
+    return rows.select("product_id", "model", "semantic_similarity")
+
+
 # --------------------------------------------------------------------------
 # generation and whole programs
 
