@@ -526,6 +526,10 @@ SELECT product_id, title, short_query, similarity FROM products JOIN sim ON k =
 SELECT product_id, lang, short_query, similarity FROM products JOIN sim ON k = product_id WHERE lang = 'en' AND similarity >= 0.1""",
     "outperformed_rows": f"""{RESULTS} SELECT a.target_query, a.generated_output AS generated_output_mid, b.generated_output AS generated_output_lead
 FROM results a JOIN results b ON a.target_query IS NOT DISTINCT FROM b.target_query WHERE a.model = 'mid' AND b.model = 'lead' AND {OUTPERFORMED}""",
+    "outperformed_counts": f"""{RESULTS}, distinct_outputs AS (
+  SELECT target_query, generated_output, {SCORE_LIST}, count(*) AS n FROM results WHERE model = 'mid' GROUP BY ALL)
+SELECT a.target_query, a.generated_output, a.n, count(*) AS wins
+FROM distinct_outputs a JOIN results b ON a.target_query IS NOT DISTINCT FROM b.target_query AND b.model = 'lead' AND {OUTPERFORMED} GROUP BY ALL""",
     "outperformed_rows_by_product": f"""{RESULTS} SELECT a.target_query, a.product_id, a.generated_output AS generated_output_mid, b.generated_output AS generated_output_lead
 FROM results a JOIN results b ON a.product_id = b.product_id WHERE a.model = 'mid' AND b.model = 'lead' AND {OUTPERFORMED}""",
     "row_by_model": f"WITH {GEN} SELECT product_id, model_ord, model_path, model, title FROM gen",

@@ -13,7 +13,7 @@ from textpair.catalog.generators import GENERATORS, VowelCounts
 from textpair.functions import rouge, text, vectors
 from textpair.functions.stem import stem_vocabulary
 from textpair.operators import (
-    averages, checkpoints, compare, curate, distributions, embedding, generate, sampling, sentences, similarity, subwords, vocab,
+    averages, checkpoints, compare, curate, distributions, dominance, embedding, generate, sampling, sentences, similarity, subwords, vocab,
 )
 from textpair.plans.analyze import analyze_results
 from textpair.plans.evaluate import evaluate_models
@@ -238,6 +238,11 @@ def outperformed_rows(spark, sf):
     return compare.outperformed_rows(t.results(spark, sf), "mid", "lead")
 
 
+@query
+def outperformed_counts(spark, sf):
+    return dominance.outperformed_counts(t.results(spark, sf), "mid", "lead")
+
+
 @query
 def outperformed_rows_by_product(spark, sf):
     return compare.outperformed_rows(t.results(spark, sf), "mid", "lead", on=("product_id",))
