@@ -1,18 +1,20 @@
 """Exact nearest neighbours of 64-bit codes by incremental multi-index hashing.
 
-A code is cut into four segments of 16 bits.  Two codes at distance d agree
-within floor(d / 4) bits in some segment, so looking up all values within
-radius r of the query's segments finds everything up to a certain distance.
-Joins are sort-merge joins: a broadcast per step would pile up on the driver.
-The radius grows step by step, one segment at a time; after radius r in the
-first j segments and r - 1 in the others, all codes up to distance 4r + j - 1
-are known.  A query stops when its k-th verified distance is within that.
+A code is cut into segments; there are as many as make a segment's values about
+as many as the codes (the width is log2 of their number, rounded down), at every
+size.  Two codes at distance d agree within floor(d / segments) bits in some
+segment, so looking up all values within radius r of the query's segments finds
+everything up to distance segments * (r + 1) - 1.  The radius grows step by step;
+a step is one join of all open queries' probes with all codes' segments by segment
+and value.  A query stops when its k-th verified distance is within what is covered.
+
+The join verifies: it only lets a pair through whose distance is not above the
+query's k-th verified distance so far, as no other can enter, and which no earlier
+step or segment has found.  Joins are sort-merge joins: a broadcast per step would
+pile up on the driver.
 
 Codes, not rows, are looked up: rows of equal codes keep their k + 1 smallest
-ids, more cannot be among the k nearest.  A pair of codes is taken in the first
-step that can find it, so no pair is verified twice.  Where a radius has more
-values than there are codes, looking at all codes costs less than looking
-values up: the queries that are left are compared with all codes, in blocks.
+ids, more cannot be among the k nearest.
 
 Edge cases: null vectors, and vectors with a null value, take no part; a bit is
 set where the value is above 0; fewer than k other rows give fewer neighbours;
@@ -22,9 +24,8 @@ gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,12 +34,9 @@ from textpair.llm.common import stored
 from textpair.session import shared_dir
 
 BITS = 64
-SEGMENTS = 4
-WIDTH = BITS // SEGMENTS
 K = 10
 QUERY_EVERY = 20
-BLOCKS = 256
-FOUND = "query long, distance int, first_id long, code long, n int"
+FOUND = "query long, distance int, first_id long, code long, n int, bound int"
 
 
 def sign_code(vector: Column) -> Column:
@@ -50,24 +48,35 @@ def sign_code(vector: Column) -> Column:
     return F.when(F.size(vector) > BITS, F.raise_error(F.lit("codes have at most 64 values"))).otherwise(code)
 
 
-def segment(code: Column, number: int) -> Column:
-    return F.shiftrightunsigned(code, WIDTH * number).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long"))
+def segment_widths(total: int) -> list[int]:
+    """Bits of each segment for so many codes: about log2 of their number, and all bits in equal shares."""
+    count = min(BITS, ceil(BITS / max(1.0, log2(max(total, 1)))))
+    return [BITS // count + (i < BITS % count) for i in range(count)]
+
+
+def segment(code: Column, number: int, widths: list[int]) -> Column:
+    start = sum(widths[:number])
+    return F.shiftrightunsigned(code, start).bitwiseAND(F.lit((1 << widths[number]) - 1).cast("long"))
 
 
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def flips(radius: int) -> Column:
-    """All values of a segment with so many bits, as one constant array."""
-    values = (sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius))
+def flips(width: int, radius: int) -> Column:
+    """All values of so many bits with ``radius`` ones, as one constant array."""
+    values = (sum(1 << b for b in bits) for bits in combinations(range(width), radius))
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """Per query code the k + 1 nearest codes; more ids than k + 1 cannot be wanted."""
+    """Per query code the k + 1 nearest codes, and the distance within which it has k + 1 ids (``BITS`` + 1: nowhere yet)."""
     order = Window.partitionBy("query").orderBy("distance", "first_id")
-    return found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k + 1).drop("_place")
+    placed = found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k + 1)
+    ids = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    reached = placed.withColumn("_reached", F.when(ids >= k + 1, F.col("distance")))
+    bound = F.coalesce(F.min("_reached").over(Window.partitionBy("query")), F.lit(BITS + 1))
+    return reached.select("query", "distance", "first_id", "code", "n", bound.cast("int").alias("bound"))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
@@ -89,26 +98,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         .withColumn("first_id", F.element_at("ids", 1)),
         "distinct-codes",
     )
-    total = codes.count()
-    active = stored(rows.where("asks").select(F.col("code").alias("query")).distinct(), "queries")
+    widths = segment_widths(codes.count())
+    numbers = range(len(widths))
+    parts = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), segment(F.col("code"), i, widths).alias("value")) for i in numbers]))
+    index = stored(codes.select("code", "first_id", F.size("ids").alias("n"), parts.alias("_p")).select("*", "_p.*").drop("_p"), "segments")
+    active = stored(rows.where("asks").select(F.col("code").alias("query"), F.lit(BITS + 1).alias("bound")).distinct(), "queries")
     best = spark.createDataFrame([], FOUND)
-    target = codes.select("code", "first_id", F.size("ids").alias("n"))
     finished = shared_dir(spark, "neighbours")
-
-    for radius, numbers, scan in steps(total):
-        if scan:
-            covered, found, best = BITS, all_codes(active, target), best.limit(0)
-        else:
-            covered = SEGMENTS * radius + numbers[-1]
-            found = looked_up(active, target, radius, numbers[0])
-            for number in numbers[1:]:
-                found = found.unionByName(looked_up(active, target, radius, number))
+    for radius in range(max(widths) + 1):
+        covered = len(widths) * (radius + 1) - 1
+        found = looked_up(active, index, widths, radius).withColumn("bound", F.lit(0))
         best = stored(ranked(best.unionByName(found), k), "best")
-        ids = F.sum(F.when(F.col("distance") <= covered, F.col("n")).otherwise(0))
-        done = stored(best.groupBy("query").agg(ids.alias("ids")).where(F.col("ids") >= (0 if scan else k + 1)).select("query"), "done")
-        best.join(done.hint("merge"), "query", "left_semi").write.mode("append").parquet(finished)
-        active = stored(active.join(done.hint("merge"), "query", "left_anti"), "queries")
-        best = best.join(done.hint("merge"), "query", "left_anti")
+        done = F.col("bound") <= covered
+        best.where(done).write.mode("append").parquet(finished)
+        bounds = best.select("query", F.col("bound").alias("_bound")).distinct()
+        known = active.join(bounds.hint("merge"), "query", "left").select("query", F.coalesce("_bound", "bound").alias("bound"))
+        active = stored(known.where(~done), "queries")
+        best = best.where(~done)
         if active.isEmpty():
             break
     else:
@@ -117,44 +123,31 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     return expanded(rows, codes, spark.read.schema(FOUND).parquet(finished), k)
 
 
-def steps(total: int) -> Iterator[tuple[int, list[int], bool]]:
-    """Radius, segments looked up in one go, and whether to look at all codes instead.
+def looked_up(active: DataFrame, index: DataFrame, widths: list[int], radius: int) -> DataFrame:
+    """Pairs within the query's bound that some segment finds at this radius, each from the first segment that does.
 
-    Radii of few values are looked up in all segments at once.
+    Earlier radii have found what is nearer than the radius in any segment.
     """
-    for radius in range(WIDTH + 1):
-        if comb(WIDTH, radius) > total:
-            yield radius, [], True
-            return
-        if radius <= 1:
-            yield radius, list(range(SEGMENTS)), False
-        else:
-            yield from ((radius, [number], False) for number in range(SEGMENTS))
-
-
-def looked_up(active: DataFrame, target: DataFrame, radius: int, number: int) -> DataFrame:
-    """New pairs whose segment ``number`` differs in ``radius`` bits."""
-    masks = F.explode(flips(radius)).alias("_mask")
-    probes = active.select("query", masks).select(
-        "query", segment(F.col("query"), number).bitwiseXOR(F.col("_mask")).alias("_value")
-    )
-    index = target.withColumn("_value", segment(F.col("code"), number))
-    pairs = probes.join(index.hint("merge"), "_value")
-    # Steps before this one had radius in the segments below, radius - 1 in those above.
-    for other in range(SEGMENTS):
-        if other != number:
-            apart = distance(segment(F.col("query"), other), segment(F.col("code"), other))
-            pairs = pairs.where(apart > radius if other < number else apart >= radius)
-    return pairs.select("query", distance(F.col("query"), F.col("code")).alias("distance"), "first_id", "code", "n")
-
-
-def all_codes(active: DataFrame, target: DataFrame) -> DataFrame:
-    """Every open query against every code, block by block."""
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_block")
-    asked = active.select("query", blocks)
-    blocked = target.withColumn("_block", F.pmod(F.xxhash64("code"), F.lit(BLOCKS)).cast("int"))
-    pairs = asked.join(blocked, "_block")
-    return pairs.select("query", distance(F.col("query"), F.col("code")).alias("distance"), "first_id", "code", "n")
+    numbers = range(len(widths))
+    parts = F.array(*[
+        F.struct(F.lit(i).alias("part"), segment(F.col("query"), i, widths).alias("value"), F.lit(widths[i]).alias("width"))
+        for i in numbers
+    ])
+    masks = F.array().cast("array<bigint>")
+    for width in sorted(set(widths)):
+        masks = F.when(F.col("_p.width") == width, flips(width, radius) if radius <= width else F.array().cast("array<bigint>")).otherwise(masks)
+    probes = active.select("query", "bound", F.explode(parts).alias("_p")).select(
+        "query", "bound", F.col("_p.part").alias("part"), F.col("_p.value").alias("_own"), F.explode(masks).alias("_mask")
+    ).select("query", "bound", "part", F.col("_own").bitwiseXOR(F.col("_mask")).alias("value"))
+    apart = distance(F.col("query"), F.col("code"))
+    fresh = F.lit(True)
+    for i in numbers:
+        far = distance(segment(F.col("query"), i, widths), segment(F.col("code"), i, widths))
+        fresh = fresh & (far >= F.when(F.col("_part") > i, radius + 1).when(F.col("_part") < i, radius).otherwise(0))
+    target = index.withColumnRenamed("part", "_part").withColumnRenamed("value", "_value")
+    match = (F.col("part") == F.col("_part")) & (F.col("value") == F.col("_value")) & (apart <= F.col("bound")) & fresh
+    pairs = probes.join(target.hint("merge"), match)
+    return pairs.select("query", apart.cast("int").alias("distance"), "first_id", "code", "n")
 
 
 def expanded(rows: DataFrame, codes: DataFrame, found: DataFrame, k: int) -> DataFrame:
