@@ -84,3 +84,23 @@ def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "the dogs", None)], SCHEMA)
     assert [r.lang_pred for r in li.identify(docs).collect()] == ["und"]
     assert li.identify(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_letters_are_those_of_isalpha(spark):
+    """Numerals of other kinds are no letters; every letter of every script is one."""
+    assert not any(li.words_of(c) for c in "²½①Ⅷ٣_7")
+    letters = [c for c in map(chr, range(0x30000)) if c.isalpha() and c.lower() == c]
+    assert all(li.words_of(c) == [c] for c in letters)
+    docs = spark.createDataFrame([(i, "ab cd ef", "en") for i in range(50)] + [(100, "² ½", "en"), (101, "Ⅷ", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in li.identify(docs).collect()}
+    assert got[100] == got[101] == ("und", 0.0)
+
+
+def test_long_runs_without_spaces_are_learned(spark):
+    """A language whose documents are single long runs is learned from all their letters."""
+    rng = random.Random(7)
+    runs = [("".join(rng.choices("アイウエオカキ", k=500)), "ja") for _ in range(60)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(runs + [("the cat and the dog", "en")] * 60)], "doc_id long, text string, lang string")
+    got = li.identify(docs).collect()
+    assert {r.lang_pred for r in got if r.doc_id < 60} == {"ja"} and {r.lang_pred for r in got if r.doc_id >= 60} == {"en"}
+    assert "".join(li.learned_parts(runs[0][0])) == runs[0][0]

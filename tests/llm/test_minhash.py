@@ -159,3 +159,31 @@ def test_bands_follow_from_the_percentage():
     for percent in (50, 70, 80, 90, 95):
         bands = minhash.bands_for(percent)
         assert bands.minima <= minhash.MINIMA and (1 - (percent / 100) ** bands.rows) ** bands.count <= 1e-6
+
+
+def near_texts(spark_rows=None):
+    """A, N and C: both ends within 0.85 of the middle, not of each other."""
+    words = [f"w{i}" for i in range(120)]
+    middle = list(words)
+    a, c = list(words), list(words)
+    a[:8] = [f"a{i}" for i in range(8)]
+    c[-8:] = [f"c{i}" for i in range(8)]
+    return " ".join(a), " ".join(middle), " ".join(c)
+
+
+def test_rows_without_an_id_link_others(spark):
+    a, n, c = near_texts()
+    rows = [(1, a), (None, n), (None, n), (2, c), (None, "one two three four five six"), (None, "one two three four five six seven")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = minhash.near_duplicates(docs, 80).collect()
+    by_text = {(r.doc_id, r.n_shingles): r.component_id for r in got}
+    assert by_text[1, 116] == by_text[2, 116] == by_text[None, 116] == 1
+    kept = [(r.doc_id, r.text) for r in minhash.deduplicated(docs, 80).collect()]
+    assert (1, a) in kept and len([k for k in kept if k[1] in (a, n, c)]) == 1
+
+
+def test_one_row_stays_of_a_component_within_one_id(spark):
+    a, n, c = near_texts()
+    docs = spark.createDataFrame([(5, a), (5, n), (5, c), (5, n), (5, ""), (5, ""), (6, None)], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in minhash.deduplicated(docs, 80).collect()]
+    assert len(kept) == 3 and {(5, ""), (6, None)} < set(kept)

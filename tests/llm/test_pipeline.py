@@ -44,7 +44,7 @@ def test_stages_one_by_one(spark, sf_dir):
     assert known.columns == columns and known.count() >= 0.99 * good.count()
 
     single = stored(near(spark, known, sf_dir), "test-near")
-    components = minhash.near_duplicates(known)
+    components = minhash.near_duplicates(known, corpus_pipeline.NEAR_DUPLICATE_PERCENT)
     assert single.columns == columns
     assert {r.doc_id for r in single.collect()} == {r.component_id for r in components.collect()}
     assert single.count() == single.select("doc_id").distinct().count()

@@ -19,7 +19,7 @@ def brute(url, rules):
 URLS = [
     None, "", "no scheme", "http://", "http://NET/", "https://a.Example.NET/en/x?y#z", "http://example.net", "http://example.net/en", "http://xexample.net/en/",
     "http://example.com/de/1", "http://b.example.com/fr/1", "http://x.org/fr/1", "http://org/fr/", "http://org-x/fr/", "http://user@example.net:80/en/", "http://a..net/", "http://net./",
-    "http://www.spam-farm.example.org/en/", "http://é.net/ü", "http://example.net/en/://net/", "a://b?c://example.net/en/", "http://x.net\\y/", "http://" + "a." * 120 + "net/",
+    "http://www.spam-farm.example.org/en/", "http://é.net/ü", "http://example.net/en/://net/", "a://b?c://example.net/en/", "http://x.net\\y/", "http://" + "a." * 120 + "net/", "http://" + "b." * 100_000 + "example.net/en/q",
 ]
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textpair.session import shared_dir
 
+# What a Python worker keeps from one task to the next: one owner's state at most.
+RESIDENT: dict[str, object] = {}
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -24,6 +30,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def resident(owner: str, build: Callable):
+    """``build()``, kept by the worker until another owner needs the memory."""
+    # ``shared`` is the imported module: functions sent by value have globals of their own.
+    import textpair.llm.common as shared
+
+    if owner not in shared.RESIDENT:
+        shared.RESIDENT.clear()
+        shared.RESIDENT[owner] = build()
+    return shared.RESIDENT[owner]
+
+
+def frugal(run: Callable) -> Callable:
+    """A batch function that gives its memory back to the machine when its task ends; the worker lives on."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python in batches of so many rows; it bounds what a worker holds at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -32,10 +32,10 @@ held out; repeated rows are predicted each.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -44,7 +44,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textpair.llm.common import stored
+from textpair.llm.common import frugal, resident, stored
 from textpair.session import ship_package
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -52,6 +52,7 @@ SAMPLE_PER_LANGUAGE = 2_000
 ROUNDS = 2
 SMOOTHING = 0.1
 UNKNOWN = 1e-7
+# Longer runs of letters are learned from in parts, whose chances stay within a double.
 LONGEST_LEARNED = 60
 REMEMBERED_WORDS = 250_000
 CHARS_AT_ONCE = 1_000_000
@@ -63,14 +64,19 @@ LOW_END = 0.01
 MARGIN = 4
 LEAST_MARGIN = 1.0
 
-WORD = re.compile(r"[^\W\d_]+")
+# Letters are what ``str.isalpha`` takes: the class of word characters also has numerals that are no decimal digits.
+NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+WORD = re.compile(f"[^\\W\\d_{NUMERALS}]+")
 START = "▁"
 UNDETERMINED = "und"
 
 
-@cache
 def vocabulary(path: str) -> tuple[dict[str, int], int]:
     """Pieces and their numbers, and the length of the longest."""
+    return resident(f"pieces:{path}", lambda: read_vocabulary(path))
+
+
+def read_vocabulary(path: str) -> tuple[dict[str, int], int]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [
         model.id_to_piece(i) for i in range(model.get_piece_size())
@@ -211,11 +217,18 @@ class Scorer:
         return self.model.languages[best], float(1 / np.exp(total - total[best]).sum()), float(total[best]) / letters
 
 
+def learned_parts(word: str) -> list[str]:
+    """A run of letters to learn from; a long one in parts, all of which count."""
+    if len(word) <= LONGEST_LEARNED:
+        return [word]
+    return [word[i : i + LONGEST_LEARNED] for i in range(0, len(word), LONGEST_LEARNED)]
+
+
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            counts.update((lang, word) for word in words_of(text) if len(word) <= LONGEST_LEARNED)
+            counts.update((lang, part) for word in words_of(text) for part in learned_parts(word))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()),
@@ -266,7 +279,7 @@ def learn(docs: DataFrame, most: int = SAMPLE_PER_LANGUAGE, path: str | None = N
     ship_package(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
     words = stored(
-        learning_sample(docs, most).select("lang", "text").mapInArrow(count_batches, "lang string, word string, n long")
+        learning_sample(docs, most).select("lang", "text").mapInArrow(frugal(count_batches), "lang string, word string, n long")
         .groupBy("lang", "word").agg(F.sum("n").alias("n")),
         "language-words",
     )
@@ -304,7 +317,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
     columns = [f"c{i}" for i in range(len(keep))]
     rows = docs.select("text", *[F.col(c).alias(a) for c, a in zip(keep, columns, strict=True)])
     schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
-    done = rows.mapInArrow(predict_batches(model, columns), schema)
+    done = rows.mapInArrow(frugal(predict_batches(model, columns)), schema)
     return done.select(*[F.col(a).alias(c) for c, a in zip(keep, columns, strict=True)], "lang_pred", "score")
 
 
@@ -324,7 +337,7 @@ def fit_batches(model: LanguageModel):
 def lowest_fits(docs: DataFrame, model: LanguageModel, most: int = SAMPLE_PER_LANGUAGE) -> dict[str, float]:
     """The fit a text needs to be in a language, from the learned documents that are found to be in it."""
     sample = learning_sample(docs, most).select("lang", "text")
-    fits = sample.mapInArrow(fit_batches(model), "lang string, lang_pred string, fit double").where("lang = lang_pred")
+    fits = sample.mapInArrow(frugal(fit_batches(model)), "lang string, lang_pred string, fit double").where("lang = lang_pred")
     ends = fits.groupBy("lang").agg(F.percentile_approx("fit", [LOW_END, 0.5]).alias("ends")).collect()
     return {r["lang"]: r["ends"][1] - max(MARGIN * (r["ends"][1] - r["ends"][0]), LEAST_MARGIN) for r in ends}
 
@@ -342,7 +355,7 @@ def accept_batches(model: LanguageModel, least: float, lowest: dict[str, float])
 
 def accepted(docs: DataFrame, model: LanguageModel, least: float, lowest: dict[str, float]) -> DataFrame:
     """The documents in a language with at least the score ``least`` and the language's lowest fit, all columns unchanged."""
-    return docs.mapInArrow(accept_batches(model, least, lowest), docs.schema)
+    return docs.mapInArrow(frugal(accept_batches(model, least, lowest)), docs.schema)
 
 
 def held_out(doc_id, parts: int, part: int):

@@ -22,8 +22,9 @@ miss the bound with 1e-6.
 
 Edge cases: a null or empty text, or one of white space, has no shingles and is
 linked with nothing; fewer than five words are one shingle; a row without an id
-belongs to the component of equal texts if those have an id, else to none
-(null component, kept); repeated rows share a component.
+is linked like any other and takes the smallest id of its component; where no
+row of a component has an id, the component is null and its rows are kept;
+repeated rows share a component.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textpair.llm.common import stored
+from textpair.llm.common import frugal, give_back, resident, stored
 from textpair.llm.components import connected_components
 from textpair.session import ship_package
 
@@ -99,15 +100,16 @@ class WordHashes(dict):
         return value
 
 
-WORD_HASHES = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
 
 
+def word_hashes() -> WordHashes:
+    return resident("word-hashes", WordHashes)
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
     words = (text or "").encode().translate(LOWER).split()
@@ -115,7 +117,7 @@ def shingle_set(text: str | None) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(words) < SHINGLE:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)], np.uint64)
-    hashed = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
+    hashed = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
     count = len(words) - SHINGLE + 1
     total = np.zeros(count, np.uint64)
     for i in range(SHINGLE):
@@ -250,6 +252,7 @@ def linked_blocks(banding: Bands):
             union = sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - both
             links = pairs[100 * both >= banding.percent * union]
             kept = [(int(used[a]), int(used[b])) for a, b in forest(links.tolist(), len(used))]
+        give_back()
         return pa.table({
             "u": pa.array([nodes[a] for a, _ in kept], pa.binary()), "v": pa.array([nodes[b] for _, b in kept], pa.binary()),
         })
@@ -260,7 +263,7 @@ def linked_blocks(banding: Bands):
 def sketches(docs: DataFrame, banding: Bands) -> DataFrame:
     """``doc_id, text_hash, n_shingles, node, bands, minima`` per document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(sketch_batches(banding), SKETCH)
+    return rows.mapInArrow(frugal(sketch_batches(banding)), SKETCH)
 
 
 def candidate_clusters(classes: DataFrame) -> DataFrame:
@@ -287,29 +290,33 @@ def block_pairs(placed: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, text_hash`` per document.
+    """``doc_id, n_shingles, component_id, kept, text_hash, root`` per document; ``root`` names the component.
 
     Documents are linked whose sets have a similarity of ``percent`` or more.
     """
     ship_package(docs.sparkSession)
     banding = bands_for(percent)
     sketch = stored(sketches(docs, banding), "sketches")
-    # A class is known by its set; copies without an id do not name it.
+    # A class is known by its set; it takes its text from its smallest id, or from any text where it has none.
     classes = stored(
         sketch.where("node IS NOT NULL").groupBy("node").agg(
-            F.min("doc_id").alias("representative"), F.first("n_shingles").alias("n"),
+            F.min("doc_id").alias("representative"), F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n"),
             F.first("bands").alias("bands"), F.first("minima").alias("minima"),
         ),
         "classes",
     )
-    named = classes.where("representative IS NOT NULL")
-    clusters = stored(candidate_clusters(named), "clusters")
-    candidates = clusters.join(named.select("node", "representative", "n", "minima"), "node")
+    clusters = stored(candidate_clusters(classes), "clusters")
+    candidates = clusters.join(classes.select("node", "representative", "text_hash", "n", "minima"), "node")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+    with_id = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         candidates.select(F.col("representative").alias("doc_id")).distinct(), "doc_id", "left_semi"
     )
-    sets = texts.mapInArrow(set_batches, "node binary, shingles binary")
+    hashed = docs.where("doc_id IS NULL").select(F.xxhash64("text").alias("text_hash"), "text")
+    without_id = hashed.groupBy("text_hash").agg(F.first("text").alias("text")).join(
+        candidates.where("representative IS NULL").select("text_hash"), "text_hash", "left_semi"
+    )
+    texts = with_id.select("text").unionByName(without_id.select("text"))
+    sets = texts.select(F.lit(0).alias("doc_id"), "text").mapInArrow(frugal(set_batches), "node binary, shingles binary")
     members = stored(
         candidates.join(sets, "node").groupBy("node").agg(
             *[F.first(c).alias(c) for c in ("cluster", "n", "minima", "shingles")]
@@ -322,20 +329,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     rooted = classes.select("node", "representative").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("representative").alias("component_id"))
-    placed_classes = rooted.join(smallest, "root").select("node", "component_id")
+    placed_classes = rooted.join(smallest, "root").select("node", "root", "component_id")
     joined = sketch.select("doc_id", "text_hash", "n_shingles", "node").join(placed_classes, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
-        "text_hash",
+        "text_hash", "root",
     )
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, all columns unchanged; repeated rows stay once."""
+    """One document of each component, all columns unchanged; repeated rows without words stay once.
+
+    It is the component's smallest id, of several texts with that id the one of smallest hash.
+    """
     row = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")
     id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
     rows = docs.select(row, id_key, F.xxhash64("text").alias("_text_hash"))
-    kept = near_duplicates(docs, percent).where("kept").select(id_key, F.col("text_hash").alias("_text_hash")).distinct()
+    found = near_duplicates(docs, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
+    one = found.where("root IS NOT NULL").groupBy("root").agg(first).select("first.doc_id", "first.text_hash")
+    kept = one.unionByName(found.where("root IS NULL").select("doc_id", "text_hash")).select(
+        id_key, F.col("text_hash").alias("_text_hash")
+    ).distinct()
     chosen = rows.join(kept, ["_id", "_text_hash"], "left_semi").dropDuplicates(["_id", "_text_hash"])
     return chosen.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

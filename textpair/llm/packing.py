@@ -34,7 +34,6 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -45,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textpair.llm.common import stored, text_key
+from textpair.llm.common import frugal, resident, stored, text_key
 from textpair.session import ship_package
 
 LENGTH = 1024
@@ -80,8 +79,11 @@ class Chunks(dict):
         return ids
 
 
-@cache
 def chunk_ids(path: str) -> Chunks:
+    return resident(f"chunks:{path}", lambda: read_chunks(path))
+
+
+def read_chunks(path: str) -> Chunks:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     encoding = tiktoken.Encoding(
@@ -140,7 +142,7 @@ def tokenise_batches(path: str, special_tokens: bool = False):
 def tokenised(docs: DataFrame, path: str, special_tokens: bool = False) -> DataFrame:
     """Ids of every document and its place in its partition's part of its source."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs["source"]).alias("queue_key"), "text")
-    return rows.mapInArrow(tokenise_batches(path, special_tokens), TOKENS)
+    return rows.mapInArrow(frugal(tokenise_batches(path, special_tokens)), TOKENS)
 
 
 def queues(totals: DataFrame, length: int) -> tuple[list[tuple[str | None, int]], int]:
@@ -272,4 +274,4 @@ def pack(
     placed = tokens.join(bases, ["part", "queue_key"]).select(
         "doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "tokens", "ids"
     )
-    return placed.mapInArrow(cut_batches(spans, everything, length), PIECES)
+    return placed.mapInArrow(frugal(cut_batches(spans, everything, length)), PIECES)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textpair.llm.common import stored
+from textpair.llm.common import frugal, stored
 from textpair.llm.language_id import held_out
 from textpair.session import ship_package
 
@@ -260,11 +260,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> QualityMode
     if sample.isEmpty():
         return None
     texts = sample.select("text")
-    counted = texts.mapInArrow(count_batches, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(frugal(count_batches), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     frequent = counted.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "token").limit(VOCABULARY)
     vocabulary = [*SHAPES, *(r["token"] for r in frequent.collect())]
 
-    sums = texts.mapInArrow(context_batches(vocabulary), "token int, vector array<float>")
+    sums = texts.mapInArrow(frugal(context_batches(vocabulary)), "token int, vector array<float>")
     vectors = np.zeros((len(vocabulary), DIMENSIONS), np.float32)
     for r in sums.repartition("token").mapInArrow(add_batches, "token int, vector array<float>").toLocalIterator():
         vectors[r["token"]] = r["vector"]
@@ -311,7 +311,7 @@ def score(docs: DataFrame, model: QualityModel | None, keep: list[str]) -> DataF
     else:
         columns = [f"c{i}" for i in range(len(keep))]
         rows = docs.select("text", *[F.col(c).alias(a) for c, a in zip(keep, columns, strict=True)])
-        done = rows.mapInArrow(score_batches(model, columns), rows.drop("text").schema.add("score", "double"))
+        done = rows.mapInArrow(frugal(score_batches(model, columns)), rows.drop("text").schema.add("score", "double"))
         scored = done.select(*[F.col(a).alias(c) for c, a in zip(keep, columns, strict=True)], "score")
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
@@ -327,7 +327,7 @@ def accept_batches(model: QualityModel):
 
 def accepted(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     """The documents with a score of at least ``THRESHOLD``, all columns unchanged."""
-    return docs if model is None else docs.mapInArrow(accept_batches(model), docs.schema)
+    return docs if model is None else docs.mapInArrow(frugal(accept_batches(model)), docs.schema)
 
 
 def assess(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:

@@ -4,8 +4,8 @@ A rule is a host and a path prefix.  With the host's labels reversed, a rule is
 a prefix of canonical keys ``org.example/en/...`` and so an interval; intervals
 of prefixes are nested or disjoint.  Rules give two sorted boundaries each: at
 its start the rule becomes the innermost active one, at its end the rule around
-it is again.  Pages give one key per suffix of their host (a host has at most
-127 labels), because a rule also fits subdomains.  One sorted sweep over
+it is again.  Pages give one key per suffix of their host, because a rule also fits
+subdomains; suffixes of more labels than any rule has fit none and get no key.  One sorted sweep over
 boundaries and keys hands every key the innermost active rule, the top of the
 stack; a page keeps the longest rule of its keys.
 
@@ -90,14 +90,17 @@ def boundaries(rules: DataFrame) -> DataFrame:
     return starts.union(ends)
 
 
-def longest_rules(rows: DataFrame, rules: dict[str, DataFrame], sweeps: int) -> DataFrame:
-    """Add one struct column per rule table to rows with ``host`` and ``path``: the longest rule that fits."""
+def longest_rules(rows: DataFrame, rules: dict[str, DataFrame], sweeps: int, deepest: int) -> DataFrame:
+    """Add one struct column per rule table to rows with ``host`` and ``path``: the longest rule that fits.
+
+    ``deepest`` is the largest number of labels of a rule's host: a longer suffix of a page's host fits no rule.
+    """
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())
     numbered = numbered.withColumn("_sweep", (F.col("_row") % sweeps).cast("int"))
     labels = F.split("host", "[.]")
     # Only a non-empty host is a host; its suffixes start at each of its labels.
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
+        F.sequence(F.greatest(F.size(labels) - (deepest - 1), F.lit(1)), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
     payload = F.struct(*rows.columns)
@@ -137,7 +140,8 @@ def judge(pages: DataFrame, base=BASE_RULES, extra=LIST_RULES) -> DataFrame:
     host, path = host_and_path(pages["url"])
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     judged = longest_rules(
-        rows, {"_base": rule_table(spark, base), "_list": rule_table(spark, extra)}, sweeps
+        rows, {"_base": rule_table(spark, base), "_list": rule_table(spark, extra)}, sweeps,
+        max((len(rule.split("/")[0].split(".")) for rule, _ in (*base, *extra) if rule), default=1),
     )
     return judged.select(
         "page_id", "host", "path", F.col("_base.rule").alias("rule"),
