@@ -32,7 +32,6 @@ held out; repeated rows are predicted each.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -64,9 +63,8 @@ LOW_END = 0.01
 MARGIN = 4
 LEAST_MARGIN = 1.0
 
-# Letters are what ``str.isalpha`` takes: the class of word characters also has numerals that are no decimal digits.
-NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-WORD = re.compile(f"[^\\W\\d_{NUMERALS}]+")
+# Runs of letters and of numerals that are no decimal digits; ``words_of`` takes the latter out.
+WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 UNDETERMINED = "und"
 
@@ -86,7 +84,11 @@ def read_vocabulary(path: str) -> tuple[dict[str, int], int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters, which are what ``str.isalpha`` takes."""
+    words = WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for word in words for part in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 def lattice(words: list[str], path: str) -> tuple[np.ndarray, list[int]]:
