@@ -1,4 +1,6 @@
+import random
 import re
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -149,3 +151,28 @@ def test_rouge_n_row_local_is_not_quadratic(spark):
         local = {r["k"]: r["s"] for r in df.select("k", rouge.rouge_n("a", "b", n).alias("s")).collect()}
         exploded = {r["k"]: r["score"] for r in rouge.rouge_n_exploded(df, ["k"], "a", "b", n).collect()}
         assert local == exploded
+
+
+@pytest.mark.parametrize("kept, block", [(1, 1), (2, 3), (512, 64)])
+def test_checkpointed_walk_finds_the_same_positions(monkeypatch, kept, block):
+    monkeypatch.setattr(rouge, "KEPT_MASKS", kept)
+    monkeypatch.setattr(rouge, "LEAST_BLOCK", block)
+    rng = random.Random(kept)
+    for size in (1, 2, 5, 40, 90):
+        for words in (1, 2, 6, 60):
+            ref, pred = ([[str(rng.randrange(words)) for _ in range(rng.randint(0, size))] for _ in range(2)] for _ in range(2))
+            assert rouge.union_lcs_hits(ref, pred) == plain_union_hits(ref, pred)
+            assert rouge.lcs_length(ref[0], pred[0]) == table(ref[0], pred[0])[-1][-1]
+
+
+def test_long_lines_in_bounded_memory():
+    """Two lines of 60,000 words, most of them rare."""
+    rng = random.Random(5)
+    ref = [f"w{int(rng.paretovariate(0.3)) % 50_000}" for _ in range(60_000)]
+    pred = [w if rng.random() < 0.8 else "x" for w in ref]
+    tracemalloc.start()
+    n_pred, n_ref, _, _, lcs, union = rouge.pair_counts(" ".join(pred) + "\nend", " ".join(ref))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (n_pred, n_ref) == (60_001, 60_000) and 45_000 < lcs == union < 55_000
+    assert peak < 120_000_000

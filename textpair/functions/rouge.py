@@ -11,8 +11,10 @@ scored, never prefixes.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,11 @@ from textpair.functions.text import _col
 
 SCORE_COLUMNS = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
 
+# Memory of the subsequence step: masks kept of a text, and the fewest bit rows of
+# a block, so that short lines are walked without making rows again.
+KEPT_MASKS = 512
+LEAST_BLOCK = 64
+
 _COUNT_NAMES = ["n_pred", "n_ref", "overlap1", "overlap2", "lcs", "union_lcs"]
 _COUNTS_TYPE = T.StructType([T.StructField(name, T.IntegerType()) for name in _COUNT_NAMES])
 
@@ -147,8 +154,41 @@ def rouge_n_exploded(
 # longest common subsequence
 
 
-def _positions(tokens: Sequence[str]) -> dict[str, int]:
+class _RareMasks:
+    """Masks of a long text: those of the most frequent tokens are kept, others made when asked for.
+
+    A mask is as long as the text, so one for every distinct token would need
+    quadratic memory; a token that is not kept has few bits to set.
+    """
+
+    def __init__(self, tokens: Sequence[str]) -> None:
+        self._places: dict[str, list[int]] = {}
+        for j, token in enumerate(tokens):
+            self._places.setdefault(token, []).append(j)
+        frequent = heapq.nlargest(KEPT_MASKS, self._places, key=lambda token: len(self._places[token]))
+        self._kept = {token: self._mask(token) for token in frequent}
+
+    def _mask(self, token: str) -> int:
+        places = self._places[token]
+        bits = bytearray((places[-1] >> 3) + 1)
+        for j in places:
+            bits[j >> 3] |= 1 << (j & 7)
+        return int.from_bytes(bits, "little")
+
+    def get(self, token: str, default: int) -> int:
+        mask = self._kept.get(token)
+        if mask is not None:
+            return mask
+        return self._mask(token) if token in self._places else default
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._places)
+
+
+def _positions(tokens: Sequence[str]) -> dict[str, int] | _RareMasks:
     """Token -> integer whose bit j is set where the token stands at j."""
+    if len(tokens) > KEPT_MASKS:
+        return _RareMasks(tokens)
     masks: dict[str, int] = {}
     for j, token in enumerate(tokens):
         masks[token] = masks.get(token, 0) | (1 << j)
@@ -169,27 +209,49 @@ def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     return len(b) - row.bit_count()
 
 
-def _matched(ref: Sequence[str], cand: Sequence[str], masks: dict[str, int]) -> set[int]:
+def _bit_rows(
+    row: int, tokens: Sequence[str], masks: dict[str, int] | _RareMasks, full: int
+) -> list[int]:
+    """``row`` and the bit rows behind it, one for each token, within the columns of ``full``."""
+    rows = [row]
+    for token in tokens:
+        hit = row & masks.get(token, 0)
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
+        rows.append(row)
+    return rows
+
+
+def _matched(ref: Sequence[str], cand: Sequence[str], masks: dict[str, int] | _RareMasks) -> set[int]:
     """Positions of ``ref`` on the longest common subsequence with ``cand``.
 
     Where several subsequences are longest, the walk from the end steps left
     only when that keeps strictly more than stepping up, because the choice
     decides which reference positions count.
+
+    The walk needs every bit row.  Of a long line only the first row of each
+    block of about ``sqrt(len(ref))`` rows is kept; a block's rows are made
+    again, as far right as the walk can still go, when the walk enters it.
     """
-    full = (1 << len(cand)) - 1
-    rows = [full]
-    for token in ref:
-        row = rows[-1]
-        hit = row & masks.get(token, 0)
-        rows.append(((row + hit) | (row - hit)) & full if hit else row)
+    block = max(LEAST_BLOCK, math.isqrt(len(ref)))
+    starts: list[int] = []
+    rows = [(1 << len(cand)) - 1]
+    for base in range(0, len(ref), block):
+        starts.append(rows[-1])
+        rows = _bit_rows(rows[-1], ref[base : base + block], masks, starts[0])
 
     def table(i: int, j: int) -> int:
-        return j - (rows[i] & ((1 << j) - 1)).bit_count()
+        return j - (rows[i - base] & ((1 << j) - 1)).bit_count()
 
     found = set()
     i, j = len(ref), len(cand)
     here = table(i, j)
     while i and j and here:
+        if i == base:
+            starts.pop()
+            base -= block
+            rest = (1 << j) - 1
+            rows = _bit_rows(starts[-1] & rest, ref[base:i], masks, rest)
         if ref[i - 1] == cand[j - 1]:
             found.add(i - 1)
             i, j, here = i - 1, j - 1, here - 1
