@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from textpair.operators import checkpoints
 from textpair.session import shared_dir
-from textpair.sources.metric_logs import EVAL_KEYS, LOG_SCHEMA, MERGED_COLUMNS, TRAIN_KEYS
+from textpair.sources.metric_logs import (
+    EVAL_KEYS, FINAL_COLUMNS, LOG_SCHEMA, MERGED_COLUMNS, TRAIN_KEYS, batch_writer, read_metric_log,
+)
 from textpair.streaming.evaluate import append_available
-from textpair.streaming.metrics import stream_final_metrics, stream_metrics_merge
+from textpair.streaming.metrics import stream_final_metrics, stream_metric_logs, stream_metrics_merge
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -147,3 +149,51 @@ def test_best_and_retained(spark):
     assert sorted((r["run"], r["step"]) for r in kept) == [("a", 200), ("a", 300), ("b", 200), ("b", 300)]
     best = checkpoints.best_checkpoint(runs, run="run").collect()
     assert sorted((r["run"], r["step"]) for r in best) == [("a", 200), ("b", 200)]
+
+
+def run_available(stream, path, checkpoint, fmt="parquet"):
+    stream_metric_logs(stream, path, checkpoint, fmt).trigger(availableNow=True).start().awaitTermination()
+
+
+def both_logs(spark, path, fmt="parquet"):
+    merged = read_metric_log(spark, path, "evaluation_metrics", fmt)
+    final = read_metric_log(spark, path, "final_metrics", fmt)
+    assert merged.columns == ["timestamp", *MERGED_COLUMNS] and final.columns == ["timestamp", *FINAL_COLUMNS]
+    assert merged.where("timestamp IS NULL").count() == final.where("timestamp IS NULL").count() == 0
+    return rows(merged), sorted(r["train_runtime"] for r in final.collect())
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_streamed_logs_equal_the_batch_logs(spark, fmt):
+    records = random_records(4, 80, 4)
+    path, state = shared_dir(spark, "logs"), shared_dir(spark, "cp")
+    run_available(arriving(spark, records, "records", 3), path, state, fmt)
+    merged, final = both_logs(spark, path, fmt)
+    assert merged == merged_by_hand(records)
+    assert final == sorted(r["train_runtime"] for r in checkpoints.final_metrics(frame(spark, records)).collect())
+
+
+def test_streamed_logs_go_on_after_a_restart(spark):
+    """Pending sides wait in the state between two runs, and old batches are not written again."""
+    path, state, source = (shared_dir(spark, name) for name in ("logs", "cp", "records"))
+    first = [record(0, 1, loss=1.0), record(1, 2, loss=2.0), record(2, 2, eval_loss=3.0)]
+    for records in (first, [record(3, 1, eval_loss=4.0)], []):
+        if records:
+            frame(spark, records).coalesce(1).write.mode("append").parquet(source)
+        run_available(spark.readStream.schema(LOG_SCHEMA).parquet(source), path, state)
+    assert both_logs(spark, path)[0] == merged_by_hand([*first, record(3, 1, eval_loss=4.0)])
+
+
+def test_a_replayed_batch_adds_no_row(spark):
+    path = shared_dir(spark, "logs")
+    merged = checkpoints.metrics_merge(frame(spark, [record(0, 1, loss=1.0), record(1, 1, eval_loss=2.0)]))
+    batch = merged.selectExpr("'evaluation_metrics' AS log", "*", *[f"cast(NULL AS double) AS {c}" for c in FINAL_COLUMNS if c not in merged.columns])
+    write = batch_writer(path, "a")
+    for number in (0, 1, 1, 0):
+        write(batch, number)
+    assert read_metric_log(spark, path, "evaluation_metrics").count() == 2
+    batch_writer(path, "b")(batch, 0)
+    assert read_metric_log(spark, path, "evaluation_metrics").count() == 3
+    assert read_metric_log(spark, path, "final_metrics").count() == 0
+    with pytest.raises(ValueError):
+        batch_writer(path, "a", "xml")

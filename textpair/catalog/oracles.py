@@ -487,6 +487,10 @@ simrows AS (SELECT r.*, s.similarity AS semantic_similarity FROM results r JOIN
 
 SIMILAR = _lcs_similarity()
 
+BOTH_LOGS = f"""WITH {MERGED}
+SELECT 'merged' AS log, true AS stamped, run, epoch, step, loss, "eval_rougeL", NULL::double AS train_runtime FROM merged
+UNION ALL SELECT 'final', true, run, epoch, step, NULL, NULL, value FROM logs WHERE kind = 'final'"""
+
 ORACLES: dict[str, str] = {
     "load_split": f"WITH {PRODUCTS} SELECT product_id, title, description, short_query, lang FROM products WHERE split = 'test'",
     "read_results": f"{RESULTS} SELECT {RESULT_COLUMNS} FROM results",
@@ -501,9 +505,7 @@ UNION ALL SELECT 'best', count(*), count(DISTINCT target_query), {content("targe
   FROM results WHERE model = 'lead' AND "rougeL" >= 50
 UNION ALL SELECT 'worst', count(*), count(DISTINCT target_query), {content("target_query", "generated_output")}
   FROM results WHERE model = 'lead' AND "rougeL" <= 0""",
-    "write_metric_logs": f"""WITH {MERGED}
-SELECT 'merged' AS log, true AS stamped, run, epoch, step, loss, "eval_rougeL", NULL::double AS train_runtime FROM merged
-UNION ALL SELECT 'final', true, run, epoch, step, NULL, NULL, value FROM logs WHERE kind = 'final'""",
+    "write_metric_logs": BOTH_LOGS,
     "split_profile": f"""WITH {PRODUCTS} SELECT split, count(*) AS n_rows, 6 AS n_columns,
 greatest(1, count(*) // 32) AS steps_per_epoch FROM products GROUP BY split""",
     "concat_input_train": f"WITH {PRODUCTS} SELECT product_id, {TRAIN_INPUT} AS input_text FROM products",
@@ -675,6 +677,7 @@ counted AS (
   UNION ALL SELECT 'similarity_vs_rouge', 4 * count(*), NULL FROM results WHERE model = 'lead')
 SELECT report, n::bigint AS n, content FROM counted""",
     "stream_metrics_merge": f"WITH {MERGED} SELECT {MERGED_COLUMNS} FROM merged",
+    "stream_metric_logs": BOTH_LOGS,
     "stream_final_metrics": f"WITH {LOGS} SELECT {FINAL_COLUMNS} FROM logs WHERE kind = 'final'",
     "stream_evaluate": f"{RESULTS} SELECT product_id, model, generated_output, {SCORE_LIST} FROM results",
 }

@@ -22,7 +22,7 @@ from textpair.session import configure, shared_dir, ship_package
 from textpair.sources import datasets, metric_logs
 from textpair.sources import results as result_files
 from textpair.streaming.evaluate import append_available, stream_evaluate
-from textpair.streaming.metrics import stream_final_metrics, stream_metrics_merge
+from textpair.streaming.metrics import stream_final_metrics, stream_metric_logs, stream_metrics_merge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,24 +121,29 @@ def write_case_slices(spark, sf):
     return back
 
 
-@query
-def write_metric_logs(spark, sf):
-    path = shared_dir(spark, "metric-logs")
-    records = t.logs(spark, sf)
-    metric_logs.write_metric_logs(
-        checkpoints.metrics_merge(records), checkpoints.final_metrics(records), path
-    )
+def _both_logs(spark, path):
+    """What both metric logs hold, with proof of their stamps."""
     stamped = F.col("timestamp").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$").alias("stamped")
-    merged = spark.read.parquet(f"{path}/evaluation_metrics").select(
+    merged = metric_logs.read_metric_log(spark, path, "evaluation_metrics").select(
         F.lit("merged").alias("log"), stamped, "run", "epoch", "step", "loss", "eval_rougeL", F.lit(None).cast("double").alias("train_runtime")
     )
-    final = spark.read.parquet(f"{path}/final_metrics").select(
+    final = metric_logs.read_metric_log(spark, path, "final_metrics").select(
         F.lit("final").alias("log"), stamped, "run", "epoch", "step", F.lit(None).cast("double").alias("loss"),
         F.lit(None).cast("double").alias("eval_rougeL"), "train_runtime",
     )
     return merged.unionByName(final)
 
 
+@query
+def write_metric_logs(spark, sf):
+    path = shared_dir(spark, "metric-logs")
+    records = t.logs(spark, sf)
+    metric_logs.write_metric_logs(
+        checkpoints.metrics_merge(records), checkpoints.final_metrics(records), path
+    )
+    return _both_logs(spark, path)
+
+
 @query
 def split_profile(spark, sf):
     return datasets.split_profile(t.products(spark, sf), 32)
@@ -707,6 +712,15 @@ def stream_final_metrics_query(spark, sf):
     return spark.read.parquet(out)
 
 
+@query
+def stream_metric_logs_query(spark, sf):
+    configure(spark)
+    path, state = shared_dir(spark, "streamed-logs"), shared_dir(spark, "streamed-logs-state")
+    logs = _as_stream(spark, t.logs(spark, sf), "log-records")
+    stream_metric_logs(logs, path, state).trigger(availableNow=True).start().awaitTermination()
+    return _both_logs(spark, path)
+
+
 @query
 def stream_evaluate_query(spark, sf):
     rows = stream_evaluate(_as_stream(spark, t.products(spark, sf), "examples"), GENERATORS)

@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textpair.operators.checkpoints import EVAL_MARKS, KEY, TRAIN_MARKS, final_metrics
-from textpair.sources.metric_logs import EVAL_KEYS, TRAIN_KEYS, with_run
+from textpair.sources.metric_logs import EVAL_KEYS, FINAL_COLUMNS, MERGED_COLUMNS, TRAIN_KEYS, batch_writer, with_run
 
 _VALUES = [*TRAIN_KEYS, *EVAL_KEYS]
 # A record's values travel as one array, because state functions pay per column,
@@ -116,3 +117,25 @@ def stream_metrics_merge(logs: DataFrame, pending_days: int | None = None) -> Da
 def stream_final_metrics(logs: DataFrame) -> DataFrame:
     """Final records of a log stream; they bypass the merge."""
     return final_metrics(logs)
+
+
+def stream_metric_logs(
+    logs: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", pending_days: int | None = None
+) -> DataStreamWriter:
+    """The writer of both metric logs below ``path`` while records arrive; set a trigger and start it.
+
+    Merged rows go to ``evaluation_metrics``, final records to
+    ``final_metrics``, each with the time of writing, readable with
+    ``read_metric_log``.  ``checkpoint`` is the folder of the stream's progress
+    and its name as a writer: a stream that starts again there goes on behind
+    its last whole batch and replaces a batch it had begun, so no row is lost or
+    written twice.  Streams with other checkpoints may write to the same path.
+    """
+    merged = stream_metrics_merge(logs, pending_days).select(F.lit("evaluation_metrics").alias("log"), *MERGED_COLUMNS)
+    final = stream_final_metrics(logs).select(F.lit("final_metrics").alias("log"), *FINAL_COLUMNS)
+    both = merged.unionByName(final, allowMissingColumns=True)
+    return (
+        both.writeStream.outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(batch_writer(path, checkpoint, fmt))
+    )
