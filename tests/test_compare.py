@@ -2,6 +2,7 @@ import math
 import statistics
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,33 @@ def test_density_matches_the_formula(spark):
         assert (r["x"], r["density"]) == (pytest.approx(x, abs=1e-5), pytest.approx(d, abs=1e-5))
 
 
+def test_density_and_histogram_of_many_distinct_values(spark):
+    """40,000 distinct values in two far clumps: no window, empty points are 0, the same curve as all pairs."""
+    df = spark.range(40_000).select(
+        F.lit("a").alias("model"), F.lit("m").alias("metric"),
+        (F.col("id") * 0.0001 + F.when(F.col("id") % 2 == 0, 1000.0).otherwise(0.0)).alias("value"),
+    )
+    values = np.array([r["value"] for r in df.select("value").collect()])
+    curve = distributions.density(df)
+    got = curve.orderBy("x").collect()
+    h = values.std(ddof=1) * len(values) ** -0.2
+    x = np.linspace(values.min() - 3 * h, values.max() + 3 * h, 200)
+    want = np.array([np.exp(-0.5 * ((at - values) / h) ** 2).sum() for at in x]) / (len(values) * h * math.sqrt(2 * math.pi))
+    assert np.allclose([r["x"] for r in got], x, atol=1e-4) and np.allclose([r["density"] for r in got], want, atol=1e-6)
+    narrow = distributions.density(df.where("value < 1 or value > 1003"), grid=400).orderBy("x").collect()
+    assert len(narrow) == 400 and min(r["density"] for r in narrow) == 0.0
+    bins = distributions.histogram(df, 20)
+    assert sum(r["n"] for r in bins.collect()) == 40_000
+    for plan in (curve, bins):
+        assert "Window" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_without_a_name_keep_their_distribution(spark):
+    df = spark.createDataFrame([(None, "m", float(v)) for v in (1, 2, 4)], "model string, metric string, value double")
+    assert distributions.density(df, grid=5).count() == 5
+    assert sum(r["n"] for r in distributions.histogram(df, 4).collect()) == 3
+
+
 def test_bootstrap_brackets_the_mean(spark):
     df = spark.range(4000).select(
         F.col("id").alias("k"), *[((F.col("id") * 37) % 101).cast("double").alias(c) for c in compare.SCORE_COLUMNS]

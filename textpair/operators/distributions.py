@@ -1,9 +1,9 @@
 """Histograms, densities and correlations of scores.
 
-Scores have two decimals and similarities six, so these metrics have a bounded
-number of distinct values; round others first if so wished.  Every distribution first counts rows per distinct
-value, with partial counts before the shuffle, and works on those counts; after
-that step the cost no longer depends on the number of rows.
+Every distribution first counts rows per distinct value, with partial counts
+before the shuffle, and works on those counts.  Scores have two decimals and
+similarities six, so their cost then no longer depends on the number of rows;
+values of any other precision stay spread over all tasks.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textpair.functions.rouge import SCORE_COLUMNS
@@ -23,6 +23,9 @@ SCORE_BINS = 20
 SIMILARITY_BINS = 25
 GRID_POINTS = 200
 GRID_REACH = 3.0
+# A value adds to the grid points within this many bandwidths.  What is left out
+# is below exp(-32) = 1.3e-14 of a kernel's height at every point.
+KERNEL_REACH = 8.0
 
 _GROUP = ["model", "metric"]
 
@@ -33,6 +36,17 @@ def value_counts(long: DataFrame) -> DataFrame:
     return present.groupBy(*_GROUP, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _with_group_facts(counted: DataFrame, facts: DataFrame) -> DataFrame:
+    """``counted`` with the columns of ``facts``, which has one row per (model, metric).
+
+    That is as many rows as models are compared, times the metrics, so the table
+    is sent to the tasks and the values of a large group need not meet in one.
+    """
+    named = facts.withColumnsRenamed({c: f"_{c}" for c in _GROUP})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _GROUP]
+    return counted.join(F.broadcast(named), same).drop(*[f"_{c}" for c in _GROUP])
+
+
 def histogram(long: DataFrame, bins: int) -> DataFrame:
     """Equal-width bins per (model, metric): ``(model, metric, bin, lo, hi, n)``.
 
@@ -40,10 +54,9 @@ def histogram(long: DataFrame, bins: int) -> DataFrame:
     all values are equal the range is widened by half on both sides.  Empty
     bins are part of the result.
     """
-    w = Window.partitionBy(*_GROUP)
-    ranged = value_counts(long).withColumns(
-        {"_min": F.min("value").over(w), "_max": F.max("value").over(w)}
-    )
+    counted = value_counts(long)
+    ends = counted.groupBy(*_GROUP).agg(F.min("value").alias("_min"), F.max("value").alias("_max"))
+    ranged = _with_group_facts(counted, ends)
     pad = F.when(F.col("_min") == F.col("_max"), F.lit(0.5)).otherwise(F.lit(0.0))
     ranged = ranged.withColumns({"_lo": F.col("_min") - pad, "_hi": F.col("_max") + pad})
     place = F.floor((F.col("value") - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo"))) + 1
@@ -99,35 +112,47 @@ def density(
     scaled to the counts of a histogram with that many bins.  A metric without
     spread has no curve.
     """
-    w = Window.partitionBy(*_GROUP)
     n, v = F.col("n"), F.col("value")
-    counted = value_counts(long).withColumns(
-        {
-            "_n": F.sum("n").over(w).cast("double"),
-            "_s1": F.sum(n * v).over(w),
-            "_s2": F.sum(n * v * v).over(w),
-            "_min": F.min("value").over(w),
-            "_max": F.max("value").over(w),
-        }
+    counted = value_counts(long)
+    moments = counted.groupBy(*_GROUP).agg(
+        F.sum("n").cast("double").alias("_n"),
+        F.sum(n * v).alias("_s1"),
+        F.sum(n * v * v).alias("_s2"),
+        F.min("value").alias("_min"),
+        F.max("value").alias("_max"),
     )
-    usable = counted.where((F.col("_n") > 1) & (F.col("_max") > F.col("_min")))
+    usable = moments.where((F.col("_n") > 1) & (F.col("_max") > F.col("_min")))
     variance = (F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n")) / (F.col("_n") - 1)
     shaped = usable.withColumn("_h", F.sqrt(variance) * F.pow("_n", F.lit(-0.2)))
     lo = F.col("_min") - F.col("_h") * reach
     hi = F.col("_max") + F.col("_h") * reach
-    # The window leaves a metric's values on one task; their grids need not stay there.
-    cores = long.sparkSession.sparkContext.defaultParallelism
-    on_grid = shaped.repartition(cores).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn(
-        "_x", lo + (hi - lo) * F.col("_i") / (grid - 1)
-    )
-    z = (F.col("_x") - v) / F.col("_h")
-    scale = F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi)
-    bump = n * F.exp(-0.5 * z * z) / scale
+    facts = shaped.select(*_GROUP, "_n", "_min", "_max", "_h", lo.alias("_lo"), hi.alias("_hi"))
+    h, last = F.col("_h"), F.lit(grid - 1)
+    x = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_i") / last
+
+    # Points in reach of a value; one more on both sides covers the rounding of the division.
+    place = (v - F.col("_lo")) * last / (F.col("_hi") - F.col("_lo"))
+    around = h * KERNEL_REACH * last / (F.col("_hi") - F.col("_lo"))
+    first_point = F.greatest(F.floor(place - around) - 1, F.lit(0))
+    last_point = F.least(F.ceil(place + around) + 1, last)
+    z = (x - v) / h
+    bump = n * F.exp(-0.5 * z * z) / (F.col("_n") * h * math.sqrt(2 * math.pi))
     if count_scale_bins is not None:
         bump = bump * F.col("_n") * (F.col("_max") - F.col("_min")) / count_scale_bins
+    # Few values may share a partition, but each makes many rows.
+    cores = long.sparkSession.sparkContext.defaultParallelism
+    near = _with_group_facts(counted, facts).repartition(cores).where(first_point <= last_point)
+    bumps = near.withColumn("_i", F.explode(F.sequence(first_point, last_point))).select(
+        *_GROUP, "_i", x.alias("_x"), bump.alias("density")
+    )
+    # Every point of the curve is a row, also one that no value reaches.
+    points = facts.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))).select(
+        *_GROUP, "_i", x.alias("_x"), F.lit(0.0).alias("density")
+    )
     return (
-        on_grid.groupBy(*_GROUP, "_i", "_x")
-        .agg(F.sum(bump).alias("density"))
+        bumps.unionByName(points)
+        .groupBy(*_GROUP, "_i", "_x")
+        .agg(F.sum("density").alias("density"))
         .select(*_GROUP, F.round("_x", 6).alias("x"), F.round("density", 6).alias("density"))
     )
 
