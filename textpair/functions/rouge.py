@@ -30,7 +30,7 @@ SCORE_COLUMNS = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
 # Memory of the subsequence step: masks kept of a text, and the fewest bit rows of
 # a block, so that short lines are walked without making rows again.
 KEPT_MASKS = 512
-LEAST_BLOCK = 64
+LEAST_BLOCK = 1024
 
 _COUNT_NAMES = ["n_pred", "n_ref", "overlap1", "overlap2", "lcs", "union_lcs"]
 _COUNTS_TYPE = T.StructType([T.StructField(name, T.IntegerType()) for name in _COUNT_NAMES])
