@@ -1,8 +1,8 @@
 """Result tables: one row per (example, model).
 
 Parquet is the primary format.  CSV exists for exchange: its cells hold line
-breaks, which makes one CSV file unsplittable, so CSV is written as many files
-of bounded row count.
+breaks, so Spark's own reader cannot split a CSV file.  It is written as many
+files of bounded row count, and files of any size are read by byte ranges.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textpair.functions.rouge import SCORE_COLUMNS
+from textpair.sources.csv_ranges import read_csv_ranges
 
 ROWS_PER_CSV_FILE = 200_000
 
@@ -65,11 +66,14 @@ def read_results(
     text_cols: Sequence[str],
     fmt: str = "csv",
     keys: Sequence[str] = ("product_id", "model_ord"),
+    by_range: bool = True,
 ) -> DataFrame:
     """Read a result table by column names.
 
     Further columns of the files are left out; a column that is not there, or
-    CSV files whose headers differ, are an error.
+    CSV files whose headers differ, are an error.  A large CSV file is read by
+    many tasks; with ``by_range=False`` one task reads each file, which also
+    takes files with stray quotes inside unquoted cells.
     """
     schema = result_schema(text_cols, keys)
     if fmt == "parquet":
@@ -77,6 +81,8 @@ def read_results(
     if fmt == "csv":
         # The header gives names and order; every cell is read as text first.
         named = spark.read.options(**_CSV_READ, enforceSchema="false").csv(path)
+        if by_range:
+            return _chosen(read_csv_ranges(spark, path, named.columns, _CSV_READ), schema)
         full = T.StructType([T.StructField(c, T.StringType()) for c in named.columns])
         cells = spark.read.schema(full).options(**_CSV_READ, enforceSchema="false").csv(path)
         return _chosen(cells, schema)
