@@ -1,8 +1,10 @@
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -74,6 +76,84 @@ def test_windows_hold_the_mixture(spark):
     assert max(p.padded_length for p in pieces) == 128
 
 
+def mixed(spark, sizes, targets, length, parts=5):
+    """Pieces by window of sources with that many tokens, and the number of tokens."""
+    data = []
+    for source, n in sizes.items():
+        while n:
+            own = min(n, 5 + len(data) % 60)
+            data.append((len(data), "word " * (own - 2) + "word" if own > 1 else "", source))
+            n -= own
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(parts)
+    pieces = packing.pack(docs, length, targets=targets).collect()
+    check(pieces, data, length)
+    source = {r[0]: r[2] for r in data}
+    windows = defaultdict(Counter)
+    for p in pieces:
+        windows[p.sequence_id][source[p.doc_id]] += p.length
+    return [windows[w] for w in sorted(windows)]
+
+
+def test_targets_hold_until_a_queue_is_dry(spark):
+    """Half and half until b ends, then a alone with what no target names; deficits never grow."""
+    windows = mixed(spark, {"a": 6000, "b": 1200, "c": 900}, {"a": 0.5, "b": 0.3}, 100)
+    for w in range(40):  # b lasts 1200 / 30 windows
+        seen = sum(windows[: w + 1], Counter())
+        for source, share in (("a", 50), ("b", 30), ("c", 20)):
+            assert abs(seen[source] - share * (w + 1)) <= 1 and abs(windows[w][source] - share) <= 1
+    for w in range(41, 45):  # c has 100 left, which last 100 / (100 * 2 / 7) windows
+        if w < 43:
+            assert abs(windows[w]["a"] - 500 / 7) <= 2 and abs(windows[w]["c"] - 200 / 7) <= 2
+    assert all(w["a"] == 100 for w in windows[45:-1])
+
+
+def test_sources_without_share_come_last(spark):
+    windows = mixed(spark, {"a": 700, None: 700, "z": 500, "y": 300}, {"a": 0.5, None: 0.5}, 64)
+    assert all(w["a"] == w[None] == 32 for w in windows[:21])
+    assert sum(w["z"] + w["y"] for w in windows[22:]) == sum(map(Counter.total, windows[22:]))
+
+
+def test_targets_over_many_phases_and_sizes(spark):
+    sizes = {chr(97 + i): 40 + 37 * i * i for i in range(9)}
+    for length in (16, 1024):
+        windows = mixed(spark, sizes, {s: 1 / 16 for s in list(sizes)[:8]}, length, 3)
+        assert sum(windows, Counter()) == sizes
+    mixed(spark, {"a": 30, "b": 2000}, {"a": 0.9, "not there": 0.05}, 64)
+
+
+def phases_by_steps(sizes, shares, steps):
+    """The definition in small steps: all queues that are not dry earn credit by their shares."""
+    rest, sent = [float(n) for n in sizes], 0.0
+    ends = {}
+    while any(n > 0 for n in rest):
+        alive = [i for i, n in enumerate(rest) if n > 0 and shares[i]] or [i for i, n in enumerate(rest) if n > 0]
+        weight = {i: float(shares[i]) or rest[i] for i in alive}
+        for i in alive:
+            rest[i] -= weight[i] / sum(weight.values()) / steps
+            if rest[i] <= 1e-9:
+                rest[i] = 0.0
+                ends[i] = sent
+        sent += 1 / steps
+    return ends
+
+
+def test_phases_end_where_queues_run_dry():
+    sizes, shares = [40, 10, 25, 5], [Fraction(1, 2), Fraction(1, 4), Fraction(1, 4), Fraction(0)]
+    plan = packing.phases(sizes, shares)
+    assert [sum(x) for x in zip(*[sent for _, sent in plan])] == sizes
+    assert [begin for begin, _ in plan] == [0, *np.cumsum([sum(sent) for _, sent in plan])[:-1]]
+    ends = phases_by_steps(sizes, shares, 200)
+    for i, size in enumerate(sizes):
+        last = max(k for k, (_, sent) in enumerate(plan) if sent[i])
+        assert abs(plan[last][0] + sum(plan[last][1]) - ends[i]) <= len(sizes)
+
+
+@pytest.mark.parametrize("targets", [{"a": 0.7, "b": 0.4}, {"a": 0.001}, {"a": 0.9995}, {"a": -0.1}])
+def test_targets_that_no_window_can_hold_raise(targets):
+    with pytest.raises(ValueError, match="target share"):
+        packing.target_shares(targets, 100)
+
+
 def test_one_document_and_empty_table(spark):
     schema = "doc_id long, text string, source string"
     (piece,) = packing.pack(spark.createDataFrame([(1, "", None)], schema)).collect()
