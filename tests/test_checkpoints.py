@@ -197,3 +197,36 @@ def test_a_replayed_batch_adds_no_row(spark):
     assert read_metric_log(spark, path, "final_metrics").count() == 0
     with pytest.raises(ValueError):
         batch_writer(path, "a", "xml")
+
+
+@pytest.mark.parametrize("seed", [9, 10])
+def test_state_by_key_equals_the_batch_merge(spark, seed):
+    records = random_records(seed, 90, 4)
+    assert rows(streamed(spark, records, 3, per_key=True)) == merged_by_hand(records)
+
+
+def test_nan_stays_a_value_in_state_by_key(spark):
+    records = [record(0, 1, loss=float("nan")), record(1, 1, eval_loss=0.5), record(2, 2, grad_norm=1.0)]
+    (got,) = streamed(spark, records, 2, per_key=True).collect()
+    assert str(got["loss"]) == "nan" and got["grad_norm"] is None and got["eval_loss"] == 0.5
+
+
+def state_rows(spark, records, batches, **options):
+    """Rows of the merge's state after each batch."""
+    merged = stream_metrics_merge(arriving(spark, records, "logs", batches), **options)
+    query = merged.writeStream.outputMode("append").format("noop").option("checkpointLocation", shared_dir(spark, "cp"))
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [sum(o["numRowsTotal"] for o in progress["stateOperators"]) for progress in query.recentProgress]
+
+
+def test_state_by_key_ends_empty_when_keys_emit(spark):
+    opened = [record(i, i, loss=1.0) for i in range(6)]
+    closed = [record(6 + i, i, eval_loss=1.0) for i in range(6)]
+    counts = state_rows(spark, opened + closed, 2, per_key=True)
+    assert counts[0] == 6 and counts[-1] == 0
+
+
+@pytest.mark.parametrize(("days", "merged"), [(7, 0), (None, 1)])
+def test_state_by_key_forgets_on_demand(spark, days, merged):
+    assert streamed(spark, days_apart(30), 3, per_key=True, pending_days=days).count() == merged

@@ -677,6 +677,7 @@ counted AS (
   UNION ALL SELECT 'similarity_vs_rouge', 4 * count(*), NULL FROM results WHERE model = 'lead')
 SELECT report, n::bigint AS n, content FROM counted""",
     "stream_metrics_merge": f"WITH {MERGED} SELECT {MERGED_COLUMNS} FROM merged",
+    "stream_metrics_merge_by_key": f"WITH {MERGED} SELECT {MERGED_COLUMNS} FROM merged",
     "stream_metric_logs": BOTH_LOGS,
     "stream_final_metrics": f"WITH {LOGS} SELECT {FINAL_COLUMNS} FROM logs WHERE kind = 'final'",
     "stream_evaluate": f"{RESULTS} SELECT product_id, model, generated_output, {SCORE_LIST} FROM results",

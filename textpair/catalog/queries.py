@@ -704,6 +704,15 @@ def stream_metrics_merge_query(spark, sf):
     return spark.read.parquet(out).select(*MERGED)
 
 
+@query
+def stream_metrics_merge_by_key(spark, sf):
+    configure(spark)
+    merged = stream_metrics_merge(_as_stream(spark, t.logs(spark, sf), "log-records"), per_key=True)
+    out = shared_dir(spark, "merged-by-key")
+    append_available(merged, out, shared_dir(spark, "merged-by-key-state"))
+    return spark.read.parquet(out).select(*MERGED)
+
+
 @query
 def stream_final_metrics_query(spark, sf):
     final = stream_final_metrics(_as_stream(spark, t.logs(spark, sf), "log-records"))

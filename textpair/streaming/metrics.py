@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textpair.operators.checkpoints import EVAL_MARKS, KEY, TRAIN_MARKS, final_metrics
@@ -49,7 +49,68 @@ def _value(i: int) -> Column:
     return F.when(present, F.coalesce(F.col("values")[i], F.lit(_NAN)))
 
 
-def stream_metrics_merge(logs: DataFrame, pending_days: int | None = None) -> DataFrame:
+def _pending_processor(timed: bool) -> StatefulProcessor:
+    """The merge with one state row per open key: a record reads and writes its own key alone.
+
+    The class is made here so that workers get it by value.
+    """
+
+    class Pending(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.open = handle.getMapState("open", "key string", "values array<double>, mask long, until long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            watermark = timerValues.getCurrentWatermarkInMs() if timed else 0
+            arrived: list[tuple] = []
+            for frame in rows:
+                arrived.extend(zip(*(frame[c].tolist() for c in ("seq", "millis", "name", "given", "present"))))
+            arrived.sort(key=lambda record: record[0])
+            touched: dict[str, tuple | None] = {}
+            stored: set[str] = set()
+            emitted: list[tuple] = []
+            for _, millis, name, given, present in arrived:
+                if name not in touched:
+                    touched[name] = None
+                    if self.open.containsKey((name,)):
+                        stored.add(name)
+                        values, mask, until = self.open.getValue((name,))
+                        if not timed or until > watermark:
+                            touched[name] = ([_NAN if v is None else v for v in values], mask, until)
+                values, mask, until = touched[name] or ([_NAN] * len(_VALUES), 0, 0)
+                for i in range(len(_VALUES)):
+                    if present >> i & 1:
+                        values[i] = _NAN if given[i] is None else float(given[i])
+                mask |= present
+                if mask & _TRAIN_BITS and mask & _EVAL_BITS:
+                    emitted.append((key[0], name, values, mask))
+                    touched[name] = None
+                elif mask:
+                    touched[name] = (values, mask, max(until, millis + 1, watermark + 1))
+            for name, entry in touched.items():
+                if entry:
+                    self.open.updateValue((name,), entry)
+                    if timed:
+                        self.handle.registerTimer(entry[2])
+                elif name in stored:
+                    self.open.removeKey((name,))
+            if emitted:
+                yield pd.DataFrame(emitted, columns=_OUTPUT.names)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            watermark = timerValues.getCurrentWatermarkInMs()
+            for (name,), (_, _, until) in list(self.open.iterator()):
+                if until <= watermark:
+                    self.open.removeKey((name,))
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    return Pending()
+
+
+def stream_metrics_merge(logs: DataFrame, pending_days: int | None = None, per_key: bool = False) -> DataFrame:
     """Merged rows of a log stream; a key is forgotten when it has emitted.
 
     Records of one micro-batch are taken in ``seq`` order.  Incomplete keys are
@@ -57,6 +118,11 @@ def stream_metrics_merge(logs: DataFrame, pending_days: int | None = None) -> Da
     then, in event time, a key still incomplete when records so much newer have
     arrived is dropped, and so is a record that arrives that late, and state is
     bounded by the keys of that period.
+
+    A run's state is kept in blocks of steps, rewritten whole; cheapest where
+    few keys are open.  ``per_key`` keeps every open key as a state row of its
+    own (it needs the RocksDB store), for runs that log many steps before their
+    other side comes.  Both give the same rows; a checkpoint stays with its form.
     """
     timed = pending_days is not None
 
@@ -70,7 +136,7 @@ def stream_metrics_merge(logs: DataFrame, pending_days: int | None = None) -> Da
         arrived: list[tuple] = []
         if not state.hasTimedOut:
             for frame in frames:
-                arrived.extend(zip(*(frame[c].tolist() for c in ("seq", "_millis", "_key", "_values", "_mask"))))
+                arrived.extend(zip(*(frame[c].tolist() for c in ("seq", "millis", "name", "given", "present"))))
             arrived.sort(key=lambda record: record[0])
         emitted: list[tuple] = []
         for _, millis, key, given, present in arrived:
@@ -99,14 +165,20 @@ def stream_metrics_merge(logs: DataFrame, pending_days: int | None = None) -> Da
         with_run(marked)
         .where(F.col("train_runtime").isNull())
         .select(
-            "ts", F.unix_millis("ts").alias("_millis"), "seq", "run", F.floor(F.col("step") / STEPS_PER_STATE).alias("_steps"),
-            F.concat_ws("|", *key).alias("_key"), F.array(*_VALUES).alias("_values"), _mask().alias("_mask"),
+            "ts", F.unix_millis("ts").alias("millis"), "seq", "run", F.floor(F.col("step") / STEPS_PER_STATE).alias("steps"),
+            F.concat_ws("|", *key).alias("name"), F.array(*_VALUES).alias("given"), _mask().alias("present"),
         )
     )
-    merged = open_records.groupBy("run", "_steps").applyInPandasWithState(
-        merge, _OUTPUT, _STATE, "append",
-        GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout,
-    )
+    grouped = open_records.groupBy("run", "steps")
+    if per_key:
+        merged = grouped.transformWithStateInPandas(
+            _pending_processor(timed), _OUTPUT, "Append", "EventTime" if timed else "None"
+        )
+    else:
+        merged = grouped.applyInPandasWithState(
+            merge, _OUTPUT, _STATE, "append",
+            GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout,
+        )
     epoch, step = (F.nullif(F.split("key", "[|]")[i], F.lit("")) for i in range(2))
     return merged.select(
         "run", epoch.cast("double").alias("epoch"), step.cast("bigint").alias("step"),
