@@ -31,7 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     model = language_id.learn(docs)
-    return language_id.accepted(docs, model, LEAST_LANGUAGE_SCORE, language_id.lowest_fits(docs, model))
+    return language_id.accepted(docs, model, LEAST_LANGUAGE_SCORE)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

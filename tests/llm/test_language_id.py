@@ -104,3 +104,16 @@ def test_long_runs_without_spaces_are_learned(spark):
     got = li.identify(docs).collect()
     assert {r.lang_pred for r in got if r.doc_id < 60} == {"ja"} and {r.lang_pred for r in got if r.doc_id >= 60} == {"en"}
     assert "".join(li.learned_parts(runs[0][0])) == runs[0][0]
+
+
+def test_every_labelled_document_counts(spark):
+    """Models and thresholds come from all labelled rows, however many a language has."""
+    docs = spark.range(9_000).selectExpr("id AS doc_id", "concat('common w', translate(id, '0123456789', 'abcdefghij')) AS text", "'en' AS lang")
+    fitted = li.with_fits(docs, li.learn(docs))
+    assert fitted.columns == ["doc_id", "text", "lang", "_found", "_score", "_fit"] and fitted.count() == 9_000
+    counted = docs.select("lang", "text").mapInArrow(li.count_batches, "lang string, word string, n long")
+    assert counted.where("word = 'common'").agg({"n": "sum"}).first()[0] == 9_000
+    # 200 of 8,000 rows fit badly: the lowest fit follows their whole lower end.
+    ends = spark.range(8_000).selectExpr("'en' AS lang", "'en' AS _found", "IF(id = 0, -90.0D, IF(id < 200, -9.0D, -2.0D)) AS _fit")
+    assert li.lowest_fits(ends) == {"en": -2.0 - li.MARGIN * 7.0}
+    assert li.accepted(docs, li.learn(docs), 0.5).columns == docs.columns

@@ -6,11 +6,9 @@ the product of their probabilities, computed by the forward algorithm; pieces
 do not cross words, so a text's log-probability is the sum over its words.
 Texts are lower-cased, words are runs of letters with a word-start mark.
 
-Learning is expectation-maximisation on the counted words of a sample of at
-most about ``SAMPLE_PER_LANGUAGE`` documents per language (drawn by hash; the
-rest of the texts is not learned from).  Words are counted in Spark; expected
-piece counts are summed in Spark; the driver sees one row per piece and
-language.
+Learning is expectation-maximisation on the counted words of all documents
+with a language.  Words are counted in Spark; expected piece counts are summed
+in Spark; the driver sees one row per piece and language.
 
 Prediction reads whole texts.  The result of a word is remembered, up to a
 bound, by the Python worker that has computed it.
@@ -18,9 +16,10 @@ bound, by the Python worker that has computed it.
 The score is the share of the best language among the learned ones, so it is
 near 1 for any text of some words, in whatever language.  Whether a text is in
 its best language at all is told by its fit: the log-probability per letter
-(word starts count as letters).  ``lowest_fits`` measures the fits of the
-learned documents; ``accepted`` drops what lies far below them.  A text that
-is labelled with a wrong language and learned from counts as text of it.
+(word starts count as letters).  ``accepted`` scores every document once and
+drops what lies far below the fits of the labelled ones, all of which
+``lowest_fits`` reads.  A text that is labelled with a wrong language and
+learned from counts as text of it.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, as
 are all texts where nothing could be learned; a letter outside the vocabulary
@@ -42,12 +41,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textpair.llm.common import frugal, resident, stored
 from textpair.session import ship_package
 
 VOCABULARY = "piece_bpe_32k.model"
-SAMPLE_PER_LANGUAGE = 2_000
 ROUNDS = 2
 SMOOTHING = 0.1
 UNKNOWN = 1e-7
@@ -227,17 +226,27 @@ def learned_parts(word: str) -> list[str]:
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words counted per language; a task hands them on when it holds more than ``REMEMBERED_WORDS``."""
+    held: dict[str, Counter] = defaultdict(Counter)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            parts: Counter = Counter()
+            for word, n in counts.items():
+                for part in learned_parts(word):
+                    parts[part] += n
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(parts), pa.string()), pa.array(list(parts), pa.string()), pa.array(list(parts.values()), pa.int64())],
+                names=["lang", "word", "n"],
+            )
+        held.clear()
+
     for batch in batches:
-        counts: Counter = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            counts.update((lang, part) for word in words_of(text) for part in learned_parts(word))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()),
-                pa.array(list(counts.values()), pa.int64()),
-            ],
-            names=["lang", "word", "n"],
-        )
+            held[lang].update(words_of(text))
+        if sum(map(len, held.values())) > REMEMBERED_WORDS:
+            yield from out()
+    yield from out()
 
 
 def expectation_batches(model: LanguageModel):
@@ -262,27 +271,15 @@ def expectation_batches(model: LanguageModel):
     return run
 
 
-def sample_by_language(docs: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows of each language, chosen by hash."""
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
-    if not sizes:
-        return docs
-    parts = 1_000_000
-    limits = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, -(-most * parts // max(n, most)))])
-    return docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < F.element_at(limits, F.col("lang")))
-
-
-def learning_sample(docs: DataFrame, most: int) -> DataFrame:
-    return sample_by_language(docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text"), most)
-
-
-def learn(docs: DataFrame, most: int = SAMPLE_PER_LANGUAGE, path: str | None = None) -> LanguageModel:
+def learn(docs: DataFrame, path: str | None = None) -> LanguageModel:
     """Piece probabilities from the documents' ``text`` and non-null ``lang``."""
     ship_package(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
+    # Few bytes but much work: a fixed number of files, which adaptive plans would make one.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = stored(
-        learning_sample(docs, most).select("lang", "text").mapInArrow(frugal(count_batches), "lang string, word string, n long")
-        .groupBy("lang", "word").agg(F.sum("n").alias("n")),
+        docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(frugal(count_batches), "lang string, word string, n long")
+        .groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(tasks, "word"),
         "language-words",
     )
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
@@ -327,37 +324,40 @@ def fit_batches(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            named, _, fits = scorer.predict(batch.column("text").to_pylist())
+            named, scores, fits = scorer.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang").cast(pa.string()), pa.array(named, pa.string()), pa.array(fits, pa.float64())],
-                names=["lang", "lang_pred", "fit"],
+                [*batch.columns, pa.array(named, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())],
+                names=[*batch.schema.names, "_found", "_score", "_fit"],
             )
 
     return run
 
 
-def lowest_fits(docs: DataFrame, model: LanguageModel, most: int = SAMPLE_PER_LANGUAGE) -> dict[str, float]:
-    """The fit a text needs to be in a language, from the learned documents that are found to be in it."""
-    sample = learning_sample(docs, most).select("lang", "text")
-    fits = sample.mapInArrow(frugal(fit_batches(model)), "lang string, lang_pred string, fit double").where("lang = lang_pred")
-    ends = fits.groupBy("lang").agg(F.percentile_approx("fit", [LOW_END, 0.5]).alias("ends")).collect()
-    return {r["lang"]: r["ends"][1] - max(MARGIN * (r["ends"][1] - r["ends"][0]), LEAST_MARGIN) for r in ends}
+def with_fits(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """All columns with the language found (``_found``), its ``_score`` and the text's ``_fit`` to it."""
+    schema = T.StructType([*docs.schema.fields]).add("_found", "string").add("_score", "double").add("_fit", "double")
+    return docs.mapInArrow(frugal(fit_batches(model)), schema)
 
 
-def accept_batches(model: LanguageModel, least: float, lowest: dict[str, float]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
-        for batch in batches:
-            found = zip(*scorer.predict(batch.column("text").to_pylist()), strict=True)
-            keep = [n != UNDETERMINED and s >= least and fit >= lowest.get(n, -np.inf) for n, s, fit in found]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+def lowest_fits(fitted: DataFrame) -> dict[str, float]:
+    """The fit a text needs to be in a language, from all labelled rows of ``with_fits`` that are found to be in theirs."""
+    ends = (
+        fitted.where("lang = _found").groupBy("lang").agg(F.percentile_approx("_fit", [LOW_END, 0.5]).alias("ends")).collect()
+    )
+    return {r["lang"]: r["ends"][1] - max(MARGIN * (r["ends"][1] - r["ends"][0]), LEAST_MARGIN) for r in ends}
 
-    return run
 
+def accepted(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """The documents in a language with at least the score ``least`` and the language's lowest fit, all columns unchanged.
 
-def accepted(docs: DataFrame, model: LanguageModel, least: float, lowest: dict[str, float]) -> DataFrame:
-    """The documents in a language with at least the score ``least`` and the language's lowest fit, all columns unchanged."""
-    return docs.mapInArrow(frugal(accept_batches(model, least, lowest)), docs.schema)
+    Texts are scored once; the scored rows are stored, read for the lowest fits and read again to drop rows.
+    """
+    fitted = stored(with_fits(docs, model), "language-fits")
+    need = F.lit(float("-inf"))
+    for lang, lowest in lowest_fits(fitted).items():
+        need = F.when(F.col("_found") == lang, F.lit(lowest)).otherwise(need)
+    sure = (F.col("_found") != UNDETERMINED) & (F.col("_score") >= least) & (F.col("_fit") >= need)
+    return fitted.where(sure).select(*docs.columns)
 
 
 def held_out(doc_id, parts: int, part: int):
@@ -365,8 +365,8 @@ def held_out(doc_id, parts: int, part: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def identify(docs: DataFrame, most: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``; learns from rows that are not held out."""
     out = held_out(F.col("doc_id"), 3, 1)
-    model = learn(docs.where("doc_id IS NOT NULL").where(~out), most)
+    model = learn(docs.where("doc_id IS NOT NULL").where(~out))
     return predict(docs, model, ["doc_id"]).select("doc_id", out.alias("held_out"), "lang_pred", "score")
