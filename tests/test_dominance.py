@@ -79,3 +79,29 @@ def test_one_target_with_many_distinct_outputs(spark):
     for output, scores in a.items():
         assert wins.get(output, 0) == int((np.array(scores) > b).all(axis=1).sum())
     assert len(got) > 0.9 * n
+
+
+def test_rows_are_computed_once(spark):
+    """Both sides, and every step of the counting, read one aggregate: no pass over the rows for each of them."""
+    from pyspark.sql import functions as F
+
+    from textpair.operators import compare
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def watched(texts):
+        seen.add(len(texts))
+        return texts
+
+    rows = [("ab"[i % 2], f"t{i % 7}", f"o{i % 5}", *[float(10 + i % 9 + 5 * (i % 2 == 0))] * 4) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("generated_output", watched("generated_output"))
+    plain = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(compare.outperformed_rows(df, "a", "b").collect()) == sorted(
+        (t, o, p) for m, t, o, *s in rows for k, u, p, *r in rows
+        if m == "a" and k == "b" and t == u and all(x > y for x, y in zip(s, r, strict=True))
+    )
+    assert seen.value == 400
+    wins = sorted(dominance.outperformed_counts(df, "a", "b").collect())
+    assert wins and wins == sorted(dominance.outperformed_counts(plain, "a", "b").collect())
+    assert seen.value == 800

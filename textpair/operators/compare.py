@@ -74,6 +74,18 @@ def repeat_rows(df: DataFrame, times: str) -> DataFrame:
     return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1), left))).drop("_chunk", "_copy", times)
 
 
+def counted_sides(df: DataFrame, models: Sequence[str], groups: Sequence[str]) -> list[DataFrame]:
+    """``(*groups, n)`` for each model: equal rows of a model are one.
+
+    All sides read the same aggregate, so the rows below are computed and shuffled once.  A filter on a column made by
+    a generator stays above it; pushed down, each side would have a plan, and a pass over the rows, of its own.  The
+    filter on ``n``, which is always true, keeps the count in plans that do not use it, for the same reason.
+    """
+    counted = df.groupBy("model", *groups).agg(F.count(F.lit(1)).alias("n"))
+    sided = counted.withColumn("_side", F.explode(F.array("model")))
+    return [sided.where((F.col("_side") == model) & (F.col("n") > 0)).select(*groups, "n") for model in models]
+
+
 def outperformed_rows(
     df: DataFrame,
     first: str,
@@ -99,17 +111,18 @@ def outperformed_rows(
     extra = [c for c in on if c != "target_query"]
     keys = ["target_query", *extra]
 
-    def side(model: str, name: str, can: Column) -> DataFrame:
-        rows = df.where((F.col("model") == model) & can)
-        groups = [*[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("generated_output").alias(f"{name}_output")]
-        groups += [F.col(c).alias(f"{name}_{c}") for c in SCORE_COLUMNS]
-        return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias(f"{name}_n"))
+    def named(rows: DataFrame, name: str) -> DataFrame:
+        columns = [*[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("generated_output").alias(f"{name}_output")]
+        columns += [F.col(c).alias(f"{name}_{c}") for c in SCORE_COLUMNS]
+        return rows.select(*columns, F.col("n").alias(f"{name}_n"))
 
     can_win, can_lose = F.lit(True), F.lit(True)
     for c in SCORE_COLUMNS:
         can_win = can_win & (_percentage(c) > 0)
         can_lose = can_lose & (_percentage(c) < 100)
-    a, b = side(first, "a", can_win), side(second, "b", can_lose)
+    rows = df.where(((F.col("model") == first) & can_win) | ((F.col("model") == second) & can_lose))
+    sides = counted_sides(rows, (first, second), [*keys, "generated_output", *SCORE_COLUMNS])
+    a, b = named(sides[0], "a"), named(sides[1], "b")
 
     match, wins = F.lit(True), F.lit(True)
     for k in on:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textpair.functions.rouge import SCORE_COLUMNS
-from textpair.operators.compare import _number
+from textpair.operators.compare import _number, counted_sides
 
 # Distinct score rows of one model in a tile, and the pairs of a target up to which a join is cheaper.
 TILE = 8192
@@ -80,13 +80,16 @@ def outperformed_counts(
     """
     on = list(on)
 
-    def side(model: str, name: str) -> DataFrame:
-        rows = df.where(F.col("model") == model)
-        for c in SCORE_COLUMNS:
-            rows = rows.where(_number(c).isNotNull())
+    rows = df.where(F.col("model").isin(first, second))
+    for c in SCORE_COLUMNS:
+        # The plain test is what joins would add on one side alone, which would then have a plan of its own.
+        rows = rows.where(F.col(c).isNotNull() & _number(c).isNotNull())
+    rows = rows if null_safe else rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in on))
+    sides = counted_sides(rows, (first, second), [*on, "generated_output", *SCORE_COLUMNS])
+
+    def named(side: DataFrame, name: str) -> DataFrame:
         keys = [F.col(k).alias(f"{name}_{k}") for k in on]
-        rows = rows if null_safe else rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in on))
-        return rows.select(*keys, "generated_output", *[F.col(c).alias(f"{name}_{c}") for c in SCORE_COLUMNS])
+        return side.select(*keys, "generated_output", *[F.col(c).alias(f"{name}_{c}") for c in SCORE_COLUMNS], "n")
 
     def same(left: str, right: str) -> Column:
         match = F.lit(True)
@@ -94,11 +97,11 @@ def outperformed_counts(
             match = match & F.col(f"{left}_{k}").eqNullSafe(F.col(f"{right}_{k}"))
         return match
 
-    a_rows, b_rows = side(first, "a"), side(second, "b")
+    outputs, b_rows = named(sides[0], "a"), named(sides[1], "b")
     a_keys, b_keys = [f"a_{k}" for k in on], [f"b_{k}" for k in on]
     a_scores, b_scores = [f"a_{c}" for c in SCORE_COLUMNS], [f"b_{c}" for c in SCORE_COLUMNS]
-    a = a_rows.select(*a_keys, *a_scores).distinct()
-    b = b_rows.groupBy(*b_keys, *b_scores).agg(F.count(F.lit(1)).alias("b_n"))
+    a = outputs.select(*a_keys, *a_scores).distinct()
+    b = b_rows.groupBy(*b_keys, *b_scores).agg(F.sum("n").alias("b_n"))
     sizes = a.groupBy(*[F.col(k).alias(k.replace("a_", "s_", 1)) for k in a_keys]).agg(F.count(F.lit(1)).alias("_na")).join(
         b.groupBy(*b_keys).agg(F.count(F.lit(1)).alias("_nb")), same("s", "b")
     ).drop(*b_keys)
@@ -130,7 +133,6 @@ def outperformed_counts(
     wins = joined.unionByName(tiled).where("wins > 0").select(
         *[F.col(c).alias(c.replace("a_", "w_", 1)) for c in [*a_keys, *a_scores]], "wins"
     )
-    outputs = a_rows.groupBy(*a_keys, "generated_output", *a_scores).agg(F.count(F.lit(1)).alias("n"))
     match = same("a", "w")
     for c in SCORE_COLUMNS:
         match = match & (F.col(f"a_{c}") == F.col(f"w_{c}"))
