@@ -53,3 +53,20 @@ def test_analysis_reports(spark, sf_dir):
     with pytest.raises(ValueError):
         analyze_results(results, order="row_ord", save=["best"])
     results.unpersist()
+
+
+def test_copies_of_targets_do_not_multiply(spark, sf_dir, monkeypatch):
+    """The written slice and the report hold equal pairs once, with their number."""
+    from textpair.catalog import queries
+    from textpair.catalog import tables
+    from textpair.operators import compare
+
+    held = {}
+    write = queries.result_files.write_case_slices
+    monkeypatch.setattr(queries.result_files, "write_case_slices", lambda slices, path: held.update(slices) or write(slices, path))
+    pairs = compare.outperformed_rows(tables.results(spark, sf_dir), "mid", "lead")
+    found = {r["slice"]: r["n"] for r in queries.QUERIES["write_case_slices"](spark, sf_dir).collect()}
+    assert found["better_mid"] == pairs.count() > held["better_mid"].count() == pairs.distinct().count()
+    rows = queries._stored_results(spark, sf_dir)
+    report = queries.analyze_results(rows, (0, 1), "row_ord", counted=True)["outperformed"]
+    assert report.agg({"n": "sum"}).first()[0] == pairs.count() and report.count() == pairs.distinct().count()

@@ -19,6 +19,7 @@ def analyze_results(
     embedder: Embedder | None = None,
     save_path: str | None = None,
     save: Sequence[str] = (),
+    counted: bool = False,
 ) -> dict[str, DataFrame]:
     """Every report of a comparison, keyed by name.
 
@@ -27,7 +28,8 @@ def analyze_results(
     which models are ordered; ``evaluate_models`` and ``read_results`` give
     ``model_ord``.  ``save`` names slices
     to write below ``save_path``: ``zeros``, ``outperformed``, ``best``,
-    ``worst``.
+    ``worst``.  With ``counted`` equal pairs of ``outperformed`` are one row and
+    ``n`` is their number, so copies of a target do not multiply.
     """
     models = averages.models_in_order(results, order)
     first, second = averages.select_model_pair(models, compare_models)
@@ -40,7 +42,7 @@ def analyze_results(
         "density": distributions.score_density(results, pair),
         "averages": averages.avg_scores_by_model(results),
         "gap": averages.model_gap(results, first, second),
-        "outperformed": compare.outperformed_rows(results, second, first),
+        "outperformed": compare.outperformed_rows(results, second, first, counted=counted),
         "zeros": compare.zero_score_rows(results, first),
         "best": compare.best_rows(results, first),
         "worst": compare.worst_rows(results, first),
