@@ -98,3 +98,32 @@ def test_large_vocabularies_are_joined(spark, monkeypatch):
     assert sent[:2] == joined[:2]
     assert "Exchange" in joined[2]._jdf.queryExecution().executedPlan().toString()
     assert joined[2].where(F.size("input_ids") == 512).count() == 1
+
+
+def test_batches_and_writers_are_bounded(spark, sf_dir):
+    """Python gets few rows at once, whatever a partition holds, and writing by model sorts nothing."""
+    from textpair.catalog.queries import QUERIES
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.maxConcurrentOutputFileWriters")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "0")
+        QUERIES["encode_subwords"](spark, sf_dir)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+        assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) >= 3
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_short_merges_and_joined_bytes(words):
+    import pyarrow as pa
+
+    rng, ranks = random.Random(3), words.table.value
+    for _ in range(300):
+        piece = "".join(rng.choice("aeiou tnsrñ日") for _ in range(rng.randrange(1, 40))).encode()
+        assert subwords.merged_short(piece, ranks) == naive(piece, ranks)
+    lists = pa.array([[ranks[b"a"], -100, None, 10**6], None, [], [ranks[b"b"]], [ranks["é".encode()[:1]]]], pa.list_(pa.int32()))
+    tokens = subwords.tokens_by_id(words.table)
+    assert subwords.joined(lists, tokens) == ["a", "", "", "b", "�"]
+    assert subwords.joined(lists.slice(2, 2), tokens) == ["", "b"] and subwords.joined(lists[:0], tokens) == []

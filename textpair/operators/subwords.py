@@ -15,13 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textpair.functions.text import _col
-from textpair.operators.vocab import IGNORED, MAX_INPUT, MAX_LABEL
+from textpair.operators.vocab import MAX_INPUT, MAX_LABEL
 
 # Fixed value: how texts are cut into pieces before merging, as published with the vocabulary.  (?U) gives \s the
 # meaning it has there.
@@ -31,6 +32,8 @@ MOST_RANKS = 1_000_000
 # Distinct pieces a task remembers, and the longest (in bytes) of them.
 REMEMBERED = 200_000
 REMEMBERED_BYTES = 64
+# Pieces of at most so many bytes are merged without a queue.
+SHORT = 48
 
 
 def read_ranks(spark: SparkSession, path: str) -> DataFrame:
@@ -69,6 +72,25 @@ def pieces(c: Column | str) -> Column:
     return F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(PIECE), F.lit(0))
 
 
+def merged_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for a piece of few bytes, where looking at all neighbours each time is quicker than a queue."""
+    part = [piece[i : i + 1] for i in range(len(piece))]
+    none = 1 << 62
+    near = [ranks.get(a + b, none) for a, b in zip(part, part[1:])]
+    while near:
+        rank = min(near)
+        if rank == none:
+            break
+        i = near.index(rank)
+        part[i : i + 2] = [part[i] + part[i + 1]]
+        del near[i]
+        if i:
+            near[i - 1] = ranks.get(part[i - 1] + part[i], none)
+        if i < len(near):
+            near[i] = ranks.get(part[i] + part[i + 1], none)
+    return [ranks[p] for p in part]
+
+
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a piece: the neighbours of lowest rank merge first, the leftmost of equal ones.
 
@@ -76,6 +98,8 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """
     if piece in ranks:
         return [ranks[piece]]
+    if len(piece) <= SHORT:
+        return merged_short(piece, ranks)
     part = [piece[i : i + 1] for i in range(len(piece))]
     after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
     queue = [(ranks[part[i] + part[i + 1]], i) for i in range(len(part) - 1) if part[i] + part[i + 1] in ranks]
@@ -126,7 +150,7 @@ def piece_ids(table: Broadcast):
                 values.append(found)
             made, each = spread(flat.indices.to_numpy(), values)
             ends = np.concatenate([[0], np.cumsum(each)])
-            counts = np.fromiter((len(x) for x in batch), np.int64, len(batch))
+            counts = np.asarray(pc.fill_null(pc.list_value_length(batch), 0), np.int64)
             offsets = ends[np.concatenate([[0], np.cumsum(counts)])]
             yield pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(made, pa.int32()))
 
@@ -161,6 +185,26 @@ def encode_subwords(
     return ids.select(key, "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"), "labels")
 
 
+def tokens_by_id(table: Broadcast) -> pa.Array:
+    """The bytes of every id, by id; ids that are none have no bytes."""
+    tokens = [b""] * (max(table.value.values()) + 1)
+    for token, i in table.value.items():
+        tokens[i] = token
+    return pa.array(tokens, pa.binary())
+
+
+def joined(lists: pa.Array, tokens: pa.Array) -> list[str]:
+    """The texts of lists of ids: their bytes are looked up and laid one after the other for all rows at once."""
+    ids = lists.flatten()
+    known = pc.fill_null(pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(tokens))), False)
+    found = pc.fill_null(tokens.take(pc.if_else(known, ids, None)), b"")
+    ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1, found.offset * 4) if len(found) else np.zeros(1, np.int32)
+    data = memoryview(found.buffers()[2] or b"")
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+    cuts = ends[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    return [str(data[a:b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def decode_subwords(df: DataFrame, words: Subwords, ids_col: str = "labels", key: str = "product_id", out: str = "text") -> DataFrame:
     """``(key, out)``: ids back to text; closing, ignored and unknown ids are left out, null gives an empty text.
 
@@ -170,10 +214,8 @@ def decode_subwords(df: DataFrame, words: Subwords, ids_col: str = "labels", key
 
     @F.arrow_udf(T.StringType())
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = {i: t for t, i in table.value.items()}
+        tokens = tokens_by_id(table)
         for batch in batches:
-            rows = (b"".join(tokens.get(i, b"") for i in ids or ()) for ids in batch.to_pylist())
-            yield pa.array([row.decode("utf-8", "replace") for row in rows], pa.string())
+            yield pa.array(joined(batch, tokens), pa.string())
 
-    kept = F.filter(F.coalesce(ids_col, F.array().cast("array<int>")), lambda i: i.isNotNull() & (i != IGNORED))
-    return df.select(key, text(kept).alias(out))
+    return df.select(key, text(F.coalesce(ids_col, F.array().cast("array<int>"))).alias(out))
