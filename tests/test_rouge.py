@@ -176,3 +176,12 @@ def test_long_lines_in_bounded_memory():
     tracemalloc.stop()
     assert (n_pred, n_ref) == (60_001, 60_000) and 45_000 < lcs == union < 55_000
     assert peak < 120_000_000
+
+
+def test_exploded_tasks_follow_the_texts(spark, monkeypatch):
+    """A task groups a bounded number of characters, however small the compressed texts are."""
+    monkeypatch.setattr(rouge, "CHARS_PER_TASK", 1_000)
+    df = spark.createDataFrame([(i, "a b c " * 100, "a c") for i in range(100)], "k int, p string, r string")
+    found = rouge.rouge_n_exploded(df, ["k"], "p", "r", 1)
+    assert found.rdd.getNumPartitions() >= 60 and found.count() == 100
+    assert rouge.rouge_n_exploded(df.where("false"), ["k"], "p", "r", 1).count() == 0

@@ -31,6 +31,8 @@ SCORE_COLUMNS = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
 # a block, so that short lines are walked without making rows again.
 KEPT_MASKS = 512
 LEAST_BLOCK = 1024
+# Characters (n times, for n-grams) whose counts a task of ``rouge_n_exploded`` holds.
+CHARS_PER_TASK = 8_000_000
 
 _COUNT_NAMES = ["n_pred", "n_ref", "overlap1", "overlap2", "lcs", "union_lcs"]
 _COUNTS_TYPE = T.StructType([T.StructField(name, T.IntegerType()) for name in _COUNT_NAMES])
@@ -122,10 +124,16 @@ def rouge_n_exploded(
 
     ``key`` must identify a pair.  The pairs are distributed by key once, as
     texts; both sides' n-grams then go through the same two aggregations, which
-    need no further shuffle and no join.
+    need no further shuffle and no join.  A first pass measures the texts: a task
+    groups the n-grams of about ``CHARS_PER_TASK`` characters, however many there
+    are in all, where an adaptive plan would go by compressed bytes.
     """
     key = list(key)
-    pairs = df.select(*key, pred, ref).repartition(*key).select(
+    texts = df.select(*key, pred, ref)
+    length = F.sum(F.length(F.coalesce(pred, F.lit(""))) + F.length(F.coalesce(ref, F.lit(""))))
+    chars = texts.agg(length.alias("chars")).first()["chars"] or 0
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-chars * n // CHARS_PER_TASK))
+    pairs = texts.repartition(tasks, *key).select(
         *key,
         ngrams(rouge_tokens(pred), n).alias("_p"),
         ngrams(rouge_tokens(ref), n).alias("_r"),
