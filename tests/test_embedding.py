@@ -104,3 +104,13 @@ def test_empty_and_too_large(spark):
     assert similarity.text_vectors(df, "t", embedder=embedder).first()["vector"] == [0.0] * 8
     with pytest.raises(ValueError, match="cells"):
         embedding.eigenvectors(df, 1_000_000, 512)
+
+
+def test_texts_are_counted_once(spark, sf_dir):
+    """What ``word_information`` reduces is a stored table: no text is read again."""
+    from textpair.catalog.queries import QUERIES
+
+    plan = QUERIES["word_information"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "documents" not in plan
+    learned = QUERIES["semantic_similarity_learned"](spark, sf_dir)
+    assert "_counts" not in learned._jdf.queryExecution().optimizedPlan().toString()

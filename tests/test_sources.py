@@ -94,3 +94,25 @@ def test_metric_logs_as_csv(spark, sf_dir):
     assert back.columns == ["timestamp", *metric_logs.MERGED_COLUMNS] and back.count() == merged.count()
     with pytest.raises(ValueError):
         metric_logs.write_metric_logs(merged, merged, path, fmt="xml")
+
+
+def test_compressed_files(spark):
+    """Compressed CSV files, alone or beside plain ones, give the same rows in less space; Parquet is zstd."""
+    import pathlib
+
+    rows = [(t, t, t, "m", t, 1.5, None, 0.0, 100.0) for t in NASTY] * 50
+    df = spark.createDataFrame(rows, results.result_schema(["title"], keys=())).repartition(3)
+
+    def size(path):
+        return sum(p.stat().st_size for p in pathlib.Path(path.removeprefix("file:")).rglob("part-*"))
+
+    plain, path, parquet = (shared_dir(spark, n) for n in ("plain", "compressed", "compressed-parquet"))
+    results.write_results(df, plain, "csv")
+    results.write_results(df, path, "csv", compression="gzip")
+    assert size(path) < size(plain) / 3
+    results.write_results(df, path, "csv")
+    back = results.read_results(spark, path, ["title"], keys=())
+    twice = df.unionByName(df)
+    assert back.exceptAll(twice).count() == 0 and twice.exceptAll(back).count() == 0
+    results.write_results(df, parquet)
+    assert all(".zstd." in p.name for p in pathlib.Path(parquet.removeprefix("file:")).rglob("part-*"))

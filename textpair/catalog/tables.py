@@ -69,15 +69,19 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generated.drop("_words")
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored result table of the three generators."""
-    rows = generations(spark, sf_dir).select(
+def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result table of the three generators before scoring, for queries that read no score."""
+    return generations(spark, sf_dir).select(
         "product_id", "title", "description", "input_text",
         sentence_newlines("short_query").alias("target_query"),
         "model", "generated_output",
         (F.col("product_id") * len(MODELS) + F.col("model_ord")).alias("row_ord"),
     )
-    return with_rouge_scores(rows, sentence_newlines("generated_output"), "target_query")
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored result table of the three generators."""
+    return with_rouge_scores(outputs(spark, sf_dir), sentence_newlines("generated_output"), "target_query")
 
 
 def dialog(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,13 @@ def cooccurrences(df: DataFrame, cols: Sequence[str], entries: Broadcast, reach:
     )
 
 
+def stored_cooccurrences(df: DataFrame, cols: Sequence[str], entries: Broadcast, reach: int = REACH) -> DataFrame:
+    """The same, written to the shared folder: ``information`` reads it several times, the texts are read once."""
+    path = shared_dir(df.sparkSession, "pairs")
+    cooccurrences(df, cols, entries, reach).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _count_pairs(near: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values, held = [], [], 0
@@ -211,10 +218,7 @@ def learn_embedder(
     entries = spark.sparkContext.broadcast((pa.array(tokens, pa.string()), pa.array(np.arange(len(tokens), dtype=np.int32))))
     path = shared_dir(spark, "information")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs_path = shared_dir(spark, "pairs")
-    cooccurrences(df, cols, entries, reach).write.parquet(pairs_path)
-    pairs = spark.read.parquet(pairs_path)
-    information(pairs).repartition(tasks, "a").sortWithinPartitions("a", "b").write.parquet(path)
+    information(stored_cooccurrences(df, cols, entries, reach)).repartition(tasks, "a").sortWithinPartitions("a", "b").write.parquet(path)
     matrix = spark.read.parquet(path)
     vectors = eigenvectors(matrix, len(tokens), dimensions, seed) if tokens else np.zeros((0, dimensions))
     share = n / max(1.0, n.sum())
