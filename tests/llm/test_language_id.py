@@ -117,3 +117,28 @@ def test_every_labelled_document_counts(spark):
     ends = spark.range(8_000).selectExpr("'en' AS lang", "'en' AS _found", "IF(id = 0, -90.0D, IF(id < 200, -9.0D, -2.0D)) AS _fit")
     assert li.lowest_fits(ends) == {"en": -2.0 - li.MARGIN * 7.0}
     assert li.accepted(docs, li.learn(docs), 0.5).columns == docs.columns
+
+
+def test_accepted_stores_no_texts(spark, monkeypatch):
+    """The same rows as a filter on scored documents, copies and nulls included, and no document is written on the way."""
+    bad = [(2000, None, "en"), (2001, "12 34", None), (2002, "zzq xqv wwk jjq", None), (None, "zzq xqv wwk jjq", None), (None, "the dogs jumps over", None)]
+    docs = spark.createDataFrame(rows(3_000) + rows(50) + bad, SCHEMA).selectExpr("*", "doc_id AS _digest", "'x' AS _fit").repartition(4)
+    model = li.learn(docs)
+    fitted = li.with_fits(docs.drop("_fit"), model)
+    ends = li.lowest_fits(fitted)
+    want = sorted(
+        (str(r.doc_id), r.text, str(r.lang)) for r in fitted.collect()
+        if r._found != "und" and r._score >= 0.5 and r._fit >= ends.get(r._found, -math.inf)
+    )
+    written = {}
+
+    def watched(df, name, own=li.stored):
+        written[name] = df.columns
+        return own(df, name)
+
+    monkeypatch.setattr(li, "stored", watched)
+    got = li.accepted(docs, model, 0.5)
+    assert got.columns == docs.columns and len(want) >= 3_040
+    assert sorted((str(r.doc_id), r.text, str(r.lang)) for r in got.collect()) == want
+    assert not any("zzq" in text for _, text, _ in want)
+    assert written and not any({"text", "doc_id"} & set(columns) for columns in written.values())

@@ -18,7 +18,7 @@ near 1 for any text of some words, in whatever language.  Whether a text is in
 its best language at all is told by its fit: the log-probability per letter
 (word starts count as letters).  ``accepted`` scores every document once and
 drops what lies far below the fits of the labelled ones, all of which
-``lowest_fits`` reads.  A text that is labelled with a wrong language and
+``lowest_fits`` reads; what it stores holds no texts.  A text that is labelled with a wrong language and
 learned from counts as text of it.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, as
@@ -320,23 +320,24 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
     return done.select(*[F.col(a).alias(c) for c, a in zip(keep, columns, strict=True)], "lang_pred", "score")
 
 
-def fit_batches(model: LanguageModel):
+def fit_batches(model: LanguageModel, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
             named, scores, fits = scorer.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(named, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())],
-                names=[*batch.schema.names, "_found", "_score", "_fit"],
+                [*map(batch.column, columns), pa.array(named, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())],
+                names=[*columns, "_found", "_score", "_fit"],
             )
 
     return run
 
 
-def with_fits(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns with the language found (``_found``), its ``_score`` and the text's ``_fit`` to it."""
-    schema = T.StructType([*docs.schema.fields]).add("_found", "string").add("_score", "double").add("_fit", "double")
-    return docs.mapInArrow(frugal(fit_batches(model)), schema)
+def with_fits(docs: DataFrame, model: LanguageModel, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` (by default all) with the language found (``_found``), its ``_score`` and the text's ``_fit`` to it."""
+    columns = docs.columns if columns is None else columns
+    schema = T.StructType([docs.schema[c] for c in columns]).add("_found", "string").add("_score", "double").add("_fit", "double")
+    return docs.mapInArrow(frugal(fit_batches(model, columns)), schema)
 
 
 def lowest_fits(fitted: DataFrame) -> dict[str, float]:
@@ -350,14 +351,17 @@ def lowest_fits(fitted: DataFrame) -> dict[str, float]:
 def accepted(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
     """The documents in a language with at least the score ``least`` and the language's lowest fit, all columns unchanged.
 
-    Texts are scored once; the scored rows are stored, read for the lowest fits and read again to drop rows.
+    Texts are scored once and only hashes of them are stored with the fits.  A verdict depends on the text alone, so
+    the documents are those whose text is not among the rejected ones: few, which Spark sends to the tasks, or joined.
     """
-    fitted = stored(with_fits(docs, model), "language-fits")
+    digest = F.unhex(F.sha2(docs["text"].cast("binary"), 256))
+    fitted = stored(with_fits(docs.select(digest.alias("_digest"), "lang", "text"), model, ["_digest", "lang"]), "language-fits")
     need = F.lit(float("-inf"))
     for lang, lowest in lowest_fits(fitted).items():
         need = F.when(F.col("_found") == lang, F.lit(lowest)).otherwise(need)
     sure = (F.col("_found") != UNDETERMINED) & (F.col("_score") >= least) & (F.col("_fit") >= need)
-    return fitted.where(sure).select(*docs.columns)
+    rejected = stored(fitted.where(~F.coalesce(sure, F.lit(False))).select("_digest").distinct(), "language-rejected")
+    return docs.where(docs["text"].isNotNull()).join(rejected, digest == rejected["_digest"], "left_anti")
 
 
 def held_out(doc_id, parts: int, part: int):
