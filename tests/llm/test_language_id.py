@@ -142,3 +142,32 @@ def test_accepted_stores_no_texts(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.text, str(r.lang)) for r in got.collect()) == want
     assert not any("zzq" in text for _, text, _ in want)
     assert written and not any({"text", "doc_id"} & set(columns) for columns in written.values())
+
+
+def test_lattice_follows_all_substrings_at_once():
+    """Piece numbers as looked up one by one; shared beginnings are followed once, without a lookup per substring."""
+    pieces, longest = li.vocabulary(PATH)
+    rng = random.Random(3)
+    words = {"".join(rng.choices(sorted(pieces), k=rng.randrange(1, 4))).replace(li.START, "") for _ in range(2_000)}
+    words |= {"国際化", "ßß", "x", "𐐨𐐩", "q" * 60, "questioning"}
+    for group in li.by_length(words - {""}):
+        ids, ends = li.lattice(group, PATH)
+        size = len(group[0]) + 1
+        assert ends == [min(j, longest) for j in range(1, size + 1)]
+        for word, row in zip(group, ids.tolist(), strict=True):
+            marked = li.START + word
+            spans = [marked[i:j] for j in range(1, size + 1) for i in range(j - 1, max(j - longest, 0) - 1, -1)]
+            assert row == [pieces.get(s, len(pieces) + (len(s) == 1)) for s in spans]
+
+
+def test_lattice_asks_no_dictionary(monkeypatch):
+    """The number of Python steps does not follow the number of substrings."""
+    numbers, longest, walk = li.read(PATH)
+
+    class Silent(dict):
+        def get(self, *args):
+            raise AssertionError("a substring was looked up alone")
+
+    monkeypatch.setattr(li, "read", lambda path: (Silent(numbers), longest, walk))
+    ids, _ = li.lattice(["things", "nation"], PATH)
+    assert ids.shape == (2, 28)

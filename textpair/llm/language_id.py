@@ -70,16 +70,22 @@ UNDETERMINED = "und"
 
 def vocabulary(path: str) -> tuple[dict[str, int], int]:
     """Pieces and their numbers, and the length of the longest."""
+    return read(path)[:2]
+
+
+def read(path: str) -> tuple[dict[str, int], int, Trie]:
+    """The vocabulary and its trie, kept by the worker."""
     return resident(f"pieces:{path}", lambda: read_vocabulary(path))
 
 
-def read_vocabulary(path: str) -> tuple[dict[str, int], int]:
+def read_vocabulary(path: str) -> tuple[dict[str, int], int, Trie]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [
         model.id_to_piece(i) for i in range(model.get_piece_size())
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))
     ]
-    return {piece: i for i, piece in enumerate(pieces)}, max(map(len, pieces))
+    numbers = {piece: i for i, piece in enumerate(pieces)}
+    return numbers, max(map(len, pieces)), read_trie(numbers)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -90,21 +96,69 @@ def words_of(text: str | None) -> list[str]:
     return [part for word in words for part in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
+@dataclass
+class Trie:
+    """The pieces by letters: ``steps`` are sorted keys of (node, letter), which lead to the nodes 1, 2, ... in ``nodes``."""
+
+    letters: np.ndarray  # number of each code point, 0 if no piece has it
+    steps: np.ndarray
+    nodes: np.ndarray
+    pieces: np.ndarray  # number of the piece that ends at a node, else -1
+
+    def follow(self, node: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which places have a next node, and these nodes."""
+        key = (node << 21) + letter
+        at = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+        found = np.flatnonzero(self.steps[at] == key)
+        return found, self.nodes[at[found]]
+
+
+def read_trie(pieces: dict[str, int]) -> Trie:
+    letters = np.zeros(0x110000, np.int32)
+    steps: dict[int, int] = {}
+    ends: dict[int, int] = {}
+    for number, letter in enumerate(sorted(set().union(*pieces)), 1):
+        letters[ord(letter)] = number
+    for piece, number in pieces.items():
+        node = 0
+        for letter in piece:
+            node = steps.setdefault((node << 21) + int(letters[ord(letter)]), len(steps) + 1)
+        ends[node] = number
+    keys, nodes = np.array(list(steps), np.int64), np.array(list(steps.values()), np.int64)
+    order = np.argsort(keys)
+    numbers = np.full(len(steps) + 1, -1, np.int32)
+    numbers[list(ends)] = list(ends.values())
+    return Trie(letters, keys[order], nodes[order], numbers)
+
+
 def lattice(words: list[str], path: str) -> tuple[np.ndarray, list[int]]:
     """Piece numbers of all substrings of words of one length, and how many end at each place.
 
     Columns are ordered by end, then from the shortest piece.  A substring that is
-    no piece has number V (probability 0), a lone letter that is none V + 1.
+    no piece has number V (probability 0), a lone letter that is none V + 1.  All
+    words are followed through the trie at once, from all places.
     """
-    pieces, longest = vocabulary(path)
-    size, get = len(words[0]) + 1, pieces.get
-    none, unknown = len(pieces), len(pieces) + 1
-    spans = [(i, j) for j in range(1, size + 1) for i in range(j - 1, max(j - longest, 0) - 1, -1)]
-    rows = []
-    for word in words:
-        marked = START + word
-        rows.append([get(marked[i:j], unknown if j - i == 1 else none) for i, j in spans])
-    return np.array(rows, np.int32), [min(j, longest) for j in range(1, size + 1)]
+    pieces, longest, walk = read(path)
+    size = len(words[0]) + 1
+    ends = [min(j, longest) for j in range(1, size + 1)]
+    first = np.concatenate([[0], np.cumsum(ends)])
+    ids = np.full((len(words), first[-1]), len(pieces), np.int32)
+    ids[:, first[:-1]] = len(pieces) + 1
+    points = np.array([START + word for word in words]).view(np.uint32).reshape(len(words), size)
+    letters = walk.letters[points].astype(np.int64)
+    word, place = (x.ravel() for x in np.indices((len(words), size)))
+    node = np.zeros(len(word), np.int64)
+    for length in range(longest):
+        inside = place + length < size
+        word, place, node = word[inside], place[inside], node[inside]
+        found, node = walk.follow(node, letters[word, place + length])
+        word, place = word[found], place[found]
+        if not len(word):
+            break
+        number = walk.pieces[node]
+        ending = np.flatnonzero(number >= 0)
+        ids[word[ending], first[place[ending] + length] + length] = number[ending]
+    return ids, ends
 
 
 def forward(ids: np.ndarray, ends: list[int], table: np.ndarray, rescale: bool = True):
