@@ -191,3 +191,17 @@ def test_query_and_stage_give_special_strings_their_id(spark, tmp_path):
             own = contract_ids(text)
             assert (found[i].start, found[i].length, found[i].doc_tokens) == (0, len(own), len(own))
             assert found[i].ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes())
+
+
+def test_a_text_is_read_in_one_call():
+    """One call of the reader for each part between special tokens, whatever the number of words."""
+    encode, calls = packing.encoder(packing.public_tokenizers.path(packing.RANKS)), []
+
+    def counted(text):
+        calls.append(text)
+        return encode(text)
+
+    text = "the quick  brown fox\n jumps, the 12 dogs' été " * 50
+    assert np.frombuffer(packing.token_ids(text, counted), "<u2").tolist() == encode(text) and calls == [text]
+    parts = packing.special_ids(f"a b{packing.SPECIAL}c d", counted)
+    assert np.frombuffer(parts, "<u2").tolist() == [*encode("a b"), packing.SPECIAL_ID, *encode("c d")] and calls[1:] == ["a b", "c d"]
