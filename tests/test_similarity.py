@@ -82,3 +82,14 @@ def test_two_embedders_of_one_class(spark):
     for value in (1.0, 2.0):
         got = similarity.text_vectors(df, "t", embedder=Constant(value)).collect()
         assert {tuple(r["vector"]) for r in got} == {(value,)}
+
+
+def test_term_counts_need_no_python(spark):
+    """Terms of each row are counted by Spark itself: equal rows and keys stay apart, empty texts have none."""
+    data = [(1, "b a B\nc, a a"), (1, "b a B\nc, a a"), (2, None), (3, "!?"), (None, "x1 x1 É x")]
+    df = spark.createDataFrame(data, "product_id long, t string")
+    got = similarity.text_vectors(df, "t")
+    assert got.dtypes == [("product_id", "bigint"), ("token", "string"), ("tf", "bigint")]
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((str(r.product_id), r.token, r.tf) for r in got.collect())
+    assert rows == sorted([("1", "a", 3), ("1", "b", 2), ("1", "c", 1)] * 2 + [("None", "x", 1), ("None", "x1", 2)])

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from textpair.functions.rouge import rouge_lines
+from textpair.functions.once import bound
+from textpair.functions.rouge import rouge_tokens
 from textpair.functions.text import as_text
 from textpair.functions.vectors import DECIMALS, cosine_similarity, with_text_cosine
 from textpair.operators.generate import loaded, token_of
+from textpair.session import frugal
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -22,9 +22,17 @@ Embedder = Callable[[list[str]], np.ndarray]
 EMBED_BATCH = 256
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.LongType()))
-def _term_counts(texts: pd.Series) -> pd.Series:
-    return pd.Series([dict(Counter(text.split())) for text in texts], dtype="object")
+def _term_counts(tokens: Column) -> Column:
+    """``array<struct<token, tf>>``: the tokens sorted, then one entry per run of equal ones."""
+    def runs(words: Column) -> Column:
+        starts = F.filter(
+            F.transform(words, lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i)), lambda i: i.isNotNull()
+        )
+        return bound(starts, lambda begins: F.transform(begins, lambda i, k: F.struct(
+            F.get(words, i).alias("token"), (F.coalesce(F.get(begins, k + 1), F.size(words)) - i).cast("long").alias("tf")
+        )))
+
+    return bound(F.sort_array(tokens), runs)
 
 
 def _vectors(texts: DataFrame, embedder, batch_size: int) -> DataFrame:
@@ -34,20 +42,19 @@ def _vectors(texts: DataFrame, embedder, batch_size: int) -> DataFrame:
     """
     token = token_of(embedder) if hasattr(embedder, "load") else ""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = loaded(token, embedder)
-        for series in batches:
-            values, rows = series.tolist(), []
-            for start in range(0, len(values), batch_size):
-                part = values[start : start + batch_size]
-                made = np.asarray(run(part), dtype="float32")
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.column("_text").slice(start, batch_size)
+                made = np.asarray(run(part.to_pylist()), dtype="float32")
                 if len(made) != len(part):
                     raise ValueError(f"embedder returned {len(made)} vectors for {len(part)} texts")
-                rows.extend(made)
-            yield pd.Series(rows, dtype="object")
+                offsets = np.arange(len(made) + 1, dtype=np.int32) * (made.size // len(made))
+                vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(made.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part, vectors], names=["_text", "vector"])
 
-    return texts.distinct().select("_text", embed.asNondeterministic()("_text").alias("vector"))
+    return texts.distinct().mapInArrow(frugal(embed), "_text string, vector array<float>")
 
 
 def text_vectors(
@@ -61,7 +68,7 @@ def text_vectors(
     counted where the text is.
     """
     if embedder is None:
-        return df.select(key, F.explode(_term_counts(rouge_lines(column))).alias("token", "tf"))
+        return df.select(key, F.inline(_term_counts(rouge_tokens(column))))
     texts = df.select(key, F.coalesce(F.col(column), F.lit("")).alias("_text"))
     return texts.join(_vectors(texts.select("_text"), embedder, batch_size), "_text").select(key, "vector")
 
