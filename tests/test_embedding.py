@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textpair.catalog import tables
@@ -114,3 +115,38 @@ def test_texts_are_counted_once(spark, sf_dir):
     assert "MapInArrow" not in plan and "documents" not in plan
     learned = QUERIES["semantic_similarity_learned"](spark, sf_dir)
     assert "_counts" not in learned._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_the_same_in_a_square_by_sorting_and_in_parts(spark, monkeypatch):
+    """Both ways of counting, with few and with many tokens at once, agree with counting one by one."""
+    texts = ["a b a c b a", "", "z z a", "b " * 30 + "c", "a"]
+    words = ["a", "b", "c"]
+    lists = pa.array([t.split() for t in texts], pa.list_(pa.string()))
+    near = embedding.weights(5)
+
+    class Sent:
+        value = (pa.array(words), pa.array(range(3), pa.int32()))
+
+    want = brute_pairs(texts, words, 5)
+    for square, tokens, pairs in ((1 << 22, 1 << 18, 1 << 20), (0, 1 << 18, 1 << 20), (0, 4, 2), (1 << 22, 4, 2)):
+        monkeypatch.setattr(embedding, "MOST_SQUARE", square)
+        monkeypatch.setattr(embedding, "HELD_TOKENS", tokens)
+        monkeypatch.setattr(embedding, "HELD_PAIRS", pairs)
+        got = np.zeros((3, 3))
+        for batch in embedding._count_pairs(Sent, near)(iter([pa.RecordBatch.from_arrays([lists], names=["_tokens"])])):
+            for r in batch.to_pylist():
+                got[r["a"], r["b"]] += r["w"]
+                if r["a"] != r["b"]:
+                    got[r["b"], r["a"]] += r["w"]
+        assert (got == want).all()
+    assert max(map(len, embedding._parts(lists))) <= 4 and sum(map(len, embedding._parts(lists))) == len(lists)
+
+
+def test_texts_are_cut_once_and_looked_up_in_one_python_step(spark, products):
+    """The pairs' plan has one Python step, and it reads stored tokens, not the products."""
+    texts = embedding._stored_token_rows(products, COLS)
+    entries = spark.sparkContext.broadcast((pa.array(["the"]), pa.array([0], pa.int32())))
+    plan = embedding._paired(texts, entries, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "regexp" not in plan
+    rows = [r[0] for r in embedding._token_rows(products, COLS).collect()]
+    assert sorted(rows) == sorted(r[0] for r in texts.collect())

@@ -38,10 +38,14 @@ _COUNT_NAMES = ["n_pred", "n_ref", "overlap1", "overlap2", "lcs", "union_lcs"]
 _COUNTS_TYPE = T.StructType([T.StructField(name, T.IntegerType()) for name in _COUNT_NAMES])
 
 
+def rouge_spaced(c: Column | str) -> Column:
+    """The tokens of ``rouge_tokens`` as text: one space between tokens, perhaps one at either end."""
+    return F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), "[^a-z0-9]+", " ")
+
+
 def rouge_tokens(c: Column | str) -> Column:
     """Lower-case runs of ``a-z0-9``; every other character separates tokens."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), "[^a-z0-9]+", " ")
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(rouge_spaced(c), " "), "")
 
 
 def rouge_lines(c: Column | str) -> Column:

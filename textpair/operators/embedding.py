@@ -17,14 +17,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textpair.functions.rouge import rouge_tokens
+from textpair.functions.rouge import rouge_spaced, rouge_tokens
 from textpair.operators.sampling import first_rows
-from textpair.operators.vocab import _ids_of
-from textpair.session import shared_dir
+from textpair.session import frugal, shared_dir
 
 # Words of the vocabulary, dimensions, and how far neighbours may stand apart.
 VOCABULARY = 20_000
@@ -38,16 +38,34 @@ SEED = 42
 MOST_CELLS = 25_000_000
 # Weight of a word in a text: SMOOTHING / (SMOOTHING + its share of all words).
 SMOOTHING = 1e-3
-# Pairs a task counts before it hands them on.
-HELD_PAIRS = 1 << 21
+# Pairs a task counts before it hands them on, and tokens it looks at together.
+HELD_PAIRS = 1 << 20
+HELD_TOKENS = 1 << 18
+# A vocabulary with at most so many pairs is counted in a square of numbers (32 MB), a larger one by sorting.
+MOST_SQUARE = 1 << 22
 
 UNKNOWN = -1
 
 
+def _token_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``_tokens``: one row per text."""
+    return df.select(F.explode(F.array(*[rouge_tokens(c) for c in cols])).alias("_tokens"))
+
+
+def _stored_token_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The same, cut into tokens once: written to the shared folder as text with single spaces."""
+    path = shared_dir(df.sparkSession, "tokens")
+    df.select(F.explode(F.array(*[rouge_spaced(c) for c in cols])).alias("_line")).write.parquet(path)
+    return df.sparkSession.read.parquet(path).select(F.array_remove(F.split("_line", " "), "").alias("_tokens"))
+
+
 def word_counts(df: DataFrame, cols: Sequence[str], size: int = VOCABULARY) -> DataFrame:
     """``(token, n)`` of the most frequent words; ties by code point."""
-    tokens = df.select(F.explode(F.concat(*[rouge_tokens(c) for c in cols])).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return _counted(_token_rows(df, cols), size)
+
+
+def _counted(texts: DataFrame, size: int) -> DataFrame:
+    counts = texts.select(F.explode("_tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return first_rows(counts, [F.desc("n"), F.col("token")], size)
 
 
@@ -62,58 +80,97 @@ def cooccurrences(df: DataFrame, cols: Sequence[str], entries: Broadcast, reach:
 
     Other words keep their places; texts of different columns do not meet.
     """
-    ids = _ids_of(entries, UNKNOWN)
-    texts = df.select(F.explode(F.array(*[rouge_tokens(c) for c in cols])).alias("_tokens"))
-    return (
-        texts.select(ids("_tokens").alias("ids")).mapInArrow(_count_pairs(weights(reach)), "a int, b int, w long")
-        .groupBy("a", "b").agg(F.sum("w").alias("w"))
-    )
+    return _paired(_token_rows(df, cols), entries, reach)
+
+
+def _paired(texts: DataFrame, entries: Broadcast, reach: int) -> DataFrame:
+    # One Python step looks words up and counts pairs: a task has one worker and ids never return to the JVM.
+    pairs = texts.mapInArrow(frugal(_count_pairs(entries, weights(reach))), "a int, b int, w long")
+    return pairs.groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
 def stored_cooccurrences(df: DataFrame, cols: Sequence[str], entries: Broadcast, reach: int = REACH) -> DataFrame:
     """The same, written to the shared folder: ``information`` reads it several times, the texts are read once."""
-    path = shared_dir(df.sparkSession, "pairs")
-    cooccurrences(df, cols, entries, reach).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return _stored_pairs(cooccurrences(df, cols, entries, reach))
 
 
-def _count_pairs(near: list[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values, held = [], [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if keys:
-                pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
-                sums = np.zeros(len(pairs), np.int64)
-                np.add.at(sums, place, np.concatenate(values))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((pairs >> 32).astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)],
-                    names=["a", "b", "w"],
-                )
-            keys.clear()
-            values.clear()
+def _stored_pairs(pairs: DataFrame) -> DataFrame:
+    path = shared_dir(pairs.sparkSession, "pairs")
+    pairs.write.parquet(path)
+    return pairs.sparkSession.read.parquet(path)
+
+
+def _parts(lists: pa.ListArray) -> Iterator[pa.ListArray]:
+    """A batch of token arrays in slices of about ``HELD_TOKENS`` tokens, at least one text each."""
+    ends, start = lists.offsets.to_numpy()[1:], 0
+    while start < len(lists):
+        first = lists.offsets[start].as_py()
+        stop = max(start + 1, int(np.searchsorted(ends, first + HELD_TOKENS, side="right")))
+        yield lists.slice(start, stop - start)
+        start = stop
 
-        for batch in batches:
-            lists = batch.column("ids")
-            flat = lists.flatten().to_numpy().astype(np.int64)
-            sizes = np.diff(lists.offsets.to_numpy())
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            for distance, weight in enumerate(near, 1):
-                x, y = flat[:-distance], flat[distance:]
-                both = (x >= 0) & (y >= 0) & (text[:-distance] == text[distance:])
-                low, high = np.minimum(x[both], y[both]), np.maximum(x[both], y[both])
-                pairs, n = np.unique(low << 32 | high, return_counts=True)
-                keys.append(pairs)
-                values.append(n.astype(np.int64) * weight)
-                held += len(pairs)
-            if held > HELD_PAIRS:
-                yield from out()
-                held = 0
-        yield from out()
+
+def _near_pairs(lists: pa.ListArray, words: pa.Array, numbers: pa.Array, near: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """``(low, high, weight)`` of the known words that stand at each distance in the same text."""
+    found = numbers.take(pc.index_in(lists.flatten(), value_set=words))
+    flat = pc.fill_null(found, UNKNOWN).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = np.diff(lists.offsets.to_numpy())
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    for distance, weight in enumerate(near, 1):
+        x, y = flat[:-distance], flat[distance:]
+        both = (x >= 0) & (y >= 0) & (text[:-distance] == text[distance:])
+        yield np.minimum(x[both], y[both]), np.maximum(x[both], y[both]), weight
+
+
+def _pair_batch(low: np.ndarray, high: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(sums)], names=["a", "b", "w"]
+    )
+
+
+def _count_pairs(entries: Broadcast, near: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, numbers = entries.value
+        parts = (part for batch in batches for part in _parts(batch.column("_tokens")))
+        found = (pairs for part in parts for pairs in _near_pairs(part, words, numbers, near))
+        yield from _in_square(found, len(words)) if len(words) ** 2 <= MOST_SQUARE else _by_sorting(found)
 
     return run
 
 
+def _in_square(found: Iterator[tuple[np.ndarray, np.ndarray, int]], size: int) -> Iterator[pa.RecordBatch]:
+    square = np.zeros(size * size, np.int64)
+    for low, high, weight in found:
+        np.add.at(square, low * size + high, weight)
+    places = np.flatnonzero(square)
+    for start in range(0, len(places), HELD_TOKENS):
+        part = places[start : start + HELD_TOKENS]
+        yield _pair_batch(part // size, part % size, square[part])
+
+
+def _by_sorting(found: Iterator[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+    keys, values, held = [], [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if keys:
+            pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = np.zeros(len(pairs), np.int64)
+            np.add.at(sums, place, np.concatenate(values))
+            yield _pair_batch(pairs >> 32, pairs & 0xFFFFFFFF, sums)
+        keys.clear()
+        values.clear()
+
+    for low, high, weight in found:
+        pairs, n = np.unique(low << 32 | high, return_counts=True)
+        keys.append(pairs)
+        values.append(n.astype(np.int64) * weight)
+        held += len(pairs)
+        if held > HELD_PAIRS:
+            yield from out()
+            held = 0
+    yield from out()
+
+
 def information(pairs: DataFrame) -> DataFrame:
     """``(a, b, v)``: positive pointwise mutual information, both triangles of the matrix, rows by ``a``.
 
@@ -153,7 +210,7 @@ def times(matrix: DataFrame, narrow: np.ndarray) -> np.ndarray:
             )
 
     # Few rows per word: one for each Arrow batch that holds some of it.
-    parts = matrix.mapInArrow(run, "a int, b int, y array<double>").toArrow()
+    parts = matrix.mapInArrow(frugal(run), "a int, b int, y array<double>").toArrow()
     order = np.lexsort((parts["b"].to_numpy(), parts["a"].to_numpy()))
     product = np.zeros_like(narrow)
     values = parts["y"].combine_chunks().flatten().to_numpy().reshape(-1, narrow.shape[1])
@@ -212,13 +269,14 @@ def learn_embedder(
     less), so two texts without a common word can be alike.
     """
     spark = df.sparkSession
-    counted = word_counts(df, cols, size).collect()
+    texts = _stored_token_rows(df, cols)
+    counted = _counted(texts, size).collect()
     tokens, n = [r["token"] for r in counted], np.array([r["n"] for r in counted], float)
     words = {t: i for i, t in enumerate(tokens)}
     entries = spark.sparkContext.broadcast((pa.array(tokens, pa.string()), pa.array(np.arange(len(tokens), dtype=np.int32))))
     path = shared_dir(spark, "information")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    information(stored_cooccurrences(df, cols, entries, reach)).repartition(tasks, "a").sortWithinPartitions("a", "b").write.parquet(path)
+    information(_stored_pairs(_paired(texts, entries, reach))).repartition(tasks, "a").sortWithinPartitions("a", "b").write.parquet(path)
     matrix = spark.read.parquet(path)
     vectors = eigenvectors(matrix, len(tokens), dimensions, seed) if tokens else np.zeros((0, dimensions))
     share = n / max(1.0, n.sum())
