@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textpair.functions.rouge import with_rouge_scores
 from textpair.operators import averages, compare, distributions
 
 COLUMNS = "target_query string, model string, generated_output string, rouge1 double, rouge2 double, rougeL double, rougeLsum double, row_ord long"
@@ -52,6 +53,42 @@ def test_outperformed_ignores_nan(spark):
     assert [tuple(r) for r in compare.outperformed_rows(results(spark, rows), "a", "b").collect()] == [("t", "z", "y")]
 
 
+def test_scoring_below_outperformed_rows_compiles(spark):
+    """The scores were inlined into the test of the rows: more code than a method may have, so Spark ran it uncompiled."""
+    rows = [("t", "a", "one two"), ("t", "b", "two three"), ("two three\nfour", "a", "two three four"), ("two three\nfour", "b", "two four")]
+    df = spark.createDataFrame(rows, "target_query string, model string, generated_output string")
+    scored = with_rouge_scores(df, "generated_output", "target_query")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        got = compare.outperformed_rows(scored, "a", "b").collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert [tuple(r) for r in got] == [("two three\nfour", "two three four", "two four")]
+
+
+def test_other_models_are_not_scored(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def watched(scores):
+        seen.add(len(scores))
+        return scores
+
+    rows = [row("t", m, f"{m}{i}", s) for i in range(10) for m, s in (("a", 60.0), ("b", 40.0), ("c", 900.0), (None, 50.0))]
+    df = results(spark, rows).withColumn("rouge1", watched("rouge1"))
+    assert compare.outperformed_rows(df, "a", "b").count() == 100
+    assert seen.value == 20
+
+
+def test_copies_come_in_steps_that_stay_small(spark):
+    """A task holds the rows of a step at once, so the copies of a pair are dealt in steps of at most a thousand."""
+    df = spark.createDataFrame([("a", 25_001)], "k string, n long")
+    repeated = compare.repeat_rows(df, "n").select("k", F.spark_partition_id().alias("task"))
+    assert compare.REPEAT_CHUNK <= 1_000
+    tasks = {r["task"]: r["count"] for r in repeated.groupBy("task").count().collect()}
+    assert sum(tasks.values()) == 25_001 and len(tasks) > 4
+
+
 def test_repeat_rows_in_chunks(spark):
     df = spark.createDataFrame([("a", 25_001), ("b", 1), ("c", 10_000)], "k string, n long")
     assert {r["k"]: r["count"] for r in compare.repeat_rows(df, "n").groupBy("k").count().collect()} == {

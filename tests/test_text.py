@@ -16,6 +16,29 @@ def test_strip_and_words_match_python(spark, value):
     assert one(spark, value, text.word_count("c")) == len(value.split())
 
 
+def test_words_end_at_the_same_characters_as_in_python(spark):
+    every = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000] + ["\U0001f600", "\U00020000"]
+    value = "".join(f"a{c}" for c in every)
+    assert one(spark, value, text.words("c")) == value.split()
+    inside = spark.createDataFrame([(c, f"a{c}b") for c in every], "c string, t string")
+    found = inside.where(F.size(text.words("t")) == 2).collect()
+    assert {r["c"] for r in found} == set(text.WHITESPACE)
+
+
+def test_word_gaps_reject_letters_after_few_tests(spark):
+    """Splitting whole texts took most of the time of queries on derived tables."""
+    pattern, clock = spark._jvm.java.util.regex.Pattern, spark._jvm.java.lang.System.nanoTime
+    value = "plain letters are no gaps " * 100_000
+
+    def seconds(gap):
+        start = clock()
+        assert len(pattern.compile(gap).split(value)) == 500_000
+        return clock() - start
+
+    old, new = (min(seconds(gap) for _ in range(4)) for gap in (f"{text.SPACE}+", text.GAP))
+    assert new < 0.8 * old
+
+
 def test_word_count_of_null_is_zero(spark):
     assert one(spark, None, text.word_count("c")) == 0
 

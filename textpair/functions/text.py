@@ -20,6 +20,11 @@ _CLASS = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = f"[{_CLASS}]"
 WORD = f"[^{_CLASS}]+"
 SENTENCE_END = f"([.!?]){SPACE}+"
+# The same characters once more, for splitting whole texts in Java: letters below U+0100 are looked up in one table and
+# then fail one range, where the class above tests them against eight.
+_LOW = "".join(c for c in WHITESPACE if c < "\u0100")
+_HIGH = "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+GAP = f"[{_LOW}[\u1680-\u3000&&[{_HIGH}]]]+"
 
 # Separator between joined input columns, text of a missing value.
 BLANK_LINE = "\n\n"
@@ -41,7 +46,7 @@ def strip_text(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """White-space separated words; null gives an empty array."""
-    return F.array_remove(F.split(F.coalesce(_col(c), F.lit("")), f"{SPACE}+"), "")
+    return F.array_remove(F.split(F.coalesce(_col(c), F.lit("")), GAP), "")
 
 
 def word_count(c: Column | str) -> Column:

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textpair.functions.once import with_column_once
 from textpair.functions.rouge import SCORE_COLUMNS
 
 # Default thresholds of the best and worst slices.
 BEST_SCORE = 50.0
 WORST_SCORE = 0.0
-# Rows one step of ``repeat_rows`` emits from a single array.
-REPEAT_CHUNK = 10_000
+# Rows one step of ``repeat_rows`` emits from a single array; Spark holds them all before the next step.
+REPEAT_CHUNK = 1_000
 
 
 def _number(c: str) -> Column:
@@ -105,6 +106,7 @@ def outperformed_rows(
     * scores are percentages (others raise), so a row with a zero score cannot
       win and a row with a full score cannot lose; both leave before the shuffle.  Targets
       without any token, often the largest group, score zero and vanish here;
+    * rows of other models leave before they are scored;
     * a target that stays hot is split by the adaptive skew join.
     """
     on = list(on)
@@ -120,7 +122,11 @@ def outperformed_rows(
     for c in SCORE_COLUMNS:
         can_win = can_win & (_percentage(c) > 0)
         can_lose = can_lose & (_percentage(c) < 100)
-    rows = df.where(((F.col("model") == first) & can_win) | ((F.col("model") == second) & can_lose))
+    # The plain test on the model, unlike the next, can move below the scoring.  That one reads each score many times,
+    # so the scores are computed before it; inlined, they make more code than Spark compiles.
+    scored = with_column_once(df.where(F.col("model").isin(first, second)), "_scores", F.struct(*SCORE_COLUMNS))
+    scored = scored.withColumns({c: F.col("_scores")[c] for c in SCORE_COLUMNS}).drop("_scores")
+    rows = scored.where(((F.col("model") == first) & can_win) | ((F.col("model") == second) & can_lose))
     sides = counted_sides(rows, (first, second), [*keys, "generated_output", *SCORE_COLUMNS])
     a, b = named(sides[0], "a"), named(sides[1], "b")
 
